@@ -24,8 +24,10 @@ CLEAN_DOUBLES = ["price_egp", "log_price", "size_sqm", "bedrooms_n", "bathrooms_
                  "size_per_bedroom", "size_x_finish"]
 
 # ---------------------------------------------------------------- sources
-oracle("s1", with_clean("SELECT listing_id, url, price, size, bedrooms, bathrooms, payment_method, down_payment, "
-                        "type, location, description FROM raw"))
+# CSV text: an empty field reads as missing (pandas reads it as NaN as well)
+oracle("s1", with_clean("SELECT listing_id, " + ", ".join(
+    f"NULLIF({c}, '') AS {c}" for c in ["url", "price", "size", "bedrooms", "bathrooms", "payment_method",
+                                        "down_payment", "type", "location", "description"]) + " FROM raw"))
 
 # ---------------------------------------------------------------- per-row cleaning
 oracle("c1", with_clean("SELECT listing_id, listing_type FROM s6"))

@@ -198,7 +198,7 @@ def q_g2(spark, sf_dir):
 
 
 def _pre_fence(spark, sf_dir):
-    return C.fix_mislabeled_types(J.parse_listings(_raw(spark, sf_dir)))
+    return J.parse_listings(_raw(spark, sf_dir))
 
 
 @query("g3")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from propval.operators import clean as C
 from propval.operators import stats as S
+from propval.plans.materialize import materialize
 
 CLEAN_COLUMNS = [
     "listing_id", "listing_type", "price_egp", "log_price", "size_sqm", "bedrooms_n", "bathrooms_n",
@@ -19,11 +20,8 @@ CLEAN_COLUMNS = [
 ]
 
 
-def parse_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto") -> DataFrame:
-    """C1-C23 + G1-G2 on raw text columns, before type repair and the type filter."""
-    df = C.add_listing_type(raw)
-    df = C.add_price(df)
-    df = S.trim_price(df, by=trim_by, method=quantile_method)
+def parse_rows(df: DataFrame) -> DataFrame:
+    """Per-row parsers C3-C24 (no cross-row statistics)."""
     df = C.add_size(df)
     df = C.add_rooms(df)
     df = C.add_payment_flags(df)
@@ -32,26 +30,40 @@ def parse_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto") ->
     df = C.add_room_ratio(df)
     df = C.add_location(df)
     df = C.add_install_years(df)
-    df = S.add_group_count(df, "compound", "log_comp_size")
     df = C.add_finish_view(df)
     df = C.add_market_tier(df)
     df = C.add_market_zone(df)
     df = C.add_compound_features(df)
     df = C.add_size_features(df)
-    return df
+    return C.fix_mislabeled_types(df)
+
+
+def parse_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto",
+                   materialized: bool = True) -> DataFrame:
+    """C1-C24 + G1-G2: priced, trimmed, parsed rows with the compound frequency.
+
+    The trim bounds need only the price column, so they are computed before
+    the text is parsed; the parsed survivors are written once (``materialized``)
+    and every later statistic reads that table.
+    """
+    df = C.add_price(C.add_listing_type(raw))
+    df = S.trim_price(df, by=trim_by, method=quantile_method)
+    df = parse_rows(df)
+    if materialized:
+        df = materialize(df, "parsed_listings")
+    return S.add_group_count(df, "compound", "log_comp_size")
 
 
 def repair_types(df: DataFrame, quantile_method: str = "auto") -> DataFrame:
-    """C24 + G3/G4 + C28 (before the type filter)."""
-    df = C.fix_mislabeled_types(df)
+    """G3/G4 + C28 (before the type filter)."""
     df = S.relabel_outliers(df, method=quantile_method)
     return C.add_interaction_keys(df)
 
 
 def clean_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto",
-                   keep_all_columns: bool = False) -> DataFrame:
+                   keep_all_columns: bool = False, materialized: bool = True) -> DataFrame:
     """The whole cleaning job. Unsupported types are dropped (see ``quarantine``)."""
-    df = repair_types(parse_listings(raw, trim_by, quantile_method), quantile_method)
+    df = repair_types(parse_listings(raw, trim_by, quantile_method, materialized), quantile_method)
     df = C.filter_supported_types(df)
     if keep_all_columns:
         return df
