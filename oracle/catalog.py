@@ -98,3 +98,56 @@ SELECT listing_id, city_comp, governorate_comp,
        CAST(CAST(coalesce(finish_ord, -1) AS BIGINT) AS VARCHAR) || '_' || type_clean AS finish_type,
        type_clean || '_' || CAST(CAST(market_tier AS BIGINT) AS VARCHAR) AS type_tier
 FROM (SELECT {CLEAN_COLUMNS_SQL} FROM clean) c"""))
+
+# ---------------------------------------------------------------- description features
+from oracle import text_sql as TS  # noqa: E402
+from propval.functions import rules as R  # noqa: E402
+from propval.operators import text as TX  # noqa: E402
+
+oracle("t1", with_clean(f"SELECT listing_id, {TS.kw_select()} FROM s6"), ["desc_len", "nlp_score"])
+oracle("t3", with_clean(f"SELECT listing_id, {TS.semantic_select()} FROM s6"),
+       ["luxury_score", "budget_score", "investment_signal"])
+_CONTENT = f"SELECT listing_id, {TS.content_select()} FROM s6"
+for _name, _cols in {
+    "t4": ["building_age", "under_construction"], "t5": ["floor_level", "has_explicit_floor"],
+    "t6": ["legal_status"], "t7": ["condition_score"], "t8": [n for n, _ in R.AMENITY_FLAGS],
+    "t9": [n for n, _ in R.MICRO_LOCATION_FLAGS],
+    "t10": [n for n, _ in R.MOTIVATION_FLAGS] + ["motivation_score"],
+    "t11": [n for n, _ in R.EXPOSURE_FLAGS], "t12": [n for n, _ in R.ROOM_CONFIG_FLAGS],
+    "t14": TX.CONTENT_COLUMNS,
+}.items():
+    oracle(_name, with_clean(f"SELECT listing_id, {', '.join(_cols)} FROM ({_CONTENT}) c"),
+           [c for c in _cols if c in TS.CONTENT_DOUBLES])
+_TEXT = "coalesce(text, '')"
+oracle("t13", f"SELECT doc_id, {TS.meta_select(_TEXT)} FROM documents", ["caps_ratio"])
+oracle("t13_conversations", f"SELECT conv_id, turn, {TS.meta_select(_TEXT)} FROM conversations", ["caps_ratio"])
+
+
+def _norm_sql(expr):
+    s = f"lower(coalesce({expr}, ''))"
+    for variant, canonical in R.ARABIC_VARIANTS:
+        s = f"replace({s}, '{variant.lower()}', '{canonical.lower()}')"
+    return s
+
+
+def _feature_sql(norm):
+    flags, srcs = [], []
+    for feat, aliases in R.FEATURE_ALIASES.items():
+        pat = TX.alias_pattern(aliases).replace("'", "''")
+        flags.append(f"CAST(regexp_matches({norm}, '{pat}') AS INTEGER) AS feat_{feat}")
+        srcs.append(f"CASE WHEN regexp_matches({norm}, '{pat}') THEN 'nlp' ELSE 'none' END AS src_{feat}")
+    return flags, srcs
+
+
+_flags, _srcs = _feature_sql("norm")
+_RENTAL_FEATS = with_clean(f"SELECT listing_id, {', '.join(_flags + _srcs)} FROM "
+                           f"(SELECT listing_id, {_norm_sql('description')} AS norm FROM raw) r")
+_SCORE = " + ".join(f"feat_{f} * {R.FEATURE_WEIGHTS.get(f, 0)}" for f in R.FEATURE_ALIASES)
+_ACTIVE = "concat_ws(',', " + ", ".join(f"CASE WHEN feat_{f} = 1 THEN '{f}' END" for f in R.FEATURE_ALIASES) + ")"
+oracle("t15", with_clean(f"SELECT listing_id, {_norm_sql('description')} AS desc_norm FROM raw"))
+oracle("t16", f"SELECT listing_id, {', '.join('feat_' + f for f in R.FEATURE_ALIASES)} FROM ({_RENTAL_FEATS}) f")
+oracle("t17", f"SELECT listing_id, {', '.join('src_' + f for f in R.FEATURE_ALIASES)} FROM ({_RENTAL_FEATS}) f")
+oracle("t18", f"SELECT listing_id, CAST({_SCORE} AS INTEGER) AS feature_score, {_ACTIVE} AS active_features "
+              f"FROM ({_RENTAL_FEATS}) f")
+oracle("t18_by_score", f"SELECT CAST({_SCORE} AS INTEGER) AS feature_score, count(*) AS n_listings "
+                       f"FROM ({_RENTAL_FEATS}) f GROUP BY 1")

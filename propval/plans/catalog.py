@@ -227,3 +227,93 @@ def q_clean_groups(spark, sf_dir):
     cnt = df.groupBy("city", "type_clean").agg(F.count(F.lit(1)).alias("n_listings"),
                                                 F.avg("price_egp").alias("avg_price"))
     return cnt.join(med, ["city", "type_clean"], "left")
+
+
+# ---------------------------------------------------------------------------
+# J2 description features (over every raw listing's cleaned description)
+# ---------------------------------------------------------------------------
+from propval.operators import text as TX  # noqa: E402
+from propval.sources.tables import read_table  # noqa: E402
+
+
+def _desc(spark, sf_dir):
+    return C.add_type_and_text(_raw(spark, sf_dir))
+
+
+@query("t1")
+def q_t1(spark, sf_dir):
+    return TX.add_keyword_flags(_desc(spark, sf_dir)).select("listing_id", *TX.KW_COLUMNS)
+
+
+@query("t3")
+def q_t3(spark, sf_dir):
+    return TX.add_semantic_scores(_desc(spark, sf_dir)).select("listing_id", *TX.SEMANTIC_COLUMNS)
+
+
+CONTENT_GROUPS = {
+    "t4": ["building_age", "under_construction"],
+    "t5": ["floor_level", "has_explicit_floor"],
+    "t6": ["legal_status"],
+    "t7": ["condition_score"],
+    "t8": [n for n, _ in TX.R.AMENITY_FLAGS],
+    "t9": [n for n, _ in TX.R.MICRO_LOCATION_FLAGS],
+    "t10": [n for n, _ in TX.R.MOTIVATION_FLAGS] + ["motivation_score"],
+    "t11": [n for n, _ in TX.R.EXPOSURE_FLAGS],
+    "t12": [n for n, _ in TX.R.ROOM_CONFIG_FLAGS],
+    "t14": TX.CONTENT_COLUMNS,
+}
+
+
+def _content_query(cols):
+    def run(spark, sf_dir):
+        return TX.add_content_features(_desc(spark, sf_dir)).select("listing_id", *cols)
+    return run
+
+
+for _name, _cols in CONTENT_GROUPS.items():
+    query(_name)(_content_query(_cols))
+
+
+@query("t13")
+def q_t13(spark, sf_dir):
+    """Text meta over the whole documents table."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return TX.add_text_meta(docs, "text").drop("text")
+
+
+@query("t13_conversations")
+def q_t13_conv(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return TX.add_text_meta(conv, "text").drop("text")
+
+
+def _rental_feats(spark, sf_dir):
+    return TX.add_rental_features(_raw(spark, sf_dir), "description")
+
+
+@query("t15")
+def q_t15(spark, sf_dir):
+    return _raw(spark, sf_dir).select("listing_id",
+                                      TX.normalize_variants_col(F.col("description")).alias("desc_norm"))
+
+
+@query("t16")
+def q_t16(spark, sf_dir):
+    return _rental_feats(spark, sf_dir).select("listing_id", *TX.feature_columns())
+
+
+@query("t17")
+def q_t17(spark, sf_dir):
+    return _rental_feats(spark, sf_dir).select("listing_id", *TX.source_columns())
+
+
+@query("t18")
+def q_t18(spark, sf_dir):
+    return _rental_feats(spark, sf_dir).select(
+        "listing_id", "feature_score", F.array_join("active_features", ",").alias("active_features"))
+
+
+@query("t18_by_score")
+def q_t18_groups(spark, sf_dir):
+    df = _rental_feats(spark, sf_dir)
+    return df.groupBy("feature_score").agg(F.count(F.lit(1)).alias("n_listings"))
