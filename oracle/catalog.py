@@ -151,3 +151,68 @@ oracle("t18", f"SELECT listing_id, CAST({_SCORE} AS INTEGER) AS feature_score, {
               f"FROM ({_RENTAL_FEATS}) f")
 oracle("t18_by_score", f"SELECT CAST({_SCORE} AS INTEGER) AS feature_score, count(*) AS n_listings "
                        f"FROM ({_RENTAL_FEATS}) f GROUP BY 1")
+
+# ---------------------------------------------------------------- encodings
+from oracle import decide_sql as DS  # noqa: E402
+
+_TE = [c for c, _ in R.TE_SMOOTHING]
+oracle("g5", DS.with_enc("SELECT listing_id, is_test FROM enc_base"))
+oracle("g6", DS.with_enc("SELECT listing_id, fold FROM enc_base"))
+_oof_joins = " ".join(f"JOIN ({DS.te_oof_sql(c, k)}) t_{c} USING (listing_id)" for c, k in R.TE_SMOOTHING)
+oracle("g8", DS.with_enc(f"SELECT listing_id, {', '.join(c + '_te' for c in _TE)} FROM train {_oof_joins}"),
+       [c + "_te" for c in _TE])
+oracle("g7", DS.with_enc(DS.te_oof_sql("compound", 30)), ["compound_te"])
+oracle("g9", DS.with_enc(DS.PPS_OOF_SQL), ["price_per_sqm_estimate"])
+_full_joins = " ".join(f"JOIN ({DS.te_full_sql(c, k)}) t_{c} USING (listing_id)" for c, k in R.TE_SMOOTHING)
+oracle("g10", DS.with_enc(f"SELECT listing_id, {', '.join(c + '_te' for c in _TE)}, price_per_sqm_estimate "
+                          f"FROM test {_full_joins} JOIN ({DS.PPS_TEST_SQL}) p USING (listing_id)"),
+       [c + "_te" for c in _TE] + ["price_per_sqm_estimate"])
+oracle("g11", DS.with_enc("SELECT city, type_clean, rarity FROM rarity"), ["rarity"])
+
+_G12 = ["size_sqm", "bedrooms_n", "bathrooms_n", "room_ratio", "install_years", "down_payment_ratio",
+        "log_down_payment", "size_per_bedroom", "finish_ord", "log_comp_size"]
+_g12_long = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM train" for c in _G12)
+_G12_TABLE = f"""
+long AS ({_g12_long}),
+med AS (SELECT feature, quantile_cont(value, 0.5) AS median FROM long GROUP BY feature),
+imp AS (SELECT l.feature, coalesce(l.value, m.median) AS value FROM long l JOIN med m USING (feature)),
+g12 AS (SELECT m.feature, m.median, quantile_cont(i.value, 0.01) AS clip_lo, quantile_cont(i.value, 0.99) AS clip_hi
+        FROM med m JOIN imp i USING (feature) GROUP BY m.feature, m.median)"""
+oracle("g12", f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, {_G12_TABLE} SELECT feature, median, clip_lo, clip_hi FROM g12",
+       ["median", "clip_lo", "clip_hi"])
+
+
+def _clip_expr(c):
+    v = (f"coalesce(CAST(t.{c} AS DOUBLE), (SELECT median FROM g12 WHERE feature = '{c}'))")
+    return (f"least(greatest({v}, (SELECT clip_lo FROM g12 WHERE feature = '{c}')), "
+            f"(SELECT clip_hi FROM g12 WHERE feature = '{c}')) AS {c}")
+
+
+oracle("g12_apply", f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, {_G12_TABLE} SELECT listing_id, "
+                    + ", ".join(_clip_expr(c) for c in _G12) + " FROM test t", _G12)
+
+# ---------------------------------------------------------------- decisions
+_DEC = {
+    "d1": ["pred_b", "lo_b", "hi_b"],
+    "d2": ["discount", "pred_c", "lo_c", "hi_c"],
+    "d3": ["zone", "pred_f", "lo_f", "hi_f"],
+    "d4": ["uncertainty", "band_lower", "band_upper"],
+    "d5": ["ratio", "alert_raw"],
+    "d6": ["conf_score_raw", "CASE WHEN conf_score_raw >= 75 THEN 'HIGH' WHEN conf_score_raw >= 50 THEN 'MEDIUM' "
+           "ELSE 'LOW' END AS conf_level_raw"],
+    "d7": ["rarity_score", "rarity_penalty", "is_rare"],
+    "d8": ["benchmark_deviation", "is_unrealistic"],
+    "d9": ["alert", "confidence", "confidence_score"],
+    "d11": ["reason"],
+    "d12": ["down_payment_warning"],
+    "d14": ["alert", "confidence", "confidence_score", "reason", "ratio", "zone", "down_payment_warning"],
+}
+_DEC_DOUBLES = {"pred_b", "lo_b", "hi_b", "discount", "pred_c", "lo_c", "hi_c", "pred_f", "lo_f", "hi_f",
+                "uncertainty", "band_lower", "band_upper", "ratio", "rarity_score", "benchmark_deviation"}
+for _name, _cols in _DEC.items():
+    oracle(_name, DS.with_decide(f"SELECT listing_id, {', '.join(_cols)} FROM d14"),
+           [c for c in _cols if c in _DEC_DOUBLES])
+oracle("d10", "SELECT listing_id, " + ", ".join(
+    f"{DS.price_text(c)} AS {c}_text" for c in ("ask", "pred", "lo", "hi")) + f" FROM ({DS.SCORED_SQL}) s")
+oracle("d14_by_city_type", DS.with_decide("SELECT area, type_clean, alert, confidence, count(*) AS n, "
+                                          "avg(confidence_score) AS avg_score FROM d14 GROUP BY ALL"), ["avg_score"])

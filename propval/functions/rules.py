@@ -259,6 +259,32 @@ N_FOLDS = 5
 TEST_SHARE = 0.20
 SEED = 42
 
+NUM_COLS = [
+    "size_sqm", "bedrooms_n", "bathrooms_n",
+    "has_maid", "is_installment", "is_cash",
+    "room_ratio", "install_years", "log_comp_size",
+    "finish_ord", "view_score",
+    "down_payment_ratio", "log_down_payment",
+    "market_tier", "size_per_bedroom", "size_x_finish",
+    "price_per_sqm_estimate",
+    "luxury_score", "budget_score", "investment_signal",
+    "building_age", "under_construction",
+    "floor_level", "has_explicit_floor",
+    "legal_status", "condition_score",
+    "has_elevator", "has_garage", "has_security", "has_balcony",
+    "has_ac", "has_gas", "has_storage",
+    "near_metro", "near_mall", "near_highway", "main_street",
+    "corner_unit", "quiet_zone",
+    "motivation_urgent", "motivation_negotiable",
+    "motivation_cash_only", "motivation_below_market", "motivation_score",
+    "north_facing", "south_facing", "east_west", "street_view",
+    "has_master_bedroom", "has_dressing_room", "has_driver_room", "has_nanny_room",
+    "has_phone_in_desc", "caps_ratio", "excl_count", "sentence_count", "num_count",
+    "area_market_zone_ord",
+    "is_compound", "compound_tier", "standalone_premium", "compound_premium",
+    "log_size_sqm", "size_sqm_inv",
+]
+
 MUST_KEEP = [
     "size_sqm", "bedrooms_n", "bathrooms_n",
     "compound_te", "city_te", "governorate_te",

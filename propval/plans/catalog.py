@@ -317,3 +317,201 @@ def q_t18(spark, sf_dir):
 def q_t18_groups(spark, sf_dir):
     df = _rental_feats(spark, sf_dir)
     return df.groupBy("feature_score").agg(F.count(F.lit(1)).alias("n_listings"))
+
+
+# ---------------------------------------------------------------------------
+# J3 encodings (oracle-checked queries use the deterministic id split/folds)
+# ---------------------------------------------------------------------------
+from propval.functions import rules as RULES  # noqa: E402
+from propval.operators import decide as D  # noqa: E402
+from propval.operators import encode as E  # noqa: E402
+from propval.plans import encode_job as EJ  # noqa: E402
+from propval.plans.materialize import materialize  # noqa: E402
+
+_CACHE: dict = {}
+
+
+def _prepared(spark, sf_dir):
+    key = ("prepared", sf_dir, id(spark))
+    if key not in _CACHE:
+        df = EJ.prepare(_clean(spark, sf_dir), EJ.oracle_split(), EJ.oracle_fold())
+        _CACHE[key] = materialize(df, "prepared_listings")
+    return _CACHE[key]
+
+
+def _encodings(spark, sf_dir) -> EJ.Encodings:
+    key = ("enc", sf_dir, id(spark))
+    if key not in _CACHE:
+        enc = EJ.fit(_prepared(spark, sf_dir))
+        # fitted tables are small: write them once so every consumer reads the same artefact
+        _CACHE[key] = EJ.Encodings(*[materialize(t, n) for t, n in zip(
+            (enc.te_oof, enc.te_map, enc.te_gm, enc.pps_oof, enc.pps_map, enc.pps_gm, enc.rarity),
+            ("te_oof", "te_map", "te_gm", "pps_oof", "pps_map", "pps_gm", "rarity"))])
+    return _CACHE[key]
+
+
+@query("g5")
+def q_g5(spark, sf_dir):
+    return E.add_split(_clean(spark, sf_dir), split_col=EJ.oracle_split()).select("listing_id", "is_test")
+
+
+@query("g6")
+def q_g6(spark, sf_dir):
+    return E.add_folds(_clean(spark, sf_dir), fold_col=EJ.oracle_fold()).select("listing_id", "fold")
+
+
+@query("g6_hash_balance")
+def q_g6_hash(spark, sf_dir):
+    """Production hash split/folds: rows per (is_test, fold)."""
+    df = E.add_folds(E.add_split(_clean(spark, sf_dir)))
+    return df.groupBy("is_test", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g8")
+def q_g8(spark, sf_dir):
+    df = EJ.encode_train(_prepared(spark, sf_dir), _encodings(spark, sf_dir))
+    return df.select("listing_id", *[c + "_te" for c in EJ.TE_COLUMNS])
+
+
+@query("g7")
+def q_g7(spark, sf_dir):
+    enc = _encodings(spark, sf_dir)
+    df = E.apply_target_encodings(_prepared(spark, sf_dir).where(~F.col("is_test")), enc.te_oof, enc.te_gm,
+                                  ["compound"], fold="fold")
+    return df.select("listing_id", "compound_te")
+
+
+@query("g9")
+def q_g9(spark, sf_dir):
+    enc = _encodings(spark, sf_dir)
+    train = _prepared(spark, sf_dir).where(~F.col("is_test"))
+    return E.apply_price_per_sqm(train, enc.pps_oof, enc.pps_gm, fold="fold").select(
+        "listing_id", "price_per_sqm_estimate")
+
+
+@query("g10")
+def q_g10(spark, sf_dir):
+    test = _prepared(spark, sf_dir).where(F.col("is_test"))
+    df = EJ.encode_new(test, _encodings(spark, sf_dir))
+    return df.select("listing_id", *[c + "_te" for c in EJ.TE_COLUMNS], "price_per_sqm_estimate")
+
+
+@query("g11")
+def q_g11(spark, sf_dir):
+    return _encodings(spark, sf_dir).rarity
+
+
+G12_COLUMNS = ["size_sqm", "bedrooms_n", "bathrooms_n", "room_ratio", "install_years", "down_payment_ratio",
+               "log_down_payment", "size_per_bedroom", "finish_ord", "log_comp_size"]
+
+
+@query("g12")
+def q_g12(spark, sf_dir):
+    train = _prepared(spark, sf_dir).where(~F.col("is_test"))
+    return E.fit_impute_clip(train, G12_COLUMNS)
+
+
+@query("g12_apply")
+def q_g12_apply(spark, sf_dir):
+    prepared = _prepared(spark, sf_dir)
+    table = E.fit_impute_clip(prepared.where(~F.col("is_test")), G12_COLUMNS)
+    return E.apply_impute_clip(prepared.where(F.col("is_test")), table, G12_COLUMNS).select(
+        "listing_id", *G12_COLUMNS)
+
+
+@query("g13")
+def q_g13(spark, sf_dir):
+    """Column presence check: the wanted model columns that exist, in order (plan-time, no job)."""
+    df = EJ.encode_train(_prepared(spark, sf_dir), _encodings(spark, sf_dir))
+    wanted = RULES.NUM_COLS + [c + "_te" for c in EJ.TE_COLUMNS]
+    present = E.select_present(df, wanted, required=["size_sqm", "log_price"])
+    return spark.createDataFrame([(i, c) for i, c in enumerate(present)], "position int, feature string")
+
+
+# ---------------------------------------------------------------------------
+# J6 decisions over the scored fixture with artefacts fitted on the clean listings
+# ---------------------------------------------------------------------------
+
+def _decision_input(spark, sf_dir):
+    sc = fixtures.scored(spark, sf_dir)
+    lst = C.add_location(_raw(spark, sf_dir)).select("listing_id", F.col("description").alias("desc"), "compound")
+    df = sc.join(lst, "listing_id", "left")
+    return df.select("listing_id", "ask", "pred", "lo", "hi", "type_clean", F.col("city").alias("area"),
+                     "in_compound", "developer_level", "has_pool",
+                     F.when(F.col("size_sqm").isNull(), "missing").otherwise("present").alias("land_size"),
+                     "desc", "compound", "size_sqm")
+
+
+def _decided(spark, sf_dir):
+    enc = _encodings(spark, sf_dir)
+    return D.decide(_decision_input(spark, sf_dir), enc.rarity, enc.pps_map, enc.pps_gm, keep_intermediate=True)
+
+
+DECISION_COLUMNS = {
+    "d1": ["pred_b", "lo_b", "hi_b"],
+    "d2": ["discount", "pred_c", "lo_c", "hi_c"],
+    "d3": ["zone", "pred_f", "lo_f", "hi_f"],
+    "d4": ["uncertainty", "band_lower", "band_upper"],
+    "d5": ["ratio", "alert_raw"],
+    "d6": ["conf_score_raw", "conf_level_raw"],
+    "d7": ["rarity_score", "rarity_penalty", "is_rare"],
+    "d8": ["benchmark_deviation", "is_unrealistic"],
+    "d9": ["alert", "confidence", "confidence_score"],
+    "d11": ["reason"],
+    "d12": ["down_payment_warning"],
+    "d14": ["alert", "confidence", "confidence_score", "reason", "ratio", "zone", "down_payment_warning"],
+}
+
+
+def _decision_query(cols):
+    def run(spark, sf_dir):
+        return _decided(spark, sf_dir).select("listing_id", *cols)
+    return run
+
+
+for _name, _cols in DECISION_COLUMNS.items():
+    query(_name)(_decision_query(_cols))
+
+
+@query("d10")
+def q_d10(spark, sf_dir):
+    from propval.functions import fmt
+    df = fixtures.scored(spark, sf_dir)
+    return df.select("listing_id", *[fmt.price_egp(F.col(c)).alias(c + "_text") for c in ("ask", "pred", "lo", "hi")])
+
+
+@query("d14_by_city_type")
+def q_d14_groups(spark, sf_dir):
+    df = _decided(spark, sf_dir)
+    return df.groupBy("area", "type_clean", "alert", "confidence").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("confidence_score").alias("avg_score"))
+
+
+@query("d13")
+def q_d13(spark, sf_dir):
+    df = TX.add_content_features(_clean(spark, sf_dir))
+    return df.select("listing_id", D.coverage_score_col(df).alias("coverage_score"))
+
+
+@query("d16")
+def q_d16(spark, sf_dir):
+    raw = _raw(spark, sf_dir).select("listing_id", "description", "location")
+    df = _clean(spark, sf_dir).join(raw, "listing_id")
+    return D.listing_attributes(df).select("listing_id", "area", "land_size", "in_compound", "has_pool",
+                                           "developer_level")
+
+
+@query("d17")
+def q_d17(spark, sf_dir):
+    df = D.quick_valuation(fixtures.scored(spark, sf_dir))
+    return df.select("listing_id", "quick_pred", "min_range_m", "max_range_m", "quick_alert")
+
+
+@query("d18")
+def q_d18(spark, sf_dir):
+    feats = TX.add_rental_features(_raw(spark, sf_dir), "description").select("listing_id", "active_features")
+    req = _clean(spark, sf_dir).join(feats, "listing_id").select(
+        "listing_id", F.col("bedrooms_n").alias("bedrooms"), F.col("bathrooms_n").alias("bathrooms"), "size_sqm",
+        F.col("active_features").alias("amenities"))
+    return D.align_request(req, RULES.MUST_KEEP + ["amenity_count"]).drop("bedrooms", "bathrooms", "size_sqm",
+                                                                          "amenities")
