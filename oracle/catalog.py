@@ -14,7 +14,7 @@ def oracle(name: str, sql: str, doubles=()):
 def rounded(sql: str, doubles, digits: int = 6) -> str:
     if not doubles:
         return sql
-    repl = ", ".join(f"round({c}, {digits}) AS {c}" for c in doubles)
+    repl = ", ".join(f"TRY_CAST(printf('%.{digits}f', {c}) AS DOUBLE) AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM ({sql}) _q"
 
 
@@ -216,3 +216,394 @@ oracle("d10", "SELECT listing_id, " + ", ".join(
     f"{DS.price_text(c)} AS {c}_text" for c in ("ask", "pred", "lo", "hi")) + f" FROM ({DS.SCORED_SQL}) s")
 oracle("d14_by_city_type", DS.with_decide("SELECT area, type_clean, alert, confidence, count(*) AS n, "
                                           "avg(confidence_score) AS avg_score FROM d14 GROUP BY ALL"), ["avg_score"])
+
+# ---------------------------------------------------------------- rental
+def _contains_any_sql(expr, words):
+    return "(" + " OR ".join(f"contains({expr}, '{w}')" for w in words) + ")"
+
+
+_Y = R.RENTAL_YIELDS
+
+
+def _yield_case(i):
+    exact = " ".join(f"WHEN rent_zone = '{z}' AND type_clean = '{t}' THEN {y[i]}" for (z, t), y in _Y.items())
+    fb = " ".join(f"WHEN rent_zone = '{z}' THEN {y[i]}" for (z, t), y in _Y.items() if t == "Apartment")
+    return f"CAST(CASE {exact} {fb} ELSE {R.DEFAULT_YIELD[i]} END AS DOUBLE)"
+
+
+_EXACT = " OR ".join(f"(rent_zone = '{z}' AND type_clean = '{t}')" for (z, t) in _Y)
+_FB = " OR ".join(f"rent_zone = '{z}'" for (z, t) in _Y if t == "Apartment")
+_src_score = " + ".join(f"CASE WHEN src_{f} = 'nlp' THEN 2 ELSE 0 END" for f in R.FEATURE_ALIASES)
+_blob = "lower(coalesce(area, '') || ' ' || coalesce(compound, '') || ' ' || coalesce(\"desc\", ''))"
+_zone = ("CASE " + " ".join(f"WHEN {_contains_any_sql(_blob, ws)} THEN '{z}'" for z, ws in R.RENT_ZONE_WORDS)
+         + " ELSE 'urban' END")
+_mape = DS.case_map("type_clean", R.MAPE_BY_TYPE, "0.2")
+_premium = ("CASE WHEN feature_score <= 10 THEN 0.0 WHEN feature_score <= 20 THEN 0.05 WHEN feature_score <= 35 "
+            "THEN 0.12 WHEN feature_score <= 50 THEN 0.20 ELSE 0.30 END")
+_ftier = ("CASE WHEN feature_score <= 10 THEN 'base' WHEN feature_score <= 20 THEN 'standard' "
+          "WHEN feature_score <= 35 THEN 'enhanced' WHEN feature_score <= 50 THEN 'premium' ELSE 'luxury' END")
+_good = _contains_any_sql("lower(area)", R.RENT_GOOD_AREAS)
+
+
+def _rent_ar(t, lo="lo_t", hi="hi_t", zone="zlabel"):
+    a, rest = t.split("{lo}")
+    b, rest = rest.split("{hi}")
+    c, d = rest.split("{zone}")
+    return f"'{a}' || {lo} || '{b}' || {hi} || '{c}' || {zone} || '{d}'"
+
+
+RENTAL_CTES = f"""
+rf AS ({_RENTAL_FEATS}),
+rent_in AS (
+  SELECT s.listing_id, s.pred AS sale_price, s.ask / 200 AS user_rent, s.type_clean, s.city AS area,
+         r.compound, r.description AS "desc", rf.*, CAST({_SCORE} AS INTEGER) AS feature_score
+  FROM ({DS.SCORED_SQL}) s LEFT JOIN s6 r ON s.listing_id = r.listing_id LEFT JOIN rf ON rf.listing_id = s.listing_id
+),
+r1 AS (SELECT rent_in.* EXCLUDE (listing_id), s_id AS listing_id, {_zone} AS rent_zone
+       FROM (SELECT *, listing_id AS s_id FROM rent_in) rent_in),
+r2 AS (
+  SELECT *, {_yield_case(0)} AS yield_min, {_yield_case(1)} AS yield_max, {_yield_case(2)} AS yield_typical,
+    CASE WHEN {_EXACT} THEN 'HIGH' WHEN {_FB} THEN 'MEDIUM' ELSE 'LOW' END AS estimate_confidence,
+    {_mape} AS sale_mape,
+    CAST(least({_premium}, 0.45) AS DOUBLE) AS premium_pct, {_ftier} AS feature_tier
+  FROM r1
+),
+r3 AS (
+  SELECT r2.*,
+    sale_price * yield_min / 12.0 / (1.0 + sale_mape) AS min_rent,
+    sale_price * yield_typical / 12.0 AS mid_rent,
+    sale_price * yield_max / 12.0 * (1.0 + sale_mape) AS max_rent,
+    least(greatest(least(50 + {_src_score}, 80)
+      + CASE WHEN lower(area) IN ('unknown', '', 'na', 'n/a') THEN -15 WHEN {_good} THEN 10 ELSE 5 END
+      + CASE WHEN length(trim(coalesce("desc", ''))) < 20 THEN -10
+             WHEN length(trim(coalesce("desc", ''))) > 100 THEN 5 ELSE 0 END
+      + CASE WHEN coalesce(ra.rarity, 0) > 0.5 THEN -15 WHEN coalesce(ra.rarity, 0) > 0.3 THEN -8 ELSE 0 END,
+      20), 95) AS rent_conf_score
+  FROM r2 LEFT JOIN rarity ra ON r2.area = ra.city AND r2.type_clean = ra.type_clean
+),
+r4 AS (
+  SELECT *, min_rent * (1 + premium_pct) AS adj_min, mid_rent * (1 + premium_pct) AS adj_mid,
+    max_rent * (1 + premium_pct) AS adj_max,
+    CASE WHEN rent_conf_score >= 75 THEN 'HIGH' WHEN rent_conf_score >= 50 THEN 'MEDIUM' ELSE 'LOW' END
+      AS rent_conf_level
+  FROM r3
+),
+r5 AS (
+  SELECT *,
+    CASE WHEN estimate_confidence = 'LOW' OR rent_conf_level = 'LOW' THEN 'LOW'
+         WHEN estimate_confidence = 'MEDIUM' OR rent_conf_level = 'MEDIUM' THEN 'MEDIUM' ELSE 'HIGH' END
+      AS rental_confidence,
+    CASE WHEN adj_mid > 0 THEN user_rent / adj_mid ELSE 1.0 END AS rent_ratio
+  FROM r4
+),
+r6 AS (
+  SELECT *,
+    CAST(CASE rental_confidence WHEN 'LOW' THEN 0.70 WHEN 'HIGH' THEN 0.85 ELSE 0.80 END AS DOUBLE) AS threshold_lower,
+    CAST(CASE rental_confidence WHEN 'LOW' THEN 1.35 WHEN 'HIGH' THEN 1.20 ELSE 1.25 END AS DOUBLE) AS threshold_upper
+  FROM r5
+),
+r7 AS (
+  SELECT *,
+    CASE WHEN rent_ratio < 0.5 THEN 'UNDERPRICED' WHEN rent_ratio > 2.0 THEN 'OVERPRICED'
+         WHEN rent_ratio < threshold_lower THEN 'UNDERPRICED' WHEN rent_ratio > threshold_upper THEN 'OVERPRICED'
+         ELSE 'FAIR' END AS rent_alert,
+    CASE WHEN rent_ratio < 0.5 OR rent_ratio > 2.0 THEN 'LOW' ELSE rental_confidence END AS decision_confidence,
+    {DS.price_text('adj_min')} AS lo_t, {DS.price_text('adj_max')} AS hi_t,
+    CASE rent_zone {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.RENT_ZONE_LABELS.items())}
+      ELSE '{R.RENT_ZONE_LABELS['urban']}' END AS zlabel
+  FROM r6
+),
+r8 AS (
+  SELECT *,
+    CASE WHEN rent_alert = 'UNDERPRICED' THEN {_rent_ar(R.RENT_AR_UNDER)}
+         WHEN rent_alert = 'OVERPRICED' THEN {_rent_ar(R.RENT_AR_OVER)} ELSE {_rent_ar(R.RENT_AR_FAIR)} END
+    || chr(10) ||
+    CASE WHEN rental_confidence = 'LOW' THEN '{R.RENT_AR_LOW}' WHEN feature_score >= 30 THEN '{R.RENT_AR_MANY}'
+         WHEN feature_score >= 15 THEN '{R.RENT_AR_SOME}' ELSE '{R.RENT_AR_BASIC}' END AS rental_reason
+  FROM r7
+)
+"""
+
+
+def with_rental(select_sql):
+    return f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, {RENTAL_CTES}\n{select_sql}"
+
+
+_RENT = {
+    "r1": ["rent_zone"],
+    "r2": ["yield_min", "yield_typical", "yield_max", "estimate_confidence", "min_rent", "mid_rent", "max_rent"],
+    "r3": ["premium_pct", "feature_tier"],
+    "r4": ["rent_conf_score", "rent_conf_level"],
+    "r5": ["rent_ratio", "threshold_lower", "threshold_upper", "rent_alert", "decision_confidence"],
+    "r6": ["rental_reason"],
+    "r7": ["rent_alert", "rental_reason", "rental_confidence", "rent_conf_score", "rent_ratio", "adj_min", "adj_mid",
+           "adj_max", "rent_zone", "premium_pct", "feature_score", "feature_tier", "threshold_lower",
+           "threshold_upper"],
+    "g15": ["rent_zone", "type_clean", "yield_min", "yield_typical", "yield_max", "estimate_confidence"],
+}
+_RENT_DOUBLES = {"yield_min", "yield_typical", "yield_max", "min_rent", "mid_rent", "max_rent", "premium_pct",
+                 "rent_ratio", "threshold_lower", "threshold_upper", "adj_min", "adj_mid", "adj_max"}
+for _name, _cols in _RENT.items():
+    oracle(_name, with_rental(f"SELECT listing_id, {', '.join(_cols)} FROM r8"),
+           [c for c in _cols if c in _RENT_DOUBLES])
+oracle("r7_by_zone", with_rental("SELECT rent_zone, rent_alert, rental_confidence, count(*) AS n, "
+                                 "avg(adj_mid) AS avg_expected_rent FROM r8 GROUP BY ALL"), ["avg_expected_rent"])
+
+# ---------------------------------------------------------------- payment
+_ITIER = ("CASE WHEN {y} IS NULL OR isnan({y}) OR {y} <= 0 THEN 'cash' WHEN {y} <= 4 THEN 'short' "
+          "WHEN {y} <= 7 THEN 'medium' WHEN {y} <= 12 THEN 'long' ELSE 'very_long' END")
+_DTIER = ("CASE WHEN {r} IS NULL OR isnan({r}) OR {r} <= 0 THEN 'medium' WHEN {r} >= 0.30 THEN 'high' "
+          "WHEN {r} >= 0.15 THEN 'medium' WHEN {r} >= 0.05 THEN 'low' ELSE 'very_low' END")
+PAY_CTES = f"""
+pay0 AS (
+  SELECT *, {_ITIER.format(y='installment_years')} AS itier, {_DTIER.format(r='down_payment_ratio')} AS dtier,
+    {_contains_any_sql("lower(trim(coalesce(payment_type, 'None')))", R.PAYMENT_INSTALLMENT_WORDS)} AS is_inst
+  FROM ({DS.SCORED_SQL}) s
+),
+pay1 AS (
+  SELECT *, CAST(CASE dtier WHEN 'high' THEN 0.0 WHEN 'medium' THEN 0.03 WHEN 'low' THEN 0.05 WHEN 'very_low' THEN 0.08
+                 END AS DOUBLE) AS dp_add,
+    itier IN ('long', 'very_long') AND installment_years > 0 AS long_plan
+  FROM pay0
+),
+pay2 AS (
+  SELECT *,
+    CASE WHEN NOT is_inst THEN ask WHEN itier = 'cash' THEN ask
+         WHEN long_plan THEN ask * least(1.0 / pow(1.14, installment_years) + dp_add, 1.0)
+         ELSE ask / least(CAST(CASE itier WHEN 'short' THEN 1.05 WHEN 'medium' THEN 1.10 ELSE 1.10 END AS DOUBLE)
+                          + dp_add, 1.35) END AS adjusted_price,
+    CASE WHEN is_inst AND long_plan THEN 0.14 ELSE 0.0 END AS discount_rate
+  FROM pay1
+),
+pay3 AS (
+  SELECT *,
+    CASE WHEN NOT is_inst THEN 1.0 WHEN adjusted_price > 0 THEN ask / adjusted_price ELSE 1.0 END AS multiplier,
+    CASE WHEN is_inst THEN itier ELSE 'cash' END AS installment_tier,
+    CASE WHEN is_inst THEN dtier ELSE 'high' END AS down_payment_tier,
+    CASE WHEN NOT is_inst THEN 'cash' WHEN discount_rate > 0 THEN 'pv' ELSE 'linear' END AS method
+  FROM pay2
+),
+pay4 AS (
+  SELECT *, is_inst AND multiplier > 1.01 AS is_adjusted FROM pay3
+),
+pay5 AS (
+  SELECT *,
+    CASE WHEN NOT is_adjusted THEN '' WHEN method = 'pv' THEN '{R.PAY_AR_PV}'
+         WHEN installment_tier = 'short' THEN '{R.PAY_AR_SHORT}'
+         WHEN installment_tier IN ('long', 'very_long') THEN '{R.PAY_AR_LONG}' ELSE '{R.PAY_AR_OTHER}' END
+      AS payment_explanation
+  FROM pay4
+)
+"""
+oracle("p1", f"WITH {PAY_CTES} SELECT listing_id, itier AS installment_class, dtier AS down_payment_class FROM pay5")
+oracle("p2", f"WITH {PAY_CTES} SELECT listing_id, adjusted_price, multiplier, CAST(discount_rate AS DOUBLE) AS "
+             "discount_rate, method FROM pay5", ["adjusted_price", "multiplier", "discount_rate"])
+oracle("p3", f"WITH {PAY_CTES} SELECT listing_id, adjusted_price, multiplier, installment_tier, down_payment_tier, "
+             "is_adjusted, CAST(discount_rate AS DOUBLE) AS discount_rate, method, payment_explanation FROM pay5",
+       ["adjusted_price", "multiplier", "discount_rate"])
+oracle("p3_by_tier", f"WITH {PAY_CTES} SELECT installment_tier, down_payment_tier, count(*) AS n, "
+                     "avg(multiplier) AS avg_multiplier, sum(adjusted_price) AS sum_adjusted FROM pay5 GROUP BY ALL",
+       ["avg_multiplier", "sum_adjusted"])
+
+# ---------------------------------------------------------------- evaluation / monitoring
+_EVAL = f"""ev AS (
+  SELECT c.*, c.price_egp AS true_price, s.pred AS pred_price, c.log_price AS y_log, ln(1 + s.pred) AS pred_log
+  FROM (SELECT {CLEAN_COLUMNS_SQL} FROM clean) c JOIN ({DS.SCORED_SQL}) s USING (listing_id))"""
+_R2 = ("1.0 - sum((y_log - pred_log) * (y_log - pred_log)) / (var_pop(y_log) * count(y_log)) AS r2, "
+       "avg(abs(true_price - pred_price) / true_price) * 100 AS mape_pct")
+def with_eval(select_sql):
+    return f"WITH {DS.CLEAN_CTES}, {_EVAL}\n{select_sql}"
+
+
+oracle("v1", with_eval(f"SELECT count(*) AS n, {_R2} FROM ev"), ["r2", "mape_pct"])
+oracle("v1_by_type", with_eval(f"SELECT type_clean, count(*) AS n, {_R2} FROM ev GROUP BY type_clean"),
+       ["r2", "mape_pct"])
+oracle("v2", with_eval("SELECT type_clean, count(*) AS n, avg(abs(true_price - pred_price) / true_price) * 100 "
+                        "AS mape_pct FROM ev WHERE type_clean IN ('Apartment', 'Villa', 'Penthouse', 'Duplex', "
+                        "'Chalet') GROUP BY type_clean HAVING count(*) >= 10").replace(
+    "\nSELECT", f", {_EVAL}\nSELECT", 1), ["mape_pct"])
+oracle("v3", with_eval("SELECT is_compound, count(*) AS n, avg(abs(true_price - pred_price) / true_price) * 100 "
+                        "AS mape_pct, avg((pred_price - true_price) / true_price) * 100 AS bias_pct, "
+                        "abs(avg((pred_price - true_price) / true_price) * 100) > 20 AS severe_bias "
+                        "FROM ev WHERE market_tier >= 2 GROUP BY is_compound HAVING count(*) >= 5"), ["mape_pct", "bias_pct"])
+oracle("v4", with_clean("SELECT count(*) FILTER (WHERE market_tier >= 2) AS premium_total, "
+                        "count(*) FILTER (WHERE market_tier >= 2 AND is_compound = 1) AS premium_compound, "
+                        "count(*) FILTER (WHERE market_tier >= 2 AND is_compound = 0) AS premium_standalone "
+                        "FROM clean"))
+_V6 = ["size_sqm", "bedrooms_n", "bathrooms_n", "finish_ord", "install_years", "down_payment_ratio",
+       "building_age", "floor_level", "condition_score", "room_ratio"]
+_CONTENT_CLEAN = f"SELECT c.*, {TS.content_select()} FROM (SELECT {CLEAN_COLUMNS_SQL} FROM clean) c"
+oracle("v6", with_clean(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) / count(*) AS missing_share "
+    f"FROM ({_CONTENT_CLEAN}) x" for c in _V6)), ["missing_share"])
+oracle("v6_lineage", with_clean(" UNION ALL ".join(
+    f"SELECT listing_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, {c} IS NULL AS is_missing "
+    f"FROM ({_CONTENT_CLEAN}) x WHERE standalone_premium = 1" for c in _V6)), ["value"])
+
+_FB = ("fb AS (SELECT listing_id, ask AS price, pred AS predicted, type_clean AS type, alert, confidence, "
+       "CASE WHEN ask >= lo AND ask <= hi THEN 'up' ELSE 'down' END AS feedback FROM d14)")
+def with_fb(select_sql):
+    return f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, {DS.DECIDE_CTES}, {_FB}\n{select_sql}"
+
+
+oracle("s4", with_fb("SELECT listing_id, price, predicted, alert, confidence, feedback, type FROM fb"),
+       ["price", "predicted"])
+oracle("q2", with_fb("SELECT type, alert, confidence, count(*) AS n, avg(CAST(feedback = 'up' AS DOUBLE)) "
+                            "AS up_share, avg(CAST(feedback = 'down' AS DOUBLE)) AS down_share, "
+                            "avg(abs(price - predicted) / price) AS mean_ape FROM fb GROUP BY ALL"),
+       ["up_share", "down_share", "mean_ape"])
+
+
+def _psi_sql(base_sql, cur_sql):
+    qs = ", ".join(f"quantile_cont(value, {i / 10})" for i in range(1, 10))
+    return f"""
+pb AS ({base_sql}), pc AS ({cur_sql}),
+edges AS (SELECT feature, [{qs}] AS edges FROM pb GROUP BY feature),
+bb AS (SELECT b.feature, len(list_filter(e.edges, lambda x: x < b.value)) AS bin FROM pb b JOIN edges e USING (feature)),
+cb AS (SELECT c.feature, len(list_filter(e.edges, lambda x: x < c.value)) AS bin FROM pc c JOIN edges e USING (feature)),
+es AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS e FROM bb GROUP BY ALL),
+cs AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS a FROM cb GROUP BY ALL),
+grid AS (SELECT feature, unnest(range(10)) AS bin FROM edges),
+psi AS (
+  SELECT g.feature, sum((greatest(coalesce(a, 0), 1e-4) - greatest(coalesce(e, 0), 1e-4))
+                        * ln(greatest(coalesce(a, 0), 1e-4) / greatest(coalesce(e, 0), 1e-4))) AS psi
+  FROM grid g LEFT JOIN es USING (feature, bin) LEFT JOIN cs USING (feature, bin) GROUP BY g.feature)
+SELECT feature, psi, CASE WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'monitor' ELSE 'retrain' END AS status
+FROM psi"""
+
+
+_PSI_F = ["price_egp", "size_sqm", "log_comp_size", "bedrooms_n", "view_score"]
+
+
+def _long_sql(src):
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {src} "
+                              f"WHERE {c} IS NOT NULL" for c in _PSI_F)
+
+
+oracle("q3", f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, " + _psi_sql(_long_sql("train"), _long_sql("test")), ["psi"])
+_EV_MID = "(SELECT min(epoch(ts)) + (max(epoch(ts)) - min(epoch(ts))) / 2 FROM events)"
+oracle("q3_events", "WITH " + _psi_sql(
+    f"SELECT 'value' AS feature, value FROM events WHERE value IS NOT NULL AND epoch(ts) < {_EV_MID}",
+    f"SELECT 'value' AS feature, value FROM events WHERE value IS NOT NULL AND epoch(ts) >= {_EV_MID}"), ["psi"])
+
+# ---------------------------------------------------------------- model operators
+_FOLDP = f"fp AS ({DS.SCORED_SQL.replace('FROM orders o', 'FROM orders o')}), fp2 AS (" + \
+    "SELECT listing_id, " + ", ".join(
+        f"ln(1 + pred) + CAST((listing_id * {j}) % 7 AS DOUBLE) / 100 AS p{j}" for j in range(1, 6)) + " FROM fp)"
+_MEAN = "(p1 + p2 + p3 + p4 + p5) / 5.0"
+_SD = ("sqrt(((p1 - m) * (p1 - m) + (p2 - m) * (p2 - m) + (p3 - m) * (p3 - m) + (p4 - m) * (p4 - m) "
+       "+ (p5 - m) * (p5 - m)) / 5.0)")
+_INTERVAL = f"""WITH {_FOLDP},
+i0 AS (SELECT *, {_MEAN} AS m FROM fp2),
+i1 AS (SELECT *, {_SD} AS sd FROM i0),
+i2 AS (SELECT listing_id, m AS log_mid, least(greatest(m - 1.5 * sd, m * 0.5), m) AS log_lo,
+              greatest(m + 1.5 * sd, m) AS log_hi FROM i1),
+i3 AS (SELECT *, greatest(exp(log_mid) - 1, 0) AS mid_price, greatest(exp(log_lo) - 1, 0) AS lo_p,
+              greatest(exp(log_hi) - 1, 0) AS hi_p FROM i2)
+SELECT listing_id, log_lo, log_mid, log_hi, least(lo_p, mid_price) AS lo_price, mid_price,
+       greatest(hi_p, mid_price) AS hi_price FROM i3"""
+oracle("m4", _INTERVAL, ["log_lo", "log_mid", "log_hi", "lo_price", "mid_price", "hi_price"])
+oracle("m5", f"WITH {_FOLDP} SELECT listing_id, exp({_MEAN}) - 1 AS point_price FROM fp2", ["point_price"])
+oracle("m6", f"WITH {_FOLDP} SELECT CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf, count(*) AS n_rows "
+             f"FROM fp2")
+_m3_long = " UNION ALL ".join(f"SELECT fold, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM train"
+                              for c in _G12)
+oracle("m3", f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, m3l AS ({_m3_long}) "
+             "SELECT CAST(t.f AS INTEGER) AS target_fold, feature, quantile_cont(value, 0.01) AS clip_lo, "
+             "quantile_cont(value, 0.99) AS clip_hi FROM m3l, range(5) t(f) WHERE m3l.fold <> t.f "
+             "AND value IS NOT NULL GROUP BY t.f, feature", ["clip_lo", "clip_hi"])
+
+# ---------------------------------------------------------------- TF-IDF vocabulary
+_TOKENS = "regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+def _vocab_sql(src, id_col, text, n_docs_sql):
+    tok = _TOKENS.format(t=text)
+    return f"""
+toks AS (SELECT {id_col} AS d, {tok} AS t FROM {src}),
+terms AS (SELECT d, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))
+            AS term FROM toks),
+tf AS (SELECT d, term, count(*) AS tf FROM terms GROUP BY d, term),
+st AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM tf GROUP BY term),
+nd AS ({n_docs_sql}),
+kept AS (SELECT st.*, nd.n_docs FROM st, nd WHERE df >= 5 AND df <= 0.85 * nd.n_docs
+         ORDER BY total_tf DESC, term ASC LIMIT 2000)
+SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, term, df, total_tf,
+       ln((1.0 + n_docs) / (1.0 + df)) + 1.0 AS idf
+FROM kept"""
+
+
+oracle("t19", "WITH " + _vocab_sql("documents", "doc_id", "text", "SELECT count(*) AS n_docs FROM documents"),
+       ["idf"])
+oracle("t19_listings", f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, "
+       + _vocab_sql("train", "listing_id", "desc_clean", "SELECT count(*) AS n_docs FROM train"), ["idf"])
+
+# ---------------------------------------------------------------- streaming
+oracle("q1", DS.with_decide("SELECT listing_id, alert, confidence, confidence_score, reason, ratio, zone, "
+                            "down_payment_warning FROM d14"), ["ratio"])
+oracle("q2_stream", """
+WITH b AS (
+  SELECT to_timestamp(floor(epoch(ts) / 21600) * 21600)::TIMESTAMP AS window_start, event_type, value FROM events)
+SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS n, avg(value) AS avg_value
+FROM b
+WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+GROUP BY ALL""", ["avg_value"])
+
+# ---------------------------------------------------------------- decision helpers
+_AMEN = " OR ".join(f"{c} = 1" for c in R.COVERAGE_AMENITIES)
+oracle("d13", with_clean(f"""
+SELECT listing_id, CAST(least(100,
+    CASE WHEN building_age IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN floor_level IS NOT NULL THEN 10 ELSE 0 END
+  + CASE WHEN {_AMEN} THEN 20 ELSE 0 END + CASE WHEN condition_score IS NOT NULL THEN 15 ELSE 0 END
+  + CASE WHEN coalesce(view_score, 0) > 0 THEN 10 ELSE 0 END
+  + CASE WHEN down_payment_ratio IS NOT NULL OR is_installment = 1 OR is_cash = 1 THEN 15 ELSE 0 END) AS DOUBLE)
+  AS coverage_score
+FROM ({_CONTENT_CLEAN}) x"""), ["coverage_score"])
+_DEVS = " OR ".join(f"contains(lower(coalesce(r.description, '')), '{d}')" for d in R.PREMIUM_DEVELOPERS)
+oracle("d16", with_clean(f"""
+SELECT c.listing_id,
+  CASE WHEN c.city = 'Unknown' THEN
+    CASE WHEN r.location IS NULL OR trim(string_split(r.location, ',')[-1]) = '' THEN 'Unknown'
+         ELSE trim(string_split(r.location, ',')[-1]) END
+  ELSE c.city END AS area,
+  CASE WHEN c.size_sqm IS NOT NULL THEN 'present' ELSE 'missing' END AS land_size,
+  CASE WHEN c.is_compound = 1 THEN 'yes' ELSE 'no' END AS in_compound,
+  CASE WHEN contains(lower(coalesce(r.description, '')), 'pool')
+         OR contains(lower(coalesce(r.description, '')), 'swimming') THEN 'yes' ELSE 'no' END AS has_pool,
+  CASE WHEN {_DEVS} THEN 'premium' ELSE 'unknown' END AS developer_level
+FROM (SELECT {CLEAN_COLUMNS_SQL} FROM clean) c JOIN raw r ON c.listing_id = r.listing_id"""))
+oracle("d17", f"""
+WITH s AS ({DS.SCORED_SQL}),
+v AS (SELECT listing_id, ask, CASE WHEN pred IS NOT NULL AND pred > 0 THEN pred ELSE size_sqm * 36500 END AS quick_pred
+      FROM s)
+SELECT listing_id, quick_pred,
+  CAST(printf('%.2f', quick_pred * 0.9 / 1000000) AS DOUBLE) AS min_range_m,
+  CAST(printf('%.2f', quick_pred * 1.1 / 1000000) AS DOUBLE) AS max_range_m,
+  CASE WHEN ask < quick_pred * 0.85 THEN 'GOOD DEAL' WHEN ask > quick_pred * 1.15 THEN 'OVERPRICED' ELSE 'FAIR' END
+    AS quick_alert
+FROM v""", ["quick_pred", "min_range_m", "max_range_m"])
+
+
+def _align_sql():
+    cols = []
+    for name in R.MUST_KEEP + ["amenity_count"]:
+        n = name.lower()
+        if "bedroom" in n:
+            v = "CAST(c.bedrooms_n AS DOUBLE)"
+        elif "bathroom" in n:
+            v = "CAST(c.bathrooms_n AS DOUBLE)"
+        elif "size" in n or "sqm" in n:
+            v = "CAST(c.size_sqm AS DOUBLE)"
+        elif "amenit" in n:
+            v = "CAST(len(string_split_regex(NULLIF(f.active_features, ''), ',')) AS DOUBLE)"
+        else:
+            v = "0.0"
+        cols.append(f"{v} AS {name}")
+    return ", ".join(cols)
+
+
+oracle("d18", with_clean(f"""
+SELECT c.listing_id, {_align_sql()}
+FROM (SELECT {CLEAN_COLUMNS_SQL} FROM clean) c
+JOIN (SELECT listing_id, {_ACTIVE} AS active_features FROM ({_RENTAL_FEATS}) z) f ON c.listing_id = f.listing_id"""),
+       R.MUST_KEEP + ["amenity_count"])

@@ -13,7 +13,8 @@ def case_map(expr, mapping, default="NULL"):
 
 def price_text(x):
     return (f"CASE WHEN {x} >= 1000000 THEN rtrim(rtrim(printf('%.2f', {x} / 1000000.0), '0'), '.') || 'M' "
-            f"WHEN {x} >= 1000 THEN printf('%.0f', {x} / 1000.0) || 'K' ELSE printf('%.0f', {x}) END")
+            f"WHEN {x} >= 1000 THEN printf('%.0f', {x} / 1000.0) || 'K' "
+            f"WHEN printf('%.0f', {x}) = '1000' THEN '1,000' ELSE printf('%.0f', {x}) END")
 
 
 ENC_CTES = f"""

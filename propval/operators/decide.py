@@ -347,8 +347,8 @@ def listing_attributes(df: DataFrame, desc: str = "description", city: str = "ci
     """Decision inputs derived from a listing (pool, developer, area fallback, land size)."""
     d = F.lower(F.coalesce(F.col(desc), F.lit("")))
     last_part = py_strip(F.element_at(F.split(F.coalesce(F.col(location), F.lit("nan")), ",", -1), -1))
-    area = F.when(F.col(city) == "Unknown", F.when(last_part != "", last_part).otherwise(F.lit("Unknown"))) \
-            .otherwise(F.col(city))
+    fallback = F.when(F.col(location).isNull() | (last_part == ""), F.lit("Unknown")).otherwise(last_part)
+    area = F.when(F.col(city) == "Unknown", fallback).otherwise(F.col(city))
     return df.select(
         "*",
         area.alias("area"),

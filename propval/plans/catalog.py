@@ -515,3 +515,374 @@ def q_d18(spark, sf_dir):
         F.col("active_features").alias("amenities"))
     return D.align_request(req, RULES.MUST_KEEP + ["amenity_count"]).drop("bedrooms", "bathrooms", "size_sqm",
                                                                           "amenities")
+
+
+# ---------------------------------------------------------------------------
+# J7 rental analysis and J8 cash equivalence over the scored fixture
+# ---------------------------------------------------------------------------
+from propval.operators import payment as P  # noqa: E402
+from propval.operators import rental as RN  # noqa: E402
+
+
+def _rental_input(spark, sf_dir):
+    sc = fixtures.scored(spark, sf_dir)
+    lst = TX.add_rental_features(C.add_location(_raw(spark, sf_dir)), "description").select(
+        "listing_id", "compound", F.col("description").alias("desc"), *TX.feature_columns(), *TX.source_columns(),
+        "feature_score", "active_features")
+    return sc.join(lst, "listing_id", "left").select(
+        "listing_id", F.col("pred").alias("sale_price"), (F.col("ask") / 200).alias("user_rent"), "type_clean",
+        F.col("city").alias("area"), "compound", "desc", *TX.feature_columns(), *TX.source_columns(),
+        "feature_score", "active_features")
+
+
+def _rental(spark, sf_dir):
+    return RN.analyze_rental(_rental_input(spark, sf_dir), _encodings(spark, sf_dir).rarity)
+
+
+RENTAL_COLUMNS = {
+    "r1": ["rent_zone"],
+    "r2": ["yield_min", "yield_typical", "yield_max", "estimate_confidence", "min_rent", "mid_rent", "max_rent"],
+    "r3": ["premium_pct", "feature_tier"],
+    "r4": ["rent_conf_score", "rent_conf_level"],
+    "r5": ["rent_ratio", "threshold_lower", "threshold_upper", "rent_alert", "decision_confidence"],
+    "r6": ["rental_reason"],
+    "r7": ["rent_alert", "rental_reason", "rental_confidence", "rent_conf_score", "rent_ratio", "adj_min", "adj_mid",
+           "adj_max", "rent_zone", "premium_pct", "feature_score", "feature_tier", "threshold_lower",
+           "threshold_upper"],
+}
+
+
+def _rental_query(cols):
+    def run(spark, sf_dir):
+        return _rental(spark, sf_dir).select("listing_id", *cols)
+    return run
+
+
+for _name, _cols in RENTAL_COLUMNS.items():
+    query(_name)(_rental_query(_cols))
+
+
+@query("g15")
+def q_g15(spark, sf_dir):
+    return _rental(spark, sf_dir).select("listing_id", "rent_zone", "type_clean", "yield_min", "yield_typical",
+                                         "yield_max", "estimate_confidence")
+
+
+@query("r7_nested")
+def q_r7_nested(spark, sf_dir):
+    return _rental(spark, sf_dir).select("listing_id", F.to_json("rental").alias("rental_json"))
+
+
+@query("r7_by_zone")
+def q_r7_groups(spark, sf_dir):
+    df = _rental(spark, sf_dir)
+    return df.groupBy("rent_zone", "rent_alert", "rental_confidence").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("adj_mid").alias("avg_expected_rent"))
+
+
+def _payment(spark, sf_dir):
+    return P.adjust_price(fixtures.scored(spark, sf_dir))
+
+
+@query("p1")
+def q_p1(spark, sf_dir):
+    df = fixtures.scored(spark, sf_dir)
+    return df.select("listing_id",
+                     P.installment_tier_col(F.col("installment_years")).alias("installment_class"),
+                     P.down_payment_tier_col(F.col("down_payment_ratio")).alias("down_payment_class"))
+
+
+@query("p2")
+def q_p2(spark, sf_dir):
+    return _payment(spark, sf_dir).select("listing_id", "adjusted_price", "multiplier", "discount_rate", "method")
+
+
+@query("p3")
+def q_p3(spark, sf_dir):
+    return _payment(spark, sf_dir).select("listing_id", "adjusted_price", "multiplier", "installment_tier",
+                                          "down_payment_tier", "is_adjusted", "discount_rate", "method",
+                                          "payment_explanation")
+
+
+@query("p3_by_tier")
+def q_p3_groups(spark, sf_dir):
+    return P.tier_summary(_payment(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# J9 evaluation and monitoring
+# ---------------------------------------------------------------------------
+from propval.operators import evaluate as EV  # noqa: E402
+from propval.sources.feedback import read_feedback, write_feedback  # noqa: E402
+
+
+def _eval_input(spark, sf_dir):
+    """Clean listings with the scored fixture's prediction as the model output."""
+    sc = fixtures.scored(spark, sf_dir).select("listing_id", "pred")
+    df = _clean(spark, sf_dir).join(sc, "listing_id")
+    return df.select("*", F.col("price_egp").alias("true_price"), F.col("pred").alias("pred_price"),
+                     F.col("log_price").alias("y_log"), F.log1p("pred").alias("pred_log"))
+
+
+@query("v1")
+def q_v1(spark, sf_dir):
+    return EV.regression_metrics(_eval_input(spark, sf_dir))
+
+
+@query("v1_by_type")
+def q_v1_by_type(spark, sf_dir):
+    return EV.regression_metrics(_eval_input(spark, sf_dir), by=["type_clean"])
+
+
+@query("v2")
+def q_v2(spark, sf_dir):
+    return EV.mape_by_group(_eval_input(spark, sf_dir))
+
+
+@query("v3")
+def q_v3(spark, sf_dir):
+    return EV.bias_audit(_eval_input(spark, sf_dir))
+
+
+@query("v4")
+def q_v4(spark, sf_dir):
+    return EV.segment_counts(_clean(spark, sf_dir))
+
+
+V6_FEATURES = ["size_sqm", "bedrooms_n", "bathrooms_n", "finish_ord", "install_years", "down_payment_ratio",
+               "building_age", "floor_level", "condition_score", "room_ratio"]
+
+
+@query("v6")
+def q_v6(spark, sf_dir):
+    df = TX.add_content_features(_clean(spark, sf_dir))
+    return EV.missing_rates(df, V6_FEATURES)
+
+
+@query("v6_lineage")
+def q_v6_lineage(spark, sf_dir):
+    """Feature trace of the standalone listings in premium cities."""
+    df = TX.add_content_features(_clean(spark, sf_dir)).where(F.col("standalone_premium") == 1)
+    return EV.feature_lineage(df, "listing_id", V6_FEATURES)
+
+
+def _feedback(spark, sf_dir):
+    """Feedback log derived from the decisions: a vote is 'up' when the ask sits inside the interval."""
+    d = _decided(spark, sf_dir)
+    return d.select(F.col("listing_id"), F.col("ask").alias("price"), F.col("pred").alias("predicted"),
+                    F.col("type_clean").alias("type"), "alert", "confidence",
+                    F.when((F.col("ask") >= F.col("lo")) & (F.col("ask") <= F.col("hi")), "up")
+                    .otherwise("down").alias("feedback"))
+
+
+@query("s4")
+def q_s4(spark, sf_dir):
+    """Append-style feedback log partitioned by type, read back with its declared schema."""
+    path = os.path.join(checkpoint_dir(spark), "feedback_log", os.path.basename(sf_dir.rstrip("/")))
+    write_feedback(_feedback(spark, sf_dir), path, mode="overwrite")
+    return read_feedback(spark, path)
+
+
+@query("q2")
+def q_q2(spark, sf_dir):
+    return EV.feedback_summary(_feedback(spark, sf_dir))
+
+
+PSI_FEATURES = ["price_egp", "size_sqm", "log_comp_size", "bedrooms_n", "view_score"]
+
+
+@query("q3")
+def q_q3(spark, sf_dir):
+    p = _prepared(spark, sf_dir)
+    return EV.psi(p.where(~F.col("is_test")), p.where(F.col("is_test")), PSI_FEATURES)
+
+
+@query("q3_events")
+def q_q3_events(spark, sf_dir):
+    """Drift of event values: first half of the time range vs the second half."""
+    ev = read_table(spark, sf_dir, "events").select("ts", "value")
+    mid = ev.agg((F.min(F.col("ts").cast("timestamp").cast("double"))
+                  + (F.max(F.col("ts").cast("timestamp").cast("double"))
+                     - F.min(F.col("ts").cast("timestamp").cast("double"))) / 2).alias("_mid"))
+    ev = ev.crossJoin(F.broadcast(mid)).withColumn("_late", F.col("ts").cast("timestamp").cast("double")
+                                                   >= F.col("_mid"))
+    return EV.psi(ev.where(~F.col("_late")), ev.where(F.col("_late")), ["value"])
+
+
+# ---------------------------------------------------------------------------
+# J5 model training / scoring (Spark ML) and the interval operators
+# ---------------------------------------------------------------------------
+from propval.operators import model as M  # noqa: E402
+
+MODEL_ITER = 10
+
+
+def _model_table(spark, sf_dir):
+    """M8: features for train rows (OOF encodings) and test rows (frozen encodings), written once."""
+    key = ("model_table", sf_dir, id(spark))
+    if key not in _CACHE:
+        prepared, enc = _prepared(spark, sf_dir), _encodings(spark, sf_dir)
+        train = EJ.encode_train(prepared, enc)
+        test = EJ.encode_new(prepared.where(F.col("is_test")), enc)
+        both = M.build_features(train.unionByName(test))
+        cols = M.candidate_columns(both)
+        table = E.fit_impute_clip(both.where(~F.col("is_test")), cols)
+        both = E.apply_impute_clip(both, table, cols)
+        _CACHE[key] = (materialize(both, "model_table"), cols)
+    return _CACHE[key]
+
+
+@query("m8")
+def q_m8(spark, sf_dir):
+    df, cols = _model_table(spark, sf_dir)
+    return df.select("listing_id", "is_test", "fold", *cols)
+
+
+@query("m1")
+def q_m1(spark, sf_dir):
+    df, cols = _model_table(spark, sf_dir)
+    chosen = M.select_features(df.where(~F.col("is_test")), cols, max_iter=MODEL_ITER)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "rank int, feature string")
+
+
+def _ensemble(spark, sf_dir):
+    key = ("ensemble", sf_dir, id(spark))
+    if key not in _CACHE:
+        df, cols = _model_table(spark, sf_dir)
+        chosen = [c for c in RULES.MUST_KEEP if c in cols] + [c for c in M.KW_FEATURES if c in cols][:10]
+        _CACHE[key] = M.train_fold_ensemble(df.where(~F.col("is_test")), chosen, max_iter=MODEL_ITER, max_depth=5)
+    return _CACHE[key]
+
+
+@query("m2")
+def q_m2(spark, sf_dir):
+    """Out-of-fold predictions of the 5-fold ensemble."""
+    _, oof = _ensemble(spark, sf_dir)
+    return oof.select("listing_id", "fold", "log_price", "oof_pred")
+
+
+@query("m2_test_interval")
+def q_m2_interval(spark, sf_dir):
+    """Test rows: five fold predictions -> interval, point price and error metrics."""
+    ens, _ = _ensemble(spark, sf_dir)
+    df, _ = _model_table(spark, sf_dir)
+    preds = ens.fold_predictions(df.where(F.col("is_test")).select("listing_id", "price_egp", *ens.columns))
+    cols = [f"p{i}" for i in range(1, len(ens.models) + 1)]
+    out = M.add_interval(preds, cols)
+    return out.select("listing_id", "price_egp", "lo_price", "mid_price", "hi_price",
+                      M.point_price(cols).alias("point_price"))
+
+
+@query("m7")
+def q_m7(spark, sf_dir):
+    df, cols = _model_table(spark, sf_dir)
+    chosen = [c for c in RULES.MUST_KEEP if c in cols]
+    models = M.train_per_type(df.where(~F.col("is_test")), chosen, max_iter=MODEL_ITER)
+    scored = M.route_predict(df.where(F.col("is_test")).select("listing_id", "type_clean", *chosen), models, chosen)
+    return scored.select("listing_id", "type_clean", "prediction")
+
+
+@query("m3")
+def q_m3(spark, sf_dir):
+    train = _prepared(spark, sf_dir).where(~F.col("is_test"))
+    return M.fold_clip_bounds(train, G12_COLUMNS)
+
+
+def _fold_preds(spark, sf_dir):
+    fixtures.scored(spark, sf_dir).createOrReplaceTempView("scored")
+    return spark.sql(fixtures.FOLD_PREDS_SQL)
+
+
+FOLD_COLS = ["p1", "p2", "p3", "p4", "p5"]
+
+
+@query("m4")
+def q_m4(spark, sf_dir):
+    df = M.add_interval(_fold_preds(spark, sf_dir), FOLD_COLS)
+    return df.select("listing_id", "log_lo", "log_mid", "log_hi", "lo_price", "mid_price", "hi_price")
+
+
+@query("m5")
+def q_m5(spark, sf_dir):
+    return _fold_preds(spark, sf_dir).select("listing_id", M.point_price(FOLD_COLS).alias("point_price"))
+
+
+@query("m6")
+def q_m6(spark, sf_dir):
+    return M.prediction_guard(_fold_preds(spark, sf_dir), FOLD_COLS)
+
+
+# ---------------------------------------------------------------------------
+# J4 text model: TF-IDF vocabulary and LSA factors over whole documents
+# ---------------------------------------------------------------------------
+from propval.operators import lsa as LSA  # noqa: E402
+
+
+def _docs_tfidf(spark, sf_dir):
+    key = ("tfidf", sf_dir, id(spark))
+    if key not in _CACHE:
+        docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+        tf = materialize(LSA.term_frequencies(docs, "doc_id", "text"), "doc_tf")
+        n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+        vocab = materialize(LSA.fit_vocabulary(tf, n_docs, "doc_id"), "doc_vocab")
+        weights = materialize(LSA.tfidf_weights(tf, vocab, "doc_id"), "doc_tfidf")
+        _CACHE[key] = (tf, vocab, weights)
+    return _CACHE[key]
+
+
+@query("t19")
+def q_t19(spark, sf_dir):
+    """Vocabulary with document frequency, corpus frequency and smoothed idf."""
+    return _docs_tfidf(spark, sf_dir)[1]
+
+
+@query("t19_weights")
+def q_t19_weights(spark, sf_dir):
+    """Per document: number of vocabulary terms and the L2 norm of its weights (1.0)."""
+    w = _docs_tfidf(spark, sf_dir)[2]
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"),
+                                   F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+
+
+@query("t19_listings")
+def q_t19_listings(spark, sf_dir):
+    """Vocabulary fitted on the training listings' descriptions."""
+    train = _prepared(spark, sf_dir).where(~F.col("is_test")).select("listing_id", "desc_clean")
+    tf = LSA.term_frequencies(train, "listing_id", "desc_clean")
+    return LSA.fit_vocabulary(tf, train.agg(F.count(F.lit(1)).alias("n_docs")), "listing_id")
+
+
+@query("t20")
+def q_t20(spark, sf_dir):
+    """25 LSA factors per document (randomized SVD, signs fixed)."""
+    _, vocab, weights = _docs_tfidf(spark, sf_dir)
+    size = vocab.count()
+    v = LSA.fit_lsa(weights, "doc_id", size)
+    return LSA.project(weights, "doc_id", v)
+
+
+# ---------------------------------------------------------------------------
+# J10 streaming (availableNow runs over files derived from the driver tables)
+# ---------------------------------------------------------------------------
+from propval.streaming import valuation as STREAM  # noqa: E402
+
+
+@query("q1")
+def q_q1(spark, sf_dir):
+    """Asks land as parquet files; the stream decides each one against the fitted artefacts."""
+    landing = os.path.join(checkpoint_dir(spark), "asks_landing", f"{os.path.basename(sf_dir.rstrip('/'))}-"
+                           f"{id(spark)}")
+    asks = _decision_input(spark, sf_dir)
+    asks.write.mode("overwrite").parquet(landing)
+    enc = _encodings(spark, sf_dir)
+    out = STREAM.stream_valuation(spark, landing, asks.schema, enc.rarity, enc.pps_map, enc.pps_gm)
+    return out.select("listing_id", "alert", "confidence", "confidence_score", "reason", "ratio", "zone",
+                      "down_payment_warning")
+
+
+@query("q2_stream")
+def q_q2_stream(spark, sf_dir):
+    """Windowed event statistics from the events table read as a stream (closed windows only)."""
+    path = os.path.join(sf_dir, "events.parquet")
+    schema = read_table(spark, sf_dir, "events").schema
+    return STREAM.event_window_stats(spark, path, schema)
