@@ -461,8 +461,8 @@ pb AS ({base_sql}), pc AS ({cur_sql}),
 edges AS (SELECT feature, [{qs}] AS edges FROM pb GROUP BY feature),
 bb AS (SELECT b.feature, len(list_filter(e.edges, lambda x: x < b.value)) AS bin FROM pb b JOIN edges e USING (feature)),
 cb AS (SELECT c.feature, len(list_filter(e.edges, lambda x: x < c.value)) AS bin FROM pc c JOIN edges e USING (feature)),
-es AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS e FROM bb GROUP BY ALL),
-cs AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS a FROM cb GROUP BY ALL),
+es AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS e FROM bb GROUP BY feature, bin),
+cs AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS a FROM cb GROUP BY feature, bin),
 grid AS (SELECT feature, unnest(range(10)) AS bin FROM edges),
 psi AS (
   SELECT g.feature, sum((greatest(coalesce(a, 0), 1e-4) - greatest(coalesce(e, 0), 1e-4))
@@ -595,7 +595,7 @@ def _align_sql():
         elif "size" in n or "sqm" in n:
             v = "CAST(c.size_sqm AS DOUBLE)"
         elif "amenit" in n:
-            v = "CAST(len(string_split_regex(NULLIF(f.active_features, ''), ',')) AS DOUBLE)"
+            v = "CAST(coalesce(len(string_split_regex(NULLIF(f.active_features, ''), ',')), 0) AS DOUBLE)"
         else:
             v = "0.0"
         cols.append(f"{v} AS {name}")

@@ -511,10 +511,11 @@ def q_d17(spark, sf_dir):
 def q_d18(spark, sf_dir):
     feats = TX.add_rental_features(_raw(spark, sf_dir), "description").select("listing_id", "active_features")
     req = _clean(spark, sf_dir).join(feats, "listing_id").select(
-        "listing_id", F.col("bedrooms_n").alias("bedrooms"), F.col("bathrooms_n").alias("bathrooms"), "size_sqm",
-        F.col("active_features").alias("amenities"))
-    return D.align_request(req, RULES.MUST_KEEP + ["amenity_count"]).drop("bedrooms", "bathrooms", "size_sqm",
-                                                                          "amenities")
+        "listing_id", F.col("bedrooms_n").alias("req_bedrooms"), F.col("bathrooms_n").alias("req_bathrooms"),
+        F.col("size_sqm").alias("req_size"), F.col("active_features").alias("req_amenities"))
+    out = D.align_request(req, RULES.MUST_KEEP + ["amenity_count"], bedrooms="req_bedrooms",
+                          bathrooms="req_bathrooms", size="req_size", amenities="req_amenities")
+    return out.drop("req_bedrooms", "req_bathrooms", "req_size", "req_amenities")
 
 
 # ---------------------------------------------------------------------------
@@ -883,6 +884,8 @@ def q_q1(spark, sf_dir):
 @query("q2_stream")
 def q_q2_stream(spark, sf_dir):
     """Windowed event statistics from the events table read as a stream (closed windows only)."""
-    path = os.path.join(sf_dir, "events.parquet")
-    schema = read_table(spark, sf_dir, "events").schema
-    return STREAM.event_window_stats(spark, path, schema)
+    landing = os.path.join(checkpoint_dir(spark), "events_landing", f"{os.path.basename(sf_dir.rstrip('/'))}-"
+                           f"{id(spark)}")
+    events = read_table(spark, sf_dir, "events")
+    events.write.mode("overwrite").parquet(landing)   # the stream source is a folder files land in
+    return STREAM.event_window_stats(spark, landing, events.schema)
