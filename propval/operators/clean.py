@@ -214,26 +214,39 @@ def add_install_years(df: DataFrame, desc: str = "desc_clean") -> DataFrame:
 
 def add_finish_view(df: DataFrame, desc: str = "desc_clean") -> DataFrame:
     """Finish ordinal (NULL default) and view score (0 default), last match wins."""
-    d = F.lower(F.col(desc))
+    df = _staged(df, "_fv_d", F.lower(F.col(desc)))
+    d = F.col("_fv_d")
     return df.select("*", last_wins(d, R.FINISH_RULES, None).cast("double").alias("finish_ord"),
-                     last_wins(d, R.VIEW_RULES, 0.0).cast("double").alias("view_score"))
+                     last_wins(d, R.VIEW_RULES, 0.0).cast("double").alias("view_score")).drop("_fv_d")
+
+
+def _staged(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Materialise a derived text once as a column so each rule scans it without recomputing it."""
+    return df.withColumn(name, expr)
 
 
 def add_market_tier(df: DataFrame) -> DataFrame:
     """C17: 3 coastal / 2 premium city / 1 old city / 0."""
-    return df.withColumn("market_tier", market_tier_col("governorate", "city", "compound"))
+    blob = F.concat_ws(" ", *[F.lower(py_str(c)) for c in ("governorate", "city", "compound")])
+    df = _staged(df, "_tier_blob", blob)
+    return df.withColumn("market_tier", first_wins(F.col("_tier_blob"), R.MARKET_TIER_RULES, 0.0)).drop("_tier_blob")
 
 
 def add_market_zone(df: DataFrame, desc: str = "desc_clean") -> DataFrame:
     """Area market zone and its ordinal."""
-    df = df.withColumn("area_market_zone", zone_col("city", "compound", desc))
+    df = _staged(df, "_zone_blob", F.concat_ws(" ", *[F.lower(py_str(p)) for p in ("city", "compound", desc)]))
+    z = F.col("_zone_blob")
+    zone = (F.when(has(z, R.COASTAL_PATTERNS), F.lit("coastal")).when(has(z, R.RED_SEA_PATTERNS), F.lit("red_sea"))
+            .otherwise(F.lit("urban")))
+    df = df.withColumn("area_market_zone", zone).drop("_zone_blob")
     return df.withColumn("area_market_zone_ord", zone_ordinal_col("area_market_zone"))
 
 
 def add_compound_features(df: DataFrame, compound: str = "compound", desc: str = "desc_clean") -> DataFrame:
     """Compound vs standalone, compound tier, premium interactions."""
-    comp = F.lower(py_strip(F.coalesce(F.col(compound), F.lit(""))))
-    d = F.lower(F.coalesce(F.col(desc), F.lit("")))
+    df = _staged(_staged(df, "_cf_comp", F.lower(py_strip(F.coalesce(F.col(compound), F.lit(""))))),
+                 "_cf_d", F.lower(F.coalesce(F.col(desc), F.lit(""))))
+    comp, d = F.col("_cf_comp"), F.col("_cf_d")
     known = comp.isin(*(R.KNOWN_LUXURY_COMPOUNDS + R.KNOWN_MID_COMPOUNDS))
     compound_signal = known | has(comp, R.COMPOUND_WORD) | has(d, R.COMPOUND_WORD)
     standalone = (comp.isin(*R.EMPTY_COMPOUND_NAMES) | F.col(compound).isNull()
@@ -248,7 +261,7 @@ def add_compound_features(df: DataFrame, compound: str = "compound", desc: str =
         "*",
         ((F.col("is_compound") == 0) & (F.col("market_tier") >= 2.0)).cast("int").alias("standalone_premium"),
         ((F.col("is_compound") == 1) & (F.col("compound_tier") == 2.0)).cast("int").alias("compound_premium"),
-    )
+    ).drop("_cf_comp", "_cf_d")
 
 
 def add_size_features(df: DataFrame, size: str = "size_sqm") -> DataFrame:
@@ -268,14 +281,15 @@ def add_size_features(df: DataFrame, size: str = "size_sqm") -> DataFrame:
 def fix_mislabeled_types(df: DataFrame, type_col: str = "type_clean", desc: str = "desc_clean",
                          size: str = "size_sqm") -> DataFrame:
     """Keyword repair of rows typed 'Apartment'; later rules overwrite earlier ones."""
-    d = F.lower(F.coalesce(F.col(desc), F.lit("")))
+    df = _staged(df, "_fx_d", F.lower(F.coalesce(F.col(desc), F.lit(""))))
+    d = F.col("_fx_d")
     apt = F.col(type_col) == "Apartment"
     big = F.coalesce(F.col(size) > R.VILLA_MIN_SIZE, F.lit(False))
     new_type = (F.when(apt & has(d, R.VILLA_WORDS) & big, F.lit("Villa"))
                 .when(apt & has(d, R.DUPLEX_WORDS), F.lit("Duplex"))
                 .when(apt & has(d, R.PENTHOUSE_WORDS), F.lit("Penthouse"))
                 .otherwise(F.col(type_col)))
-    return df.withColumn(type_col, new_type)
+    return df.withColumn(type_col, new_type).drop("_fx_d")
 
 
 def add_interaction_keys(df: DataFrame) -> DataFrame:

@@ -18,9 +18,15 @@ from propval.operators.text import source_columns
 
 
 def rent_zone_col(area: Column, compound: Column, desc: Column) -> Column:
-    """First zone whose literal words occur in 'area compound desc' (lower-cased)."""
-    blob = F.lower(F.concat_ws(" ", F.coalesce(area, F.lit("")), F.coalesce(compound, F.lit("")),
-                               F.coalesce(desc, F.lit(""))))
+    """First zone whose literal words occur in 'area compound desc' (lower-cased).
+
+    With ``compound`` and ``desc`` set to None, ``area`` is taken as the prepared lower-case blob.
+    """
+    if compound is None and desc is None:
+        blob = area
+    else:
+        blob = F.lower(F.concat_ws(" ", F.coalesce(area, F.lit("")), F.coalesce(compound, F.lit("")),
+                                   F.coalesce(desc, F.lit(""))))
     expr = None
     for zone, words in R.RENT_ZONE_WORDS:
         cond = F.lit(False)
@@ -46,7 +52,10 @@ def _yield_lookup(zone: Column, type_: Column):
 
 def add_rent_estimate(df: DataFrame, sale_price: str = "sale_price") -> DataFrame:
     """R2: yield lookup (exact, then (zone, Apartment), then default) and MAPE-guarded rent range."""
-    df = df.withColumn("rent_zone", rent_zone_col(F.col("area"), F.col("compound"), F.col("desc")))
+    blob = F.lower(F.concat_ws(" ", F.coalesce(F.col("area"), F.lit("")), F.coalesce(F.col("compound"), F.lit("")),
+                               F.coalesce(F.col("desc"), F.lit(""))))
+    df = df.withColumn("_rz_blob", blob)
+    df = df.withColumn("rent_zone", rent_zone_col(F.col("_rz_blob"), None, None)).drop("_rz_blob")
     (y_min, y_max, y_typ), conf = _yield_lookup(F.col("rent_zone"), F.col("type_clean"))
     mape = F.coalesce(F.create_map(*[x for k, v in R.MAPE_BY_TYPE.items() for x in (F.lit(k), F.lit(v))])
                       [F.col("type_clean")], F.lit(R.DEFAULT_MAPE))
@@ -76,7 +85,8 @@ def add_rental_confidence(df: DataFrame, rarity: DataFrame | None = None) -> Dat
     src = sum((F.when(F.col(c) == "checkbox", R.RENT_CONF_CHECKBOX).when(F.col(c) == "nlp", R.RENT_CONF_NLP)
                .otherwise(0) for c in source_columns()), F.lit(R.RENT_CONF_BASE))
     score = F.least(src, F.lit(R.RENT_CONF_SOURCE_CAP))
-    a = F.lower(F.coalesce(F.col("area").cast("string"), F.lit("nan")))
+    df = df.withColumn("_rc_area", F.lower(F.coalesce(F.col("area").cast("string"), F.lit("nan"))))
+    a = F.col("_rc_area")
     good = F.lit(False)
     for w in R.RENT_GOOD_AREAS:
         good = good | a.contains(w)
@@ -97,7 +107,7 @@ def add_rental_confidence(df: DataFrame, rarity: DataFrame | None = None) -> Dat
     s = F.col("rent_conf_score")
     df = df.withColumn("rent_conf_level", F.when(s >= R.LEVEL_HIGH, "HIGH").when(s >= R.LEVEL_MEDIUM, "MEDIUM")
                        .otherwise("LOW"))
-    return df.drop(*[c for c in ("_r_area", "_r_type", "_rarity") if c in df.columns])
+    return df.drop(*[c for c in ("_r_area", "_r_type", "_rarity", "_rc_area") if c in df.columns])
 
 
 def add_rental_decision(df: DataFrame, user_rent: str = "user_rent", expected: str = "adj_mid",

@@ -4,8 +4,8 @@ Quantiles are exact with linear interpolation (pandas / DuckDB
 ``quantile_cont``). Two physical strategies:
 
 * ``percentile`` aggregate: one hash aggregate, but its buffer holds every
-  distinct value of a group, so it is only chosen when a cheap
-  ``approx_count_distinct`` check bounds the largest group.
+  distinct value of a group, so it is only chosen when Catalyst's size
+  estimate of the input (a planning-time bound, no job) is small.
 * distributed rank: value counts, range partitioning on (group, value),
   per-partition prefix sums and a tiny offsets table. No group ever has to
   fit one task, so a key holding a third of all rows is fine.
@@ -20,11 +20,23 @@ from pyspark.sql import functions as F
 
 from propval.functions import rules as R
 
-# Largest number of distinct values per group for the single-aggregate path.
+# Largest estimated input size for the single-aggregate path. The aggregate's
+# value->count map can never hold more distinct values than the input has rows,
+# so an input bounded by this size keeps every group's map bounded as well.
+MAX_BYTES_FOR_AGGREGATE = 256 * 1024 * 1024
+# Largest number of distinct values per group for the single-aggregate path when
+# the size estimate is not conclusive (joins are estimated as cartesian products).
 MAX_DISTINCT_FOR_AGGREGATE = 2_000_000
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (an upper bound; planning only, no job)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
 def _max_distinct(df: DataFrame, value: str, by: Sequence[str]) -> int:
+    """Largest approximate distinct count of ``value`` per group (one HLL aggregate, map-side combined)."""
     if by:
         stats = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("_d")).agg(F.max("_d"))
     else:
@@ -35,17 +47,20 @@ def _max_distinct(df: DataFrame, value: str, by: Sequence[str]) -> int:
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
               by: Sequence[str] = (), method: str = "auto",
-              max_distinct: int = MAX_DISTINCT_FOR_AGGREGATE, accuracy: int = 1_000_000) -> DataFrame:
+              max_bytes: int = MAX_BYTES_FOR_AGGREGATE, accuracy: int = 1_000_000) -> DataFrame:
     """Per-group quantiles of ``value`` (NULLs ignored).
 
     Returns one row per group (one row if ``by`` is empty) with a column per
     name. ``method``: 'exact' (single aggregate), 'distributed' (rank based,
-    exact), 'approx' (percentile_approx, returns actual elements) or 'auto'.
+    exact), 'approx' (percentile_approx, returns actual elements) or 'auto'
+    (single aggregate when the estimated input is at most ``max_bytes``,
+    distributed otherwise).
     """
     by = list(by)
     probs = [float(p) for p in probs]
     if method == "auto":
-        method = "exact" if _max_distinct(df, value, by) <= max_distinct else "distributed"
+        method = "exact" if (estimated_bytes(df.select(*by, value)) <= max_bytes
+                             or _max_distinct(df, value, by) <= MAX_DISTINCT_FOR_AGGREGATE) else "distributed"
     if method == "distributed":
         return _distributed_quantiles(df, value, probs, names, by)
     src = df.where(F.col(value).isNotNull())

@@ -725,7 +725,7 @@ def _model_table(spark, sf_dir):
         prepared, enc = _prepared(spark, sf_dir), _encodings(spark, sf_dir)
         train = EJ.encode_train(prepared, enc)
         test = EJ.encode_new(prepared.where(F.col("is_test")), enc)
-        both = M.build_features(train.unionByName(test))
+        both = materialize(M.build_features(train.unionByName(test)), "model_features")
         cols = M.candidate_columns(both)
         table = E.fit_impute_clip(both.where(~F.col("is_test")), cols)
         both = E.apply_impute_clip(both, table, cols)

@@ -42,15 +42,15 @@ def parse_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto",
                    materialized: bool = True) -> DataFrame:
     """C1-C24 + G1-G2: priced, trimmed, parsed rows with the compound frequency.
 
-    The trim bounds need only the price column, so they are computed before
-    the text is parsed; the parsed survivors are written once (``materialized``)
-    and every later statistic reads that table.
+    Every per-row parser is independent of the trim, so priced rows are parsed
+    once and written (``materialized``); the trim bounds, compound counts and
+    fences then read that columnar table (one price column for the bounds)
+    instead of re-running the text parsers per statistic.
     """
-    df = C.add_price(C.add_listing_type(raw))
-    df = S.trim_price(df, by=trim_by, method=quantile_method)
-    df = parse_rows(df)
+    df = parse_rows(C.add_price(C.add_listing_type(raw)))
     if materialized:
         df = materialize(df, "parsed_listings")
+    df = S.trim_price(df, by=trim_by, method=quantile_method)
     return S.add_group_count(df, "compound", "log_comp_size")
 
 

@@ -9,11 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# dimension tables small enough that spreading them out would only add tasks
+TINY_TABLES = {"region", "nation"}
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over at least ``min_partitions`` tasks (default: the cluster's parallelism).
+
+    Row-group splitting decides scan parallelism; a source stored as one big
+    row group would run every per-row regex in a single task. The split count
+    of a plain scan is known at planning time (no job); large multi-file
+    inputs already exceed the target and are left untouched, so no shuffle is
+    added where the data is already spread.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if balanced and name not in TINY_TABLES:
+        df = balance(df)
+    return df
