@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propval.functions import rules as R
@@ -73,8 +73,11 @@ def fit_target_encodings(train: DataFrame, specs: Sequence[tuple[str, int]], tar
     k = ks[F.col("enc_col")]
     full = (totals.crossJoin(F.broadcast(gm))
             .select("enc_col", "key", ((F.col("_ts") + k * g) / (F.col("_tn") + k)).alias("value")))
-    # a training row's key always occurs in its own fold, so (key, fold) pairs come from per_fold
-    oof = (per_fold.join(totals, ["enc_col", "key"]).crossJoin(F.broadcast(gm))
+    # a training row's key always occurs in its own fold, so (key, fold) pairs come from per_fold;
+    # per-key totals are a window over that aggregate (<= n_folds rows per key, so no skew)
+    w = Window.partitionBy("enc_col", "key")
+    oof = (per_fold.withColumn("_ts", F.sum("_s").over(w)).withColumn("_tn", F.sum("_n").over(w))
+           .crossJoin(F.broadcast(gm))
            .select("enc_col", "key", fold,
                    ((F.col("_ts") - F.col("_s") + k * g) / (F.col("_tn") - F.col("_n") + k)).alias("value")))
     return oof, full, gm
