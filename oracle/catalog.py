@@ -74,7 +74,7 @@ HAVING count(ppsm) >= 10 AND (SELECT count(*) FROM apts) >= 100"""), ["q25", "q7
 oracle("g4", with_clean("SELECT listing_id, type_fixed AS type_clean, CAST(suspicious AS INTEGER) AS "
                         "fence_relabelled FROM s8"))
 oracle("c30_by_city_type", with_clean(f"""
-SELECT city, type_clean, count(*) AS n_listings, avg(price_egp) AS avg_price,
+SELECT city, type_clean, count(*) AS n_listings, round(avg(price_egp), 2) AS avg_price,
        quantile_cont(ppsm, 0.5) AS median_ppsm
 FROM (SELECT {CLEAN_COLUMNS_SQL}, ppsm FROM clean) c
 GROUP BY city, type_clean"""), ["avg_price", "median_ppsm"])
@@ -402,7 +402,7 @@ oracle("p3", f"WITH {PAY_CTES} SELECT listing_id, adjusted_price, multiplier, in
              "is_adjusted, CAST(discount_rate AS DOUBLE) AS discount_rate, method, payment_explanation FROM pay5",
        ["adjusted_price", "multiplier", "discount_rate"])
 oracle("p3_by_tier", f"WITH {PAY_CTES} SELECT installment_tier, down_payment_tier, count(*) AS n, "
-                     "avg(multiplier) AS avg_multiplier, sum(adjusted_price) AS sum_adjusted FROM pay5 GROUP BY ALL",
+                     "avg(multiplier) AS avg_multiplier, round(sum(adjusted_price), 2) AS sum_adjusted FROM pay5 GROUP BY ALL",
        ["avg_multiplier", "sum_adjusted"])
 
 # ---------------------------------------------------------------- evaluation / monitoring
@@ -607,3 +607,22 @@ SELECT c.listing_id, {_align_sql()}
 FROM (SELECT {CLEAN_COLUMNS_SQL} FROM clean) c
 JOIN (SELECT listing_id, {_ACTIVE} AS active_features FROM ({_RENTAL_FEATS}) z) f ON c.listing_id = f.listing_id"""),
        R.MUST_KEEP + ["amenity_count"])
+
+# ---------------------------------------------------------------- single-operator keys
+oracle("c5", with_clean("SELECT listing_id, bathrooms_n FROM s6"), ["bathrooms_n"])
+oracle("c6", with_clean("SELECT listing_id, has_maid FROM s6"))
+oracle("c11", with_clean("SELECT listing_id, desc_clean FROM s6"))
+oracle("c16", with_clean("SELECT listing_id, view_score FROM s6"), ["view_score"])
+oracle("c20", with_clean("SELECT listing_id, compound_tier FROM s6"), ["compound_tier"])
+oracle("c21", with_clean("SELECT listing_id, standalone_premium, compound_premium FROM s6"))
+oracle("c23", with_clean("SELECT listing_id, size_bucket FROM s6"))
+oracle("t2", with_clean(f"SELECT listing_id, desc_len, nlp_score FROM (SELECT listing_id, {TS.kw_select()} FROM s6) k"),
+       ["desc_len", "nlp_score"])
+oracle("s2", DS.with_enc("""
+SELECT 'te_map' AS artefact, (SELECT count(*) FROM (""" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}', {c} FROM train WHERE {c} IS NOT NULL" for c in _TE) + """)) AS n_rows
+UNION ALL SELECT 'te_gm', CAST(1 AS BIGINT) UNION ALL SELECT 'pps_map', (SELECT count(*) FROM pps_map)
+UNION ALL SELECT 'pps_gm', CAST(1 AS BIGINT) UNION ALL SELECT 'rarity', (SELECT count(*) FROM rarity)"""))
+oracle("s3", ORACLE["g10"][0], ORACLE["g10"][1])
+oracle("s5", with_clean(f"SELECT listing_id, type_fixed AS type_clean, compound, price_egp FROM clean "
+                        "ORDER BY listing_id LIMIT 5"), ["price_egp"])

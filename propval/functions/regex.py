@@ -23,9 +23,19 @@ _ARABIC_INDIC = "٠١٢٣٤٥٦٧٨٩"
 _EXT_ARABIC_INDIC = "۰۱۲۳۴۵۶۷۸۹"
 
 
+_UNICODE_CLASSES = re.compile(r"\\[bBwWsSdD]")
+_LINE_SENSITIVE = re.compile(r"(?<!\\)[.^$]")
+
+
 def java(p: str) -> str:
-    """Pattern with Python-like semantics for Java regex."""
-    return PY_SEMANTICS + p
+    """Pattern with Python-like semantics for Java regex.
+
+    UNICODE_CHARACTER_CLASS changes only \\b \\w \\s \\d (and negations) and
+    UNIX_LINES only '.', '^' and '$'; each flag is added where the pattern
+    uses those constructs, since the Unicode class checks cost match time.
+    """
+    flags = ("U" if _UNICODE_CLASSES.search(p) else "") + ("d" if _LINE_SENSITIVE.search(p) else "")
+    return f"(?{flags}){p}" if flags else p
 
 
 def col_of(c) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from propval.functions import fmt
 from propval.functions import rules as R
 from propval.functions.regex import contains_any, has, py_strip
+from propval.operators.stats import attach_scalars
 
 ALERTS = ("UNDERPRICED", "FAIR", "OVERPRICED")
 
@@ -183,7 +184,7 @@ def add_artefact_lookups(df: DataFrame, rarity: DataFrame, pps: DataFrame, pps_g
     p = pps.select(F.col("city").alias("_k_area"), F.col("type_clean").alias("_k_type"), "lpps",
                    F.lit(True).alias("_in_pps"))
     df = df.join(r, ["_k_area", "_k_type"], "left").join(p, ["_k_area", "_k_type"], "left")
-    return df.crossJoin(F.broadcast(pps_gm.select("pps_gm"))).drop("_k_area", "_k_type")
+    return attach_scalars(df, pps_gm.select("pps_gm")).drop("_k_area", "_k_type")
 
 
 def add_rarity(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propval.functions import rules as R
-from propval.operators.stats import quantiles
+from propval.operators.stats import attach_scalars, quantiles
 
 
 # ---------------------------------------------------------------------------
@@ -71,13 +71,13 @@ def fit_target_encodings(train: DataFrame, specs: Sequence[tuple[str, int]], tar
     totals = per_fold.groupBy("enc_col", "key").agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     g = F.col("gm")
     k = ks[F.col("enc_col")]
-    full = (totals.crossJoin(F.broadcast(gm))
+    full = (attach_scalars(totals, gm)
             .select("enc_col", "key", ((F.col("_ts") + k * g) / (F.col("_tn") + k)).alias("value")))
     # a training row's key always occurs in its own fold, so (key, fold) pairs come from per_fold;
     # per-key totals are a window over that aggregate (<= n_folds rows per key, so no skew)
     w = Window.partitionBy("enc_col", "key")
     oof = (per_fold.withColumn("_ts", F.sum("_s").over(w)).withColumn("_tn", F.sum("_n").over(w))
-           .crossJoin(F.broadcast(gm))
+           .transform(lambda t: attach_scalars(t, gm))
            .select("enc_col", "key", fold,
                    ((F.col("_ts") - F.col("_s") + k * g) / (F.col("_tn") - F.col("_n") + k)).alias("value")))
     return oof, full, gm
@@ -89,7 +89,7 @@ def apply_target_encodings(df: DataFrame, table: DataFrame, gm: DataFrame, colum
 
     Missing keys fall back to the global mean.
     """
-    df = df.crossJoin(F.broadcast(gm.select(F.col("gm").alias("_gm"))))
+    df = attach_scalars(df, gm.select(F.col("gm").alias("_gm")))
     for c in columns:
         t = table.where(F.col("enc_col") == c).select(
             F.col("key").alias(f"_k_{c}"), *([F.col(fold).alias(f"_f_{c}")] if fold else []),
@@ -141,7 +141,7 @@ def apply_price_per_sqm(df: DataFrame, table: DataFrame, pps_gm: DataFrame,
     """G9 apply (OOF with ``fold``) / G10 apply (frozen map): seen key -> its median, else the global median."""
     keys = list(keys) + ([fold] if fold else [])
     t = table.select(*keys, F.col("lpps").alias("_lpps"), F.lit(True).alias("_seen"))
-    df = df.join(t, keys, "left").crossJoin(F.broadcast(pps_gm.select(F.col("pps_gm").alias("_pgm"))))
+    df = attach_scalars(df.join(t, keys, "left"), pps_gm.select(F.col("pps_gm").alias("_pgm")))
     return df.withColumn(out, F.when(F.col("_seen").isNotNull(), F.col("_lpps")).otherwise(F.col("_pgm"))) \
              .drop("_lpps", "_seen", "_pgm")
 

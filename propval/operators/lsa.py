@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from propval.functions import rules as R
 from propval.functions.regex import java
+from propval.operators.stats import attach_scalars
 
 TOKEN_RUN = r"[\p{L}\p{N}_]{2,}"  # same tokens as \b\w\w+\b with Python's Unicode \w
 
@@ -44,7 +45,7 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, id_col: str, max_features:
                    min_df: int = R.TFIDF_MIN_DF, max_df: float = R.TFIDF_MAX_DF) -> DataFrame:
     """(term_index, term, df, total_tf, idf). ``n_docs`` is a one-row DataFrame with column n_docs."""
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
-    stats = stats.crossJoin(F.broadcast(n_docs)).where(
+    stats = attach_scalars(stats, n_docs).where(
         (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
     top = stats.orderBy(F.col("total_tf").desc(), F.col("term").asc()).limit(max_features)
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)

@@ -81,4 +81,4 @@ def tier_summary(adjusted: DataFrame) -> DataFrame:
     """J8 aggregate: listings, mean multiplier and totals by installment x down-payment tier."""
     return adjusted.groupBy("installment_tier", "down_payment_tier").agg(
         F.count(F.lit(1)).alias("n"), F.avg("multiplier").alias("avg_multiplier"),
-        F.sum("adjusted_price").alias("sum_adjusted"))
+        F.round(F.sum("adjusted_price"), 2).alias("sum_adjusted"))  # currency total in cents

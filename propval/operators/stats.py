@@ -29,6 +29,17 @@ MAX_BYTES_FOR_AGGREGATE = 256 * 1024 * 1024
 MAX_DISTINCT_FOR_AGGREGATE = 2_000_000
 
 
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach a one-row statistics table to every row.
+
+    A broadcast hash join on a constant key: the broadcast side is a single
+    aggregate row, so no pairs are generated and the big side is not shuffled.
+    """
+    key = "_scalar_key"
+    return (df.withColumn(key, F.lit(0))
+              .join(F.broadcast(one_row.withColumn(key, F.lit(0))), key, "left").drop(key))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (an upper bound; planning only, no job)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -90,8 +101,9 @@ def _distributed_quantiles(df: DataFrame, value: str, probs: list[float], names:
                     .withColumn("_n", F.sum("_slice").over(Window.partitionBy(*by)) if by
                                 else F.sum("_slice").over(Window.partitionBy(F.lit(1)))))
     # Target 0-based ranks per group and probability.
-    prob_tab = spark.createDataFrame([(i, p) for i, p in enumerate(probs)], "_qi int, _p double")
-    targets = (slices.select(*by, "_n").distinct().crossJoin(F.broadcast(prob_tab))
+    prob_list = F.array(*[F.struct(F.lit(i).alias("_qi"), F.lit(p).alias("_p")) for i, p in enumerate(probs)])
+    targets = (slices.select(*by, "_n").distinct()
+               .select(*by, "_n", F.explode(prob_list).alias("_q")).select(*by, "_n", "_q._qi", "_q._p")
                .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
                .withColumn("_r_lo", F.floor("_h"))
                .withColumn("_r_hi", F.ceil("_h")))
@@ -133,7 +145,7 @@ def trim_price(df: DataFrame, price: str = "price_egp", lo: float = R.PRICE_TRIM
     default mixes them like the original pipeline.
     """
     b = bounds if bounds is not None else price_bounds(df, price, lo, hi, by, method)
-    joined = df.crossJoin(F.broadcast(b)) if not by else df.join(F.broadcast(b), list(by))
+    joined = attach_scalars(df, b) if not by else df.join(b, list(by), "left")
     p = F.col(price)
     return (joined.where((p >= F.col("price_q_lo")) & (p <= F.col("price_q_hi")))
                   .drop("price_q_lo", "price_q_hi")
@@ -195,7 +207,7 @@ def iqr_fences(df: DataFrame, type_col: str = "type_clean", city: str = "city",
     stats = (stats.withColumn("iqr", F.col("q75") - F.col("q25"))
                   .withColumn("upper_fence", F.col("q75") + F.lit(R.FENCE_IQR_MULT) * F.col("iqr"))
                   .where(F.col("n") >= R.FENCE_MIN_GROUP))
-    return (stats.crossJoin(F.broadcast(n_apt)).where(F.col("_n_apt") >= R.FENCE_MIN_APARTMENTS)
+    return (attach_scalars(stats, n_apt).where(F.col("_n_apt") >= R.FENCE_MIN_APARTMENTS)
                  .drop("_n_apt"))
 
 

@@ -27,10 +27,6 @@ KW_COLUMNS = ["nlp_" + n for n, _ in R.KWS] + ["desc_len", "nlp_score"]
 SEMANTIC_COLUMNS = ["luxury_score", "budget_score", "investment_signal"]
 
 
-def _stage_lower(df: DataFrame, desc: str, name: str = "_d") -> DataFrame:
-    return df.withColumn(name, F.lower(F.coalesce(F.col(desc), F.lit(""))))
-
-
 # ---------------------------------------------------------------------------
 # T1-T3 keyword flags and scores (text lowered, URLs stripped again)
 # ---------------------------------------------------------------------------

@@ -225,7 +225,7 @@ def q_clean_groups(spark, sf_dir):
     pts = df.select("city", "type_clean", S.ppsm_col().alias("ppsm"))
     med = S.quantiles(pts, "ppsm", [0.5], ["median_ppsm"], by=["city", "type_clean"])
     cnt = df.groupBy("city", "type_clean").agg(F.count(F.lit(1)).alias("n_listings"),
-                                                F.avg("price_egp").alias("avg_price"))
+                                                F.round(F.avg("price_egp"), 2).alias("avg_price"))
     return cnt.join(med, ["city", "type_clean"], "left")
 
 
@@ -705,7 +705,7 @@ def q_q3_events(spark, sf_dir):
     mid = ev.agg((F.min(F.col("ts").cast("timestamp").cast("double"))
                   + (F.max(F.col("ts").cast("timestamp").cast("double"))
                      - F.min(F.col("ts").cast("timestamp").cast("double"))) / 2).alias("_mid"))
-    ev = ev.crossJoin(F.broadcast(mid)).withColumn("_late", F.col("ts").cast("timestamp").cast("double")
+    ev = S.attach_scalars(ev, mid).withColumn("_late", F.col("ts").cast("timestamp").cast("double")
                                                    >= F.col("_mid"))
     return EV.psi(ev.where(~F.col("_late")), ev.where(F.col("_late")), ["value"])
 
@@ -889,3 +889,96 @@ def q_q2_stream(spark, sf_dir):
     events = read_table(spark, sf_dir, "events")
     events.write.mode("overwrite").parquet(landing)   # the stream source is a folder files land in
     return STREAM.event_window_stats(spark, landing, events.schema)
+
+
+# ---------------------------------------------------------------------------
+# Single-operator keys that the composite queries above also cover
+# ---------------------------------------------------------------------------
+
+@query("c5")
+def q_c5(spark, sf_dir):
+    return C.add_rooms(_raw(spark, sf_dir)).select("listing_id", "bathrooms_n")
+
+
+@query("c6")
+def q_c6(spark, sf_dir):
+    return C.add_rooms(_raw(spark, sf_dir)).select("listing_id", "has_maid")
+
+
+@query("c11")
+def q_c11(spark, sf_dir):
+    return C.add_type_and_text(_raw(spark, sf_dir)).select("listing_id", "desc_clean")
+
+
+@query("c16")
+def q_c16(spark, sf_dir):
+    return C.add_finish_view(_text_loc(spark, sf_dir)).select("listing_id", "view_score")
+
+
+@query("c20")
+def q_c20(spark, sf_dir):
+    df = C.add_compound_features(C.add_market_tier(_text_loc(spark, sf_dir)))
+    return df.select("listing_id", "compound_tier")
+
+
+@query("c21")
+def q_c21(spark, sf_dir):
+    df = C.add_compound_features(C.add_market_tier(_text_loc(spark, sf_dir)))
+    return df.select("listing_id", "standalone_premium", "compound_premium")
+
+
+@query("c23")
+def q_c23(spark, sf_dir):
+    return C.add_size_features(C.add_finish_view(C.add_rooms(C.add_size(C.add_type_and_text(
+        _raw(spark, sf_dir)))))).select("listing_id", "size_bucket")
+
+
+@query("t2")
+def q_t2(spark, sf_dir):
+    return TX.add_keyword_flags(_desc(spark, sf_dir)).select("listing_id", "desc_len", "nlp_score")
+
+
+# ---------------------------------------------------------------------------
+# S2 / S3 artefact bundle, S5 deterministic sample
+# ---------------------------------------------------------------------------
+from propval.sources import artefacts as ART  # noqa: E402
+
+
+def _bundle_path(spark, sf_dir):
+    return os.path.join(checkpoint_dir(spark), "bundles", f"{os.path.basename(sf_dir.rstrip('/'))}-{id(spark)}")
+
+
+@query("s2")
+def q_s2(spark, sf_dir):
+    """Write the fitted tables as a bundle; report rows per artefact table."""
+    enc = _encodings(spark, sf_dir)
+    tables = {"te_map": enc.te_map, "te_gm": enc.te_gm, "pps_map": enc.pps_map, "pps_gm": enc.pps_gm,
+              "rarity": enc.rarity}
+    path = _bundle_path(spark, sf_dir)
+    ART.save_bundle(path, tables)
+    loaded = ART.load_bundle(spark, path)
+    parts = [loaded[n].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("artefact"), "n_rows")
+             for n in ART.TABLE_NAMES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("s3")
+def q_s3(spark, sf_dir):
+    """Load the bundle and apply the frozen encodings to the test listings (same result as g10)."""
+    q_s2(spark, sf_dir)
+    b = ART.load_bundle(spark, _bundle_path(spark, sf_dir))
+    test = _prepared(spark, sf_dir).where(F.col("is_test"))
+    df = E.apply_target_encodings(test, b["te_map"], b["te_gm"], EJ.TE_COLUMNS)
+    df = E.apply_price_per_sqm(df, b["pps_map"], b["pps_gm"])
+    return df.select("listing_id", *[c + "_te" for c in EJ.TE_COLUMNS], "price_per_sqm_estimate")
+
+
+@query("s5")
+def q_s5(spark, sf_dir):
+    """Five listings for inspection; the oracle-checked variant orders by id (hash order is the default)."""
+    from propval.plans.clean_job import sample_listings
+    return sample_listings(_clean(spark, sf_dir), 5, order_col="listing_id").select(
+        "listing_id", "type_clean", "compound", "price_egp")

@@ -93,4 +93,12 @@ def quality_report(raw: DataFrame, quantile_method: str = "auto") -> DataFrame:
         F.count_if(C.normalized_type_col("type_clean").isNull()).alias("types_dropped"),
         F.sum("fence_relabelled").cast("bigint").alias("fence_relabelled"),
     )
-    return first.crossJoin(second)
+    return S.attach_scalars(first, second)
+
+
+def sample_listings(df: DataFrame, n: int, seed: int = 42, order_col: str | None = None,
+                    id_col: str = "listing_id") -> DataFrame:
+    """A deterministic sample of n rows (seeded hash order, or ``order_col``); top-k per partition,
+    so only n rows per task reach the final merge."""
+    key = F.col(order_col) if order_col else F.xxhash64(F.col(id_col), F.lit(seed))
+    return df.orderBy(key, F.col(id_col)).limit(n)
