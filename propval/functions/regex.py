@@ -42,9 +42,56 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_META = set("\\.^$*+?()[]{}|")
+
+
+def split_alternation(p: str) -> list[str]:
+    """Top-level branches of a regex alternation (not inside groups or classes)."""
+    parts, cur, depth, in_class, esc = [], [], 0, False, False
+    for ch in p:
+        if esc:
+            cur.append(ch)
+            esc = False
+            continue
+        if ch == "\\":
+            cur.append(ch)
+            esc = True
+            continue
+        if in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            parts.append("".join(cur))
+            cur = []
+            continue
+        cur.append(ch)
+    parts.append("".join(cur))
+    return parts
+
+
 def has(c, p: str) -> Column:
-    """Boolean 'pattern found anywhere'; NULL input counts as no match."""
-    return F.coalesce(col_of(c).rlike(java(p)), F.lit(False))
+    """Boolean 'pattern found anywhere'; NULL input counts as no match.
+
+    Branches of the top-level alternation that are plain words are tested
+    with ``contains`` (a byte search); one regex covers the remaining
+    branches. For a search anywhere in the text this is the same predicate.
+    """
+    col = col_of(c)
+    branches = split_alternation(p)
+    words = [b for b in branches if b and not (set(b) & _META)]
+    rest = [b for b in branches if b not in words]
+    out = None
+    for w in words:
+        out = col.contains(w) if out is None else out | col.contains(w)
+    if rest or out is None:
+        rx = col.rlike(java("|".join(rest) if rest else p))
+        out = rx if out is None else out | rx
+    return F.coalesce(out, F.lit(False))
 
 
 def flag(c, p: str) -> Column:
