@@ -524,7 +524,7 @@ toks AS (SELECT {id_col} AS d, {tok} AS t FROM {src}),
 terms AS (SELECT d, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))
             AS term FROM toks),
 tf AS (SELECT d, term, count(*) AS tf FROM terms GROUP BY d, term),
-st AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM tf GROUP BY term),
+st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM tf GROUP BY term),
 nd AS ({n_docs_sql}),
 kept AS (SELECT st.*, nd.n_docs FROM st, nd WHERE df >= 5 AND df <= 0.85 * nd.n_docs
          ORDER BY total_tf DESC, term ASC LIMIT 2000)

@@ -41,16 +41,25 @@ def normalized(rows, cols, digits=6):
     return [tuple(_norm(r[i], digits) for i in order) for r in rows]
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "TimestampNTZType()": "TIMESTAMP"}
+
+
 def compare(spark_df, sql: str, sf_dir: str, digits: int = 6, con=None):
-    """Return (ok, message). Rows compared order-insensitively, columns by name."""
+    """Return (ok, message). Column names and types must agree; rows compared order-insensitively."""
     s_cols = spark_df.columns
+    s_types = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in spark_df.schema.fields}
     s_rows = [tuple(r) for r in spark_df.collect()]
     con = con or duck(sf_dir)
     res = con.execute(sql)
     d_cols = [c[0] for c in res.description]
+    d_types = {c[0]: str(c[1]) for c in res.description}
     d_rows = res.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={sorted(s_cols)} duck={sorted(d_cols)}"
+    bad_types = [(c, s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]]
+    if bad_types:
+        return False, f"column types differ: {bad_types}"
     if len(s_rows) != len(d_rows):
         return False, f"row count differs: spark={len(s_rows)} duck={len(d_rows)}"
     a = sorted(normalized(s_rows, s_cols, digits), key=repr)

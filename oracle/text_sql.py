@@ -31,7 +31,7 @@ def flag(expr: str, pattern: str) -> str:
 
 
 def cnt(expr: str, pattern: str) -> str:
-    return f"CAST(len(regexp_extract_all({expr}, '{re2(pattern)}')) AS BIGINT)"
+    return f"CAST(len(regexp_extract_all({expr}, '{re2(pattern)}')) AS INTEGER)"
 
 
 def last_wins(expr: str, rules, default="NULL") -> str:
@@ -55,7 +55,7 @@ def semantic_select(desc: str = "desc_clean") -> str:
 
 
 def meta_select(raw: str) -> str:
-    digits = f"CAST(len(regexp_extract_all({raw}, '\\p{{Nd}}')) AS BIGINT)"
+    digits = f"CAST(len(regexp_extract_all({raw}, '\\p{{Nd}}')) AS INTEGER)"
     phone = R.PHONE_PATTERN.replace("\\s", WS_BODY)  # \\s only occurs inside classes here
     return ", ".join([
         f"CAST(regexp_matches({raw}, '{phone}') AS INTEGER) AS has_phone_in_desc",
