@@ -339,14 +339,24 @@ def _prepared(spark, sf_dir):
     return _CACHE[key]
 
 
-def _encodings(spark, sf_dir) -> EJ.Encodings:
+class _LazyEncodings:
+    """Fitted tables written to the checkpoint folder on first use, then shared by every consumer."""
+
+    def __init__(self, enc: EJ.Encodings):
+        self._enc, self._done = enc, {}
+
+    def __getattr__(self, name):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._done:
+            self._done[name] = materialize(getattr(self._enc, name), name)
+        return self._done[name]
+
+
+def _encodings(spark, sf_dir):
     key = ("enc", sf_dir, id(spark))
     if key not in _CACHE:
-        enc = EJ.fit(_prepared(spark, sf_dir))
-        # fitted tables are small: write them once so every consumer reads the same artefact
-        _CACHE[key] = EJ.Encodings(*[materialize(t, n) for t, n in zip(
-            (enc.te_oof, enc.te_map, enc.te_gm, enc.pps_oof, enc.pps_map, enc.pps_gm, enc.rarity),
-            ("te_oof", "te_map", "te_gm", "pps_oof", "pps_map", "pps_gm", "rarity"))])
+        _CACHE[key] = _LazyEncodings(EJ.fit(_prepared(spark, sf_dir)))
     return _CACHE[key]
 
 
