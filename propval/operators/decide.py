@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from propval.functions import fmt
 from propval.functions import rules as R
 from propval.functions.regex import contains_any, has, py_strip
-from propval.operators.stats import attach_scalars
+from propval.operators.stats import attach_scalars, broadcast_if_small
 
 ALERTS = ("UNDERPRICED", "FAIR", "OVERPRICED")
 
@@ -183,7 +183,8 @@ def add_artefact_lookups(df: DataFrame, rarity: DataFrame, pps: DataFrame, pps_g
     r = rarity.select(F.col("city").alias("_k_area"), F.col("type_clean").alias("_k_type"), "rarity")
     p = pps.select(F.col("city").alias("_k_area"), F.col("type_clean").alias("_k_type"), "lpps",
                    F.lit(True).alias("_in_pps"))
-    df = df.join(r, ["_k_area", "_k_type"], "left").join(p, ["_k_area", "_k_type"], "left")
+    df = (df.join(broadcast_if_small(r), ["_k_area", "_k_type"], "left")
+            .join(broadcast_if_small(p), ["_k_area", "_k_type"], "left"))
     return attach_scalars(df, pps_gm.select("pps_gm")).drop("_k_area", "_k_type")
 
 

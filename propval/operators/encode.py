@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propval.functions import rules as R
-from propval.operators.stats import attach_scalars, quantiles
+from propval.operators.stats import attach_scalars, broadcast_if_small, quantiles
 
 
 # ---------------------------------------------------------------------------
@@ -94,6 +94,7 @@ def apply_target_encodings(df: DataFrame, table: DataFrame, gm: DataFrame, colum
         t = table.where(F.col("enc_col") == c).select(
             F.col("key").alias(f"_k_{c}"), *([F.col(fold).alias(f"_f_{c}")] if fold else []),
             F.col("value").alias(f"_v_{c}"))
+        t = broadcast_if_small(t)
         cond = df[c].cast("string") == t[f"_k_{c}"]
         if fold:
             cond = cond & (df[fold] == t[f"_f_{c}"])
@@ -140,7 +141,7 @@ def apply_price_per_sqm(df: DataFrame, table: DataFrame, pps_gm: DataFrame,
                         out: str = "price_per_sqm_estimate") -> DataFrame:
     """G9 apply (OOF with ``fold``) / G10 apply (frozen map): seen key -> its median, else the global median."""
     keys = list(keys) + ([fold] if fold else [])
-    t = table.select(*keys, F.col("lpps").alias("_lpps"), F.lit(True).alias("_seen"))
+    t = broadcast_if_small(table.select(*keys, F.col("lpps").alias("_lpps"), F.lit(True).alias("_seen")))
     df = attach_scalars(df.join(t, keys, "left"), pps_gm.select(F.col("pps_gm").alias("_pgm")))
     return df.withColumn(out, F.when(F.col("_seen").isNotNull(), F.col("_lpps")).otherwise(F.col("_pgm"))) \
              .drop("_lpps", "_seen", "_pgm")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from propval.functions import fmt
 from propval.functions import rules as R
 from propval.functions.regex import py_strip
+from propval.operators.stats import broadcast_if_small
 from propval.operators.text import source_columns
 
 
@@ -98,7 +99,8 @@ def add_rental_confidence(df: DataFrame, rarity: DataFrame | None = None) -> Dat
     if rarity is not None:
         r = rarity.select(F.col("city").alias("_r_area"), F.col("type_clean").alias("_r_type"),
                           F.col("rarity").alias("_rarity"))
-        df = df.join(r, (F.col("area") == F.col("_r_area")) & (F.col("type_clean") == F.col("_r_type")), "left")
+        df = df.join(broadcast_if_small(r), (F.col("area") == F.col("_r_area"))
+                     & (F.col("type_clean") == F.col("_r_type")), "left")
         rr = F.coalesce(F.col("_rarity"), F.lit(0.0))
         score = score + F.when(rr > R.RENT_RARITY_HIGH, R.RENT_RARITY_HIGH_ADJ).when(
             rr > R.RENT_RARITY_MED, R.RENT_RARITY_MED_ADJ).otherwise(0)

@@ -40,6 +40,20 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
               .join(F.broadcast(one_row.withColumn(key, F.lit(0))), key, "left").drop(key))
 
 
+# Fitted tables (encodings, medians, rarity) at most this large are broadcast explicitly.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a lookup table only when its planning-time size proves it small.
+
+    Fitted tables are written to parquet, so their estimate is the file size;
+    anything larger (or with an unknowable estimate) is left to AQE, which
+    broadcasts on measured size or splits skewed partitions.
+    """
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (an upper bound; planning only, no job)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

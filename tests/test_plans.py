@@ -47,3 +47,17 @@ def test_exact_and_distributed_quantiles_agree(spark):
     g1 = S.quantiles(df, "v", [0.05, 0.95], ["lo", "hi"], method="exact").first()
     g2 = S.quantiles(df, "v", [0.05, 0.95], ["lo", "hi"], method="distributed").first()
     assert abs(g1.lo - g2.lo) < 1e-9 and abs(g1.hi - g2.hi) < 1e-9
+
+
+def test_fitted_tables_are_broadcast_after_size_check(spark):
+    df = catalog.QUERIES["g8"](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert p.count("BroadcastHashJoin") >= 10 and "SortMergeJoin" not in p
+
+
+def test_size_check_refuses_large_tables(spark):
+    big = spark.range(10).select(F.col("id").alias("k"))
+    small_plan = S.broadcast_if_small(big)._jdf.queryExecution().optimizedPlan().toString()
+    large_plan = S.broadcast_if_small(big, max_bytes=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in small_plan.lower() and "broadcast" not in large_plan.lower()
