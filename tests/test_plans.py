@@ -58,6 +58,6 @@ def test_fitted_tables_are_broadcast_after_size_check(spark):
 
 def test_size_check_refuses_large_tables(spark):
     big = spark.range(10).select(F.col("id").alias("k"))
-    small_plan = S.broadcast_if_small(big)._jdf.queryExecution().optimizedPlan().toString()
-    large_plan = S.broadcast_if_small(big, max_bytes=1)._jdf.queryExecution().optimizedPlan().toString()
+    small_plan = S.broadcast_if_small(big)._jdf.queryExecution().analyzed().toString()
+    large_plan = S.broadcast_if_small(big, max_bytes=1)._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in small_plan.lower() and "broadcast" not in large_plan.lower()
