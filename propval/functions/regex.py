@@ -74,13 +74,42 @@ def split_alternation(p: str) -> list[str]:
     return parts
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal (backslashes and quotes escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_value(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return sql_str(v)
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return str(v)
+
+
+def has_sql(name: str, p: str) -> str:
+    """SQL text of :func:`has` for a named column (built in one expression, no per-call round trips)."""
+    branches = split_alternation(p)
+    words = [b for b in branches if b and not (set(b) & _META)]
+    rest = [b for b in branches if b not in words]
+    terms = [f"contains(`{name}`, {sql_str(w)})" for w in words]
+    if rest or not terms:
+        terms.append(f"`{name}` RLIKE {sql_str(java('|'.join(rest) if rest else p))}")
+    return f"coalesce(({' OR '.join(terms)}), false)"
+
+
 def has(c, p: str) -> Column:
     """Boolean 'pattern found anywhere'; NULL input counts as no match.
 
     Branches of the top-level alternation that are plain words are tested
     with ``contains`` (a byte search); one regex covers the remaining
     branches. For a search anywhere in the text this is the same predicate.
+    A column given by name is compiled from one SQL expression string.
     """
+    if isinstance(c, str):
+        return F.expr(has_sql(c, p))
     col = col_of(c)
     branches = split_alternation(p)
     words = [b for b in branches if b and not (set(b) & _META)]
@@ -110,6 +139,9 @@ def extract(c, p: str, group: int = 1) -> Column:
 
 def last_wins(c, rules: Sequence[tuple[str, object]], default=None) -> Column:
     """Value of the *last* rule whose pattern matches (sequential overwrites)."""
+    if isinstance(c, str):
+        whens = " ".join(f"WHEN {has_sql(c, p)} THEN {_sql_value(v)}" for p, v in reversed(list(rules)))
+        return F.expr(f"CASE {whens} ELSE {_sql_value(default)} END")
     expr = None
     for pat, value in reversed(list(rules)):
         expr = (F.when(has(c, pat), F.lit(value)) if expr is None
@@ -119,6 +151,9 @@ def last_wins(c, rules: Sequence[tuple[str, object]], default=None) -> Column:
 
 def first_wins(c, rules: Sequence[tuple[str, object]], default=None) -> Column:
     """Value of the first rule whose pattern matches."""
+    if isinstance(c, str):
+        whens = " ".join(f"WHEN {has_sql(c, p)} THEN {_sql_value(v)}" for p, v in rules)
+        return F.expr(f"CASE {whens} ELSE {_sql_value(default)} END")
     expr = None
     for pat, value in rules:
         expr = (F.when(has(c, pat), F.lit(value)) if expr is None
@@ -138,6 +173,10 @@ def contains_any(c, words: Iterable[str]) -> Column:
     is cheaper than a regex alternation tried at every position.
     """
     words = list(words)
+    if not words:
+        return F.lit(False)
+    if isinstance(c, str):
+        return F.expr("coalesce((" + " OR ".join(f"contains(`{c}`, {sql_str(w)})" for w in words) + "), false)")
     col = col_of(c)
     out = F.lit(False)
     for w in words:

@@ -215,7 +215,7 @@ def add_install_years(df: DataFrame, desc: str = "desc_clean") -> DataFrame:
 def add_finish_view(df: DataFrame, desc: str = "desc_clean") -> DataFrame:
     """Finish ordinal (NULL default) and view score (0 default), last match wins."""
     df = _staged(df, "_fv_d", F.lower(F.col(desc)))
-    d = F.col("_fv_d")
+    d = "_fv_d"
     return df.select("*", last_wins(d, R.FINISH_RULES, None).cast("double").alias("finish_ord"),
                      last_wins(d, R.VIEW_RULES, 0.0).cast("double").alias("view_score")).drop("_fv_d")
 
@@ -229,13 +229,13 @@ def add_market_tier(df: DataFrame) -> DataFrame:
     """C17: 3 coastal / 2 premium city / 1 old city / 0."""
     blob = F.concat_ws(" ", *[F.lower(py_str(c)) for c in ("governorate", "city", "compound")])
     df = _staged(df, "_tier_blob", blob)
-    return df.withColumn("market_tier", first_wins(F.col("_tier_blob"), R.MARKET_TIER_RULES, 0.0)).drop("_tier_blob")
+    return df.withColumn("market_tier", first_wins("_tier_blob", R.MARKET_TIER_RULES, 0.0)).drop("_tier_blob")
 
 
 def add_market_zone(df: DataFrame, desc: str = "desc_clean") -> DataFrame:
     """Area market zone and its ordinal."""
     df = _staged(df, "_zone_blob", F.concat_ws(" ", *[F.lower(py_str(p)) for p in ("city", "compound", desc)]))
-    z = F.col("_zone_blob")
+    z = "_zone_blob"
     zone = (F.when(has(z, R.COASTAL_PATTERNS), F.lit("coastal")).when(has(z, R.RED_SEA_PATTERNS), F.lit("red_sea"))
             .otherwise(F.lit("urban")))
     df = df.withColumn("area_market_zone", zone).drop("_zone_blob")
@@ -246,15 +246,15 @@ def add_compound_features(df: DataFrame, compound: str = "compound", desc: str =
     """Compound vs standalone, compound tier, premium interactions."""
     df = _staged(_staged(df, "_cf_comp", F.lower(py_strip(F.coalesce(F.col(compound), F.lit(""))))),
                  "_cf_d", F.lower(F.coalesce(F.col(desc), F.lit(""))))
-    comp, d = F.col("_cf_comp"), F.col("_cf_d")
-    known = comp.isin(*(R.KNOWN_LUXURY_COMPOUNDS + R.KNOWN_MID_COMPOUNDS))
+    comp, d = "_cf_comp", "_cf_d"
+    known = F.col(comp).isin(*(R.KNOWN_LUXURY_COMPOUNDS + R.KNOWN_MID_COMPOUNDS))
     compound_signal = known | has(comp, R.COMPOUND_WORD) | has(d, R.COMPOUND_WORD)
-    standalone = (comp.isin(*R.EMPTY_COMPOUND_NAMES) | F.col(compound).isNull()
-                  | (F.char_length(comp) < 3)
+    standalone = (F.col(comp).isin(*R.EMPTY_COMPOUND_NAMES) | F.col(compound).isNull()
+                  | (F.char_length(F.col(comp)) < 3)
                   | contains_any(comp, R.STANDALONE_KEYWORDS) | contains_any(d, R.STANDALONE_KEYWORDS))
     is_compound = (compound_signal & ~standalone).cast("int")
-    lux = comp.isin(*R.KNOWN_LUXURY_COMPOUNDS) | contains_any(d, R.KNOWN_LUXURY_COMPOUNDS)
-    mid = comp.isin(*R.KNOWN_MID_COMPOUNDS) | contains_any(d, R.KNOWN_MID_COMPOUNDS)
+    lux = F.col(comp).isin(*R.KNOWN_LUXURY_COMPOUNDS) | contains_any(d, R.KNOWN_LUXURY_COMPOUNDS)
+    mid = F.col(comp).isin(*R.KNOWN_MID_COMPOUNDS) | contains_any(d, R.KNOWN_MID_COMPOUNDS)
     tier = F.when(lux, F.lit(2.0)).when(mid, F.lit(1.0)).otherwise(F.lit(0.0))
     df = df.select("*", is_compound.alias("is_compound"), tier.alias("compound_tier"))
     return df.select(
@@ -282,7 +282,7 @@ def fix_mislabeled_types(df: DataFrame, type_col: str = "type_clean", desc: str
                          size: str = "size_sqm") -> DataFrame:
     """Keyword repair of rows typed 'Apartment'; later rules overwrite earlier ones."""
     df = _staged(df, "_fx_d", F.lower(F.coalesce(F.col(desc), F.lit(""))))
-    d = F.col("_fx_d")
+    d = "_fx_d"
     apt = F.col(type_col) == "Apartment"
     big = F.coalesce(F.col(size) > R.VILLA_MIN_SIZE, F.lit(False))
     new_type = (F.when(apt & has(d, R.VILLA_WORDS) & big, F.lit("Villa"))

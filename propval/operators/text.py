@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propval.functions import rules as R
-from propval.functions.regex import (ascii_digits, count, extract, flag, has, java, last_wins)
+from propval.functions.regex import (ascii_digits, col_of, count, extract, flag, has, java, last_wins)
 
 CONTENT_COLUMNS = (
     ["building_age", "under_construction", "floor_level", "has_explicit_floor", "legal_status",
@@ -35,9 +35,9 @@ def add_keyword_flags(df: DataFrame, desc: str = "desc_clean") -> DataFrame:
     """18 nlp_* flags, desc_len = clip(len/500, 0, 4), nlp_score = flags + desc_len."""
     df = df.withColumn("_k", F.regexp_replace(F.lower(F.coalesce(F.col(desc), F.lit(""))),
                                               java(R.URL_PATTERN), " "))
-    k = F.col("_k")
+    k = "_k"
     flags = [flag(k, p).alias("nlp_" + n) for n, p in R.KWS]
-    desc_len = F.least(F.greatest(F.char_length(k) / R.DESC_LEN_DIVISOR, F.lit(0.0)),
+    desc_len = F.least(F.greatest(F.char_length(F.col(k)) / R.DESC_LEN_DIVISOR, F.lit(0.0)),
                        F.lit(float(R.DESC_LEN_CAP)))
     df = df.select("*", *flags, desc_len.alias("desc_len"))
     score = sum((F.col("nlp_" + n) for n, _ in R.KWS), F.lit(0)) + F.col("desc_len")
@@ -94,7 +94,7 @@ def content_cols(d: Column, raw: Column) -> list[Column]:
                 .alias("motivation_score"))
     for group in (R.EXPOSURE_FLAGS, R.ROOM_CONFIG_FLAGS):
         cols += [flag(d, p).alias(n) for n, p in group]
-    n_chars = F.char_length(raw)
+    n_chars = F.char_length(col_of(raw))
     cols += [
         flag(raw, R.PHONE_PATTERN).alias("has_phone_in_desc"),
         (count(raw, R.CAPS_PATTERN) / F.greatest(n_chars, F.lit(1))).alias("caps_ratio"),
@@ -110,13 +110,13 @@ def add_content_features(df: DataFrame, desc: str = "desc_clean") -> DataFrame:
     """All 37 content columns in one projection over a staged lower-case text."""
     df = df.withColumn("_raw", F.coalesce(F.col(desc), F.lit("")))
     df = df.withColumn("_d", F.lower(F.col("_raw")))
-    return df.select("*", *content_cols(F.col("_d"), F.col("_raw"))).drop("_d", "_raw")
+    return df.select("*", *content_cols("_d", "_raw")).drop("_d", "_raw")
 
 
 def add_text_meta(df: DataFrame, text: str) -> DataFrame:
     """T13 alone (phone-like, caps ratio, '!' / sentence / digit counts) over any text column."""
     df = df.withColumn("_raw", F.coalesce(F.col(text), F.lit("")))
-    meta = content_cols(F.col("_raw"), F.col("_raw"))[-5:]
+    meta = content_cols("_raw", "_raw")[-5:]
     return df.select("*", *meta).drop("_raw")
 
 
@@ -148,7 +148,7 @@ def add_rental_features(df: DataFrame, desc: str = "description", checkboxes: st
     non-NULL entry overrides the text ('yes', 'true', '1', 'on' mean true).
     """
     df = df.withColumn("_norm", normalize_variants_col(F.col(desc)))
-    n = F.col("_norm")
+    n = "_norm"
     flags, sources = [], []
     for feat, aliases in R.FEATURE_ALIASES.items():
         nlp = has(n, alias_pattern(aliases))
