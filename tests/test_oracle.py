@@ -9,7 +9,8 @@ from oracle.check import compare, duck
 from tests.conftest import SF_ORACLE, SF_SMALL
 
 CORE = ["c30", "c30_by_city_type", "g3", "g4", "t1", "t14", "t13", "t16", "g8", "g9", "g10", "g12", "d14",
-        "d14_by_city_type", "r7", "p3", "v1", "v3", "q2", "q3", "m3", "m4", "t19", "s1"]
+        "d14_by_city_type", "r7", "r7_by_zone", "p3", "p3_by_tier", "v1", "v3", "q2", "q2_stream", "q3", "m3",
+        "m4", "t19", "s1"]
 FULL = os.environ.get("PROPVAL_FULL_ORACLE") == "1"
 SQL = E.oracle_sql()
 NAMES = sorted(SQL) if FULL else CORE

@@ -61,3 +61,16 @@ def test_size_check_refuses_large_tables(spark):
     small_plan = S.broadcast_if_small(big)._jdf.queryExecution().analyzed().toString()
     large_plan = S.broadcast_if_small(big, max_bytes=1)._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in small_plan.lower() and "broadcast" not in large_plan.lower()
+
+
+def test_balance_only_spreads_narrow_scans(spark, tmp_path):
+    from propval.sources.tables import balance
+    wide = str(tmp_path / "wide")
+    spark.range(0, 1000, numPartitions=16).write.parquet(wide)
+    narrow = str(tmp_path / "narrow")
+    spark.range(0, 1000, numPartitions=1).write.parquet(narrow)
+    target = 8
+    many = balance(spark.read.parquet(wide), target)
+    one = balance(spark.read.parquet(narrow), target)
+    assert "RoundRobinPartitioning" not in many._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in one._jdf.queryExecution().executedPlan().toString()
