@@ -84,23 +84,45 @@ def fit_target_encodings(train: DataFrame, specs: Sequence[tuple[str, int]], tar
 
 
 def apply_target_encodings(df: DataFrame, table: DataFrame, gm: DataFrame, columns: Sequence[str],
-                           fold: str | None = None, suffix: str = "_te") -> DataFrame:
+                           fold: str | None = None, suffix: str = "_te", id_col: str | None = None,
+                           max_broadcast_bytes: int | None = None) -> DataFrame:
     """G7 (with ``fold``: out-of-fold values) / G10 (without: frozen full-train values).
 
-    Missing keys fall back to the global mean.
+    Missing keys fall back to the global mean. Each column's table is
+    broadcast when its size check passes. With ``id_col`` (a unique row id),
+    the columns whose tables are too large are applied together: the rows are
+    unpivoted to (id, enc_col, key), joined once with the table and pivoted
+    back, i.e. three narrow shuffles in total instead of one shuffle of the
+    wide table per column.
     """
+    from propval.operators.stats import MAX_BROADCAST_BYTES, estimated_bytes
+    cap = MAX_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
     df = attach_scalars(df, gm.select(F.col("gm").alias("_gm")))
+    large = []
     for c in columns:
         t = table.where(F.col("enc_col") == c).select(
             F.col("key").alias(f"_k_{c}"), *([F.col(fold).alias(f"_f_{c}")] if fold else []),
             F.col("value").alias(f"_v_{c}"))
-        t = broadcast_if_small(t)
+        if estimated_bytes(t) <= cap:
+            t = F.broadcast(t)
+        elif id_col:
+            large.append(c)
+            continue
         cond = df[c].cast("string") == t[f"_k_{c}"]
         if fold:
             cond = cond & (df[fold] == t[f"_f_{c}"])
         df = df.join(t, cond, "left")
         df = df.withColumn(c + suffix, F.coalesce(F.col(f"_v_{c}"), F.col("_gm"))) \
                .drop(f"_k_{c}", f"_v_{c}", *([f"_f_{c}"] if fold else []))
+    if large:
+        extra = [fold] if fold else []
+        pairs = F.array(*[F.struct(F.lit(c).alias("enc_col"), F.col(c).cast("string").alias("key")) for c in large])
+        long = df.select(id_col, *extra, F.explode(pairs).alias("_p")).select(id_col, *extra, "_p.enc_col", "_p.key")
+        hit = long.join(table.where(F.col("enc_col").isin(*large)), ["enc_col", "key"] + extra, "left")
+        wide = hit.groupBy(id_col).pivot("enc_col", large).agg(F.first("value"))
+        df = df.join(wide.select(id_col, *[F.col(c).alias(f"_v_{c}") for c in large]), id_col, "left")
+        for c in large:
+            df = df.withColumn(c + suffix, F.coalesce(F.col(f"_v_{c}"), F.col("_gm"))).drop(f"_v_{c}")
     return df.drop("_gm")
 
 

@@ -47,3 +47,16 @@ def test_stream_equals_batch(spark):
     batch = catalog.QUERIES["d14"](spark, SF_SMALL).select("listing_id", "alert", "confidence_score", "reason")
     stream = catalog.QUERIES["q1"](spark, SF_SMALL).select("listing_id", "alert", "confidence_score", "reason")
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
+
+
+def test_unpivoted_encoding_path_matches_broadcast_path(spark):
+    rows = [(i, f"k{i % 7}", f"j{i % 3}", i % 5, float(i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "listing_id long, a string, b string, fold int, log_price double")
+    oof, full, gm = EN.fit_target_encodings(df, [("a", 20), ("b", 10)])
+    cols = ["listing_id", "a_te", "b_te"]
+    x = EN.apply_target_encodings(df, oof, gm, ["a", "b"], fold="fold").select(*cols)
+    y = EN.apply_target_encodings(df, oof, gm, ["a", "b"], fold="fold", id_col="listing_id",
+                                  max_broadcast_bytes=0).select(*cols)
+    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+    p = EN.apply_target_encodings(df, full, gm, ["a", "b"], id_col="listing_id", max_broadcast_bytes=0)
+    assert p.where(F.col("a_te").isNull() | F.col("b_te").isNull()).count() == 0
