@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from propval.llm import mixing, secret_scan, sharding
+from propval.llm import mixing, multi_index, secret_scan, sharding, simhash, topk, warc
 
 QUERIES = {
+    "op3_topk": topk.q_op3,
     "op4_secret_scan": secret_scan.q_op4,
+    "op5_multi_index": multi_index.q_op5,
+    "op6_warc": warc.q_op6,
+    "op7_simhash": simhash.q_op7,
     "op8_mixing": mixing.q_op8,
     "op9_sharding": sharding.q_op9,
 }

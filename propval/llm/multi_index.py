@@ -31,7 +31,7 @@ from propval.llm.common import materialize, table
 from propval.llm.components import components
 
 COSINE = 0.93
-RECALL = 0.999  # share of links that the traversal aims to meet
+RECALL = 0.99  # share of links that the traversal aims to meet
 SAMPLE = 20_000  # vectors the codebooks are fitted on, at most
 CELL = 48  # vectors a cell holds if they spread evenly
 CODEWORDS = (4, 512)  # least and most codewords of a half
