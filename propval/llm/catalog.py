@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from propval.llm import mixing, multi_index, secret_scan, sharding, simhash, token_counts, topk, warc
+from propval.llm import mixing, multi_index, secret_scan, sentencepiece_viterbi, sharding, simhash, token_counts, topk, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.q_op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_simhash": simhash.q_op7,
     "op8_mixing": mixing.q_op8,
     "op9_sharding": sharding.q_op9,
+    "op10_sentencepiece": sentencepiece_viterbi.q_op10,
 }
 
 ORACLE: dict[str, str] = {}
