@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from propval.llm import mixing, multi_index, secret_scan, sentencepiece_viterbi, sharding, simhash, token_counts, topk, warc
+from propval.llm import mixing, multi_index, secret_scan, sentencepiece_viterbi, sharding, simhash, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.q_op1,
+    "op2_toxicity": toxicity.q_op2,
     "op3_topk": topk.q_op3,
     "op4_secret_scan": secret_scan.q_op4,
     "op5_multi_index": multi_index.q_op5,
