@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from propval.llm import mixing, multi_index, secret_scan, sentencepiece_viterbi, sharding, simhash, token_counts, topk, toxicity, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.q_op8,
     "op9_sharding": sharding.q_op9,
     "op10_sentencepiece": sentencepiece_viterbi.q_op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}

@@ -41,6 +41,12 @@ def key_text(col: Column | str) -> Column:
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string")))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named c0, c1, ... and the new name of each: no column of a caller can clash with ours."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def slices(lengths, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows that hold at most ``limit`` units each (one row at least)."""
     start, held = 0, 0

@@ -194,15 +194,16 @@ def mix(prepared: DataFrame, patterns: list, quotas: Mapping[str, int], copies:
     return dealt.select(*prepared.columns, times.alias("times"), (F.col("_size") * times).alias("taken"))
 
 
-def mix_documents(docs: DataFrame, keep: Sequence[str], share: float = 1.5, most: int = 2, seed: int = 8) -> DataFrame:
+def mix_documents(docs: DataFrame, keep: Sequence[str], share: float = 1.5, most: int = 2, seed: int = 8,
+                  key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Columns ``keep`` of all ``docs`` with size, source_size, target, taken and times.
 
     Sources in the order of their code points, null last, weigh WEIGHT_CYCLE in turn and share ``share`` times all
     words; no source's target is above ``most`` times its own words.
     """
-    member = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    drawn = [F.col("doc_id"), F.crc32(F.encode("text", "UTF-8"))]
-    prepared = prepare(docs, keep, F.array(member), F.regexp_count("text", F.lit(WORD)), drawn, seed)
+    member = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
+    drawn = [F.col(key), F.crc32(F.encode(text, "UTF-8"))]
+    prepared = prepare(docs, keep, F.array(member), F.regexp_count(text, F.lit(WORD)), drawn, seed)
     patterns = pattern_sizes(prepared)
     order = sorted((r["_pattern"][0] for r in patterns), key=lambda m: (m == "n", m))
     sizes = {r["_pattern"][0]: r["size"] for r in patterns}

@@ -63,13 +63,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Columns ``keep`` of every row with ``fp``, the fingerprint's bits as a signed long."""
     schema = docs.select(*keep).schema.add("fp", "long")
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(len(keep))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*keep, "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(fps)], names=[*keep, "fp"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(run, schema)
 
 
 def band_tables(classes: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -228,18 +229,38 @@ def fingerprint_links(classes: DataFrame, count: int, radius: int = RADIUS, bloc
     return own.mapInArrow(run, "a long, b long").unionAll(pairs.mapInArrow(run, "a long, b long"))
 
 
+def fingerprint_groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(_fp, root): every distinct fingerprint of column fp and the smallest fingerprint that links reach from it."""
+    classes = materialize(fps.select("fp").distinct(), "simhash-classes")
+    found = components(fingerprint_links(classes, classes.count(), radius), "a", "b")
+    return classes.join(found, classes["fp"] == found["node"], "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: its key, fp and component_id (the smallest key reachable)."""
     rows = materialize(fingerprints(docs, [key], text, shingle), "simhash-rows")
-    classes = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")), "simhash-classes")
-    found = components(fingerprint_links(classes, classes.count(), radius), "a", "b")
-    joined = classes.join(found, classes["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    least = rows.groupBy("fp").agg(F.min(key).alias("least"))
+    groups = materialize(fingerprint_groups(rows, radius).join(least, F.col("_fp") == F.col("fp")).select("_fp", "root", "least"), "simhash-groups")
+    ids = groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("_fp", "component_id")
     return rows.join(ids, rows["fp"] == ids["_fp"]).select(key, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that have the smallest key of their component; one of them where rows repeat it.
+
+    Of a component without any key, one row stays. ``docs`` must not have columns named fp or _row.
+    """
+    rows = materialize(fingerprints(docs, docs.columns, text, shingle).withColumn("_row", F.monotonically_increasing_id()), "simhash-documents")
+    groups = materialize(fingerprint_groups(rows, radius), "simhash-groups")
+    placed = rows.select(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row", "fp").join(
+        groups, F.col("fp") == F.col("_fp")).select("root", F.struct("none", "key", "_row").alias("place"))
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    # the rows that go; written, so that Spark broadcasts them only if they are small
+    gone = materialize(placed.join(first, "root").filter("place <> first").select(F.col("place._row").alias("_row")), "simhash-gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+
+
 def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, 4 differing bits at most."""
     found = near_duplicates(table(spark, sf_dir, "documents"), "doc_id")

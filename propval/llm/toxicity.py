@@ -219,15 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
 def score(docs: DataFrame, keep: list[str], text: str, scorer: Scorer) -> DataFrame:
     """Columns ``keep`` of every row with ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias))
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*sent.value)
         for batch in batches:
-            scores = own.score(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*keep, "score"])
+            scores = own.score(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(scores)], names=[*keep, "score"])
 
     schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -235,10 +236,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """The scorer of ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic), held-out ids left aside."""
+def fit_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Scorer:
+    """The scorer of documents (key, text) and ``labels`` (doc_id, toxic), held-out ids left aside."""
     seen = labels.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    return fit(docs.select(F.col("doc_id").alias("id"), "text"), seen)
+    return fit(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), seen)
 
 
 def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
