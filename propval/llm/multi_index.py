@@ -33,7 +33,7 @@ from propval.llm.components import components
 COSINE = 0.93
 RECALL = 0.99  # share of links that the traversal aims to meet
 SAMPLE = 20_000  # vectors the codebooks are fitted on, at most
-CELL = 48  # vectors a cell holds if they spread evenly
+CELL = 48  # vectors of the largest label that a cell holds if they spread evenly
 CODEWORDS = (4, 512)  # least and most codewords of a half
 ROUNDS = 12  # of k-means
 BLOCK = 1024  # vectors of one side of a comparison
@@ -89,34 +89,48 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows ** 2).sum(axis=1, keepdims=True))
 
 
+def pack(vectors: np.ndarray) -> list[bytes]:
+    """Each row as bytes of single precision where that loses nothing, of double precision otherwise."""
+    single = vectors.astype(np.float32)
+    return [x.tobytes() for x in (single if np.array_equal(single, vectors) else vectors)]
+
+
+def unpack(packed: list[bytes], width: int) -> np.ndarray:
+    return np.array([np.frombuffer(x, np.float32 if len(x) == 4 * width else np.float64) for x in packed], np.float64).reshape(-1, width)
+
+
+CELL_KEY = ["label", "dim", "cell"]
+CELLS = "label long, dim int, cell int, home boolean, rep long, tag long, n long, vec binary, own int, visits array<int>"
+
+
 def _index(width: int, first: np.ndarray, second: np.ndarray, limit: float):
     """A row for each cell that a class visits: cell, whether it is its home, and what the comparison needs."""
     cut, codes = first.shape[1], len(second)
-    names = ["label", "dim", "cell", "home", "rep", "tag", "n", "vec", "own", "visits"]
+    names = [f.split()[0] for f in CELLS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 label, dim, rep, tag, n = [c.to_pylist() for c in batch.columns[:5]]
-                vecs = unit(_stack(batch.column(5), width))
+                raw = _stack(batch.column(5), width)
+                packed, vecs = pack(raw), unit(raw)
                 (h1, g1), (h2, g2) = border_gaps(vecs[:, :cut], first), border_gaps(vecs[:, cut:], second)
                 rows = []
                 for i in range(len(vecs)):
                     own = int(h1[i]) * codes + int(h2[i])
                     cells = {own} | {x * codes + y for x, y in multi_sequence(g1[i], g2[i], limit)}
-                    packed = vecs[i].tobytes()
                     for c in cells:
-                        rows.append((label[i], dim[i], c, c == own, rep[i], tag[i], n[i], packed, own, sorted(cells) if c == own else None))
+                        rows.append((label[i], dim[i], c, c == own, rep[i], tag[i], n[i], packed[i], own, sorted(cells) if c == own else None))
                     if len(rows) >= SLICE or i == len(vecs) - 1:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
                         rows = []
 
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32())]
-    return run, "label long, dim int, cell int, home boolean, rep long, tag long, n long, vec binary, own int, visits array<int>"
+    return run
 
 
-def _verify(cosine: float):
+def _verify(cosine: float, width: int):
     """For a block of a cell's members and one of its visitors: added links per class and a spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +138,7 @@ def _verify(cosine: float):
             for members, visitors in zip(batch.column(0), batch.column(1)):
                 m, v = members.values, visitors.values
                 col = lambda x, name: x.field(name).to_numpy(zero_copy_only=False)
-                vec = lambda x: np.frombuffer(b"".join(x.field("vec").to_pylist())).reshape(len(x), -1)
+                vec = lambda x: unit(unpack(x.field("vec").to_pylist(), width))
                 (mr, mt, mn), (vr, vt, vn) = [[col(x, c) for c in ("rep", "tag", "n")] for x in (m, v)]
                 hit = vec(v) @ vec(m).T >= cosine
                 hit &= ~((vr[:, None] == mr[None]) & (vt[:, None] == mt[None]))
@@ -161,19 +175,31 @@ def fit(classes: DataFrame, count: int, width: int, sample: int = SAMPLE) -> tup
     share = min(1.0, sample / max(count, 1))
     drawn = classes.filter(F.pmod(F.xxhash64("tag", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("embedding").limit(sample)
     points = unit(_stack(drawn.toArrow().column(0).combine_chunks(), width))
-    k = int(min(CODEWORDS[1], max(CODEWORDS[0], math.sqrt(count / CELL))))
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    k = int(min(CODEWORDS[1], max(CODEWORDS[0], math.sqrt(largest / CELL))))
     cut = (width + 1) // 2
     return kmeans(points[:, :cut], k), kmeans(points[:, cut:], k)
 
 
-def _blocks(cells: DataFrame, block: int) -> DataFrame:
-    key = ["label", "dim", "cell"]
-    sizes = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
-    parts = F.ceil(F.col("size") / block).cast("int")
-    dealt = cells.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("rep", "tag"), parts).cast("int"))
-    # dealt anew by block, so that a cell of any size is spread over tasks
-    return dealt.repartition(*key, "part").groupBy(*key, "part").agg(
-        F.collect_list(F.struct("rep", "tag", "n", "vec", "own", "visits")).alias("rows"))
+def _rows_of(keys: list[str], cells: DataFrame, name: str) -> DataFrame:
+    """Blocks of rows of one cell, gathered by ``keys``."""
+    return cells.groupBy(*keys).agg(F.collect_list(F.struct("rep", "tag", "n", "vec", "own", "visits")).alias(name))
+
+
+def cell_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(members, visitors): every block of a cell's members beside every block of its visitors.
+
+    A cell of any size is spread over many blocks. The sizes are written, so that Spark broadcasts them only if small.
+    """
+    count = lambda c: F.greatest(F.ceil(c / block), F.lit(1)).cast("int")
+    sizes = materialize(cells.groupBy(*CELL_KEY).agg(
+        count(F.count_if("home")).alias("parts"), count(F.count(F.lit(1))).alias("halls")), "vector-cell-sizes")
+    dealt = cells.join(sizes, CELL_KEY)
+    keys = [*CELL_KEY, "hall"]
+    visitors = dealt.withColumn("hall", F.pmod(F.xxhash64("rep", "tag"), "halls").cast("int")).repartition(*keys)
+    members = (dealt.filter("home").withColumn("part", F.pmod(F.xxhash64("tag", "rep"), "parts").cast("int"))
+               .withColumn("hall", F.explode(F.sequence(F.lit(0), F.col("halls") - 1))).repartition(*keys))
+    return _rows_of([*keys, "part"], members, "members").join(_rows_of(keys, visitors, "visitors"), keys).select("members", "visitors")
 
 
 def near_vectors(rows: DataFrame, key: str, vector: str, label: str, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -193,13 +219,9 @@ def near_vectors(rows: DataFrame, key: str, vector: str, label: str, cosine: flo
     first, second = fit(classes, count, width)
     radius = math.sqrt(2 - 2 * cosine)
     reach = NormalDist().inv_cdf(1 - (1 - recall) / 2) * radius / math.sqrt(width)
-    run, schema = _index(width, first, second, reach ** 2)
-    cells = materialize(classes.select("label", F.size("embedding").alias("dim"), "rep", "tag", "n", "embedding").mapInArrow(run, schema), "vector-cells")
-    members, visitors = _blocks(cells.filter("home"), BLOCK), _blocks(cells, BLOCK)
-    pairs = members.withColumnRenamed("part", "p1").withColumnRenamed("rows", "members").join(
-        visitors.withColumnRenamed("part", "p2").withColumnRenamed("rows", "visitors"), ["label", "dim", "cell"])
-    found = materialize(pairs.select("members", "visitors").mapInArrow(
-        _verify(cosine), "rep long, tag long, add long, other long"), "vector-links")
+    cells = classes.select("label", F.size("embedding").alias("dim"), "rep", "tag", "n", "embedding").mapInArrow(
+        _index(width, first, second, reach ** 2), CELLS)
+    found = materialize(cell_pairs(cells).mapInArrow(_verify(cosine, width), "rep long, tag long, add long, other long"), "vector-links")
     links = found.filter("add is not null").groupBy("rep", "tag").agg(F.sum("add").alias("others"))
     nodes = components(found.filter("other is not null"), "rep", "other")
     known = (classes.join(links, ["rep", "tag"], "left").join(nodes, F.col("rep") == F.col("node"), "left")
