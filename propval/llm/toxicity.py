@@ -9,13 +9,12 @@ Training rows are a bounded sample (PER_CLASS documents of each class, SAMPLE_BY
 from the label table by a hash, so the sample does not depend on partitions. Scoring covers every whole text.
 
 Defined results: null and empty texts score by the softmax's bias; labels with a null id or value, or that are not
-0 or 1, are ignored, ids labelled both ways count as 1; without labels of both classes every score is 0.5 - EMPTY
-(predicted 0); repeated rows score alike; no rows give no rows.
+0 or 1, are ignored, ids labelled both ways count as 1; without labels of both classes every score is just
+under 0.5 (predicted 0); repeated rows score alike; no rows give no rows.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +37,7 @@ DECAY = 1e-3  # pull of unused directions to zero, per step
 POSITIVE = 0.25  # share of the loss that the documents of class 1 have; under half, for few false alarms
 GAIN = 100.0  # fixed factor on document means, which are small for long texts
 DEVIATION = 7.0  # standard deviations by which a bucket's presence must differ between the classes to keep a vector
-EMPTY = 1e-6
+UNDECIDED = -4e-6  # logit of a model that learned nothing: just under 0.5, so that it rejects nothing
 WORDS = 400_000  # words remembered at once by a worker
 
 
@@ -85,7 +84,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         docs.append(np.full(len(ws), d))
     word, doc = np.concatenate(cells), np.concatenate(docs)
     if not len(word):
-        return np.zeros(BUCKETS, np.float32), 0.0
+        return np.zeros(BUCKETS, np.float32), UNDECIDED
     vocabulary, parts, counts = list(index), [], []
     for i in range(0, len(vocabulary), 1 << 15):
         part, first = word_buckets(vocabulary[i:i + (1 << 15)])
@@ -110,7 +109,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     away = np.abs(present[1] / n1 - present[0] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
     chosen = away >= DEVIATION
     if not chosen.any():
-        return np.zeros(BUCKETS, np.float32), 0.0
+        return np.zeros(BUCKETS, np.float32), UNDECIDED
     inverse = 1.0 / per_word
     owner = np.repeat(np.arange(len(index)), per_word)
     live = chosen[bucket]
@@ -212,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     """A scorer from ``docs`` (id, text) and ``labels`` (id, label)."""
     texts, y = pick_sample(docs, labels, per_class, most)
     if len(set(y.tolist())) < 2:
-        return Scorer(np.zeros(BUCKETS, np.float32), math.log((0.5 - EMPTY) / (0.5 + EMPTY)))
+        return Scorer(np.zeros(BUCKETS, np.float32), UNDECIDED)
     return Scorer(*train(texts, y))
 
 
