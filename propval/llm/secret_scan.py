@@ -33,7 +33,8 @@ RANK = {name: i for i, name in enumerate([k[0] for k in KINDS] + [RANDOM])}
 
 ALPHABET = 128  # ASCII; candidates hold nothing else
 START = 0  # code of the position before the first character
-SMOOTHING = 0.5  # added to each transition's count
+SMOOTHING = 0.5  # added to each character's count
+BACKOFF = 8.0  # transitions' worth of trust in the characters' own frequencies
 THRESHOLD = 12.0  # nats by which the random model must be likelier
 
 
@@ -105,11 +106,15 @@ def train(samples: DataFrame) -> list[float]:
     cells = steps.groupBy("random", "s.a", "s.b").agg(F.count(F.lit(1)).alias("n")).collect()
     used = sorted({r["b"] for r in cells})
     counts = {(r["random"], r["a"], r["b"]): r["n"] for r in cells}
+    single = {}
+    for k in (0, 1):
+        n = {b: sum(counts.get((k, a, b), 0) for a in (START, *used)) + SMOOTHING for b in used}
+        single[k] = {b: n[b] / sum(n.values()) for b in used}
     out = [0.0] * (ALPHABET * ALPHABET)
-    for a in [START, *used]:
-        total = [sum(counts.get((k, a, b), 0) for b in used) + SMOOTHING * len(used) for k in (0, 1)]
+    for a in (START, *used):
+        total = [sum(counts.get((k, a, b), 0) for b in used) + BACKOFF for k in (0, 1)]
         for b in used:
-            p = [(counts.get((k, a, b), 0) + SMOOTHING) / total[k] for k in (0, 1)]
+            p = [(counts.get((k, a, b), 0) + BACKOFF * single[k][b]) / total[k] for k in (0, 1)]
             out[a * ALPHABET + b] = math.log(p[1] / p[0])
     return out
 
