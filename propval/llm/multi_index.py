@@ -18,6 +18,7 @@ never link; rows repeating a vec_id with another vector are one node of the comp
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -62,14 +63,22 @@ def border_gaps(half: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Cells (i, j) in the order of a[i] + b[j] while the sum is within ``limit``."""
-    ia, ib = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    sa, sb = a[ia], b[ib]
-    na, nb = int(np.searchsorted(sa, limit, "right")), int(np.searchsorted(sb, limit, "right"))
-    sums = sa[:na, None] + sb[None, :nb]
-    x, y = np.nonzero(sums <= limit)
-    order = np.argsort(sums[x, y], kind="stable")
-    return list(zip(ia[x[order]].tolist(), ib[y[order]].tolist()))
+    """Cells (i, j) in the order of a[i] + b[j] while the sum is within ``limit``.
+
+    Both sequences are sorted; a heap holds the frontier, and a cell opens its right neighbour and, from the first
+    column, the cell below, so that every cell is reached once and none beyond the frontier is looked at.
+    """
+    ia, ib = np.argsort(a, kind="stable").tolist(), np.argsort(b, kind="stable").tolist()
+    sa, sb = a[ia].tolist(), b[ib].tolist()
+    frontier, cells = [(sa[0] + sb[0], 0, 0)], []
+    while frontier and frontier[0][0] <= limit:
+        _, x, y = heapq.heappop(frontier)
+        cells.append((ia[x], ib[y]))
+        if y + 1 < len(sb):
+            heapq.heappush(frontier, (sa[x] + sb[y + 1], x, y + 1))
+        if y == 0 and x + 1 < len(sa):
+            heapq.heappush(frontier, (sa[x + 1] + sb[0], x + 1, 0))
+    return cells
 
 
 def _stack(vectors: pa.Array, width: int) -> np.ndarray:
