@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from propval.llm import mixing, multi_index, secret_scan, sentencepiece_viterbi, sharding, simhash, token_counts, topk, toxicity, warc
+from propval.llm import mixing, multi_index, oracle, secret_scan, sentencepiece_viterbi, sharding, simhash, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.q_op1,
@@ -19,4 +19,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.ORACLE
