@@ -446,7 +446,8 @@ def with_fb(select_sql):
     return f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, {DS.DECIDE_CTES}, {_FB}\n{select_sql}"
 
 
-oracle("s4", with_fb("SELECT listing_id, price, predicted, alert, confidence, feedback, type FROM fb"),
+oracle("s4", with_fb("SELECT TIMESTAMP '2024-01-01' + to_minutes(listing_id) AS timestamp, listing_id, price, predicted, alert, "
+                      "confidence, feedback, type FROM fb"),
        ["price", "predicted"])
 oracle("q2", with_fb("SELECT type, alert, confidence, count(*) AS n, avg(CAST(feedback = 'up' AS DOUBLE)) "
                             "AS up_share, avg(CAST(feedback = 'down' AS DOUBLE)) AS down_share, "
@@ -546,8 +547,11 @@ WITH b AS (
   SELECT to_timestamp(floor(epoch(ts) / 21600) * 21600)::TIMESTAMP AS window_start, event_type, value FROM events)
 SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS n, avg(value) AS avg_value
 FROM b
-WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 GROUP BY ALL""", ["avg_value"])
+oracle("q2_feedback_stream", with_fb("SELECT date_trunc('day', TIMESTAMP '2024-01-01' + to_minutes(listing_id))::TIMESTAMP AS "
+                                     "window_start, type, alert, confidence, count(*) AS n, avg(CAST(feedback = 'up' AS DOUBLE)) "
+                                     "AS up_share, avg(abs(price - predicted) / price) AS mean_ape FROM fb GROUP BY ALL"),
+       ["up_share", "mean_ape"])
 
 # ---------------------------------------------------------------- decision helpers
 _AMEN = " OR ".join(f"{c} = 1" for c in R.COVERAGE_AMENITIES)

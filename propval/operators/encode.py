@@ -5,9 +5,9 @@
   encoded columns (unpivoted to (enc_col, key, fold, y)), per-key totals by a
   window over that small table, "total minus own fold" for the out-of-fold
   value. Map-side combine makes hot keys harmless.
-* Out-of-fold median (G9): medians are not subtractable, so each training row
-  is replicated to the n-1 folds it trains (narrow 4-column projection) and
-  grouped by (key, target fold) with the distributed exact quantile.
+* Out-of-fold median (G9): values are counted once per (key, fold); the counts,
+  not the rows, go to the n-1 folds they train and add up there, and the exact
+  quantile works on these counts.
 * Fitted tables are small DataFrames applied by left joins; AQE broadcasts
   them when their measured size is small and splits skewed joins otherwise.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propval.functions import rules as R
-from propval.operators.stats import attach_scalars, broadcast_if_small, quantiles
+from propval.operators.stats import MAX_BROADCAST_BYTES, attach_scalars, broadcast_if_small, estimated_bytes, quantiles, quantiles_of_counts
+from propval.plans.materialize import materialize
 
 
 # ---------------------------------------------------------------------------
@@ -84,45 +85,32 @@ def fit_target_encodings(train: DataFrame, specs: Sequence[tuple[str, int]], tar
 
 
 def apply_target_encodings(df: DataFrame, table: DataFrame, gm: DataFrame, columns: Sequence[str],
-                           fold: str | None = None, suffix: str = "_te", id_col: str | None = None,
-                           max_broadcast_bytes: int | None = None) -> DataFrame:
+                           fold: str | None = None, suffix: str = "_te",
+                           max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """G7 (with ``fold``: out-of-fold values) / G10 (without: frozen full-train values).
 
-    Missing keys fall back to the global mean. Each column's table is
-    broadcast when its size check passes. With ``id_col`` (a unique row id),
-    the columns whose tables are too large are applied together: the rows are
-    unpivoted to (id, enc_col, key), joined once with the table and pivoted
-    back, i.e. three narrow shuffles in total instead of one shuffle of the
-    wide table per column.
+    Missing keys fall back to the global mean. When all columns' tables together pass the size check, each is
+    broadcast. Otherwise the rows are written with a row number, unpivoted to (row, enc_col, key), joined once and
+    brought back to their row: three narrow shuffles, and the same values, whatever ids repeat.
     """
-    from propval.operators.stats import MAX_BROADCAST_BYTES, estimated_bytes
-    cap = MAX_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
+    extra = [fold] if fold else []
     df = attach_scalars(df, gm.select(F.col("gm").alias("_gm")))
-    large = []
+    parts = [table.where(F.col("enc_col") == c).select(
+        F.col("key").alias(f"_k_{c}"), *[F.col(x).alias(f"_f_{c}") for x in extra], F.col("value").alias(f"_v_{c}")) for c in columns]
+    if sum(estimated_bytes(t) for t in parts) <= max_broadcast_bytes:
+        for c, t in zip(columns, parts):
+            cond = df[c].cast("string") == t[f"_k_{c}"]
+            if fold:
+                cond = cond & (df[fold] == t[f"_f_{c}"])
+            df = df.join(F.broadcast(t), cond, "left").drop(f"_k_{c}", f"_f_{c}")
+    else:
+        df = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows_to_encode")
+        long = _unpivot(df, columns, ["_row", *extra])
+        hit = long.join(table.where(F.col("enc_col").isin(*columns)), ["enc_col", "key", *extra])
+        wide = hit.groupBy("_row").agg(*[F.first(F.when(F.col("enc_col") == c, F.col("value")), ignorenulls=True).alias(f"_v_{c}") for c in columns])
+        df = df.join(wide, "_row", "left").drop("_row")
     for c in columns:
-        t = table.where(F.col("enc_col") == c).select(
-            F.col("key").alias(f"_k_{c}"), *([F.col(fold).alias(f"_f_{c}")] if fold else []),
-            F.col("value").alias(f"_v_{c}"))
-        if estimated_bytes(t) <= cap:
-            t = F.broadcast(t)
-        elif id_col:
-            large.append(c)
-            continue
-        cond = df[c].cast("string") == t[f"_k_{c}"]
-        if fold:
-            cond = cond & (df[fold] == t[f"_f_{c}"])
-        df = df.join(t, cond, "left")
-        df = df.withColumn(c + suffix, F.coalesce(F.col(f"_v_{c}"), F.col("_gm"))) \
-               .drop(f"_k_{c}", f"_v_{c}", *([f"_f_{c}"] if fold else []))
-    if large:
-        extra = [fold] if fold else []
-        pairs = F.array(*[F.struct(F.lit(c).alias("enc_col"), F.col(c).cast("string").alias("key")) for c in large])
-        long = df.select(id_col, *extra, F.explode(pairs).alias("_p")).select(id_col, *extra, "_p.enc_col", "_p.key")
-        hit = long.join(table.where(F.col("enc_col").isin(*large)), ["enc_col", "key"] + extra, "left")
-        wide = hit.groupBy(id_col).pivot("enc_col", large).agg(F.first("value"))
-        df = df.join(wide.select(id_col, *[F.col(c).alias(f"_v_{c}") for c in large]), id_col, "left")
-        for c in large:
-            df = df.withColumn(c + suffix, F.coalesce(F.col(f"_v_{c}"), F.col("_gm"))).drop(f"_v_{c}")
+        df = df.withColumn(c + suffix, F.coalesce(F.col(f"_v_{c}"), F.col("_gm"))).drop(f"_v_{c}")
     return df.drop("_gm")
 
 
@@ -135,8 +123,16 @@ def lpps_col(log_price: str = "log_price", size: str = "size_sqm") -> Column:
     return F.col(log_price) - F.log1p(F.when(s.isNotNull(), F.greatest(s, F.lit(1.0))))
 
 
+def other_fold_counts(df: DataFrame, keys: Sequence[str], value: str, fold: str, n_folds: int) -> DataFrame:
+    """(keys, _target, _v, _c): how often each value (NULL included) occurs outside of fold ``_target``."""
+    own = df.groupBy(*keys, fold, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    targets = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col(fold))
+    return (own.select(*keys, F.explode(targets).alias("_target"), "_v", "_c")
+            .groupBy(*keys, "_target", "_v").agg(F.sum("_c").alias("_c")))
+
+
 def fit_price_per_sqm(train: DataFrame, keys: Sequence[str] = ("city", "type_clean"), fold: str = "fold",
-                      n_folds: int = R.N_FOLDS, method: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
+                      n_folds: int = R.N_FOLDS, method: str = "exact") -> tuple[DataFrame, DataFrame, DataFrame]:
     """G9 fit. Returns (oof_table: keys+fold+lpps+present, pps_map: keys+lpps, pps_gm: one row).
 
     A key seen in the training folds keeps its median even when that median is
@@ -148,11 +144,9 @@ def fit_price_per_sqm(train: DataFrame, keys: Sequence[str] = ("city", "type_cle
     seen = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     med = quantiles(pts, "lpps", [0.5], ["lpps"], by=keys, method=method)
     pps_map = seen.join(med, keys, "left").select(*keys, "lpps")
-    # replicate each row to the folds it trains: n-1 copies of a 4-column row
-    targets = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col(fold))
-    fan = pts.select(*keys, "lpps", F.explode(targets).alias("_target"))
-    seen_f = fan.groupBy(*keys, "_target").agg(F.count(F.lit(1)).alias("_n"))
-    med_f = quantiles(fan, "lpps", [0.5], ["lpps"], by=keys + ["_target"], method=method)
+    counts = other_fold_counts(pts, [*keys], "lpps", fold, n_folds)
+    seen_f = counts.groupBy(*keys, "_target").agg(F.sum("_c").alias("_n"))
+    med_f = quantiles_of_counts(counts.where(F.col("_v").isNotNull()), [0.5], ["lpps"], by=keys + ["_target"])
     oof = (seen_f.join(med_f, keys + ["_target"], "left")
            .select(*keys, F.col("_target").alias(fold), "lpps"))
     return oof, pps_map, pps_gm
@@ -185,7 +179,7 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_impute_clip(df: DataFrame, columns: Sequence[str], lo: float = 0.01, hi: float = 0.99,
-                    method: str = "auto") -> DataFrame:
+                    method: str = "exact") -> DataFrame:
     """G12 fit: per-feature median, then p01/p99 of the imputed values. One row per feature.
 
     Features are unpivoted so every column's quantiles come from one grouped

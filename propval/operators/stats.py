@@ -1,14 +1,11 @@
 """Distributed statistics used by cleaning and encoding (G1-G4, quantiles).
 
 Quantiles are exact with linear interpolation (pandas / DuckDB
-``quantile_cont``). Two physical strategies:
-
-* ``percentile`` aggregate: one hash aggregate, but its buffer holds every
-  distinct value of a group, so it is only chosen when Catalyst's size
-  estimate of the input (a planning-time bound, no job) is small.
-* distributed rank: value counts, range partitioning on (group, value),
-  per-partition prefix sums and a tiny offsets table. No group ever has to
-  fit one task, so a key holding a third of all rows is fine.
+``quantile_cont``) and take one path at every size: value counts per group
+(map-side combined), running counts inside fixed value ranges, and a small
+table with the counts below each range. The ranges are a function of the
+value alone, so nothing depends on how Spark places or reuses partitions, no
+group has to fit one task, and no driver-side probe job is needed.
 """
 
 from __future__ import annotations
@@ -19,14 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propval.functions import rules as R
+from propval.plans.materialize import materialize
 
-# Largest estimated input size for the single-aggregate path. The aggregate's
-# value->count map can never hold more distinct values than the input has rows,
-# so an input bounded by this size keeps every group's map bounded as well.
-MAX_BYTES_FOR_AGGREGATE = 256 * 1024 * 1024
-# Largest number of distinct values per group for the single-aggregate path when
-# the size estimate is not conclusive (joins are estimated as cartesian products).
-MAX_DISTINCT_FOR_AGGREGATE = 2_000_000
+# Value ranges of the rank search: this many per power of two.
+SLICES_PER_OCTAVE = 32
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -60,84 +53,81 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(size if isinstance(size, int) else size.toString())
 
 
-def _max_distinct(df: DataFrame, value: str, by: Sequence[str]) -> int:
-    """Largest approximate distinct count of ``value`` per group (one HLL aggregate, map-side combined)."""
-    if by:
-        stats = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("_d")).agg(F.max("_d"))
-    else:
-        stats = df.agg(F.approx_count_distinct(value))
-    got = stats.first()[0]
-    return int(got or 0)
+def value_slice(value: Column, per_octave: int = SLICES_PER_OCTAVE) -> Column:
+    """Number of the fixed value range that holds ``value``; never falls as the value grows.
+
+    Each power of two has ``per_octave`` ranges of equal width; negative values mirror the positive ones. A
+    logarithm rounded up to the next power gives the last range below it, so order holds there as well.
+    """
+    v = value.cast("double")
+    size = F.abs(v)
+    octave = F.floor(F.log2(size))
+    inside = F.floor((size / F.pow(F.lit(2.0), octave) - 1.0) * per_octave)
+    rank = (octave + 1100) * per_octave + inside
+    top = F.lit(3000 * per_octave).cast("long")
+    finite = F.when(size < 1e-300, F.lit(1).cast("long")).otherwise(rank.cast("long"))
+    slice_ = F.when(F.isnan(v), top + 1).when(size == float("inf"), top).when(v == 0, F.lit(0).cast("long")).otherwise(finite)
+    return F.when(v < 0, -slice_).otherwise(slice_)
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
-              by: Sequence[str] = (), method: str = "auto",
-              max_bytes: int = MAX_BYTES_FOR_AGGREGATE, accuracy: int = 1_000_000) -> DataFrame:
-    """Per-group quantiles of ``value`` (NULLs ignored).
-
-    Returns one row per group (one row if ``by`` is empty) with a column per
-    name. ``method``: 'exact' (single aggregate), 'distributed' (rank based,
-    exact), 'approx' (percentile_approx, returns actual elements) or 'auto'
-    (single aggregate when the estimated input is at most ``max_bytes``,
-    distributed otherwise).
+              by: Sequence[str] = (), method: str = "exact", accuracy: int = 1_000_000) -> DataFrame:
+    """Per-group quantiles of ``value`` (NULL values ignored, NULL group keys are groups).
+
+    Returns one row per group (one row if ``by`` is empty) with a column per name. ``method``: 'exact' (default)
+    or 'approx' (percentile_approx, returns actual elements).
     """
     by = list(by)
     probs = [float(p) for p in probs]
-    if method == "auto":
-        method = "exact" if (estimated_bytes(df.select(*by, value)) <= max_bytes
-                             or _max_distinct(df, value, by) <= MAX_DISTINCT_FOR_AGGREGATE) else "distributed"
-    if method == "distributed":
-        return _distributed_quantiles(df, value, probs, names, by)
     src = df.where(F.col(value).isNotNull())
     if method == "approx":
-        agg = F.percentile_approx(F.col(value), probs, accuracy)
-    else:
-        agg = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs]))
-    out = (src.groupBy(*by) if by else src.groupBy()).agg(agg.alias("_q"))
-    return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-
-def _distributed_quantiles(df: DataFrame, value: str, probs: list[float], names: Sequence[str],
-                           by: list[str]) -> DataFrame:
-    spark = df.sparkSession
-    v = F.col(value)
-    counts = (df.where(v.isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n_parts, *by, value).withColumn("_pid", F.spark_partition_id())
-    grp = by + ["_pid"]
-    w_in = Window.partitionBy(*grp).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("_before_in", F.coalesce(F.sum("_c").over(w_in), F.lit(0)))
-    # Offsets of each (group, partition) slice: small, bounded by groups + partitions.
-    slices = ranged.groupBy(*grp).agg(F.sum("_c").alias("_slice"))
-    w_off = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if by \
-        else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (slices.withColumn("_offset", F.coalesce(F.sum("_slice").over(w_off), F.lit(0)))
-                    .withColumn("_n", F.sum("_slice").over(Window.partitionBy(*by)) if by
-                                else F.sum("_slice").over(Window.partitionBy(F.lit(1)))))
-    # Target 0-based ranks per group and probability.
-    prob_list = F.array(*[F.struct(F.lit(i).alias("_qi"), F.lit(p).alias("_p")) for i, p in enumerate(probs)])
-    targets = (slices.select(*by, "_n").distinct()
-               .select(*by, "_n", F.explode(prob_list).alias("_q")).select(*by, "_n", "_q._qi", "_q._p")
-               .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
-               .withColumn("_r_lo", F.floor("_h"))
-               .withColumn("_r_hi", F.ceil("_h")))
-    ranks = targets.select(*by, "_qi", "_h", F.explode(F.array("_r_lo", "_r_hi")).alias("_r")).distinct()
-    # Which slice holds each rank (small x small join).
-    cond = [ranks[k].eqNullSafe(slices[k]) for k in by] + [
-        slices["_offset"] <= ranks["_r"], ranks["_r"] < slices["_offset"] + slices["_slice"]]
-    located = ranks.join(slices, cond).select(*[ranks[k] for k in by], "_qi", "_h", "_r",
-                                              "_pid", "_offset")
-    # Pick the value at each rank: equi-join on (group, partition), then range filter.
-    located = located.withColumn("_local", F.col("_r") - F.col("_offset"))
-    keys = by + ["_pid"]
-    hit = ranged.join(located, keys).where(
-        (F.col("_before_in") <= F.col("_local")) & (F.col("_local") < F.col("_before_in") + F.col("_c")))
-    picked = hit.select(*by, "_qi", "_h", "_r", F.col(value).alias("_v"))
-    lohi = picked.groupBy(*by, "_qi", "_h").agg(
-        F.min_by("_v", "_r").alias("_v_lo"), F.max_by("_v", "_r").alias("_v_hi"))
-    q = F.col("_v_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_v_hi") - F.col("_v_lo"))
-    wide = lohi.groupBy(*by).pivot("_qi", list(range(len(probs)))).agg(F.first(q))
-    return wide.select(*by, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
+        out = src.groupBy(*by).agg(F.percentile_approx(F.col(value), probs, accuracy).alias("_q"))
+        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    counts = src.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_of_counts(counts, probs, names, by)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``quantiles`` from a table of distinct values ``_v`` and their counts ``_c`` per group."""
+    by = list(by)
+    keys = [*by, "_slice"]
+    inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (counts.withColumn("_slice", value_slice(F.col("_v")))
+              .withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0))))
+    # the rows below each range: at most one row per range and group
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    sums = ranked.groupBy(*keys).agg(F.sum("_c").alias("_s"))
+    sums = (sums.withColumn("_below", F.coalesce(F.sum("_s").over(
+        whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_n", F.sum("_s").over(whole)))
+    hits = [((F.col("_n") - 1) * F.lit(p)).between(F.col("_below") - 1, F.col("_below") + F.col("_s")) for p in probs]
+    needed = sums
+    if hits:  # only ranges that hold a wanted rank go on
+        any_hit = hits[0]
+        for h in hits[1:]:
+            any_hit = any_hit | h
+        needed = sums.where(any_hit)
+    right = needed.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_below", "_n")
+    on = ranked["_slice"] == right["_r__slice"]
+    for k in by:
+        on = on & ranked[k].eqNullSafe(right[f"_r_{k}"])
+    placed = ranked.join(right, on).withColumn("_first", F.col("_below") + F.col("_before"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c")), F.col("_v").cast("double")))
+
+    aggs = [F.max("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p)
+        aggs += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}")]
+    picked = placed.groupBy(*by).agg(*aggs)
+
+    def between(i: int, p: float) -> Column:
+        h = (F.col("_n") - 1) * F.lit(p)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.when(F.floor(h) == F.ceil(h), lo).otherwise((F.ceil(h) - h) * lo + (h - F.floor(h)) * hi)
+
+    return picked.select(*by, *[between(i, p).alias(n) for i, (p, n) in enumerate(zip(probs, names))])
 
 
 # ---------------------------------------------------------------------------
@@ -145,13 +135,13 @@ def _distributed_quantiles(df: DataFrame, value: str, probs: list[float], names:
 # ---------------------------------------------------------------------------
 
 def price_bounds(df: DataFrame, price: str = "price_egp", lo: float = R.PRICE_TRIM[0],
-                 hi: float = R.PRICE_TRIM[1], by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+                 hi: float = R.PRICE_TRIM[1], by: Sequence[str] = (), method: str = "exact") -> DataFrame:
     """q_lo / q_hi of price (one row, or one per ``by`` group)."""
     return quantiles(df, price, [lo, hi], ["price_q_lo", "price_q_hi"], by=by, method=method)
 
 
 def trim_price(df: DataFrame, price: str = "price_egp", lo: float = R.PRICE_TRIM[0],
-               hi: float = R.PRICE_TRIM[1], by: Sequence[str] = (), method: str = "auto",
+               hi: float = R.PRICE_TRIM[1], by: Sequence[str] = (), method: str = "exact",
                bounds: DataFrame | None = None) -> DataFrame:
     """G1: keep rows with price in [q_lo, q_hi] (inclusive) and add ``log_price``.
 
@@ -174,14 +164,15 @@ def add_group_count(df: DataFrame, key: str = "compound", out: str = "log_comp_s
                     log: bool = True) -> DataFrame:
     """log1p(rows per key), joined back.
 
-    The count is a map-side-combined aggregate (one row per key); AQE
-    broadcasts it at run time when it is small, otherwise the sort-merge join
-    is split by the skew-join rule for hot keys.
+    The count is a map-side-combined aggregate (one row per key). It is
+    written first, so that its size is known before the join is planned: a
+    small table is broadcast and the wide rows stay where they are, a large
+    one is a sort-merge join whose hot keys AQE splits.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     out_col = F.log1p(F.col("_n")) if log else F.col("_n")
-    counts = counts.select(key, out_col.alias(out))
-    return df.join(counts, key, "left")
+    counts = materialize(counts.select(key, out_col.alias(out)), "group_counts")
+    return df.join(broadcast_if_small(counts), key, "left")
 
 
 # ---------------------------------------------------------------------------
@@ -204,7 +195,7 @@ def ppsm_col(price: str = "price_egp", size: str = "size_sqm") -> Column:
 
 
 def iqr_fences(df: DataFrame, type_col: str = "type_clean", city: str = "city",
-               price: str = "price_egp", size: str = "size_sqm", method: str = "auto") -> DataFrame:
+               price: str = "price_egp", size: str = "size_sqm", method: str = "exact") -> DataFrame:
     """Per (city, size bin) fence = q75 + 3 IQR of price per sqm among apartments.
 
     Groups need >= 10 priced rows; no fence at all when there are fewer than
@@ -227,14 +218,14 @@ def iqr_fences(df: DataFrame, type_col: str = "type_clean", city: str = "city",
 
 def relabel_outliers(df: DataFrame, fences: DataFrame | None = None, type_col: str = "type_clean",
                      city: str = "city", price: str = "price_egp", size: str = "size_sqm",
-                     desc: str = "desc_clean", method: str = "auto") -> DataFrame:
+                     desc: str = "desc_clean", method: str = "exact") -> DataFrame:
     """Apartments priced above their fence and large (or penthouse-worded) are relabelled."""
     if fences is None:
         fences = iqr_fences(df, type_col, city, price, size, method)
-    f = fences.select(F.col(city).alias("_f_city"), F.col("fence_bin").alias("_f_bin"),
+    f = materialize(fences, "fences").select(F.col(city).alias("_f_city"), F.col("fence_bin").alias("_f_bin"),
                       F.col("upper_fence").alias("_fence"))
     with_bin = df.withColumn("_bin", fence_bin_col(size))
-    joined = with_bin.join(f, (with_bin[city] == f["_f_city"]) & (with_bin["_bin"] == f["_f_bin"])
+    joined = with_bin.join(broadcast_if_small(f), (with_bin[city] == f["_f_city"]) & (with_bin["_bin"] == f["_f_bin"])
                            & (with_bin[type_col] == "Apartment"), "left")
     s = F.col(size)
     pent = F.lower(F.coalesce(F.col(desc), F.lit(""))).contains("penthouse")

@@ -38,7 +38,7 @@ def parse_rows(df: DataFrame) -> DataFrame:
     return C.fix_mislabeled_types(df)
 
 
-def parse_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto",
+def parse_listings(raw: DataFrame, trim_by=(), quantile_method: str = "exact",
                    materialized: bool = True) -> DataFrame:
     """C1-C24 + G1-G2: priced, trimmed, parsed rows with the compound frequency.
 
@@ -54,13 +54,13 @@ def parse_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto",
     return S.add_group_count(df, "compound", "log_comp_size")
 
 
-def repair_types(df: DataFrame, quantile_method: str = "auto") -> DataFrame:
+def repair_types(df: DataFrame, quantile_method: str = "exact") -> DataFrame:
     """G3/G4 + C28 (before the type filter)."""
     df = S.relabel_outliers(df, method=quantile_method)
     return C.add_interaction_keys(df)
 
 
-def clean_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto",
+def clean_listings(raw: DataFrame, trim_by=(), quantile_method: str = "exact",
                    keep_all_columns: bool = False, materialized: bool = True) -> DataFrame:
     """The whole cleaning job. Unsupported types are dropped (see ``quarantine``)."""
     df = repair_types(parse_listings(raw, trim_by, quantile_method, materialized), quantile_method)
@@ -71,13 +71,13 @@ def clean_listings(raw: DataFrame, trim_by=(), quantile_method: str = "auto",
     return df.select(*cols)
 
 
-def quarantine(raw: DataFrame, trim_by=(), quantile_method: str = "auto") -> DataFrame:
+def quarantine(raw: DataFrame, trim_by=(), quantile_method: str = "exact") -> DataFrame:
     """Rows that reach the type filter with an unsupported type."""
     df = repair_types(parse_listings(raw, trim_by, quantile_method), quantile_method)
     return C.quarantine_unsupported(df).select("listing_id", "type_clean", "reject_reason")
 
 
-def quality_report(raw: DataFrame, quantile_method: str = "auto") -> DataFrame:
+def quality_report(raw: DataFrame, quantile_method: str = "exact") -> DataFrame:
     """J1 quality row: parse failures per column and the dropped-type count, one aggregate."""
     parsed = C.add_price(raw, drop_invalid=False)
     first = parsed.agg(

@@ -41,7 +41,7 @@ def prepare(clean: DataFrame, split_col: Column | None = None, fold_col: Column
     return E.add_folds(df, fold_col=fold_col)
 
 
-def fit(prepared: DataFrame, method: str = "auto") -> Encodings:
+def fit(prepared: DataFrame, method: str = "exact") -> Encodings:
     train = prepared.where(~F.col("is_test"))
     te_oof, te_map, te_gm = E.fit_target_encodings(train, R.TE_SMOOTHING)
     pps_oof, pps_map, pps_gm = E.fit_price_per_sqm(train, method=method)
@@ -52,11 +52,11 @@ def fit(prepared: DataFrame, method: str = "auto") -> Encodings:
 def encode_train(prepared: DataFrame, enc: Encodings) -> DataFrame:
     """Training rows with out-of-fold encodings."""
     train = prepared.where(~F.col("is_test"))
-    df = E.apply_target_encodings(train, enc.te_oof, enc.te_gm, TE_COLUMNS, fold="fold", id_col="listing_id")
+    df = E.apply_target_encodings(train, enc.te_oof, enc.te_gm, TE_COLUMNS, fold="fold")
     return E.apply_price_per_sqm(df, enc.pps_oof, enc.pps_gm, fold="fold")
 
 
 def encode_new(df: DataFrame, enc: Encodings) -> DataFrame:
     """Any rows (test or new listings) with the frozen full-train encodings."""
-    df = E.apply_target_encodings(df, enc.te_map, enc.te_gm, TE_COLUMNS, id_col="listing_id")
+    df = E.apply_target_encodings(df, enc.te_map, enc.te_gm, TE_COLUMNS)
     return E.apply_price_per_sqm(df, enc.pps_map, enc.pps_gm)

@@ -43,8 +43,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``; we only pick a local
-    scratch folder when the setting is absent (tests, local runs).
+    A cluster names it in ``spark.checkpoint.dir``; only a local master may go
+    without (tests, local runs), and then gets a scratch folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -54,7 +54,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="propval-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove what this library wrote below the shared checkpoint folder (any store that Hadoop reads)."""
+    base = checkpoint_dir(spark).rstrip("/")
+    for name in ("propval", "propval-stream", "llm"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

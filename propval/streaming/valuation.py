@@ -2,47 +2,65 @@
 
 Q1 stream_valuation: asks arriving as files -> stream-static joins with the
 fitted artefacts -> the same ``decide`` columns as batch -> append sink.
-Q2 event_window_stats: event stream with a watermark and tumbling windows;
-append mode emits each window once the watermark has passed its end.
-Both use an ``availableNow`` trigger for bounded runs and a checkpoint folder
-in the shared checkpoint location, so a restarted job resumes where it stopped.
+Q2 event_window_stats: event stream with a watermark and tumbling windows; every
+window that a micro-batch changed is written again, and the report shows each
+window's latest state, so no event waits for a watermark to pass.
+Q2 feedback_stats: the feedback log as a stream, summed per window in the same way.
+
+The caller names ``state_path``, a folder in shared storage that belongs to the
+job. Checkpoint and sink live below it: a job started again with the same path
+goes on where it stopped. All use an ``availableNow`` trigger for bounded runs.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propval.operators import decide as D
-from propval.session import checkpoint_dir
 
 
-def _run(stream_df: DataFrame, spark: SparkSession, name: str, output_mode: str = "append",
-         out_path: str | None = None) -> str:
-    base = os.path.join(checkpoint_dir(spark), "propval-stream", f"{name}-{uuid.uuid4().hex}")
-    out = out_path or os.path.join(base, "out")
-    q = (stream_df.writeStream.format("parquet").outputMode(output_mode)
-         .option("checkpointLocation", os.path.join(base, "checkpoint"))
+def _append(stream_df: DataFrame, state_path: str) -> DataFrame:
+    """Run what is available; all rows the job has ever appended."""
+    out = f"{state_path.rstrip('/')}/out"
+    q = (stream_df.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{state_path.rstrip('/')}/checkpoint")
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return out
+    return stream_df.sparkSession.read.schema(stream_df.schema).parquet(out)
+
+
+def _latest(stream_df: DataFrame, keys: list[str], state_path: str) -> DataFrame:
+    """Run what is available in update mode; the latest row of every key.
+
+    A micro-batch writes its changed rows below its own number; a batch that is run again after a failure
+    overwrites its first attempt.
+    """
+    out = f"{state_path.rstrip('/')}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = (stream_df.writeStream.foreachBatch(write).outputMode("update")
+         .option("checkpointLocation", f"{state_path.rstrip('/')}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    schema = T.StructType([*stream_df.schema.fields, T.StructField("batch", T.LongType())])
+    rest = [c for c in stream_df.columns if c not in keys]
+    rows = stream_df.sparkSession.read.schema(schema).parquet(out)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}") for c in stream_df.columns])
 
 
 def stream_valuation(spark: SparkSession, asks_path: str, schema: T.StructType, rarity: DataFrame,
-                     pps: DataFrame, pps_gm: DataFrame, out_path: str | None = None) -> DataFrame:
-    """Q1: decisions for every ask that lands in ``asks_path``; returns the sink as a DataFrame."""
+                     pps: DataFrame, pps_gm: DataFrame, state_path: str) -> DataFrame:
+    """Q1: decisions for every ask that has landed in ``asks_path`` since the job first ran."""
     asks = spark.readStream.schema(schema).parquet(asks_path)
-    decided = D.decide(asks, rarity, pps, pps_gm)
-    out = _run(decided, spark, "valuation", out_path=out_path)
-    return spark.read.parquet(out)
+    return _append(D.decide(asks, rarity, pps, pps_gm), state_path)
 
 
-def event_window_stats(spark: SparkSession, events_path: str, schema: T.StructType, window: str = "6 hours",
-                       watermark: str = "1 hour", out_path: str | None = None) -> DataFrame:
+def event_window_stats(spark: SparkSession, events_path: str, schema: T.StructType, state_path: str,
+                       window: str = "6 hours", watermark: str = "1 hour") -> DataFrame:
     """Q2 (streaming form): events per type and tumbling window, with a watermark for late data."""
     ev = spark.readStream.schema(schema).parquet(events_path)
     ev = ev.withColumn("event_time", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP, not NTZ
@@ -51,5 +69,16 @@ def event_window_stats(spark: SparkSession, events_path: str, schema: T.StructTy
            .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("avg_value")))
     flat = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                       F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n", "avg_value")
-    out = _run(flat, spark, "events", out_path=out_path)
-    return spark.read.parquet(out)
+    return _latest(flat, ["window_start", "window_end", "event_type"], state_path)
+
+
+def feedback_stats(spark: SparkSession, log_path: str, schema: T.StructType, state_path: str,
+                   window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    """Q2: feedback per window, type, alert and confidence, from the log read as a stream."""
+    fb = spark.readStream.schema(schema).parquet(log_path)
+    agg = (fb.withWatermark("timestamp", watermark)
+           .groupBy(F.window("timestamp", window).alias("w"), "type", "alert", "confidence")
+           .agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("feedback") == "up").cast("double")).alias("up_share"),
+                F.avg(F.abs(F.col("price") - F.col("predicted")) / F.col("price")).alias("mean_ape")))
+    flat = agg.select(F.col("w.start").alias("window_start"), "type", "alert", "confidence", "n", "up_share", "mean_ape")
+    return _latest(flat, ["window_start", "type", "alert", "confidence"], state_path)

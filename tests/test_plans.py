@@ -1,5 +1,6 @@
 """Physical plan checks: no Python evaluation in hot paths, pushdown, one shuffle for all encodings."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from propval.operators import encode as EN
@@ -35,18 +36,34 @@ def test_target_encodings_share_one_aggregation(spark):
     assert p.count("Generate explode") == 1
 
 
-def test_exact_and_distributed_quantiles_agree(spark):
-    df = spark.createDataFrame([(f"k{i % 4}", float((i * 37) % 101)) for i in range(400)] + [("k9", None)],
-                               "k string, v double")
-    a = {r.k: (r.q1, r.q2) for r in S.quantiles(df, "v", [0.1, 0.5], ["q1", "q2"], by=["k"], method="exact").collect()}
-    b = {r.k: (r.q1, r.q2) for r in
-         S.quantiles(df, "v", [0.1, 0.5], ["q1", "q2"], by=["k"], method="distributed").collect()}
-    assert set(a) == set(b) == {"k0", "k1", "k2", "k3"}
-    for k in a:
-        assert abs(a[k][0] - b[k][0]) < 1e-9 and abs(a[k][1] - b[k][1]) < 1e-9
-    g1 = S.quantiles(df, "v", [0.05, 0.95], ["lo", "hi"], method="exact").first()
-    g2 = S.quantiles(df, "v", [0.05, 0.95], ["lo", "hi"], method="distributed").first()
-    assert abs(g1.lo - g2.lo) < 1e-9 and abs(g1.hi - g2.hi) < 1e-9
+def test_quantiles_over_a_million_rows_with_a_hot_and_a_null_group(spark):
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 101 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("k"),
+        F.when(F.col("id") % 977 == 0, None).otherwise((F.pmod(F.xxhash64("id"), F.lit(10**7)) - 5 * 10**6) / 1000.0).alias("v"))
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    names = [f"q{i}" for i in range(5)]
+    want = df.toPandas().dropna(subset=["v"])
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.k: [r[c] for c in names] for r in S.quantiles(df, "v", probs, names, by=["k"]).collect()}
+        total = S.quantiles(df, "v", probs, names).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    groups = want.groupby("k", dropna=False).v
+    assert len(got) == groups.ngroups == 7 and None in got
+    for k, g in groups:
+        assert np.allclose(got[k if isinstance(k, str) else None], np.quantile(g, probs), rtol=0, atol=1e-9)
+    assert np.allclose(list(total), np.quantile(want.v, probs), rtol=0, atol=1e-9)
+
+
+def test_value_slices_never_fall(spark):
+    rng = np.random.default_rng(0)
+    v = np.unique(np.concatenate([rng.normal(size=2000) * 10.0 ** rng.integers(-12, 12, 2000), 2.0 ** np.arange(-60, 60),
+                                  np.nextafter(2.0 ** np.arange(-60, 60), 0), [0.0, -0.0, np.inf, -np.inf, 5e-324, 1e308]]))
+    rows = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", S.value_slice(F.col("v")).alias("s")).orderBy("v").collect()
+    s = [r.s for r in rows]
+    assert s == sorted(s)
 
 
 def test_fitted_tables_are_broadcast_after_size_check(spark):

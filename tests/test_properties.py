@@ -55,8 +55,8 @@ def test_unpivoted_encoding_path_matches_broadcast_path(spark):
     oof, full, gm = EN.fit_target_encodings(df, [("a", 20), ("b", 10)])
     cols = ["listing_id", "a_te", "b_te"]
     x = EN.apply_target_encodings(df, oof, gm, ["a", "b"], fold="fold").select(*cols)
-    y = EN.apply_target_encodings(df, oof, gm, ["a", "b"], fold="fold", id_col="listing_id",
+    y = EN.apply_target_encodings(df, oof, gm, ["a", "b"], fold="fold",
                                   max_broadcast_bytes=0).select(*cols)
     assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
-    p = EN.apply_target_encodings(df, full, gm, ["a", "b"], id_col="listing_id", max_broadcast_bytes=0)
+    p = EN.apply_target_encodings(df, full, gm, ["a", "b"], max_broadcast_bytes=0)
     assert p.where(F.col("a_te").isNull() | F.col("b_te").isNull()).count() == 0
