@@ -123,7 +123,7 @@ d4 AS (
 ),
 d5 AS (
   SELECT *, pred_c * vf AS pred_f, lo_c * vf AS lo_f, hi_c * vf AS hi_f,
-    pred_c <> pred_b OR pred_b <> pred AS calibrated
+    pred_c <> pred_b AS calibrated
   FROM d4
 ),
 d6 AS (

@@ -321,12 +321,17 @@ def coverage_score_col(df: DataFrame) -> Column:
 # ---------------------------------------------------------------------------
 
 def decide(df: DataFrame, rarity: DataFrame, pps: DataFrame, pps_gm: DataFrame,
-           keep_intermediate: bool = False) -> DataFrame:
-    """Bias, calibration, villa zone, band, hybrid alert, confidence, safety, reason."""
+           keep_intermediate: bool = False, legacy_note: bool = False) -> DataFrame:
+    """Bias, calibration, villa zone, band, hybrid alert, confidence, safety, reason.
+
+    The standalone note appears where the standalone discount (D2) changed the price; ``legacy_note`` also shows it
+    where only the bias factor did.
+    """
     cols = df.columns
     out = add_bias_correction(df)
     out = add_standalone_calibration(out)
-    out = out.withColumn("calibrated", (F.col("pred_c") != F.col("pred_b")) | (F.col("pred_b") != F.col("pred")))
+    calibrated = F.col("pred_c") != F.col("pred_b")
+    out = out.withColumn("calibrated", calibrated | (F.col("pred_b") != F.col("pred")) if legacy_note else calibrated)
     out = add_villa_correction(out)
     out = add_band(out)
     out = add_hybrid_alert(out)

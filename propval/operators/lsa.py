@@ -125,10 +125,14 @@ def fit_lsa(weights: DataFrame, id_col: str, vocab_size: int, k: int = R.LSA_COM
     return v
 
 
-def project(weights: DataFrame, id_col: str, v: np.ndarray, prefix: str = "lsa_") -> DataFrame:
-    """Document factors X V as columns lsa_0..lsa_{k-1} (broadcast of the bounded V)."""
+def project(weights: DataFrame, ids: DataFrame, id_col: str, v: np.ndarray, prefix: str = "lsa_") -> DataFrame:
+    """Document factors X V as columns lsa_0..lsa_{k-1} (broadcast of the bounded V).
+
+    Every document of ``ids`` has a row; one without a vocabulary term has zero factors.
+    """
     spark = weights.sparkSession
     k = v.shape[1]
     long = _times_small(weights, id_col, _small(spark, v, "term_index", "c", "m"))
     wide = long.groupBy(id_col).pivot("c", list(range(k))).agg(F.first("value"))
-    return wide.select(id_col, *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(k)])
+    return ids.select(id_col).join(wide, id_col, "left").select(
+        id_col, *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(k)])

@@ -871,10 +871,12 @@ def q_t19(spark, sf_dir):
 
 @query("t19_weights")
 def q_t19_weights(spark, sf_dir):
-    """Per document: number of vocabulary terms and the L2 norm of its weights (1.0)."""
-    w = _docs_weights(spark, sf_dir)
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"),
-                                   F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    """Per document: number of vocabulary terms and the L2 norm of its weights (1.0, or 0.0 without a term)."""
+    w = _docs_weights(spark, sf_dir).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    ids = read_table(spark, sf_dir, "documents").select("doc_id")
+    return ids.join(w, "doc_id", "left").select("doc_id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
+                                                F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
 @query("t19_listings")
@@ -892,7 +894,7 @@ def q_t20(spark, sf_dir):
     weights = _docs_weights(spark, sf_dir)
     size = vocab.count()
     v = LSA.fit_lsa(weights, "doc_id", size)
-    return LSA.project(weights, "doc_id", v)
+    return LSA.project(weights, read_table(spark, sf_dir, "documents"), "doc_id", v)
 
 
 # ---------------------------------------------------------------------------
@@ -928,7 +930,8 @@ def q_q2_feedback_stream(spark, sf_dir):
     landing, fb = _run_path(spark, "feedback_landing"), _feedback(spark, sf_dir)
     fb.write.parquet(landing)
     out = STREAM.feedback_stats(spark, landing, fb.schema, _run_path(spark, "feedback_job"))
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    # four digits: a sum's last bits depend on the order of its rows
+    return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "mean_ape": F.round("mean_ape", 4)})
 
 
 # ---------------------------------------------------------------------------
