@@ -550,7 +550,7 @@ FROM b
 GROUP BY ALL""", ["avg_value"])
 oracle("q2_feedback_stream", with_fb("SELECT date_trunc('day', TIMESTAMP '2024-01-01' + to_minutes(listing_id))::TIMESTAMP AS "
                                      "window_start, type, alert, confidence, count(*) AS n, avg(CAST(feedback = 'up' AS DOUBLE)) "
-                                     "AS up_share, round(avg(abs(price - predicted) / price), 4) AS mean_ape FROM fb GROUP BY ALL"),
+                                     "AS up_share, sum(CAST(round(abs(price - predicted) / price * 1e6) AS BIGINT)) / count(*) / 1e6 AS mean_ape FROM fb GROUP BY ALL"),
        ["up_share", "mean_ape"])
 
 # ---------------------------------------------------------------- decision helpers

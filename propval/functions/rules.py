@@ -303,7 +303,6 @@ TOP_IMPORTANCE, FEATURE_CAP = 50, 55
 TFIDF_MAX_FEATURES = 2000
 TFIDF_MIN_DF = 5
 TFIDF_MAX_DF = 0.85
-TOKEN_PATTERN = r"\b\w\w+\b"
 LSA_COMPONENTS = 25
 
 # ---------------------------------------------------------------------------
@@ -354,7 +353,6 @@ DEFAULT_STANDALONE_DISCOUNT = 0.82
 
 VILLA_CLUSTER_MEDIAN_P50 = {"urban": 18_500_000, "coastal": 6_200_000, "red_sea": 8_900_000}
 VILLA_CLUSTER_OVERALL_MEDIAN = 15_000_000
-VILLA_CLUSTER_MAPE = {"urban": 0.18, "coastal": 0.35, "red_sea": 0.28}
 VILLA_ZONE_THRESHOLDS = {
     "urban":   (0.65, 1.50),
     "coastal": (0.55, 1.70),
@@ -398,7 +396,7 @@ COVERAGE_WEIGHTS = {
     "view_score": 10,
     "financial_info": 15,
 }
-COVERAGE_OTHER_WEIGHT, COVERAGE_CAP, COVERAGE_EMPTY = 5, 100, 50.0
+COVERAGE_OTHER_WEIGHT, COVERAGE_CAP = 5, 100
 
 POOL_WORDS = ["pool", "swimming"]
 PREMIUM_DEVELOPERS = ["palm hills", "sodic", "orascom", "emaar",
@@ -604,4 +602,3 @@ PSI_EPS = 1e-4
 BIAS_WARNING_PCT = 20.0
 BIAS_MIN_N = 5
 MAPE_MIN_N = 10
-LOCATION_DOMINANCE_WARNING = 0.40

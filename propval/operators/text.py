@@ -78,7 +78,7 @@ def floor_cols(d: Column) -> list[Column]:
     g2 = extract(d, R.FLOOR_NUMBER, 2)
     numeric = _year(F.coalesce(g1, g2))
     level = F.coalesce(phrase, numeric)
-    return [F.least(F.greatest(level, F.lit(0.0)), F.lit(50.0)).alias("floor_level"),
+    return [F.least(F.greatest(level, F.lit(float(R.FLOOR_RANGE[0]))), F.lit(float(R.FLOOR_RANGE[1]))).alias("floor_level"),
             level.isNotNull().cast("int").alias("has_explicit_floor")]
 
 
@@ -136,7 +136,7 @@ def alias_pattern(aliases: list[str]) -> str:
     """One alternation: short aliases (<= 4 chars) need separators around them."""
     parts = []
     for a in aliases:
-        esc = re.escape(a.lower())
+        esc = re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", a.lower())  # only what a pattern reads as more than itself
         parts.append(rf"(?:^|\s){esc}(?:$|\s|\.|,|!)" if len(a) <= R.SHORT_ALIAS_MAX_LEN else esc)
     return "|".join(parts)
 

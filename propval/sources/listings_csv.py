@@ -14,13 +14,17 @@ RAW_SCHEMA = T.StructType(
     + [T.StructField("listed_at", T.StringType(), True)]
 )
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
                "mode": "PERMISSIVE"}
 
 
-def read_listings_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Read listing CSV files; every column is text so prices keep their raw form."""
-    reader = spark.read.schema(schema)
+def read_listings_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, multi_line: bool = False) -> DataFrame:
+    """Read listing CSV files; every column is text so prices keep their raw form.
+
+    By default a record is one line, and Spark splits large files. ``multi_line`` reads files whose quoted fields
+    hold line breaks; each file is then one task, so such a feed should come as many files of moderate size.
+    """
+    reader = spark.read.schema(schema).option("multiLine", multi_line)
     for k, v in CSV_OPTIONS.items():
         reader = reader.option(k, v)
     df = reader.csv(path)
