@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propval.llm.common import slices, table
 
@@ -399,7 +400,7 @@ def _content(docs: DataFrame, path: str):
 def encode(docs: DataFrame, keep: list[str], text: str, model: str, check: bool = False) -> DataFrame:
     """Columns ``keep`` of every row with ``ids``; with ``check`` also whether decoding gives the text back."""
     content = _content(docs, model)
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
     schema = schema.add("round_trip", "boolean") if check else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
