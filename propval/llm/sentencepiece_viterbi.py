@@ -1,8 +1,9 @@
 """Operator 10: SentencePiece encoding and decoding by batched numpy Viterbi.
 
-A text is cut into words at its spaces, which no piece crosses. New words of one length advance together: hashes
-of all their substrings probe the sorted hashes of the pieces, and per position a vectorised maximum over the piece
-lengths keeps the best path and its back-pointer.
+A text is cut into words wherever no piece holds the two characters side by side. New words of one length advance
+together: hashes of all their substrings probe the sorted hashes of the pieces, and per position a vectorised maximum
+over the piece lengths keeps the best path and its back-pointer. Words met before are found by their own hash in a
+bounded table of sorted keys, so that a slice of texts is encoded without a step per word.
 
 Unigram models maximise the sum of piece scores. BPE models ask for the merges' result instead of a sum; there a
 path may only put a piece behind another if the border between them holds (no merge across it would have come
@@ -33,8 +34,10 @@ UNIGRAM, BPE = 1, 2  # fixed values: kinds of models
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores this much less than the worst piece
 BASE = 0x9E3779B97F4A7C15  # odd base of the substring hash
 LONG = 48  # characters of a word up to which it is encoded in a batch and remembered
-WORDS = 300_000  # words remembered at once
-SLICE = 1 << 21  # characters handled at once
+WORDS = 200_000  # words remembered at once
+PAIRS = 400_000  # borders remembered at once
+FRESH = 20_000  # newly decided borders after which they are merged with the sorted ones
+SLICE = 1 << 20  # characters handled at once
 GROUP = 1 << 14  # words of one length that advance together
 
 
@@ -168,9 +171,24 @@ class Encoder:
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces share a hash; choose another base")
             self.probe[n] = (keys[order], np.array([usable[p] for p in ps])[order])
-        self.known: dict[int, bool] = {}
-        self.memo: dict[str, list[int]] = {}
+        # characters of pieces by number (0: in no piece), and which of them stand side by side inside a piece
+        inner = sorted({ch for p in usable for ch in p})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(ch) for ch in inner]] = np.arange(1, len(inner) + 1)
+        self.beside = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for p in usable:
+            at = self.number[[ord(ch) for ch in p]]
+            self.beside[at[:-1], at[1:]] = True
+        self.known: dict[int, bool] = {}  # borders decided since the sorted ones were last merged
+        self.pairs, self.held = np.array([-1], np.int64), np.array([False])
+        self.single: dict[int, bool] = {}  # borders that long words asked for
         self.spaces: dict[int, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table of words: sorted keys, and where each word's ids are."""
+        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
     @staticmethod
     def _prefix(points: np.ndarray) -> np.ndarray:
@@ -197,21 +215,29 @@ class Encoder:
         return out
 
     def _holds(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Whether borders hold, each distinct pair decided once."""
+        """Whether borders hold; each distinct pair is decided once and then found among the sorted pairs."""
         pairs, back = np.unique(before * len(self.symbols) + after, return_inverse=True)
-        known, out = self.known, np.empty(len(pairs), bool)
-        for i, pair in enumerate(pairs.tolist()):
-            held = known.get(pair)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        out = self.held[at]
+        for i in np.flatnonzero(self.pairs[at] != pairs).tolist():
+            pair = int(pairs[i])
+            held = self.known.get(pair)
             if held is None:
                 a, b = divmod(pair, len(self.symbols))
-                held = known[pair] = a == self.lone or b == self.lone or self.borders.keeps(self.symbols[a], self.symbols[b])
+                held = self.known[pair] = a == self.lone or b == self.lone or self.borders.keeps(self.symbols[a], self.symbols[b])
             out[i] = held
-        if len(known) > 8 * WORDS:
-            known.clear()
+        if len(self.known) > FRESH:
+            if len(self.pairs) > PAIRS:
+                self.pairs, self.held = self.pairs[:1], self.held[:1]
+            keys = np.append(self.pairs, np.array(list(self.known), np.int64))
+            held = np.append(self.held, np.array(list(self.known.values()), bool))
+            sort = np.argsort(keys)
+            self.pairs, self.held = keys[sort], held[sort]
+            self.known.clear()
         return out[back]
 
-    def viterbi(self, points: np.ndarray) -> list[list[int]]:
-        """Symbols of words of one length, given as a matrix of code points."""
+    def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words of one length, given as a matrix of code points: all in a row, and how many each word has."""
         words, n = points.shape
         found = self._found(points)
         best, last = np.full((words, n + 1), -np.inf), np.full((words, n + 1), -1, np.int64)
@@ -219,29 +245,42 @@ class Encoder:
         back = np.zeros((words, n + 1), np.int64)
         for end in range(1, n + 1):
             lengths = min(end, self.longest)
-            candidate = np.full((words, lengths), -np.inf)
-            for length in range(1, lengths + 1):
-                piece = found[:, end, length - 1]
-                ok = np.flatnonzero((piece >= 0) & (best[:, end - length] > -np.inf))
-                if self.bpe and end > length and len(ok):
-                    ok = ok[self._holds(last[ok, end - length], piece[ok])]
-                candidate[ok, length - 1] = best[ok, end - length] + (0.0 if self.bpe else self.score[piece[ok]])
+            piece = found[:, end, :lengths]  # column: length - 1
+            before, ahead = best[:, end - lengths:end][:, ::-1], last[:, end - lengths:end][:, ::-1]
+            ok = (piece >= 0) & (before > -np.inf)
+            if self.bpe:
+                w, c = np.nonzero(ok & (np.arange(lengths)[None] < end - 1))
+                if len(w):
+                    ok[w, c] = self._holds(ahead[w, c], piece[w, c])
+            candidate = np.where(ok, before if self.bpe else before + self.score[piece], -np.inf)
             back[:, end] = candidate.argmax(axis=1) + 1
             best[:, end] = candidate[np.arange(words), back[:, end] - 1]
             last[:, end] = found[np.arange(words), end, back[:, end] - 1]
         if not np.isfinite(best[:, n]).all():
             raise RuntimeError("a word has no path")
-        out: list[list[int]] = [[] for _ in range(words)]
-        at = np.full(words, n)
-        while (at > 0).any():
-            for w in np.flatnonzero(at > 0).tolist():
-                out[w].append(int(last[w, at[w]]))
-            at = np.where(at > 0, at - back[np.arange(words), at], 0)
-        return [x[::-1] for x in out]
+        taken, counts = np.zeros((words, n), np.int64), np.zeros(words, np.int64)
+        at, rows = np.full(words, n), np.arange(words)
+        while len(rows):
+            taken[rows, counts[rows]] = last[rows, at[rows]]
+            counts[rows] += 1
+            at[rows] -= back[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        nth = np.arange(n)[None]
+        behind = np.maximum(counts[:, None] - 1 - nth, 0)  # paths were found from the end
+        return taken[np.arange(words)[:, None], behind][nth < counts[:, None]], counts
+
+    def _border(self, before: int, after: int) -> bool:
+        pair = before * len(self.symbols) + after
+        held = self.single.get(pair)
+        if held is None:
+            if len(self.single) > PAIRS:
+                self.single.clear()
+            held = self.single[pair] = bool(self._holds(np.array([before]), np.array([after]))[0])
+        return held
 
     def walk(self, word: str) -> list[int]:
         """The same path for one long word."""
-        n, usable, get = len(word), self.usable, self.known.get
+        n, usable = len(word), self.usable
         best, last, back = [0.0] + [-np.inf] * n, [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
             for length in range(1, min(end, self.longest) + 1):
@@ -249,11 +288,8 @@ class Encoder:
                 if piece < 0 or best[end - length] == -np.inf:
                     continue
                 if self.bpe:
-                    if end > length:
-                        pair = last[end - length] * len(self.symbols) + piece
-                        held = get(pair)
-                        if not (self._holds(np.array([last[end - length]]), np.array([piece]))[0] if held is None else held):
-                            continue
+                    if end > length and not self._border(last[end - length], piece):
+                        continue
                     value = best[end - length]
                 else:
                     value = best[end - length] + self.score[piece]
@@ -283,19 +319,29 @@ class Encoder:
             was_unknown = s >= n
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encode new words together, those of one length in one go."""
-        if len(self.memo) > WORDS:
-            self.memo.clear()
-        groups: dict[int, list[str]] = {}
-        for w in words:
-            groups.setdefault(len(w), []).append(w)
-        for n, group in groups.items():
-            for i in range(0, len(group), GROUP):
-                part = group[i:i + GROUP]
-                points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(-1, n)
-                for w, symbols in zip(part, self.viterbi(points)):
-                    self.memo[w] = self._ids(symbols, w)
+    def learn(self, points: np.ndarray, keys: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Encode new words, those of one length in one go, and add them to the table."""
+        flat, first, count, order = [self.flat], [self.first], [self.count], [self.keys]
+        total, pieces = len(self.flat), len(self.model.pieces)
+        for n in np.unique(length).tolist():
+            of = np.flatnonzero(length == n)
+            for i in range(0, len(of), GROUP):
+                part = of[i:i + GROUP]
+                matrix = points[start[part, None] + np.arange(n)[None]]
+                symbols, counts = self.viterbi(matrix)
+                if (symbols >= pieces).any():  # characters without a piece
+                    ends = np.cumsum(counts)
+                    texts = [row.tobytes().decode("utf-32-le") for row in matrix]
+                    ids = [self._ids(symbols[e - c:e].tolist(), t) for e, c, t in zip(ends, counts, texts)]
+                    counts, symbols = np.array([len(x) for x in ids]), np.concatenate([np.array(x, np.int64) for x in ids])
+                flat.append(symbols.astype(np.int32))
+                first.append(total + np.cumsum(counts) - counts)
+                count.append(counts)
+                order.append(keys[part])
+                total += len(symbols)
+        self.flat, self.first, self.count, self.keys = map(np.concatenate, (flat, first, count, order))
+        sort = np.argsort(self.keys)
+        self.keys, self.first, self.count = self.keys[sort], self.first[sort], self.count[sort]
 
     def run_of_spaces(self, n: int) -> list[int]:
         """Ids of n spaces that no word took: neighbours merge from the left as long as a piece holds them."""
@@ -312,48 +358,72 @@ class Encoder:
                 self.spaces[n] = known
         return known
 
+    def _words(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of the words: borders are where texts start and where no piece holds both characters."""
+        number = self.number[points]
+        border = np.ones(len(points), bool)
+        border[1:] = ~self.beside[number[:-1], number[1:]]
+        border[starts] = True
+        start = np.flatnonzero(border)
+        return start, np.diff(np.append(start, len(points)))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [(t or "").replace(SPACE, " ").split(" ") if t else [] for t in texts]
-        first = SPACE if self.model.dummy_prefix else ""
-        new: set[str] = set()
-        for parts in cut:
-            for i in (0, *range(1, len(parts))) if parts else ():
-                w = parts[i]
-                if w:
-                    w = (first if i == 0 else SPACE) + w
-                    if len(w) <= LONG and w not in self.memo:
-                        new.add(w)
-        if new:
-            if len(self.memo) > WORDS:
-                new = {(first if i == 0 else SPACE) + w for parts in cut for i, w in enumerate(parts) if w and len(w) < LONG}
-            self.learn(new)
-        lone_space = self.usable.get(SPACE, self.lone)
-        memo, out = self.memo, []
-        for parts in cut:
-            ids: list[int] = []
-            free = 0  # spaces not yet taken by a word
-            for i, w in enumerate(parts):
-                mark = first if i == 0 else SPACE
-                if not w:
-                    free += len(mark)
-                    continue
-                word = mark + w
-                got = memo.get(word) if len(word) <= LONG else None
-                if got is None:
-                    got = self._ids(self.walk(word), word)
-                if free:
-                    if mark and got[0] == lone_space and self.bpe:
-                        ids += self.run_of_spaces(free + 1)
-                        got = got[1:]
-                    else:
-                        ids += self.run_of_spaces(free)
-                    free = 0
-                ids += got
-            if free:
-                ids += self.run_of_spaces(free)
-            out.append(np.array(ids, np.int32))
-        return out
+        mark = SPACE if self.model.dummy_prefix else ""
+        marked = [mark + t.replace(" ", SPACE) if t else "" for t in texts]
+        sizes = np.array([len(t) for t in marked], np.int64)
+        points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        if not len(points):
+            return [np.zeros(0, np.int32) for _ in texts]
+        offsets = np.cumsum(sizes) - sizes
+        start, length = self._words(points, offsets[sizes > 0])
+        # a word's key: its characters' powers of the base, brought to the word's start
+        powers = lambda base: np.cumprod(np.append(np.ones(1, np.uint64), np.full(len(points), base, np.uint64)))
+        power, back = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[:-1])])
+        key = (sums[start + length] - sums[start]) * back[start]
+        short = np.flatnonzero(length <= LONG)
+        distinct, example = np.unique(key[short], return_index=True)
+        example = short[example]
+        if len(self.keys) > WORDS:
+            self.forget()
+        at = np.searchsorted(self.keys, distinct)
+        new = at == len(self.keys)
+        new[~new] = self.keys[at[~new]] != distinct[~new]
+        if new.any():
+            self.learn(points, distinct[new], start[example[new]], length[example[new]])
+        place = np.searchsorted(self.keys, key[short])
+        first, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        first[short], count[short] = self.first[place], self.count[place]
+        flat = [self.flat]
+        total = len(self.flat)
+        for w in np.flatnonzero(length > LONG).tolist():  # walked one by one, not remembered
+            word = points[start[w]:start[w] + length[w]].tobytes().decode("utf-32-le")
+            ids = np.array(self._ids(self.walk(word), word), np.int32)
+            first[w], count[w] = total, len(ids)
+            flat.append(ids)
+            total += len(ids)
+        flat = np.concatenate(flat) if len(flat) > 1 else self.flat
+        ends = np.cumsum(count)
+        ids = flat[np.repeat(first - ends + count, count) + np.arange(ends[-1])]
+        text_of = np.repeat(np.searchsorted(offsets[sizes > 0], start, "right") - 1, count)
+        per_text = np.bincount(text_of, minlength=int((sizes > 0).sum()))
+        parts = iter(np.split(ids, np.cumsum(per_text)[:-1]))
+        return [self._merged(next(parts)) if n else np.zeros(0, np.int32) for n in sizes.tolist()]
+
+    def _merged(self, ids: np.ndarray) -> np.ndarray:
+        """Runs of spaces by their own rule; unknown characters in a row as one, where there are no byte pieces."""
+        lone = self.usable.get(SPACE) if self.runs else None
+        repeats = np.flatnonzero((ids[1:] == ids[:-1]) & ((ids[1:] == (-1 if lone is None else lone)) | (ids[1:] == self.unknown)))
+        if not len(repeats):
+            return ids
+        out, at = [], 0
+        for run in np.split(repeats, np.flatnonzero(np.diff(repeats) > 1) + 1):
+            a, n = int(run[0]), len(run) + 1
+            unknown = ids[a] == self.unknown
+            out += [ids[at:a], np.array([self.unknown] if unknown else self.run_of_spaces(n), np.int32)]
+            at = a + n
+        return np.concatenate([*out, ids[at:]]).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids."""
