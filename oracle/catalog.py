@@ -133,9 +133,18 @@ def _norm_sql(expr):
 def _feature_sql(norm):
     flags, srcs = [], []
     for feat, aliases in R.FEATURE_ALIASES.items():
-        pat = TX.alias_pattern(aliases).replace("'", "''")
-        flags.append(f"CAST(regexp_matches({norm}, '{pat}') AS INTEGER) AS feat_{feat}")
-        srcs.append(f"CASE WHEN regexp_matches({norm}, '{pat}') THEN 'nlp' ELSE 'none' END AS src_{feat}")
+        told = TS.any_alias(norm, aliases)
+        flags.append(f"CAST({told} AS INTEGER) AS feat_{feat}")
+        srcs.append(f"CASE WHEN {told} THEN 'nlp' ELSE 'none' END AS src_{feat}")
+    return flags, srcs
+
+
+def _checkbox_sql(norm):
+    flags, srcs = [], []
+    for i, (feat, aliases) in enumerate(R.FEATURE_ALIASES.items()):
+        told, turn = TS.any_alias(norm, aliases), f"(listing_id + {i}) % 4"
+        flags.append(f"CASE {turn} WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE CAST({told} AS INTEGER) END AS feat_{feat}")
+        srcs.append(f"CASE WHEN {turn} <> 0 THEN 'checkbox' WHEN {told} THEN 'nlp' ELSE 'none' END AS src_{feat}")
     return flags, srcs
 
 
@@ -146,6 +155,10 @@ _SCORE = " + ".join(f"feat_{f} * {R.FEATURE_WEIGHTS.get(f, 0)}" for f in R.FEATU
 _ACTIVE = "concat_ws(',', " + ", ".join(f"CASE WHEN feat_{f} = 1 THEN '{f}' END" for f in R.FEATURE_ALIASES) + ")"
 oracle("t15", with_clean(f"SELECT listing_id, {_norm_sql('description')} AS desc_norm FROM raw"))
 oracle("t16", f"SELECT listing_id, {', '.join('feat_' + f for f in R.FEATURE_ALIASES)} FROM ({_RENTAL_FEATS}) f")
+_boxed = [x for part in _checkbox_sql("norm") for x in part]
+_BOXED_FEATS = with_clean(f"SELECT listing_id, {', '.join(_boxed)} FROM "
+                          f"(SELECT listing_id, {_norm_sql('description')} AS norm FROM raw) r")
+oracle("t16_checkbox", f"SELECT *, CAST({_SCORE} AS INTEGER) AS feature_score FROM ({_BOXED_FEATS}) f")
 oracle("t17", f"SELECT listing_id, {', '.join('src_' + f for f in R.FEATURE_ALIASES)} FROM ({_RENTAL_FEATS}) f")
 oracle("t18", f"SELECT listing_id, CAST({_SCORE} AS INTEGER) AS feature_score, {_ACTIVE} AS active_features "
               f"FROM ({_RENTAL_FEATS}) f")
@@ -584,7 +597,9 @@ SELECT listing_id, quick_pred,
   CAST(printf('%.2f', quick_pred * 0.9 / 1000000) AS DOUBLE) AS min_range_m,
   CAST(printf('%.2f', quick_pred * 1.1 / 1000000) AS DOUBLE) AS max_range_m,
   CASE WHEN ask < quick_pred * 0.85 THEN 'GOOD DEAL' WHEN ask > quick_pred * 1.15 THEN 'OVERPRICED' ELSE 'FAIR' END
-    AS quick_alert
+    AS quick_alert,
+  'السعر ضمن النطاق المتوقع (' || regexp_replace(printf('%.2f', quick_pred * 0.9 / 1000000), '0$', '') || 'M-'
+    || regexp_replace(printf('%.2f', quick_pred * 1.1 / 1000000), '0$', '') || 'M) للعقارات المشابهة.' AS quick_reason
 FROM v""", ["quick_pred", "min_range_m", "max_range_m"])
 
 

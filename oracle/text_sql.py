@@ -39,6 +39,16 @@ def last_wins(expr: str, rules, default="NULL") -> str:
     return f"CASE {whens} ELSE {default} END"
 
 
+def any_alias(expr: str, aliases) -> str:
+    """True if a text holds one of the aliases; those of up to four characters only between separators."""
+    tests = []
+    for a in aliases:
+        word = "lower('" + a.replace("'", "''") + "')"
+        tests.append(f"contains({expr}, {word})" if len(a) > 4 else
+                     f"regexp_matches({expr}, '(^|\\s)' || regexp_escape({word}) || '($|[\\s.,!])')")
+    return "(" + " OR ".join(tests) + ")"
+
+
 def kw_select(desc: str = "desc_clean") -> str:
     k = f"regexp_replace(lower(coalesce({desc}, '')), 'http\\S+|www\\.\\S+', ' ', 'g')"
     flags = [f"{flag(k, p)} AS nlp_{n}" for n, p in R.KWS]

@@ -408,6 +408,8 @@ COVERAGE_AMENITIES = ["has_elevator", "has_garage", "has_security",
 FALLBACK_PRICE_PER_SQM = 36_500
 QUICK_RANGE = (0.9, 1.1)
 QUICK_GOOD_DEAL, QUICK_OVERPRICED = 0.85, 1.15
+# fixed value: the sentence users see, with the range in millions
+QUICK_REASON = "السعر ضمن النطاق المتوقع ({lo}M-{hi}M) للعقارات المشابهة."
 
 # reason texts
 AREA_FALLBACK_TEXT = "similar locations"

@@ -367,16 +367,22 @@ def listing_attributes(df: DataFrame, desc: str = "description", city: str = "ci
 
 
 def quick_valuation(df: DataFrame, ask: str = "ask", size: str = "size_sqm", pred: str = "pred") -> DataFrame:
-    """Predicted price (fallback size x 36,500), +-10 % range in millions, GOOD DEAL/FAIR/OVERPRICED."""
+    """Predicted price (fallback size x 36,500), +-10 % range in millions, GOOD DEAL/FAIR/OVERPRICED, reason.
+
+    The reason is NULL where there is neither a prediction nor a size.
+    """
     p = F.col(pred)
     value = F.when(p.isNotNull() & (p > 0), p).otherwise(F.col(size) * R.FALLBACK_PRICE_PER_SQM)
     df = df.withColumn("quick_pred", value)
     v = F.col("quick_pred")
-    lo = fmt.fixed(v * R.QUICK_RANGE[0] / 1_000_000, 2).cast("double")
-    hi = fmt.fixed(v * R.QUICK_RANGE[1] / 1_000_000, 2).cast("double")
+    lo, hi = [fmt.fixed(v * share / 1_000_000, 2) for share in R.QUICK_RANGE]
+    shortest = [F.regexp_replace(x, "0$", "") for x in (lo, hi)]  # 1.20 as 1.2, 1.00 as 1.0
+    before, between, after = R.QUICK_REASON.replace("{hi}", "{lo}").split("{lo}")
+    reason = F.concat(F.lit(before), shortest[0], F.lit(between), shortest[1], F.lit(after))
     alert = (F.when(F.col(ask) < v * R.QUICK_GOOD_DEAL, "GOOD DEAL")
              .when(F.col(ask) > v * R.QUICK_OVERPRICED, "OVERPRICED").otherwise("FAIR"))
-    return df.select("*", lo.alias("min_range_m"), hi.alias("max_range_m"), alert.alias("quick_alert"))
+    return df.select("*", lo.cast("double").alias("min_range_m"), hi.cast("double").alias("max_range_m"),
+                     alert.alias("quick_alert"), reason.alias("quick_reason"))
 
 
 def align_request(df: DataFrame, feature_names: list[str], bedrooms: str = "bedrooms",

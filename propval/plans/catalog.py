@@ -311,6 +311,18 @@ def q_t16(spark, sf_dir):
     return _rental_feats(spark, sf_dir).select("listing_id", *TX.feature_columns())
 
 
+@query("t16_checkbox")
+def q_t16_checkbox(spark, sf_dir):
+    """Rental features with a form's checkboxes, derived from the id: each is left out, yes, no or on."""
+    boxes = []
+    for i, feat in enumerate(TX.R.FEATURE_ALIASES):
+        turn = F.pmod(F.col("listing_id") + i, F.lit(4))
+        boxes += [F.lit(feat), F.when(turn == 1, "Yes").when(turn == 2, "no").when(turn == 3, "ON")]
+    df = _raw(spark, sf_dir).withColumn("boxes", F.create_map(*boxes))
+    return TX.add_rental_features(df, "description", "boxes").select(
+        "listing_id", *TX.feature_columns(), *TX.source_columns(), "feature_score")
+
+
 @query("t17")
 def q_t17(spark, sf_dir):
     return _rental_feats(spark, sf_dir).select("listing_id", *TX.source_columns())
@@ -526,7 +538,7 @@ def q_d16(spark, sf_dir):
 @query("d17")
 def q_d17(spark, sf_dir):
     df = D.quick_valuation(fixtures.scored(spark, sf_dir))
-    return df.select("listing_id", "quick_pred", "min_range_m", "max_range_m", "quick_alert")
+    return df.select("listing_id", "quick_pred", "min_range_m", "max_range_m", "quick_alert", "quick_reason")
 
 
 @query("d18")
