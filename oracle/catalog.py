@@ -81,6 +81,16 @@ GROUP BY city, type_clean"""), ["avg_price", "median_ppsm"])
 
 from oracle.clean_sql import TYPE_CASE  # noqa: E402
 
+_NORMAL = TYPE_CASE.format(c="type_fixed")
+oracle("j1_quality", with_clean(f"""
+SELECT (SELECT count(*) FROM s6) AS rows_in, (SELECT count(*) FROM s6 WHERE price_egp IS NULL) AS price_unparsed,
+       count(*) AS rows_trimmed, count(*) FILTER (WHERE size_sqm IS NULL) AS size_unparsed,
+       count(*) FILTER (WHERE bedrooms_n IS NULL) AS bedrooms_unparsed,
+       count(*) FILTER (WHERE bathrooms_n IS NULL) AS bathrooms_unparsed,
+       count(*) FILTER (WHERE ({_NORMAL}) IS NULL) AS types_dropped,
+       CAST(sum(CAST(suspicious AS INTEGER)) AS BIGINT) AS fence_relabelled
+FROM s8"""))
+
 oracle("c25", with_clean(f"SELECT listing_id, {TYPE_CASE.format(c='type_raw')} AS type_normalized FROM s6"))
 oracle("c26", with_clean(f"SELECT listing_id, {TYPE_CASE.format(c='type_raw')} AS type_clean FROM s6 "
                          f"WHERE {TYPE_CASE.format(c='type_raw')} IS NOT NULL"))
@@ -552,6 +562,18 @@ oracle("t19", "WITH " + _vocab_sql("documents", "doc_id", "text", "SELECT count(
 oracle("t19_listings", f"WITH {DS.CLEAN_CTES}, {DS.ENC_CTES}, "
        + _vocab_sql("train", "listing_id", "desc_clean", "SELECT count(*) AS n_docs FROM train"), ["idf"])
 
+_W_TOK = _TOKENS.format(t="text")
+oracle("t19_weights", f"""
+WITH v AS (WITH {_vocab_sql("documents", "doc_id", "text", "SELECT count(*) AS n_docs FROM documents")}),
+wt AS (SELECT doc_id, {_W_TOK} AS t FROM documents),
+wterms AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term
+           FROM wt),
+raw_w AS (SELECT doc_id, (1.0 + ln(count(*))) * idf AS w FROM wterms JOIN v USING (term) GROUP BY doc_id, term, idf),
+per_doc AS (SELECT doc_id, count(*) AS n_terms, sum(w) / sqrt(sum(w * w)) AS sum_weight FROM raw_w GROUP BY doc_id)
+SELECT doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(sum_weight, 0.0) AS sum_weight,
+       CAST(CASE WHEN n_terms > 0 THEN 1 ELSE 0 END AS DOUBLE) AS norm
+FROM documents LEFT JOIN per_doc USING (doc_id)""", ["sum_weight", "norm"])
+
 # ---------------------------------------------------------------- streaming
 oracle("q1", DS.with_decide("SELECT listing_id, alert, confidence, confidence_score, reason, ratio, zone, "
                             "down_payment_warning FROM d14"), ["ratio"])

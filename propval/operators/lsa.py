@@ -1,21 +1,25 @@
 """TF-IDF vocabulary/weights (T19) and LSA factors (T20), Spark-native.
 
 T19: tokens are maximal runs of >= 2 word characters of the lower-cased text,
-plus bigrams of consecutive tokens. Term statistics are one groupBy over the
-exploded (doc, term) pairs; the vocabulary keeps terms with df >= min_df and
-df <= max_df * n_docs, then the ``max_features`` most frequent (ties by term),
-indexed alphabetically. Weights: (1 + ln tf) * idf with the smoothed
-idf = ln((1 + n) / (1 + df)) + 1, L2-normalised per document.
-
-T20: randomized truncated SVD of the (docs x vocab) matrix. Every pass over
-the data is a join of the sparse long table with a small broadcast matrix
-(vocab x (k + p), bounded by the vocabulary cap) and a groupBy; the driver
-only factorises (k + p) x (k + p) and (k + p) x vocab matrices.
+plus bigrams of consecutive tokens. Term statistics are one groupBy on the
+term alone (a document marks the first use of each of its terms, so document
+and corpus frequency come from one map-side-combined aggregate). The vocabulary
+keeps terms with df >= min_df and df <= max_df * n_docs, then the
+``max_features`` most frequent (ties by term), indexed alphabetically. Weights:
+(1 + ln tf) * idf with the smoothed idf = ln((1 + n) / (1 + df)) + 1,
+L2-normalised per document; they are recounted from the texts against the
+broadcast vocabulary, one row per document.
+
+T20: truncated SVD of the (docs x vocab) matrix by its Gram matrix
+(``RowMatrix``, one pass over the documents). The driver factorises the
+vocab x vocab matrix, bounded by the vocabulary cap.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.mllib.linalg import Vectors, VectorUDT
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ from propval.functions.regex import java
 from propval.operators.stats import attach_scalars
 
 TOKEN_RUN = r"[\p{L}\p{N}_]{2,}"  # same tokens as \b\w\w+\b with Python's Unicode \w
+MAX_VOCABULARY = 5000  # terms: the Gram matrix that the driver factorises holds the square of it
 
 
 def terms_col(text: str):
@@ -35,17 +40,23 @@ def terms_col(text: str):
     return F.concat(toks, bigrams)
 
 
-def term_frequencies(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, term, tf) for every document (whole texts)."""
-    return (docs.select(id_col, F.explode(terms_col(text)).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+def term_statistics(docs: DataFrame, text: str) -> DataFrame:
+    """(term, df, total_tf) over whole texts; rows leave their task as partial sums per term."""
+    terms = docs.select(terms_col(text).alias("_t"))
+    uses = F.concat(
+        F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"), F.lit(0).alias("use"))),
+        F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(0).alias("doc"), F.lit(1).alias("use"))))
+    return (terms.select(F.explode(uses).alias("_u")).groupBy("_u.term")
+            .agg(F.sum("_u.doc").alias("df"), F.sum("_u.use").alias("total_tf")))
 
 
-def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, id_col: str, max_features: int = R.TFIDF_MAX_FEATURES,
+def fit_vocabulary(docs: DataFrame, text: str, max_features: int = R.TFIDF_MAX_FEATURES,
                    min_df: int = R.TFIDF_MIN_DF, max_df: float = R.TFIDF_MAX_DF) -> DataFrame:
-    """(term_index, term, df, total_tf, idf). ``n_docs`` is a one-row DataFrame with column n_docs."""
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
-    stats = attach_scalars(stats, n_docs).where(
+    """(term_index, term, df, total_tf, idf)."""
+    if max_features > MAX_VOCABULARY:
+        raise ValueError(f"max_features is {max_features}; at most {MAX_VOCABULARY} terms can be broadcast and factorised")
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    stats = attach_scalars(term_statistics(docs, text), n_docs).where(
         (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
     top = stats.orderBy(F.col("total_tf").desc(), F.col("term").asc()).limit(max_features)
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
@@ -55,84 +66,48 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, id_col: str, max_features:
                       idf.alias("idf"))
 
 
-def tfidf_weights(tf: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
-    """(doc, term_index, weight) with sublinear tf, idf and per-document L2 normalisation."""
-    v = F.broadcast(vocab.select("term", "term_index", "idf"))  # bounded by max_features
-    raw = tf.join(v, "term").select(id_col, "term_index",
-                                    ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("w"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norm, id_col).select(id_col, "term_index", (F.col("w") / F.col("_norm")).alias("weight"))
-
-
-def _small(spark, mat: np.ndarray, row: str, col: str, val: str) -> DataFrame:
-    rows = [(int(i), int(j), float(mat[i, j])) for i in range(mat.shape[0]) for j in range(mat.shape[1])]
-    return spark.createDataFrame(rows, f"{row} int, {col} int, {val} double")
-
-
-def _times_small(x: DataFrame, id_col: str, small: DataFrame) -> DataFrame:
-    """(doc, c, value) = X (doc, term_index, weight) . small (term_index, c, m)."""
-    return (x.join(F.broadcast(small), "term_index")
-            .groupBy(id_col, "c").agg(F.sum(F.col("weight") * F.col("m")).alias("value")))
-
+def tfidf_weights(docs: DataFrame, vocab: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc, entries): the document's (term_index, weight) by index; documents without a vocabulary term have no row.
 
-def _gram(y: DataFrame, id_col: str, k: int) -> np.ndarray:
-    """Y^T Y for a (doc, c, value) table, as one aggregate over per-document arrays."""
-    arr = y.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("_m"))
-    vec = [F.coalesce(F.col("_m")[i], F.lit(0.0)) for i in range(k)]
-    aggs = [F.sum(vec[i] * vec[j]).alias(f"g_{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = arr.agg(*aggs).first()
-    g = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            g[i, j] = g[j, i] = row[f"g_{i}_{j}"] or 0.0
-    return g
-
-
-def _xt_times(x: DataFrame, y: DataFrame, id_col: str, vocab_size: int, k: int) -> np.ndarray:
-    """X^T Y (vocab x k) via a join on the document id and a (term, c) aggregate (vocab x k rows)."""
-    z = (x.join(y, id_col).groupBy("term_index", "c")
-         .agg(F.sum(F.col("weight") * F.col("value")).alias("z")).collect())
+    Sublinear tf, idf and per-document L2 normalisation. A row holds at most one entry per vocabulary term.
+    """
+    v = F.broadcast(vocab.select("term", "term_index", "idf"))  # bounded by max_features
+    used = docs.select(id_col, F.explode(terms_col(text)).alias("term")).join(v, "term")
+    counts = used.groupBy(id_col, "term_index", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    raw = counts.select(id_col, "term_index", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("weight"))
+    rows = raw.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("entries"))
+    norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
+    return rows.withColumn("_norm", norm).select(id_col, F.transform("entries", lambda e: F.struct(
+        e["term_index"].alias("term_index"), (e["weight"] / F.col("_norm")).alias("weight"))).alias("entries"))
+
+
+def fit_lsa(weights: DataFrame, vocab_size: int, k: int = R.LSA_COMPONENTS) -> np.ndarray:
+    """Right singular vectors V (vocab x k) of the weights; signs fixed so each column's largest-magnitude
+    loading is positive. Columns beyond the rank are zero."""
     out = np.zeros((vocab_size, k))
-    for r in z:
-        out[r["term_index"], r["c"]] = r["z"]
+    if vocab_size == 0 or weights.isEmpty():
+        return out
+    # a task's rows become library vectors; the library's matrix takes no other column type
+    sparse = F.udf(lambda entries: Vectors.sparse(vocab_size, [(e.term_index, e.weight) for e in entries]), VectorUDT())
+    gram = RowMatrix(weights.select(sparse("entries").alias("row")), numCols=vocab_size).computeGramianMatrix().toArray()
+    values, vectors = np.linalg.eigh(gram)
+    kept = [i for i in np.argsort(-values, kind="stable")[:k] if values[i] > values.max() * 1e-12]
+    for j, i in enumerate(kept):
+        v = vectors[:, i]
+        out[:, j] = v if v[np.argmax(np.abs(v))] > 0 else -v
     return out
 
 
-def fit_lsa(weights: DataFrame, id_col: str, vocab_size: int, k: int = R.LSA_COMPONENTS,
-            oversample: int = 10, n_iter: int = 2, seed: int = R.SEED) -> np.ndarray:
-    """Right singular vectors V (vocab x k) by randomized SVD; signs fixed so each column's
-    largest-magnitude loading is positive."""
-    spark = weights.sparkSession
-    kk = min(k + oversample, vocab_size)
-    rng = np.random.default_rng(seed)
-    omega = rng.standard_normal((vocab_size, kk))
-    y = _times_small(weights, id_col, _small(spark, omega, "term_index", "c", "m"))
-    for _ in range(n_iter):
-        z = _xt_times(weights, y, id_col, vocab_size, kk)           # X^T Y
-        q, _ = np.linalg.qr(z)                                        # orthonormal basis in term space
-        y = _times_small(weights, id_col, _small(spark, q, "term_index", "c", "m"))   # X Q
-    g = _gram(y, id_col, kk)
-    # Cholesky-QR of Y: Q_y = Y R^-1 with R^T R = Y^T Y (small)
-    evals, evecs = np.linalg.eigh(g)
-    keep = evals > evals.max() * 1e-12
-    r_inv = evecs[:, keep] / np.sqrt(evals[keep])                    # Y r_inv has orthonormal columns
-    b = (_xt_times(weights, y, id_col, vocab_size, kk) @ r_inv).T     # (Q_y^T X) : rank x vocab
-    _, _, vt = np.linalg.svd(b, full_matrices=False)
-    v = vt[:k].T
-    for j in range(v.shape[1]):
-        if v[np.argmax(np.abs(v[:, j])), j] < 0:
-            v[:, j] = -v[:, j]
-    return v
-
-
-def project(weights: DataFrame, ids: DataFrame, id_col: str, v: np.ndarray, prefix: str = "lsa_") -> DataFrame:
-    """Document factors X V as columns lsa_0..lsa_{k-1} (broadcast of the bounded V).
-
-    Every document of ``ids`` has a row; one without a vocabulary term has zero factors.
+def project(df: DataFrame, weights: DataFrame, id_col: str, v: np.ndarray, prefix: str = "lsa_") -> DataFrame:
+    """``df`` with its documents' factors X V as columns lsa_0..lsa_{k-1} (broadcast of the bounded V).
+
+    Every row of ``df`` stays; one without a vocabulary term has zero factors.
     """
-    spark = weights.sparkSession
-    k = v.shape[1]
-    long = _times_small(weights, id_col, _small(spark, v, "term_index", "c", "m"))
-    wide = long.groupBy(id_col).pivot("c", list(range(k))).agg(F.first("value"))
-    return ids.select(id_col).join(wide, id_col, "left").select(
-        id_col, *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(k)])
+    spark, k = df.sparkSession, v.shape[1]
+    names = [f"{prefix}{j}" for j in range(k)]
+    small = spark.createDataFrame([(i, row) for i, row in enumerate(v.tolist())], "term_index int, _v array<double>")
+    long = weights.select(id_col, F.explode("entries").alias("_e")).select(id_col, "_e.term_index", "_e.weight")
+    # the entries of a document lie in one task: the partial sums leave one row per document to shuffle
+    sums = (long.join(F.broadcast(small), "term_index").groupBy(id_col)
+            .agg(*[F.sum(F.col("weight") * F.col("_v")[j]).alias(n) for j, n in enumerate(names)]))
+    return df.join(sums, id_col, "left").select(*df.columns, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])

@@ -754,6 +754,16 @@ from propval.operators import model as M  # noqa: E402
 MODEL_ITER = 10
 
 
+def _with_factors(prepared, df):
+    """``df`` with the text factors of its descriptions; vocabulary and factors are fitted on the training rows."""
+    text = prepared.select("listing_id", "desc_clean")
+    train = prepared.where(~F.col("is_test")).select("listing_id", "desc_clean")
+    vocab = materialize(LSA.fit_vocabulary(train, "desc_clean"), "desc_vocab")
+    weights = materialize(LSA.tfidf_weights(text, vocab, "listing_id", "desc_clean"), "desc_tfidf")
+    v = LSA.fit_lsa(weights.join(train.select("listing_id"), "listing_id", "left_semi"), vocab.count())
+    return LSA.project(df, weights, "listing_id", v)
+
+
 def _model_table(spark, sf_dir):
     """M8: features for train rows (OOF encodings) and test rows (frozen encodings), written once."""
     key = ("model_table", sf_dir, id(spark))
@@ -761,7 +771,8 @@ def _model_table(spark, sf_dir):
         prepared, enc = _prepared(spark, sf_dir), _encodings(spark, sf_dir)
         train = EJ.encode_train(prepared, enc)
         test = EJ.encode_new(prepared.where(F.col("is_test")), enc)
-        both = materialize(M.build_features(train.unionByName(test)), "model_features")
+        both = _with_factors(prepared, M.build_features(train.unionByName(test)))
+        both = materialize(both, "model_features")
         cols = M.candidate_columns(both)
         table = E.fit_impute_clip(both.where(~F.col("is_test")), cols)
         both = E.apply_impute_clip(both, table, cols)
@@ -855,58 +866,55 @@ def q_m6(spark, sf_dir):
 from propval.operators import lsa as LSA  # noqa: E402
 
 
-def _docs_tfidf(spark, sf_dir):
-    """(tf, vocab) for the documents table, written once per session."""
-    key = ("tfidf", sf_dir, id(spark))
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _docs_vocab(spark, sf_dir):
+    key = ("vocab", sf_dir, id(spark))
     if key not in _CACHE:
-        docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-        tf = materialize(LSA.term_frequencies(docs, "doc_id", "text"), "doc_tf")
-        n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-        vocab = materialize(LSA.fit_vocabulary(tf, n_docs, "doc_id"), "doc_vocab")
-        _CACHE[key] = (tf, vocab)
+        _CACHE[key] = materialize(LSA.fit_vocabulary(_docs(spark, sf_dir), "text"), "doc_vocab")
     return _CACHE[key]
 
 
 def _docs_weights(spark, sf_dir):
     key = ("tfidf_w", sf_dir, id(spark))
     if key not in _CACHE:
-        tf, vocab = _docs_tfidf(spark, sf_dir)
-        _CACHE[key] = materialize(LSA.tfidf_weights(tf, vocab, "doc_id"), "doc_tfidf")
+        weights = LSA.tfidf_weights(_docs(spark, sf_dir), _docs_vocab(spark, sf_dir), "doc_id", "text")
+        _CACHE[key] = materialize(weights, "doc_tfidf")
     return _CACHE[key]
 
 
 @query("t19")
 def q_t19(spark, sf_dir):
     """Vocabulary with document frequency, corpus frequency and smoothed idf."""
-    return _docs_tfidf(spark, sf_dir)[1]
+    return _docs_vocab(spark, sf_dir)
 
 
 @query("t19_weights")
 def q_t19_weights(spark, sf_dir):
-    """Per document: number of vocabulary terms and the L2 norm of its weights (1.0, or 0.0 without a term)."""
-    w = _docs_weights(spark, sf_dir).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    """Per document: its vocabulary terms, the sum of its weights and their L2 norm (1.0, or 0.0 without a term)."""
+    def total(of):
+        return F.aggregate("entries", F.lit(0.0), lambda s, e: s + of(e["weight"]))
+
+    w = _docs_weights(spark, sf_dir).select("doc_id", F.size("entries").cast("long").alias("n_terms"),
+                                            total(lambda x: x).alias("sum_weight"), F.sqrt(total(lambda x: x * x)).alias("norm"))
     ids = read_table(spark, sf_dir, "documents").select("doc_id")
-    return ids.join(w, "doc_id", "left").select("doc_id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
-                                                F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    return ids.join(w, "doc_id", "left").na.fill({"n_terms": 0, "sum_weight": 0.0, "norm": 0.0})
 
 
 @query("t19_listings")
 def q_t19_listings(spark, sf_dir):
     """Vocabulary fitted on the training listings' descriptions."""
-    train = _prepared(spark, sf_dir).where(~F.col("is_test")).select("listing_id", "desc_clean")
-    tf = LSA.term_frequencies(train, "listing_id", "desc_clean")
-    return LSA.fit_vocabulary(tf, train.agg(F.count(F.lit(1)).alias("n_docs")), "listing_id")
+    return LSA.fit_vocabulary(_prepared(spark, sf_dir).where(~F.col("is_test")), "desc_clean")
 
 
 @query("t20")
 def q_t20(spark, sf_dir):
-    """25 LSA factors per document (randomized SVD, signs fixed)."""
-    _, vocab = _docs_tfidf(spark, sf_dir)
+    """25 LSA factors per document (truncated SVD, signs fixed)."""
     weights = _docs_weights(spark, sf_dir)
-    size = vocab.count()
-    v = LSA.fit_lsa(weights, "doc_id", size)
-    return LSA.project(weights, read_table(spark, sf_dir, "documents"), "doc_id", v)
+    v = LSA.fit_lsa(weights, _docs_vocab(spark, sf_dir).count())
+    return LSA.project(read_table(spark, sf_dir, "documents").select("doc_id"), weights, "doc_id", v)
 
 
 # ---------------------------------------------------------------------------
