@@ -296,6 +296,8 @@ MUST_KEEP = [
     "size_sqm_inv",
 ]
 TOP_IMPORTANCE, FEATURE_CAP = 50, 55
+SELECTION_ROUNDS = 300
+ENSEMBLE_ROUNDS = 3000  # at most; early stopping decides
 
 # ---------------------------------------------------------------------------
 # TF-IDF / LSA

@@ -751,8 +751,6 @@ def q_q3_events(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from propval.operators import model as M  # noqa: E402
 
-MODEL_ITER = 10
-
 
 def _with_factors(prepared, df):
     """``df`` with the text factors of its descriptions; vocabulary and factors are fitted on the training rows."""
@@ -786,19 +784,25 @@ def q_m8(spark, sf_dir):
     return df.select("listing_id", "is_test", "fold", *cols)
 
 
+def _chosen(spark, sf_dir):
+    """M1's columns, fitted once per session."""
+    key = ("chosen", sf_dir, id(spark))
+    if key not in _CACHE:
+        df, cols = _model_table(spark, sf_dir)
+        _CACHE[key] = M.select_features(df.where(~F.col("is_test")), cols)
+    return _CACHE[key]
+
+
 @query("m1")
 def q_m1(spark, sf_dir):
-    df, cols = _model_table(spark, sf_dir)
-    chosen = M.select_features(df.where(~F.col("is_test")), cols, max_iter=MODEL_ITER)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "rank int, feature string")
+    return spark.createDataFrame(list(enumerate(_chosen(spark, sf_dir))), "rank int, feature string")
 
 
 def _ensemble(spark, sf_dir):
     key = ("ensemble", sf_dir, id(spark))
     if key not in _CACHE:
-        df, cols = _model_table(spark, sf_dir)
-        chosen = [c for c in RULES.MUST_KEEP if c in cols] + [c for c in M.KW_FEATURES if c in cols][:10]
-        _CACHE[key] = M.train_fold_ensemble(df.where(~F.col("is_test")), chosen, max_iter=MODEL_ITER, max_depth=5)
+        df, _ = _model_table(spark, sf_dir)
+        _CACHE[key] = M.train_fold_ensemble(df.where(~F.col("is_test")), _chosen(spark, sf_dir))
     return _CACHE[key]
 
 
@@ -823,9 +827,9 @@ def q_m2_interval(spark, sf_dir):
 
 @query("m7")
 def q_m7(spark, sf_dir):
-    df, cols = _model_table(spark, sf_dir)
-    chosen = [c for c in RULES.MUST_KEEP if c in cols]
-    models = M.train_per_type(df.where(~F.col("is_test")), chosen, max_iter=MODEL_ITER)
+    df, _ = _model_table(spark, sf_dir)
+    chosen = _chosen(spark, sf_dir)
+    models = M.train_per_type(df.where(~F.col("is_test")), chosen)
     scored = M.route_predict(df.where(F.col("is_test")).select("listing_id", "type_clean", *chosen), models, chosen)
     return scored.select("listing_id", "type_clean", "prediction")
 
