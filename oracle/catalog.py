@@ -91,6 +91,17 @@ SELECT (SELECT count(*) FROM s6) AS rows_in, (SELECT count(*) FROM s6 WHERE pric
        CAST(sum(CAST(suspicious AS INTEGER)) AS BIGINT) AS fence_relabelled
 FROM s8"""))
 
+_ASK_TYPE = TYPE_CASE.format(c="type_kw")
+oracle("j1_asks", with_clean(f"""
+SELECT v.listing_id, {_ASK_TYPE} AS type_clean, v.compound, v.price_egp, n.log_comp_size, v.size_sqm
+FROM valid v LEFT JOIN (SELECT compound, ln(1 + count(*)) AS log_comp_size FROM trimmed
+                        WHERE compound IS NOT NULL GROUP BY compound) n ON v.compound = n.compound
+WHERE {_ASK_TYPE} IS NOT NULL"""), ["price_egp", "log_comp_size", "size_sqm"])
+
+oracle("j6_by_type", with_clean(f"""
+SELECT {_ASK_TYPE} AS type_clean, count(*) AS n_asks, count(*) AS n_ordered, count(*) AS n_decided
+FROM valid WHERE {_ASK_TYPE} IS NOT NULL GROUP BY 1"""))
+
 oracle("c25", with_clean(f"SELECT listing_id, {TYPE_CASE.format(c='type_raw')} AS type_normalized FROM s6"))
 oracle("c26", with_clean(f"SELECT listing_id, {TYPE_CASE.format(c='type_raw')} AS type_clean FROM s6 "
                          f"WHERE {TYPE_CASE.format(c='type_raw')} IS NOT NULL"))

@@ -36,16 +36,18 @@ def _raw(spark, sf_dir):
     return fixtures.listings(spark, sf_dir)
 
 
-def _clean(spark, sf_dir, **kw):
-    """J1 output; with default options it is written once per session and shared by later queries."""
-    if kw:
-        return J.clean_listings(_raw(spark, sf_dir), **kw)
-    key = ("clean", sf_dir, id(spark))
+def _j1(spark, sf_dir) -> J.CleanRun:
+    """J1 with default options, run once per session and shared by later queries."""
+    key = ("j1", sf_dir, id(spark))
     if key not in _CACHE:
-        _CACHE[key] = materialize(J.clean_listings(_raw(spark, sf_dir)), "clean_listings")
+        _CACHE[key] = J.run_clean(_raw(spark, sf_dir))
     return _CACHE[key]
 
 
+def _clean(spark, sf_dir, **kw):
+    return J.clean_listings(_raw(spark, sf_dir), **kw) if kw else _j1(spark, sf_dir).clean
+
+
 # ---------------------------------------------------------------------------
 # Sources
 # ---------------------------------------------------------------------------
@@ -171,7 +173,7 @@ def q_c26(spark, sf_dir):
 
 @query("c27")
 def q_c27(spark, sf_dir):
-    return J.quarantine(_raw(spark, sf_dir))
+    return _j1(spark, sf_dir).quarantine
 
 
 @query("c28")
@@ -207,7 +209,7 @@ def q_g2(spark, sf_dir):
 
 
 def _pre_fence(spark, sf_dir):
-    return J.parse_listings(_raw(spark, sf_dir))
+    return J.trim_and_count(_j1(spark, sf_dir).parsed)
 
 
 @query("g3")
@@ -224,7 +226,14 @@ def q_g4(spark, sf_dir):
 
 @query("j1_quality")
 def q_quality(spark, sf_dir):
-    return J.quality_report(_raw(spark, sf_dir))
+    return _j1(spark, sf_dir).quality
+
+
+@query("j1_asks")
+def q_asks(spark, sf_dir):
+    """Every listing read as a new ask, with the compound counts of the fitted run."""
+    asks = J.clean_asks(_raw(spark, sf_dir), _j1(spark, sf_dir).compound_counts)
+    return asks.select("listing_id", "type_clean", "compound", "price_egp", "log_comp_size", "size_sqm")
 
 
 @query("c30_by_city_type")
@@ -750,32 +759,22 @@ def q_q3_events(spark, sf_dir):
 # J5 model training / scoring (Spark ML) and the interval operators
 # ---------------------------------------------------------------------------
 from propval.operators import model as M  # noqa: E402
+from propval.plans import score_job as SCORE  # noqa: E402
+from propval.plans import train_job as TR  # noqa: E402
 
 
-def _with_factors(prepared, df):
-    """``df`` with the text factors of its descriptions; vocabulary and factors are fitted on the training rows."""
-    text = prepared.select("listing_id", "desc_clean")
-    train = prepared.where(~F.col("is_test")).select("listing_id", "desc_clean")
-    vocab = materialize(LSA.fit_vocabulary(train, "desc_clean"), "desc_vocab")
-    weights = materialize(LSA.tfidf_weights(text, vocab, "listing_id", "desc_clean"), "desc_tfidf")
-    v = LSA.fit_lsa(weights.join(train.select("listing_id"), "listing_id", "left_semi"), vocab.count())
-    return LSA.project(df, weights, "listing_id", v)
+def _feature_fit(spark, sf_dir):
+    """M8's table and fitted part, once per session."""
+    key = ("feature_fit", sf_dir, id(spark))
+    if key not in _CACHE:
+        _CACHE[key] = TR.fit_features(_prepared(spark, sf_dir), _encodings(spark, sf_dir))
+    return _CACHE[key]
 
 
 def _model_table(spark, sf_dir):
-    """M8: features for train rows (OOF encodings) and test rows (frozen encodings), written once."""
-    key = ("model_table", sf_dir, id(spark))
-    if key not in _CACHE:
-        prepared, enc = _prepared(spark, sf_dir), _encodings(spark, sf_dir)
-        train = EJ.encode_train(prepared, enc)
-        test = EJ.encode_new(prepared.where(F.col("is_test")), enc)
-        both = _with_factors(prepared, M.build_features(train.unionByName(test)))
-        both = materialize(both, "model_features")
-        cols = M.candidate_columns(both)
-        table = E.fit_impute_clip(both.where(~F.col("is_test")), cols)
-        both = E.apply_impute_clip(both, table, cols)
-        _CACHE[key] = (materialize(both, "model_table"), cols)
-    return _CACHE[key]
+    """M8: features for train rows (OOF encodings) and test rows (frozen encodings), with their column names."""
+    table, fitted = _feature_fit(spark, sf_dir)
+    return table, fitted.columns
 
 
 @query("m8")
@@ -818,11 +817,45 @@ def q_m2_interval(spark, sf_dir):
     """Test rows: five fold predictions -> interval, point price and error metrics."""
     ens, _ = _ensemble(spark, sf_dir)
     df, _ = _model_table(spark, sf_dir)
-    preds = ens.fold_predictions(df.where(F.col("is_test")).select("listing_id", "price_egp", *ens.columns))
-    cols = [f"p{i}" for i in range(1, len(ens.models) + 1)]
-    out = M.add_interval(preds, cols)
-    return out.select("listing_id", "price_egp", "lo_price", "mid_price", "hi_price",
-                      M.point_price(cols).alias("point_price"))
+    out = TR.predict_interval(df.where(F.col("is_test")).select("listing_id", "price_egp", *ens.columns), ens)
+    return out.select("listing_id", "price_egp", "lo_price", "mid_price", "hi_price", "point_price")
+
+
+def _valuation(spark, sf_dir):
+    """J5's bundle, saved and loaded again, once per session."""
+    key = ("valuation", sf_dir, id(spark))
+    if key not in _CACHE:
+        table, fitted = _feature_fit(spark, sf_dir)
+        ens, _ = _ensemble(spark, sf_dir)
+        path = _run_path(spark, "valuation")
+        TR.save(TR.Valuation(_encodings(spark, sf_dir), _j1(spark, sf_dir).compound_counts, fitted, ens,
+                             TR.test_metrics(table, ens)), path)
+        _CACHE[key] = TR.load(spark, path)
+    return _CACHE[key]
+
+
+def _scored_asks(spark, sf_dir):
+    key = ("scored_asks", sf_dir, id(spark))
+    if key not in _CACHE:
+        scored = materialize(SCORE.score_asks(_raw(spark, sf_dir), _valuation(spark, sf_dir)), "scored_asks")
+        _CACHE[key] = TR.check_predictions(scored, ["lo", "pred", "hi"])
+    return _CACHE[key]
+
+
+@query("j6")
+def q_j6(spark, sf_dir):
+    """Every listing as a new ask: read, priced by the loaded models and decided."""
+    return _scored_asks(spark, sf_dir).select("listing_id", "type_clean", "ask", "lo", "pred", "hi", "alert", "confidence",
+                                              "confidence_score", "reason", "ratio", "zone", "down_payment_warning")
+
+
+@query("j6_by_type")
+def q_j6_by_type(spark, sf_dir):
+    """Asks per type: all of them, those with lo <= hi around a positive prediction, those with an alert and a reason."""
+    return _scored_asks(spark, sf_dir).groupBy("type_clean").agg(
+        F.count(F.lit(1)).alias("n_asks"),
+        F.count_if((F.col("lo") <= F.col("pred")) & (F.col("pred") <= F.col("hi")) & (F.col("pred") > 0)).alias("n_ordered"),
+        F.count_if(F.col("alert").isNotNull() & F.col("reason").isNotNull()).alias("n_decided"))
 
 
 @query("m7")

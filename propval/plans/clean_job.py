@@ -1,7 +1,9 @@
-"""J1 clean_listings: raw listing text -> typed clean table (+ quarantine, quality row)."""
+"""J1 clean_listings: raw listing text -> typed clean table, quarantine, quality row; new asks with frozen counts."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,20 +40,28 @@ def parse_rows(df: DataFrame) -> DataFrame:
     return C.fix_mislabeled_types(df)
 
 
+def parse_all(raw: DataFrame, materialized: bool = True) -> DataFrame:
+    """Every row through the per-row parsers, written once; ``price_egp`` is NULL where the price does not parse."""
+    df = parse_rows(C.add_price(C.add_listing_type(raw), drop_invalid=False))
+    return materialize(df, "parsed_listings") if materialized else df
+
+
+def trim_and_count(parsed: DataFrame, trim_by=(), quantile_method: str = "exact") -> DataFrame:
+    """C1-C24 + G1-G2: priced, trimmed, parsed rows with the compound frequency."""
+    df = S.trim_price(parsed.where(F.col("price_egp").isNotNull()), by=trim_by, method=quantile_method)
+    return S.add_group_count(df, "compound", "log_comp_size")
+
+
 def parse_listings(raw: DataFrame, trim_by=(), quantile_method: str = "exact",
                    materialized: bool = True) -> DataFrame:
-    """C1-C24 + G1-G2: priced, trimmed, parsed rows with the compound frequency.
+    """Raw rows to ``trim_and_count``.
 
-    Every per-row parser is independent of the trim, so priced rows are parsed
-    once and written (``materialized``); the trim bounds, compound counts and
+    Every per-row parser is independent of the trim, so rows are parsed once
+    and written (``materialized``); the trim bounds, compound counts and
     fences then read that columnar table (one price column for the bounds)
     instead of re-running the text parsers per statistic.
     """
-    df = parse_rows(C.add_price(C.add_listing_type(raw)))
-    if materialized:
-        df = materialize(df, "parsed_listings")
-    df = S.trim_price(df, by=trim_by, method=quantile_method)
-    return S.add_group_count(df, "compound", "log_comp_size")
+    return trim_and_count(parse_all(raw, materialized), trim_by, quantile_method)
 
 
 def repair_types(df: DataFrame, quantile_method: str = "exact") -> DataFrame:
@@ -60,40 +70,70 @@ def repair_types(df: DataFrame, quantile_method: str = "exact") -> DataFrame:
     return C.add_interaction_keys(df)
 
 
+def _supported(repaired: DataFrame) -> DataFrame:
+    df = C.filter_supported_types(repaired)
+    return df.select(*[c for c in CLEAN_COLUMNS if c in df.columns])
+
+
 def clean_listings(raw: DataFrame, trim_by=(), quantile_method: str = "exact",
                    keep_all_columns: bool = False, materialized: bool = True) -> DataFrame:
-    """The whole cleaning job. Unsupported types are dropped (see ``quarantine``)."""
+    """The whole cleaning job. Unsupported types are dropped (see ``CleanRun.quarantine``)."""
     df = repair_types(parse_listings(raw, trim_by, quantile_method, materialized), quantile_method)
-    df = C.filter_supported_types(df)
-    if keep_all_columns:
-        return df
-    cols = [c for c in CLEAN_COLUMNS if c in df.columns]
-    return df.select(*cols)
-
-
-def quarantine(raw: DataFrame, trim_by=(), quantile_method: str = "exact") -> DataFrame:
-    """Rows that reach the type filter with an unsupported type."""
-    df = repair_types(parse_listings(raw, trim_by, quantile_method), quantile_method)
-    return C.quarantine_unsupported(df).select("listing_id", "type_clean", "reject_reason")
-
-
-def quality_report(raw: DataFrame, quantile_method: str = "exact") -> DataFrame:
-    """J1 quality row: parse failures per column and the dropped-type count, one aggregate."""
-    parsed = C.add_price(raw, drop_invalid=False)
-    first = parsed.agg(
-        F.count(F.lit(1)).alias("rows_in"),
-        F.count_if(F.col("price_egp").isNull()).alias("price_unparsed"),
-    )
-    later = repair_types(parse_listings(raw, (), quantile_method), quantile_method)
-    second = later.agg(
-        F.count(F.lit(1)).alias("rows_trimmed"),
-        F.count_if(F.col("size_sqm").isNull()).alias("size_unparsed"),
-        F.count_if(F.col("bedrooms_n").isNull()).alias("bedrooms_unparsed"),
-        F.count_if(F.col("bathrooms_n").isNull()).alias("bathrooms_unparsed"),
-        F.count_if(C.normalized_type_col("type_clean").isNull()).alias("types_dropped"),
-        F.sum("fence_relabelled").cast("bigint").alias("fence_relabelled"),
-    )
-    return S.attach_scalars(first, second)
+    return C.filter_supported_types(df) if keep_all_columns else _supported(df)
+
+
+@dataclass
+class CleanRun:
+    """One run of J1: the rows are parsed once and repaired once; every output reads those two tables."""
+
+    parsed: DataFrame           # every row, typed
+    repaired: DataFrame         # priced, trimmed and relabelled rows, before the type filter
+    compound_counts: DataFrame  # (compound, log_comp_size): frozen for the asks that come later
+
+    @property
+    def clean(self) -> DataFrame:
+        """C30's rows."""
+        return _supported(self.repaired)
+
+    @property
+    def quarantine(self) -> DataFrame:
+        """Rows that reach the type filter with an unsupported type."""
+        return C.quarantine_unsupported(self.repaired).select("listing_id", "type_clean", "reject_reason")
+
+    @property
+    def quality(self) -> DataFrame:
+        """One row: parse failures per column and the dropped-type count."""
+        first = self.parsed.agg(F.count(F.lit(1)).alias("rows_in"),
+                                F.count_if(F.col("price_egp").isNull()).alias("price_unparsed"))
+        second = self.repaired.agg(
+            F.count(F.lit(1)).alias("rows_trimmed"),
+            F.count_if(F.col("size_sqm").isNull()).alias("size_unparsed"),
+            F.count_if(F.col("bedrooms_n").isNull()).alias("bedrooms_unparsed"),
+            F.count_if(F.col("bathrooms_n").isNull()).alias("bathrooms_unparsed"),
+            F.count_if(C.normalized_type_col("type_clean").isNull()).alias("types_dropped"),
+            F.sum("fence_relabelled").cast("bigint").alias("fence_relabelled"),
+        )
+        return S.attach_scalars(first, second)
+
+
+def run_clean(raw: DataFrame, trim_by=(), quantile_method: str = "exact") -> CleanRun:
+    """J1 once: clean rows, quarantine, quality row and the statistics that new asks are read with."""
+    parsed = parse_all(raw)
+    counted = trim_and_count(parsed, trim_by, quantile_method)
+    repaired = materialize(repair_types(counted, quantile_method), "repaired_listings")
+    counts = (repaired.where(F.col("compound").isNotNull()).groupBy("compound")
+              .agg(F.log1p(F.count(F.lit(1))).alias("log_comp_size")))
+    return CleanRun(parsed, repaired, materialize(counts, "compound_counts"))
+
+
+def clean_asks(raw: DataFrame, compound_counts: DataFrame) -> DataFrame:
+    """New asks by the same parsers and a fitted run's compound counts.
+
+    No ask is trimmed or relabelled, whatever else arrives with it. One without a price or with an unsupported type
+    is left out; a compound that the fitted run has not met has a NULL count, which the frozen median fills later.
+    """
+    df = parse_all(raw).where(F.col("price_egp").isNotNull()).withColumn("log_price", F.log1p("price_egp"))
+    return _supported(C.add_interaction_keys(df.join(S.broadcast_if_small(compound_counts), "compound", "left")))
 
 
 def sample_listings(df: DataFrame, n: int, seed: int = 42, order_col: str | None = None,
