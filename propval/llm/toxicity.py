@@ -2,15 +2,17 @@
 
 A word's vector is the mean of the vectors of its character n-grams and of the whole word, all hashed into one
 table; a document's vector is the mean over its words; a linear softmax gives the class. Table and softmax are
-trained jointly (full batches, Adam). A misspelt word that training never saw shares most n-grams with its origin.
+trained jointly (full batches, Adam); each bucket's vector is scaled by the evidence that it tells the classes apart,
+and the loss on parts of the sample left out ends the training. A misspelt word that training never saw shares most n-grams with its origin.
 As the model is linear from n-gram to logit, it is sent to the executors as one number per bucket.
 
 Training rows are a bounded sample (PER_CLASS documents of each class, SAMPLE_BYTES of text): the driver picks ids
 from the label table by a hash, so the sample does not depend on partitions. Scoring covers every whole text.
 
 Defined results: null and empty texts score by the softmax's bias; labels with a null id or value, or that are not
-0 or 1, are ignored, ids labelled both ways count as 1; without labels of both classes every score is just
-under 0.5 (predicted 0); repeated rows score alike; no rows give no rows.
+0 or 1, are ignored, ids labelled both ways count as 1; without labels of both classes, or if training predicts the
+parts of the sample left out no better than the bias alone, every score is just under 0.5 (predicted 0); repeated
+rows score alike; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ RATE = 0.05
 DECAY = 1e-3  # pull of unused directions to zero, per step
 POSITIVE = 0.25  # share of the loss that the documents of class 1 have; under half, for few false alarms
 GAIN = 100.0  # fixed factor on document means, which are small for long texts
-DEVIATION = 7.0  # standard deviations by which a bucket's presence must differ between the classes to keep a vector
+FOLDS = 4  # parts of the sample left out in turn to find the step that ends the training
+PATIENCE = 15  # steps without a smaller loss on the parts left out that end the training
 UNDECIDED = -4e-6  # logit of a model that learned nothing: just under 0.5, so that it rejects nothing
 WORDS = 400_000  # words remembered at once by a worker
 
@@ -74,8 +77,35 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def folds_of(texts: list[str], labels: np.ndarray, n: int = FOLDS) -> np.ndarray:
+    """The inner fold of each document: within a class, distinct texts in hash order are dealt in turn."""
+    keys, out = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], np.zeros(len(texts), np.int64)
+    for k in (0, 1):
+        of = np.flatnonzero(labels == k)
+        out[of] = np.unique(np.array([keys[i] for i in of], np.int64), return_inverse=True)[1] % n
+    return out
+
+
+def evidence(present: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Scale of each bucket's vector, in (0, 1], per model, from how far its presence differs between the classes.
+
+    A bucket counts by the odds that a difference of z standard deviations is no chance among all buckets met. Nothing
+    is cut off: scales are relative to the best bucket's, so that any number of documents trains.
+    """
+    n0, n1 = np.maximum(n0, 1)[:, None], np.maximum(n1, 1)[:, None]
+    pooled = present.sum(1) / (n0 + n1)
+    square = (present[:, 1] / n1 - present[:, 0] / n0) ** 2 / (pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
+    bound = 2 * np.log(np.maximum((pooled > 0).sum(1, keepdims=True), 2))  # the largest square that chance brings about
+    square = np.minimum(square, bound)
+    return np.exp((square - square.max(1, keepdims=True)) / 2)
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> tuple[np.ndarray, float]:
-    """One weight per bucket and the bias, for label 1 against 0. Classes weigh alike."""
+    """One weight per bucket and the bias, for label 1 against 0. Classes weigh alike.
+
+    FOLDS models, each without a part of the documents, and one of all documents train side by side; the step at which
+    the parts left out have the least loss ends the training. UNDECIDED if no step beats the bias alone.
+    """
     index: dict[str, int] = {}
     cells, docs = [], []
     for d, t in enumerate(texts):
@@ -93,9 +123,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     bucket, per_word = np.concatenate(parts), np.concatenate(counts)
     start = np.cumsum(per_word) - per_word
     y = labels.astype(np.float64)
-    # buckets whose presence differs between the classes by chance alone keep no vector: they would learn single documents
-    present = np.zeros((2, BUCKETS))
-    for cell, label in zip(cells, labels):
+    fold = folds_of(texts, labels)
+    met = np.zeros((FOLDS, 2, BUCKETS))
+    for cell, label, f in zip(cells, labels, fold):
         flags = np.zeros(BUCKETS, bool)
         ws = np.unique(cell)
         for w in range(0, len(ws), 1 << 14):
@@ -103,52 +133,74 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             reach = per_word[part]
             at = np.repeat(start[part] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
             flags[bucket[at]] = True
-        present[int(label)] += flags
-    n0, n1 = float((y == 0).sum()), float((y == 1).sum())
-    pooled = present.sum(0) / (n0 + n1)
-    away = np.abs(present[1] / n1 - present[0] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
-    chosen = away >= DEVIATION
-    if not chosen.any():
-        return np.zeros(BUCKETS, np.float32), UNDECIDED
+        met[f, int(label)] += flags
+    # model f learns from all folds but f, the last model from all
+    learns = np.array([[f != m for f in fold] for m in range(FOLDS + 1)], np.float64)
+    n0, n1 = learns @ (1 - y), learns @ y
+    used = np.flatnonzero(met.sum((0, 1)))
+    local = np.searchsorted(used, bucket).astype(np.int32)
+    met = met[:, :, used]
+    scale = evidence(met.sum(0) - np.concatenate([met, np.zeros_like(met[:1])]), n0, n1)
     inverse = 1.0 / per_word
-    owner = np.repeat(np.arange(len(index)), per_word)
-    live = chosen[bucket]
-    used, local = np.unique(bucket[live], return_inverse=True)
-    owner = owner[live]
-    # documents x words as cells with the share of the word in the document; words without a chosen bucket are zero
-    speaks = np.zeros(len(index), bool)
-    speaks[owner] = True
-    key, n = np.unique((doc * len(index) + word)[speaks[word]], return_counts=True)
+    owner = np.repeat(np.arange(len(index), dtype=np.int32), per_word)
+    # documents x words as cells with the share of the word in the document
+    key, n = np.unique(doc * len(index) + word, return_counts=True)  # sorted by document
     length = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
     doc, word = key // len(index), key % len(index)
     share = GAIN * n / length[doc]
-    weight = np.where(y == 1, POSITIVE / n1, (1 - POSITIVE) / n0)
-
+    del key, n, cells, docs, parts, vocabulary
+    weight = learns * np.where(y == 1, POSITIVE / np.maximum(n1, 1)[:, None], (1 - POSITIVE) / np.maximum(n0, 1)[:, None])
+
+    # sums run over sorted cells: buckets of a word, words of a document, and both ways back
+    by_bucket, by_word = np.argsort(local, kind="stable"), np.argsort(word, kind="stable")
+    speakers, first_speaker = owner[by_bucket], np.searchsorted(local[by_bucket], np.arange(len(used)))
+    readers, read = doc[by_word], share[by_word]
+    first_reader, heads = np.searchsorted(word[by_word], np.arange(len(index))), np.unique(doc, return_index=True)
+    del by_bucket, by_word, owner
+
+    def forward(of_bucket: np.ndarray) -> np.ndarray:
+        of_word = np.add.reduceat(of_bucket[local], start) * inverse
+        out = np.zeros(len(texts))
+        out[heads[0]] = np.add.reduceat(share * of_word[word], heads[1])
+        return out
+
+    def backward(of_doc: np.ndarray) -> np.ndarray:
+        on_word = np.add.reduceat(read * of_doc[readers], first_reader) * inverse
+        return np.add.reduceat(on_word[speakers], first_speaker)
+
+    # two classes: a bucket acts by one number, its vector times the difference of the softmax's columns
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (DIM, len(used))), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)]
-    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in params]
+    params = [[rng.normal(0, 0.1, (DIM, len(used))).astype(np.float32), rng.normal(0, 0.5, DIM), np.zeros(1)]]
+    params += [[x.copy() for x in params[0]] for _ in range(FOLDS)]
+    moments = [[(np.zeros_like(x), np.zeros_like(x)) for x in own] for own in params]
+    least, best, waited = -(POSITIVE * np.log(POSITIVE) + (1 - POSITIVE) * np.log(1 - POSITIVE)), None, 0
+    share_of = np.where(y == 1, POSITIVE / max(y.sum(), 1), (1 - POSITIVE) / max((1 - y).sum(), 1))
     for step in range(1, epochs + 1):
-        vectors_of, soft, bias = params
-        vectors = np.empty((DIM, len(texts)))
-        for k in range(DIM):
-            of_word = np.bincount(owner, vectors_of[k][local], len(index)) * inverse
-            vectors[k] = np.bincount(doc, share * of_word[word], len(texts))
-        logits = vectors.T @ soft + bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        error = (p - np.stack([1 - y, y], 1)) * weight[:, None]
-        back = soft @ error.T  # (DIM, documents)
-        grad = np.empty_like(vectors_of)
-        for k in range(DIM):
-            on_word = np.bincount(word, share * back[k][doc], len(index)) * inverse
-            grad[k] = np.bincount(local, on_word[owner], len(used))
-        for x, g, (m, v) in zip(params, (grad, vectors @ error, error.sum(0)), moments):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-10) + DECAY * x
+        left_out = np.zeros(len(texts))
+        for m, (own, memory) in enumerate(zip(params, moments)):
+            vectors, soft, bias = own
+            logit = forward(soft @ vectors * scale[m]) + bias
+            if m < FOLDS:
+                left_out[fold == m] = logit[fold == m]
+            else:
+                now = (soft @ vectors * scale[m], float(bias[0]))
+            error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y) * weight[m]
+            on_bucket = backward(error) * scale[m]
+            for x, g, (a, v) in zip(own, (np.outer(soft, on_bucket).astype(np.float32), vectors @ on_bucket, error.sum(keepdims=True)), memory):
+                a += 0.1 * (g - a)
+                v += 0.01 * (g * g - v)
+                x -= RATE * (a / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-10) + DECAY * x
+        loss = float((share_of * np.logaddexp(0, np.where(y == 1, -left_out, left_out))).sum())
+        waited += 1
+        if loss < least:
+            least, best, waited = loss, now, 0
+        elif waited == PATIENCE:
+            break
+    if best is None:
+        return np.zeros(BUCKETS, np.float32), UNDECIDED
     out = np.zeros(BUCKETS, np.float32)
-    out[used] = (params[1][:, 1] - params[1][:, 0]) @ params[0]
-    return out, float(params[2][1] - params[2][0])
+    out[used] = best[0]
+    return out, best[1]
 
 
 class Scorer:

@@ -84,6 +84,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert scorer.score(["", None])[0] == scorer.score([None])[0]
 
 
+def test_toxicity_learns_from_few_labels():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstuvw"), rng.integers(2, 9))) for _ in range(3000)]
+
+    def doc(toxic):
+        ws = list(rng.choice(words, 60))
+        for _ in range(3 if toxic else 0):
+            ws[rng.integers(0, len(ws))] = "grumblefrotz"
+        return " ".join(ws)
+
+    y = np.arange(40) % 4 == 0  # no bucket reaches 7 standard deviations in 40 documents
+    scorer = toxicity.Scorer(*toxicity.train([doc(t) for t in y], y.astype(int)))
+    new = np.arange(200) % 2
+    found = scorer.score([doc(t) for t in new]) >= 0.5
+    assert found[new == 1].mean() > 0.9 and found[new == 0].mean() < 0.05
+
+
 # ---- operator 3
 
 def test_search_block_equals_brute_force():
