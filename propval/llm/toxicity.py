@@ -6,8 +6,9 @@ trained jointly (full batches, Adam); each bucket's vector is scaled by the evid
 and the loss on parts of the sample left out ends the training. A misspelt word that training never saw shares most n-grams with its origin.
 As the model is linear from n-gram to logit, it is sent to the executors as one number per bucket.
 
-Training rows are a bounded sample (PER_CLASS documents of each class, SAMPLE_BYTES of text): the driver picks ids
-from the label table by a hash, so the sample does not depend on partitions. Scoring covers every whole text.
+Training rows are a bounded sample (PER_CLASS documents of each class, half of SAMPLE_BYTES of text for each): of the
+labelled documents that have a text by a hash, so the sample does not depend on partitions; the longest texts are
+shortened where a class has too many characters. Scoring covers every whole text.
 
 Defined results: null and empty texts score by the softmax's bias; labels with a null id or value, or that are not
 0 or 1, are ignored, ids labelled both ways count as 1; without labels of both classes, or if training predicts the
@@ -235,27 +236,36 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
 
 
+def water_level(sizes: list[int], room: int) -> int:
+    """The most characters of one text with which all texts, longer ones shortened to it, fit into ``room``."""
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > room:
+            return max(1, room // (len(sizes) - i))
+        room -= n
+    return max(sizes, default=0)
+
+
 def pick_sample(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to train on: per class the ids first in a hash order that have a document.
+    """Texts and labels to train on: per class the labelled documents with a text that come first in a hash order.
 
-    ``docs`` has id and text, ``labels`` id and label. At most 2 * per_class rows and ``most`` characters reach the
-    driver.
+    ``docs`` has id and text, ``labels`` id and label. At most 2 * per_class rows reach the driver and, half of it for
+    each class, ``most`` characters (or one a row): where a class has more, its longest texts are shortened to one
+    length. Repeated rows of an id and text count once.
     """
     labels = labels.filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
-    ranked = [labels.filter(F.col("label") == k).orderBy(F.xxhash64("id", F.lit(2)), "id").limit(per_class) for k in (0, 1)]
-    ids = F.broadcast(materialize(ranked[0].unionAll(ranked[1]), "toxicity-ids"))  # 2 * per_class rows
-    found = materialize(docs.join(ids, "id").select("id", "label", "text", F.length("text").alias("n")).filter("n > 0"), "toxicity-sample")
-    # row_number over at most 2 * per_class rows, unless ids repeat; the budget of characters bounds these as well
-    sizes = found.select(F.xxhash64("id", "text", F.lit(2)).alias("h"), "label", "n").orderBy("h").limit(2 * per_class).collect()
-    room, last = most, None
-    for r in sizes:
-        room -= r["n"]
-        if room < 0:
-            break
-        last = r["h"]
-    if last is None:
+    texts = docs.filter("id is not null and length(text) > 0").withColumn("h", F.xxhash64("id", "text", F.lit(2)))
+    known = materialize(texts.select("id", "h", F.length("text").alias("n")).join(labels, "id"), "toxicity-known")
+    chosen = []
+    for k in (0, 1):
+        rows = known.filter(F.col("label") == k).groupBy("id", "h").agg(F.max("n").alias("n")).orderBy("h", "id").limit(per_class).collect()
+        room = water_level([r["n"] for r in rows], most // 2)
+        chosen += [(r["id"], r["h"], k, room) for r in rows]
+    if not chosen:
         return [], np.zeros(0)
-    rows = found.filter(F.xxhash64("id", "text", F.lit(2)) <= last).orderBy(F.xxhash64("id", "text", F.lit(2))).limit(2 * per_class).select("label", "text").collect()
+    kind = known.schema["id"].dataType.simpleString()
+    sent = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"id {kind}, h long, label int, room int"))  # 2 * per_class rows
+    found = texts.join(sent, ["id", "h"]).select("id", "h", "label", F.col("text").substr(F.lit(1), F.col("room")).alias("text"))
+    rows = found.dropDuplicates(["id", "h"]).orderBy("h", "id").collect()
     return [r["text"] for r in rows], np.array([r["label"] for r in rows])
 
 

@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from propval.llm import mixing, secret_scan, sharding, simhash
+from propval.llm import mixing, secret_scan, sharding, simhash, toxicity
 from tests.llm.conftest import DOCS, by_key, plain
 
 QUERIES = {k: v for k, v in entry.queries().items() if re.match(r"op\d+_|pipeline$", k)}
@@ -49,6 +49,16 @@ def test_op2(spark, tiny):
         assert 0 <= score <= 1 and predicted == (score >= 0.5)
 
 
+def test_op2_sample_is_not_emptied(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(4, "text 4"), (20, ""), (30, "x" * 5000), (31, "y" * 4000)], "id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "id long, label int")  # most without a document
+    texts, y = toxicity.pick_sample(docs, labels, 30, 2000)
+    assert len(texts) == 22 and sorted(y) == [0] * 11 + [1] * 11
+    assert {f"text {i}" for i in range(20)} < set(texts) and 0 < max(map(len, texts)) and sum(map(len, texts)) <= 2000
+    texts, y = toxicity.pick_sample(docs, labels, 3, 2000)
+    assert sorted(y) == [0, 0, 0, 1, 1, 1]
+
+
 def test_op3(spark, tiny):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{tiny}/embeddings.parquet").collect()]
     fine = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows
