@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from propval.llm import mixing, multi_index, oracle, secret_scan, sentencepiece_viterbi, sharding, simhash, token_counts, topk, toxicity, warc
+from propval.llm import collocations, decontamination, importance, mixing, multi_index, oracle, secret_scan, sentencepiece_viterbi
+from propval.llm import sharding, simhash, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.q_op1,
@@ -16,6 +17,9 @@ QUERIES = {
     "op8_mixing": mixing.q_op8,
     "op9_sharding": sharding.q_op9,
     "op10_sentencepiece": sentencepiece_viterbi.q_op10,
+    "op11_decontamination": decontamination.q_op11,
+    "op12_importance": importance.q_op12,
+    "op13_collocations": collocations.q_op13,
     "pipeline": corpus_pipeline.run,
 }
 
