@@ -137,25 +137,28 @@ WITH pieces AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 grams AS (
-  SELECT lang, k, list_slice(w, p, p + k - 1) AS g
+  SELECT lang, list_slice(w, p, p + k - 1) AS g
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM words, range(1, 4) n(k) WHERE len(w) >= k)
-), f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL),
-cuts AS (
-  SELECT c.lang, c.g, c.k, c.f AS a, l.f AS l, r.f AS r, cut,
-         CAST((1000000::HUGEINT * c.f * c.f) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
-  FROM f c JOIN range(1, 3) t(cut) ON cut < c.k
-  JOIN f l ON l.lang = c.lang AND l.g = c.g[1:cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[cut + 1:]
-  WHERE c.k >= 2 AND c.f >= 10
-), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+), f AS MATERIALIZED (SELECT lang, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f, concat(lang, chr(1), phrase) AS key
+                    FROM grams GROUP BY lang, phrase),
+long AS MATERIALIZED (SELECT * FROM f WHERE len(g) >= 2 AND f >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, 1 AS cut, concat(lang, chr(1), g[1]) AS head, concat(lang, chr(1), array_to_string(g[2:], ' ')) AS tail FROM long
+  UNION ALL SELECT lang, phrase, f, 2, concat(lang, chr(1), array_to_string(g[1:2], ' ')), concat(lang, chr(1), g[3]) FROM long WHERE len(g) = 3
+), cuts AS (
+  SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, cut, CAST((1000000::HUGEINT * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM parts c JOIN f l ON l.key = c.head JOIN f r ON r.key = c.tail
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 cover AS (
-  SELECT lang, g, max(f) AS f FROM (
-    SELECT lang, g[1:2] AS g, f FROM f WHERE k = 3 AND f >= 10 UNION ALL SELECT lang, g[2:3], f FROM f WHERE k = 3 AND f >= 10) GROUP BY ALL
+  SELECT lang, part, max(f) AS f FROM (
+    SELECT lang, array_to_string(g[1:2], ' ') AS part, f FROM long WHERE len(g) = 3
+    UNION ALL SELECT lang, array_to_string(g[2:3], ' '), f FROM long WHERE len(g) = 3) GROUP BY lang, part
 ), kept AS (
-  SELECT best.lang, array_to_string(best.g, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN cover ON best.lang = cover.lang AND best.g = cover.g
+  SELECT best.lang, best.phrase, a, l, r, score FROM best LEFT JOIN cover ON best.lang = cover.lang AND best.phrase = cover.part
   WHERE cover.f IS NULL OR 100 * cover.f < 50 * a
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
 SELECT ranked.lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, score
-FROM ranked JOIN (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang) t ON ranked.lang = t.lang WHERE rank <= 2000
+FROM ranked JOIN (SELECT lang, sum(f) AS n FROM f WHERE len(g) = 1 GROUP BY lang) t ON ranked.lang = t.lang WHERE rank <= 2000
 """
 
 ORACLE = {"op3_topk": TOPK, "op5_multi_index": NEAR_VECTORS, "op6_warc": WARC, "op9_sharding": SHARDING,
