@@ -192,10 +192,25 @@ from oracle import decide_sql as DS  # noqa: E402
 _TE = [c for c, _ in R.TE_SMOOTHING]
 oracle("g5", DS.with_enc("SELECT listing_id, is_test FROM enc_base"))
 oracle("g6", DS.with_enc("SELECT listing_id, fold FROM enc_base"))
+oracle("m2_by_fold", DS.with_enc("SELECT fold, count(*) AS n_rows, count(*) AS n_finite FROM train GROUP BY fold"))
+oracle("m8_by_fold", DS.with_enc("SELECT is_test, fold, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_missing FROM enc_base GROUP BY ALL"))
+oracle("m7_by_type", DS.with_enc("SELECT type_clean, count(*) AS n_rows, count(*) AS n_listings, count(*) AS n_priced FROM test GROUP BY type_clean"))
+oracle("t20_factors", "SELECT CAST(i AS INTEGER) AS factor, true AS orthogonal, true AS ordered FROM range(25) t(i)")
 _oof_joins = " ".join(f"JOIN ({DS.te_oof_sql(c, k)}) t_{c} USING (listing_id)" for c, k in R.TE_SMOOTHING)
 oracle("g8", DS.with_enc(f"SELECT listing_id, {', '.join(c + '_te' for c in _TE)} FROM train {_oof_joins}"),
        [c + "_te" for c in _TE])
 oracle("g7", DS.with_enc(DS.te_oof_sql("compound", 30)), ["compound_te"])
+# the wanted model columns that the encoded training rows have, in their order: numeric ones, then the encodings
+_G13_NUMERIC = """size_sqm bedrooms_n bathrooms_n has_maid is_installment is_cash room_ratio install_years log_comp_size finish_ord view_score
+    down_payment_ratio log_down_payment market_tier size_per_bedroom size_x_finish price_per_sqm_estimate area_market_zone_ord is_compound
+    compound_tier standalone_premium compound_premium log_size_sqm size_sqm_inv""".split()
+_G13 = [*_G13_NUMERIC, *(c + "_te" for c in _TE)]
+_G13_TABLE = " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS feature, count(*) AS n_rows, "
+    + ("count(*)" if c.endswith("_te") else f"(SELECT count({c}) FROM ({DS.PPS_OOF_SQL}))" if c == "price_per_sqm_estimate"
+       else f"count({c})") + " AS n_present, CAST(0 AS BIGINT) AS n_nan FROM train"
+    for i, c in enumerate(_G13))
+oracle("g13", DS.with_enc(_G13_TABLE))
 oracle("g9", DS.with_enc(DS.PPS_OOF_SQL), ["price_per_sqm_estimate"])
 _full_joins = " ".join(f"JOIN ({DS.te_full_sql(c, k)}) t_{c} USING (listing_id)" for c, k in R.TE_SMOOTHING)
 oracle("g10", DS.with_enc(f"SELECT listing_id, {', '.join(c + '_te' for c in _TE)}, price_per_sqm_estimate "
@@ -539,7 +554,7 @@ SELECT listing_id, log_lo, log_mid, log_hi, least(lo_p, mid_price) AS lo_price,
        greatest(hi_p, mid_price) AS hi_price FROM i3"""
 oracle("m4", _INTERVAL, ["log_lo", "log_mid", "log_hi", "lo_price", "mid_price", "hi_price"])
 oracle("m5", f"WITH {_FOLDP} SELECT listing_id, exp({_MEAN}) - 1 AS point_price FROM fp2", ["point_price"])
-oracle("m6", f"WITH {_FOLDP} SELECT CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf, count(*) AS n_rows "
+oracle("m6", f"WITH {_FOLDP} SELECT CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf, count(*) AS n_rows "
              f"FROM fp2")
 _m3_long = " UNION ALL ".join(f"SELECT fold, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM train"
                               for c in _G12)

@@ -297,7 +297,10 @@ MUST_KEEP = [
 ]
 TOP_IMPORTANCE, FEATURE_CAP = 50, 55
 SELECTION_ROUNDS = 300
+SELECTION_RATE = 0.08
 ENSEMBLE_ROUNDS = 3000  # at most; early stopping decides
+LEARNING_RATE = 0.035
+PATIENCE = 100  # rounds without a gain on the held-out rows that end a fit
 
 # ---------------------------------------------------------------------------
 # TF-IDF / LSA

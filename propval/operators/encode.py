@@ -223,3 +223,14 @@ def select_present(df: DataFrame, wanted: Sequence[str], required: Sequence[str]
     if missing:
         raise ValueError(f"these columns are required but not there: {', '.join(missing[:5])}" + (" and more" if len(missing) > 5 else ""))
     return [c for c in wanted if c in have]
+
+
+def aligned_counts(df: DataFrame, wanted: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
+    """G13 over the rows: (position, feature, n_rows, n_present, n_nan) of the wanted columns that exist, one aggregate."""
+    present = select_present(df, wanted, required)
+    values = {c: F.col(c).cast("double") for c in present}
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(v).alias(f"_p{i}") for i, v in enumerate(values.values())],
+                    *[F.count_if(F.isnan(v)).alias(f"_x{i}") for i, v in enumerate(values.values())])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col("_n").alias("n_rows"),
+                     F.col(f"_p{i}").alias("n_present"), F.col(f"_x{i}").alias("n_nan")) for i, c in enumerate(present)]
+    return counts.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")

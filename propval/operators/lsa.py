@@ -7,8 +7,8 @@ and corpus frequency come from one map-side-combined aggregate). The vocabulary
 keeps terms with df >= min_df and df <= max_df * n_docs, then the
 ``max_features`` most frequent (ties by term), indexed alphabetically. Weights:
 (1 + ln tf) * idf with the smoothed idf = ln((1 + n) / (1 + df)) + 1,
-L2-normalised per document; they are recounted from the texts against the
-broadcast vocabulary, one row per document.
+L2-normalised per document; each document's row is counted against the
+vocabulary by itself (Spark ML's count vectorizer), so no shuffle is needed.
 
 T20: truncated SVD of the (docs x vocab) matrix by its Gram matrix
 (``RowMatrix``, one pass over the documents). The driver factorises the
@@ -18,16 +18,20 @@ vocab x vocab matrix, bounded by the vocabulary cap.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.mllib.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.mllib.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propval.functions import rules as R
 from propval.functions.regex import java
 from propval.operators.stats import attach_scalars
+from propval.plans.materialize import shared_path
 
 TOKEN_RUN = r"[\p{L}\p{N}_]{2,}"  # same tokens as \b\w\w+\b with Python's Unicode \w
+ENTRIES = "array<struct<term_index:int,weight:double>>"
 MAX_VOCABULARY = 5000  # terms: the Gram matrix that the driver factorises holds the square of it
 
 
@@ -69,27 +73,44 @@ def fit_vocabulary(docs: DataFrame, text: str, max_features: int = R.TFIDF_MAX_F
 def tfidf_weights(docs: DataFrame, vocab: DataFrame, id_col: str, text: str) -> DataFrame:
     """(doc, entries): the document's (term_index, weight) by index; documents without a vocabulary term have no row.
 
-    Sublinear tf, idf and per-document L2 normalisation. A row holds at most one entry per vocabulary term.
+    Sublinear tf, idf and per-document L2 normalisation. Every row is counted and weighed by itself, with no shuffle;
+    it holds at most one entry per vocabulary term.
     """
-    v = F.broadcast(vocab.select("term", "term_index", "idf"))  # bounded by max_features
-    used = docs.select(id_col, F.explode(terms_col(text)).alias("term")).join(v, "term")
-    counts = used.groupBy(id_col, "term_index", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    raw = counts.select(id_col, "term_index", ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("weight"))
-    rows = raw.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("entries"))
+    terms = vocab.orderBy("term_index").select("term", "idf").collect()  # bounded by MAX_VOCABULARY
+    if not terms:
+        return docs.select(id_col, F.array().cast(ENTRIES).alias("entries")).where("false")
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in terms], inputCol="_terms", outputCol="_tf")
+    counted = counter.transform(docs.select(id_col, terms_col(text).alias("_terms"))).select(id_col, F.unwrap_udt("_tf").alias("_tf"))
+    # the counts are sparse: indices in order, values beside them (dense where nearly all terms occur: indices NULL)
+    index = F.coalesce("_tf.indices", F.sequence(F.lit(0), F.size("_tf.values") - 1))
+    idf = F.lit([r["idf"] for r in terms])
+    raw = F.zip_with(index, "_tf.values", lambda i, n: F.struct(
+        i.alias("term_index"), F.when(n > 0, (F.lit(1.0) + F.log(n)) * F.get(idf, i)).alias("weight")))
+    rows = counted.where(F.size("_tf.values") > 0).select(id_col, F.filter(raw, lambda e: e["weight"].isNotNull()).alias("entries"))
     norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
     return rows.withColumn("_norm", norm).select(id_col, F.transform("entries", lambda e: F.struct(
         e["term_index"].alias("term_index"), (e["weight"] / F.col("_norm")).alias("weight"))).alias("entries"))
 
 
+def as_vectors(weights: DataFrame, size: int) -> DataFrame:
+    """One column ``row`` of the library's sparse vectors.
+
+    A vector is stored as (type, size, indices, values): rows of that form are written and read back as vectors.
+    """
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("entries.term_index").alias("indices"),
+                     F.col("entries.weight").alias("values"))
+    path = shared_path(weights.sparkSession, "vectors")
+    weights.select(parts.alias("row")).write.parquet(path)
+    return weights.sparkSession.read.schema(T.StructType([T.StructField("row", VectorUDT())])).parquet(path)
+
+
 def fit_lsa(weights: DataFrame, vocab_size: int, k: int = R.LSA_COMPONENTS) -> np.ndarray:
     """Right singular vectors V (vocab x k) of the weights; signs fixed so each column's largest-magnitude
     loading is positive. Columns beyond the rank are zero."""
     out = np.zeros((vocab_size, k))
     if vocab_size == 0 or weights.isEmpty():
         return out
-    # a task's rows become library vectors; the library's matrix takes no other column type
-    sparse = F.udf(lambda entries: Vectors.sparse(vocab_size, [(e.term_index, e.weight) for e in entries]), VectorUDT())
-    gram = RowMatrix(weights.select(sparse("entries").alias("row")), numCols=vocab_size).computeGramianMatrix().toArray()
+    gram = RowMatrix(as_vectors(weights, vocab_size), numCols=vocab_size).computeGramianMatrix().toArray()
     values, vectors = np.linalg.eigh(gram)
     kept = [i for i in np.argsort(-values, kind="stable")[:k] if values[i] > values.max() * 1e-12]
     for j, i in enumerate(kept):

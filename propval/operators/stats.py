@@ -1,11 +1,9 @@
 """Distributed statistics used by cleaning and encoding (G1-G4, quantiles).
 
-Quantiles are exact with linear interpolation (pandas / DuckDB
-``quantile_cont``) and take one path at every size: value counts per group
-(map-side combined), running counts inside fixed value ranges, and a small
-table with the counts below each range. The ranges are a function of the
-value alone, so nothing depends on how Spark places or reuses partitions, no
-group has to fit one task, and no driver-side probe job is needed.
+Quantiles are exact with linear interpolation (pandas / DuckDB ``quantile_cont``) and take one path at every size:
+radix selection. A first pass counts rows per group and coarse value cell, a second one refines the few cells that
+hold a wanted rank, a third one counts the distinct values left in those. Counts combine on the map side, raw rows
+are never sorted or shuffled, and a cell table has a bounded number of rows per group, whatever the values are.
 """
 
 from __future__ import annotations
@@ -18,8 +16,9 @@ from pyspark.sql import functions as F
 from propval.functions import rules as R
 from propval.plans.materialize import materialize
 
-# Value ranges of the rank search: this many per power of two.
-SLICES_PER_OCTAVE = 32
+# Value cells of the two counting passes: this many per power of two.
+COARSE_CELLS = 1 << 8
+FINE_CELLS = 1 << 28
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(size if isinstance(size, int) else size.toString())
 
 
-def value_slice(value: Column, per_octave: int = SLICES_PER_OCTAVE) -> Column:
+def value_slice(value: Column, per_octave: int = COARSE_CELLS) -> Column:
     """Number of the fixed value range that holds ``value``; never falls as the value grows.
 
     Each power of two has ``per_octave`` ranges of equal width; negative values mirror the positive ones. A
@@ -83,38 +82,61 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence
     if method == "approx":
         out = src.groupBy(*by).agg(F.percentile_approx(F.col(value), probs, accuracy).alias("_q"))
         return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    counts = src.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    return quantiles_of_counts(counts, probs, names, by)
+    rows = src.select(*by, F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_c"))
+    return _radix_select(rows, probs, names, by)
 
 
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``quantiles`` from a table of distinct values ``_v`` and their counts ``_c`` per group."""
-    by = list(by)
-    keys = [*by, "_slice"]
-    inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (counts.withColumn("_slice", value_slice(F.col("_v")))
-              .withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0))))
-    # the rows below each range: at most one row per range and group
+    """``quantiles`` from a table of values ``_v`` and their counts ``_c`` per group; written once for all passes."""
+    rows = counts.select(*by, F.col("_v").cast("double").alias("_v"), F.col("_c").cast("long").alias("_c"))
+    return _radix_select(materialize(rows, "value_counts"), probs, names, list(by))
+
+
+def _ranks(probs: Sequence[float]) -> list[Column]:
+    """The ranks (from 0, of _n rows) that the quantiles interpolate between."""
+    return [f((F.col("_n") - 1) * F.lit(p)) for p in probs for f in (F.floor, F.ceil)]
+
+
+def _holding(cells: DataFrame, within: Sequence[str], order: str, probs: Sequence[float]) -> DataFrame:
+    """Cells (rows ``_s``) that hold a wanted rank, ``_below`` raised by the rows of the cells before them."""
+    before = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(1))
+    before = before.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    hit = F.lit(False)
+    for r in _ranks(probs):
+        hit = hit | ((F.col("_below") <= r) & (r < F.col("_below") + F.col("_s")))
+    return cells.where(hit)
+
+
+def _inside(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows in the given cells, with the cell's ``_below`` and the group's ``_n``.
+
+    The cells are written, so their size is known: two for each group and wanted rank at most.
+    """
+    right = broadcast_if_small(cells.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_below", "_n"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & rows[k].eqNullSafe(right[f"_r{i}"])
+    return rows.join(right, on).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def _radix_select(rows: DataFrame, probs: Sequence[float], names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    rows = rows.withColumns({"_c1": value_slice(F.col("_v"), COARSE_CELLS), "_c2": value_slice(F.col("_v"), FINE_CELLS)})
+    coarse = rows.groupBy(*by, "_c1").agg(F.sum("_c").alias("_s"))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    sums = ranked.groupBy(*keys).agg(F.sum("_c").alias("_s"))
-    sums = (sums.withColumn("_below", F.coalesce(F.sum("_s").over(
-        whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_n", F.sum("_s").over(whole)))
-    hits = [((F.col("_n") - 1) * F.lit(p)).between(F.col("_below") - 1, F.col("_below") + F.col("_s")) for p in probs]
-    needed = sums
-    if hits:  # only ranges that hold a wanted rank go on
-        any_hit = hits[0]
-        for h in hits[1:]:
-            any_hit = any_hit | h
-        needed = sums.where(any_hit)
-    right = needed.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_below", "_n")
-    on = ranked["_slice"] == right["_r__slice"]
-    for k in by:
-        on = on & ranked[k].eqNullSafe(right[f"_r_{k}"])
-    placed = ranked.join(right, on).withColumn("_first", F.col("_below") + F.col("_before"))
+    coarse = coarse.withColumn("_n", F.sum("_s").over(whole)).withColumn("_below", F.lit(0).cast("long"))
+    coarse = materialize(_holding(coarse, by, "_c1", probs), "quantile_cells")
+
+    def counted(cells: DataFrame, keys: Sequence[str], by_value: str) -> DataFrame:
+        return _inside(rows, cells, keys).groupBy(*keys, by_value).agg(
+            F.sum("_c").alias("_s"), F.max("_n").alias("_n"), F.max("_below").alias("_below"))
+
+    one, two = [*by, "_c1"], [*by, "_c1", "_c2"]
+    fine = materialize(_holding(counted(coarse, one, "_c2"), one, "_c2", probs), "quantile_cells")
+    placed = _holding(counted(fine, two, "_v"), two, "_v", probs)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c")), F.col("_v").cast("double")))
+        return F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_s")), F.col("_v")))
 
     aggs = [F.max("_n").alias("_n")]
     for i, p in enumerate(probs):

@@ -464,11 +464,10 @@ def q_g12_apply(spark, sf_dir):
 
 @query("g13")
 def q_g13(spark, sf_dir):
-    """Column presence check: the wanted model columns that exist, in order (plan-time, no job)."""
+    """The wanted model columns that exist, in order, with their rows and how many of them hold a value."""
     df = EJ.encode_train(_prepared(spark, sf_dir), _encodings(spark, sf_dir))
     wanted = RULES.NUM_COLS + [c + "_te" for c in EJ.TE_COLUMNS]
-    present = E.select_present(df, wanted, required=["size_sqm", "log_price"])
-    return spark.createDataFrame([(i, c) for i, c in enumerate(present)], "position int, feature string")
+    return E.aligned_counts(df, wanted, required=["size_sqm", "log_price"])
 
 
 # ---------------------------------------------------------------------------
@@ -801,15 +800,38 @@ def _ensemble(spark, sf_dir):
     key = ("ensemble", sf_dir, id(spark))
     if key not in _CACHE:
         df, _ = _model_table(spark, sf_dir)
-        _CACHE[key] = M.train_fold_ensemble(df.where(~F.col("is_test")), _chosen(spark, sf_dir))
+        ens, oof = M.train_fold_ensemble(df.where(~F.col("is_test")), _chosen(spark, sf_dir))
+        _CACHE[key] = ens, TR.checked(oof.select("listing_id", "fold", "log_price", "oof_pred"), ["oof_pred"], "oof_predictions")
+    return _CACHE[key]
+
+
+def _type_ensembles(spark, sf_dir):
+    key = ("type_ensembles", sf_dir, id(spark))
+    if key not in _CACHE:
+        df, _ = _model_table(spark, sf_dir)
+        _CACHE[key] = M.train_per_type(df.where(~F.col("is_test")), _chosen(spark, sf_dir))
     return _CACHE[key]
 
 
 @query("m2")
 def q_m2(spark, sf_dir):
     """Out-of-fold predictions of the 5-fold ensemble."""
-    _, oof = _ensemble(spark, sf_dir)
-    return oof.select("listing_id", "fold", "log_price", "oof_pred")
+    return _ensemble(spark, sf_dir)[1]
+
+
+@query("m2_by_fold")
+def q_m2_by_fold(spark, sf_dir):
+    """Training rows of each fold, and how many of them have a finite out-of-fold prediction."""
+    found = F.col("oof_pred").isNotNull() & ~F.isnan("oof_pred") & (F.abs("oof_pred") < float("inf"))
+    return q_m2(spark, sf_dir).groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(found).alias("n_finite"))
+
+
+@query("m8_by_fold")
+def q_m8_by_fold(spark, sf_dir):
+    """Rows of the feature table by split and fold, and those that miss any model column."""
+    df, cols = _model_table(spark, sf_dir)
+    missing = F.exists(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x.isNull() | F.isnan(x))
+    return df.groupBy("is_test", "fold").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(missing).alias("n_missing"))
 
 
 @query("m2_test_interval")
@@ -826,10 +848,10 @@ def _valuation(spark, sf_dir):
     key = ("valuation", sf_dir, id(spark))
     if key not in _CACHE:
         table, fitted = _feature_fit(spark, sf_dir)
-        ens, _ = _ensemble(spark, sf_dir)
+        ens, by_type = _ensemble(spark, sf_dir)[0], _type_ensembles(spark, sf_dir)
         path = _run_path(spark, "valuation")
         TR.save(TR.Valuation(_encodings(spark, sf_dir), _j1(spark, sf_dir).compound_counts, fitted, ens,
-                             TR.test_metrics(table, ens)), path)
+                             TR.test_metrics(table, ens, by_type), by_type), path)
         _CACHE[key] = TR.load(spark, path)
     return _CACHE[key]
 
@@ -837,8 +859,7 @@ def _valuation(spark, sf_dir):
 def _scored_asks(spark, sf_dir):
     key = ("scored_asks", sf_dir, id(spark))
     if key not in _CACHE:
-        scored = materialize(SCORE.score_asks(_raw(spark, sf_dir), _valuation(spark, sf_dir)), "scored_asks")
-        _CACHE[key] = TR.check_predictions(scored, ["lo", "pred", "hi"])
+        _CACHE[key] = TR.checked(SCORE.score_asks(_raw(spark, sf_dir), _valuation(spark, sf_dir)), ["lo", "pred", "hi"], "scored_asks")
     return _CACHE[key]
 
 
@@ -860,11 +881,37 @@ def q_j6_by_type(spark, sf_dir):
 
 @query("m7")
 def q_m7(spark, sf_dir):
-    df, _ = _model_table(spark, sf_dir)
-    chosen = _chosen(spark, sf_dir)
-    models = M.train_per_type(df.where(~F.col("is_test")), chosen)
-    scored = M.route_predict(df.where(F.col("is_test")).select("listing_id", "type_clean", *chosen), models, chosen)
-    return scored.select("listing_id", "type_clean", "prediction")
+    """Test rows priced by their own type's models, or by those of all types where the type has none."""
+    return _scored_test(spark, sf_dir).select("listing_id", "type_clean", "model_type", F.col("log_mid").alias("prediction"), "point_price")
+
+
+def _scored_test(spark, sf_dir):
+    key = ("scored_test", sf_dir, id(spark))
+    if key not in _CACHE:
+        _CACHE[key] = TR.score_test(_model_table(spark, sf_dir)[0], _ensemble(spark, sf_dir)[0], _type_ensembles(spark, sf_dir))
+    return _CACHE[key]
+
+
+@query("m7_by_type")
+def q_m7_by_type(spark, sf_dir):
+    """Test rows of each type, those with one positive price, and those inside their ordered interval's bounds."""
+    df = q_m7(spark, sf_dir)
+    return df.groupBy("type_clean").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("listing_id").alias("n_listings"),
+                                        F.count_if(F.col("point_price") > 0).alias("n_priced"))
+
+
+@query("m7_models")
+def q_m7_models(spark, sf_dir):
+    """The bundle's index of models: type, fold, rounds tried and kept, squared error on the held-out fold."""
+    return TR.model_index(_valuation(spark, sf_dir)).drop("name")
+
+
+@query("v1_models")
+def q_v1_models(spark, sf_dir):
+    """V1 over the routed models' predictions of the test rows, by type."""
+    df = _scored_test(spark, sf_dir).select("type_clean", F.col("log_price").alias("y_log"), F.col("log_mid").alias("pred_log"),
+                                            F.col("price_egp").alias("true_price"), F.col("point_price").alias("pred_price"))
+    return EV.regression_metrics(df, by=["type_clean"])
 
 
 @query("m3")
@@ -954,6 +1001,23 @@ def q_t20(spark, sf_dir):
     return LSA.project(read_table(spark, sf_dir, "documents").select("doc_id"), weights, "doc_id", v)
 
 
+@query("t20_factors")
+def q_t20_factors(spark, sf_dir):
+    """Per factor: whether it is orthogonal to all others over the documents, and not longer than the one before."""
+    names = [f"lsa_{i}" for i in range(RULES.LSA_COMPONENTS)]
+    gram = q_t20(spark, sf_dir).agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}.{b}") for i, a in enumerate(names) for b in names[i:]])
+
+    def product(i, j):
+        return F.col(f"`{names[min(i, j)]}.{names[max(i, j)]}`")
+
+    rows = []
+    for i in range(len(names)):
+        others = [F.abs(product(i, j)) for j in range(len(names)) if j != i]
+        ordered = product(i, i) <= product(i - 1, i - 1) * (1 + 1e-9) if i else F.lit(True)
+        rows.append(F.struct(F.lit(i).alias("factor"), (F.greatest(*others) < 1e-6 * product(0, 0)).alias("orthogonal"), ordered.alias("ordered")))
+    return gram.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 # ---------------------------------------------------------------------------
 # J10 streaming (availableNow runs over files derived from the driver tables)
 # ---------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from propval.operators import clean as C
 from propval.operators import stats as S
-from propval.plans.materialize import materialize
+from propval.plans.materialize import materialize, materialize_observed
 
 CLEAN_COLUMNS = [
     "listing_id", "listing_type", "price_egp", "log_price", "size_sqm", "bedrooms_n", "bathrooms_n",
@@ -89,6 +89,8 @@ class CleanRun:
     parsed: DataFrame           # every row, typed
     repaired: DataFrame         # priced, trimmed and relabelled rows, before the type filter
     compound_counts: DataFrame  # (compound, log_comp_size): frozen for the asks that come later
+    parsed_metrics: dict        # what the two writing jobs observed
+    repaired_metrics: dict
 
     @property
     def clean(self) -> DataFrame:
@@ -102,28 +104,34 @@ class CleanRun:
 
     @property
     def quality(self) -> DataFrame:
-        """One row: parse failures per column and the dropped-type count."""
-        first = self.parsed.agg(F.count(F.lit(1)).alias("rows_in"),
-                                F.count_if(F.col("price_egp").isNull()).alias("price_unparsed"))
-        second = self.repaired.agg(
-            F.count(F.lit(1)).alias("rows_trimmed"),
-            F.count_if(F.col("size_sqm").isNull()).alias("size_unparsed"),
-            F.count_if(F.col("bedrooms_n").isNull()).alias("bedrooms_unparsed"),
-            F.count_if(F.col("bathrooms_n").isNull()).alias("bathrooms_unparsed"),
-            F.count_if(C.normalized_type_col("type_clean").isNull()).alias("types_dropped"),
-            F.sum("fence_relabelled").cast("bigint").alias("fence_relabelled"),
-        )
-        return S.attach_scalars(first, second)
+        """One row with rows in, parse failures per column and dropped types, observed by the jobs that wrote the tables."""
+        row = self.parsed_metrics | self.repaired_metrics
+        return self.parsed.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{c} long" for c in row))
+
+
+def _counted(**conditions) -> list:
+    return [F.count_if(c).alias(name) for name, c in conditions.items()]
+
+
+def _parsed_metrics() -> list:
+    return _counted(rows_in=F.lit(True), price_unparsed=F.col("price_egp").isNull())
+
+
+def _repaired_metrics() -> list:
+    return _counted(
+        rows_trimmed=F.lit(True), size_unparsed=F.col("size_sqm").isNull(), bedrooms_unparsed=F.col("bedrooms_n").isNull(),
+        bathrooms_unparsed=F.col("bathrooms_n").isNull(), types_dropped=C.normalized_type_col("type_clean").isNull(),
+        fence_relabelled=F.col("fence_relabelled") == 1)
 
 
 def run_clean(raw: DataFrame, trim_by=(), quantile_method: str = "exact") -> CleanRun:
     """J1 once: clean rows, quarantine, quality row and the statistics that new asks are read with."""
-    parsed = parse_all(raw)
+    parsed, parsed_metrics = materialize_observed(parse_all(raw, materialized=False), "parsed_listings", _parsed_metrics())
     counted = trim_and_count(parsed, trim_by, quantile_method)
-    repaired = materialize(repair_types(counted, quantile_method), "repaired_listings")
+    repaired, repaired_metrics = materialize_observed(repair_types(counted, quantile_method), "repaired_listings", _repaired_metrics())
     counts = (repaired.where(F.col("compound").isNotNull()).groupBy("compound")
               .agg(F.log1p(F.count(F.lit(1))).alias("log_comp_size")))
-    return CleanRun(parsed, repaired, materialize(counts, "compound_counts"))
+    return CleanRun(parsed, repaired, materialize(counts, "compound_counts"), parsed_metrics, repaired_metrics)
 
 
 def clean_asks(raw: DataFrame, compound_counts: DataFrame) -> DataFrame:
