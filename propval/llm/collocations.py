@@ -1,9 +1,10 @@
 """Operator 13: phrase collocation mining over depth-truncated suffix subtrees, partitioned by their prefixes (ERA).
 
 Every word position starts a suffix of its piece, cut after ``LONGEST`` words: a leaf. Tasks count the leaves of
-their texts in blocks and write them with their counts. Vertical partitioning then deals the prefixes (lang, first
-word) into groups whose leaves fit a budget: prefixes are hashed to cells, small cells share a group, and a cell
-beyond the budget is split by its prefixes extended by a second word, and where even that is too much by whole leaves.
+their texts in blocks and write a block's leaves as one row per prefix (lang, first word), the rest of each leaf and
+its count packed into one text. Vertical partitioning then deals the prefixes into groups whose leaves fit a budget:
+prefixes are hashed to cells, small cells share a group, and a cell beyond the budget is unpacked and split by its
+prefixes extended by a second word, and where even that is too much by whole leaves.
 Each group builds its subtree by itself: leaves in order, so that a node is a run of leaves and its count the
 total of the run. Nodes above a split are partial and add up over the groups.
 
@@ -26,13 +27,15 @@ from pyspark.sql.column import Column
 from pyspark.sql.window import Window
 
 from propval.llm.common import materialize, table
+from propval.operators.stats import broadcast_if_small
 
 LONGEST = 3  # words of a phrase, and the depth of the tree
 LEAST = 10  # occurrences of a candidate
 TOP = 2000  # phrases reported for each language
 SUBSUMED = 50  # hundredths of a phrase's occurrences that lie in a longer candidate and make it redundant
 BLOCK_WORDS = 3_000_000  # words counted at once in a task
-BUDGET = 1_000_000  # leaf rows of a group
+BUDGET = 1_000_000  # leaves of a group
+ROWS = 50_000  # rows that a task hands over at once
 CELLS = 4096  # cells of prefixes
 SPREAD = 64  # parts of a language in the first round of the ranking
 
@@ -42,7 +45,7 @@ _LOWER = bytes(range(256)).lower()
 FOLD = bytes(ord(".") if b in PIECE_ENDS else b for b in _LOWER)
 UNKNOWN = "und"
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-LEAF = "lang string, w1 string, w2 string, w3 string, n long"
+PACKED = "lang string, w1 string, occurrences long, leaves long, tails string"  # tails: lines of second word, third word (. for none), count
 NODE = "lang string, w1 string, w2 string, w3 string, f long, whole boolean"
 
 
@@ -84,8 +87,8 @@ def _sorted(columns: list[np.ndarray]) -> np.ndarray:
     return np.argsort(key, kind="stable")
 
 
-def _block_leaves(numbers: _Numbers, lang: str, seq: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Distinct leaves of one block of texts in one language, with their counts."""
+def _block_leaves(numbers: _Numbers, lang: str, seq: np.ndarray) -> pa.RecordBatch:
+    """Distinct leaves of one block of texts in one language, with their counts, packed by first word."""
     padded = np.concatenate([seq, [0, 0]])
     at = np.flatnonzero(seq)
     x, y = padded[at], padded[at + 1]
@@ -94,21 +97,26 @@ def _block_leaves(numbers: _Numbers, lang: str, seq: np.ndarray) -> Iterator[pa.
     x, y, z = x[order], y[order], z[order]
     head = _heads(x, y, z)
     n = np.diff(np.append(head, len(x)))
-    names = pa.array(list(numbers), pa.binary()).cast(pa.string())
-    for a in range(0, len(head), 100_000):
-        part = head[a:a + 100_000]
-        cols = [names.take(pa.array(w[part], mask=w[part] == 0)) for w in (x, y, z)]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *cols, pa.array(n[a:a + 100_000])], names=["lang", *WORDS, "n"])
+    names = pa.array(list(numbers), pa.binary()).cast(pa.large_string())
+    x, y, z = x[head], y[head], z[head]
+    tails = pc.binary_join_element_wise(names.take(pa.array(y)), names.take(pa.array(z)), pa.array(n).cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
+    first = _heads(x)
+    packed = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(first, len(x)), pa.int64()), tails), pa.scalar("\n", pa.large_string()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(first), pa.string()), names.take(pa.array(x[first])).cast(pa.string()), pa.array(np.add.reduceat(n, first)),
+         pa.array(np.diff(np.append(first, len(x)))), packed.cast(pa.string())], names=["lang", "w1", "occurrences", "leaves", "tails"])
 
 
 def leaves(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """(lang, w1, w2, w3, n): suffixes cut after three words, counted block by block (a leaf may have several rows)."""
+    """(lang, w1, occurrences, leaves, tails): suffixes cut after three words, counted block by block (a prefix has a row a block)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, held, size = _Numbers(), {}, 0
 
         def flush():
             for k, parts in held.items():
-                yield from _block_leaves(numbers, k, np.concatenate(parts))
+                whole = _block_leaves(numbers, k, np.concatenate(parts))
+                for a in range(0, whole.num_rows, ROWS):
+                    yield whole.slice(a, ROWS)
 
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -121,7 +129,7 @@ def leaves(docs: DataFrame, lang: str, text: str) -> DataFrame:
         yield from flush()
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("binary").alias("data"))
-    return rows.filter("length(data) > 0").mapInArrow(run, LEAF)
+    return rows.filter("length(data) > 0").mapInArrow(run, PACKED)
 
 
 def _cell(*columns: str, of: int | Column) -> Column:
@@ -129,47 +137,57 @@ def _cell(*columns: str, of: int | Column) -> Column:
 
 
 def grouped(found: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Leaves with level, g1 and g2: groups of whole prefixes of one word (level 1), of two (2) or of leaves (3)."""
+    """(level, g1, g2, g3, lang, w1, tails): groups of whole prefixes of one word (level 1), of two (2) or of leaves (3)."""
     spark = found.sparkSession
     found = found.withColumn("cell", _cell("lang", "w1", of=CELLS))
-    cells = {r["cell"]: r["rows"] for r in found.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).collect()}  # at most CELLS
+    cells = {r["cell"]: r["n"] for r in found.groupBy("cell").agg(F.sum("leaves").alias("n")).collect()}  # at most CELLS
     total = sum(cells.values())
     budget = max(1, min(budget, total // (2 * spark.sparkContext.defaultParallelism)))
     plan, group, held = [], 0, 0
-    for cell, rows in sorted(cells.items()):
-        if rows > budget:
-            plan.append((cell, None, -(-2 * rows // budget)))
+    for cell, n in sorted(cells.items()):
+        if n > budget:
+            plan.append((cell, None, -(-2 * n // budget)))
             continue
-        if held + rows > budget:
+        if held + n > budget:
             group, held = group + 1, 0
-        held += rows
+        held += n
         plan.append((cell, group, 1))
-    first = spark.createDataFrame(plan, "cell long, g long, parts long")
-    dealt = found.join(F.broadcast(first), "cell")
-    dealt = dealt.withColumn("g2", F.when(F.col("g").isNull(), _cell("lang", "w1", "w2", of=F.col("parts"))))
-    split = dealt.filter("g is null").groupBy("cell", "g2").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > budget)
-    split = split.select("cell", "g2", F.ceil(2 * F.col("rows") / F.lit(budget)).alias("pieces"))
-    dealt = dealt.join(split, ["cell", "g2"], "left")
-    leaf = F.pmod(F.xxhash64("lang", *WORDS, "n"), F.col("pieces"))
-    return dealt.select("lang", *WORDS, "n", F.when(F.col("pieces").isNotNull(), 3).when(F.col("g").isNull(), 2).otherwise(1).alias("level"),
-                        F.coalesce("g", "cell").alias("g1"), F.coalesce("g2", F.lit(0)).alias("g2"), F.coalesce(leaf, F.lit(0)).alias("g3"))
-
-
-def subtree(leaf: pa.Table, level: int, least: int) -> pa.Table:
+    dealt = found.join(F.broadcast(spark.createDataFrame(plan, "cell long, g long, parts long")), "cell")
+    zero = F.lit(0).cast("long")
+    whole = dealt.filter("g is not null").select(F.lit(1).alias("level"), F.col("g").alias("g1"), zero.alias("g2"), zero.alias("g3"), "lang", "w1", "tails")
+    single = dealt.filter("g is null").select("cell", "parts", "lang", "w1", F.explode(F.split("tails", "\n")).alias("tails"))
+    single = single.withColumn("second", F.substring_index("tails", " ", 1))
+    single = single.withColumn("g2", _cell("lang", "w1", "second", of=F.col("parts")))
+    split = single.groupBy("cell", "g2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > budget)
+    split = materialize(split.select("cell", "g2", F.ceil(2 * F.col("n") / F.lit(budget)).alias("pieces")), "splits")
+    single = single.join(broadcast_if_small(split), ["cell", "g2"], "left")  # at most one split for each budget of leaves
+    leaf = _cell("lang", "w1", "tails", of=F.col("pieces"))
+    single = single.select(F.when(F.col("pieces").isNotNull(), 3).otherwise(2).alias("level"), F.col("cell").alias("g1"), "g2",
+                           F.coalesce(leaf, zero).alias("g3"), "lang", "w1", "tails")
+    return whole.unionByName(single)
+
+
+def subtree(packed: pa.Table, level: int, least: int) -> pa.Table:
     """The nodes of the suffix tree over a group's leaves, with the totals of the leaves below them.
 
     Nodes of ``level`` words and more are whole and kept from ``least`` on; those above may go on in other groups.
     """
-    size = len(leaf)
-    text = pa.chunked_array([c for name in WORDS for c in leaf.column(name).chunks])
-    coded = text.combine_chunks().dictionary_encode()
-    word = pc.fill_null(pc.add(coded.indices, 1), 0).to_numpy().astype(np.int64).reshape(LONGEST, size)
-    lang = leaf.column("lang").combine_chunks().dictionary_encode()
-    columns = [lang.indices.to_numpy().astype(np.int64), *word]
+    lines = pc.split_pattern(packed.column("tails").combine_chunks().cast(pa.large_string()), "\n")
+    row = np.repeat(np.arange(len(packed)), np.diff(lines.offsets.to_numpy()))
+    fields = pc.split_pattern(lines.flatten(), " ").flatten()  # second word, third word, count of each leaf
+    size = len(row)
+    step = np.arange(size) * 3
+    first = packed.column("w1").combine_chunks().cast(pa.large_string())
+    coded = pa.concat_arrays([pa.array(["."], pa.large_string()), first, fields.take(pa.array(step)), fields.take(pa.array(step + 1))]).dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)  # 0: no word
+    n = fields.take(pa.array(step + 2)).cast(pa.int64()).to_numpy()
+    first, rest = code[1:len(packed) + 1], code[len(packed) + 1:].reshape(LONGEST - 1, size)
+    lang = packed.column("lang").combine_chunks().dictionary_encode()
+    columns = [lang.indices.to_numpy().astype(np.int64)[row], first[row], *rest]
     order = _sorted(columns)
     columns = [c[order] for c in columns]
     head = _heads(*columns)
-    total = np.add.reduceat(leaf.column("n").to_numpy()[order], head)
+    total = np.add.reduceat(n[order], head)
     columns = [c[head] for c in columns]  # from here on one row a leaf
     out = []
     for depth in range(1, LONGEST + 1):
@@ -178,7 +196,7 @@ def subtree(leaf: pa.Table, level: int, least: int) -> pa.Table:
         whole = depth >= level
         kept = (columns[depth][node] > 0) & ((f >= least) | (not whole))
         node, f = node[kept], f[kept]
-        names = [coded.dictionary.take(pa.array(columns[d][node] - 1)) if d <= depth else pa.nulls(len(node), pa.string())
+        names = [coded.dictionary.take(pa.array(columns[d][node])).cast(pa.string()) if d <= depth else pa.nulls(len(node), pa.string())
                  for d in range(1, LONGEST + 1)]
         out.append(pa.table([lang.dictionary.take(pa.array(columns[0][node])), *names, pa.array(f), pa.array([whole] * len(node), pa.bool_())],
                             names=["lang", *WORDS, "f", "whole"]))
@@ -187,8 +205,8 @@ def subtree(leaf: pa.Table, level: int, least: int) -> pa.Table:
 
 def frequent_nodes(found: DataFrame, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
     """(lang, w1, w2, w3, f): every phrase of one to three words with at least ``least`` occurrences."""
-    def build(key: tuple, leaf: pa.Table) -> pa.Table:
-        return subtree(leaf, key[0].as_py(), least)
+    def build(key: tuple, packed: pa.Table) -> pa.Table:
+        return subtree(packed, key[0].as_py(), least)
 
     nodes = materialize(grouped(found, budget).groupBy("level", "g1", "g2", "g3").applyInArrow(build, NODE), "nodes")
     partial = nodes.filter("not whole").groupBy("lang", *WORDS).agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
@@ -227,7 +245,7 @@ def scored(nodes: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, lang: str, text: str, top: int = TOP, least: int = LEAST, subsumed: int = SUBSUMED, budget: int = BUDGET) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the ``top`` phrases of each language."""
     found = materialize(leaves(docs, lang, text), "leaves")
-    total = found.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = found.groupBy("lang").agg(F.sum("occurrences").alias("n"))
     kept = scored(materialize(frequent_nodes(found, least, budget), "frequent")).filter(f"cover is null or 100 * cover < {subsumed} * a").drop("cover")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # a language's rows are first cut to the best of each of SPREAD parts, so that no task ranks a whole language
