@@ -33,8 +33,8 @@ LONGEST = 3  # words of a phrase, and the depth of the tree
 LEAST = 10  # occurrences of a candidate
 TOP = 2000  # phrases reported for each language
 SUBSUMED = 50  # hundredths of a phrase's occurrences that lie in a longer candidate and make it redundant
-BLOCK_WORDS = 3_000_000  # words counted at once in a task
-BUDGET = 1_000_000  # leaves of a group
+BLOCK_WORDS = 1_500_000  # words counted at once in a task
+BUDGET = 400_000  # leaves of a group
 ROWS = 50_000  # rows that a task hands over at once
 CELLS = 4096  # cells of prefixes
 SPREAD = 64  # parts of a language in the first round of the ranking
