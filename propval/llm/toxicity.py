@@ -7,8 +7,8 @@ and the loss on parts of the sample left out ends the training. A misspelt word
 As the model is linear from n-gram to logit, it is sent to the executors as one number per bucket.
 
 Training rows are a bounded sample (PER_CLASS documents of each class, half of SAMPLE_BYTES of text for each): of the
-labelled documents that have a text by a hash, so the sample does not depend on partitions; the longest texts are
-shortened where a class has too many characters. Scoring covers every whole text.
+labelled documents that have a text by a hash, so the sample does not depend on partitions; texts are whole, and fewer
+where they are long. Scoring covers every whole text.
 
 Defined results: null and empty texts score by the softmax's bias; labels with a null id or value, or that are not
 0 or 1, are ignored, ids labelled both ways count as 1; without labels of both classes, or if training predicts the
@@ -210,6 +210,11 @@ class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self.memo = weights, bias, {}
 
+    @property
+    def undecided(self) -> bool:
+        """True if training learned nothing, so that no text is ever predicted toxic."""
+        return self.bias == UNDECIDED and not self.weights.any()
+
     def learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 1 << 15):
             part = words[i:i + (1 << 15)]
@@ -236,21 +241,25 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def water_level(sizes: list[int], room: int) -> int:
-    """The most characters of one text with which all texts, longer ones shortened to it, fit into ``room``."""
-    for i, n in enumerate(sorted(sizes)):
-        if n * (len(sizes) - i) > room:
-            return max(1, room // (len(sizes) - i))
-        room -= n
-    return max(sizes, default=0)
+def whole_texts(sizes: list[int], room: int) -> list[int]:
+    """Places of the texts taken: one after the other, each whole, those left aside that no longer fit into ``room``.
+
+    Where none fits, the shortest is taken all the same.
+    """
+    taken, left = [], room
+    for i, n in enumerate(sizes):
+        if n <= left:
+            taken.append(i)
+            left -= n
+    return taken or ([min(range(len(sizes)), key=sizes.__getitem__)] if sizes else [])
 
 
 def pick_sample(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -> tuple[list[str], np.ndarray]:
     """Texts and labels to train on: per class the labelled documents with a text that come first in a hash order.
 
     ``docs`` has id and text, ``labels`` id and label. At most 2 * per_class rows reach the driver and, half of it for
-    each class, ``most`` characters (or one a row): where a class has more, its longest texts are shortened to one
-    length. Repeated rows of an id and text count once.
+    each class, ``most`` characters: a text that no longer fits is left aside whole. Repeated rows of an id and text
+    count once.
     """
     labels = labels.filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     texts = docs.filter("id is not null and length(text) > 0").withColumn("h", F.xxhash64("id", "text", F.lit(2)))
@@ -258,13 +267,12 @@ def pick_sample(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -
     chosen = []
     for k in (0, 1):
         rows = known.filter(F.col("label") == k).groupBy("id", "h").agg(F.max("n").alias("n")).orderBy("h", "id").limit(per_class).collect()
-        room = water_level([r["n"] for r in rows], most // 2)
-        chosen += [(r["id"], r["h"], k, room) for r in rows]
+        chosen += [(rows[i]["id"], rows[i]["h"], k) for i in whole_texts([r["n"] for r in rows], most // 2)]
     if not chosen:
         return [], np.zeros(0)
     kind = known.schema["id"].dataType.simpleString()
-    sent = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"id {kind}, h long, label int, room int"))  # 2 * per_class rows
-    found = texts.join(sent, ["id", "h"]).select("id", "h", "label", F.col("text").substr(F.lit(1), F.col("room")).alias("text"))
+    sent = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"id {kind}, h long, label int"))  # 2 * per_class rows
+    found = texts.join(sent, ["id", "h"]).select("id", "h", "label", "text")
     rows = found.dropDuplicates(["id", "h"]).orderBy("h", "id").collect()
     return [r["text"] for r in rows], np.array([r["label"] for r in rows])
 

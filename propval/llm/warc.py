@@ -201,8 +201,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
 def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
-    path = shared_path(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
-    found = read_warc(spark, path).filter("record_type <> 'gap'")
+    path, pages = shared_path(spark, "warc"), table(spark, sf_dir, "pages")
+    write_warc(pages, path, "page_id", "url", "html")
+    found = materialize(read_warc(spark, path), "warc-index")
+    gaps = found.filter("record_type = 'gap'").agg(F.count(F.lit(1)), F.sum(F.col("stop") - F.col("start"))).first()
+    records, rows = found.count() - gaps[0], pages.count()
+    if gaps[0] or records != rows:
+        raise Damaged(f"{gaps[0]} gaps of {gaps[1]} bytes; {records} records of {rows} pages were read back")
     return found.select(F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                         F.col("refers_to").try_cast("long").alias("refers_to"))
