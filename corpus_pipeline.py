@@ -7,6 +7,8 @@ of any name pass through. An empty table passes every stage as an empty table.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under 0.5; learned from ``labels``, held-out ids aside."""
     rows, name = numbered(docs)
     scorer = toxicity.fit_documents(rows, table(spark, sf_dir, "labels"), name["doc_id"], name["text"])
+    if scorer.undecided:
+        warnings.warn("toxicity: the labels teach nothing, so this stage keeps every document", stacklevel=2)
     scored = toxicity.score(rows, rows.columns, name["text"], scorer)
     return scored.filter("score < 0.5").drop("score").toDF(*docs.columns)
 
@@ -49,10 +53,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces and ids of every document, by piece_bpe_32k.model."""
+    """doc_id, n_pieces and ids of every document, by piece_bpe_32k.model, and whether decoding gives back its text."""
     import public_tokenizers
-    found = sentencepiece_viterbi.encode(docs, ["doc_id"], "text", public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    found = sentencepiece_viterbi.encode(docs, ["doc_id"], "text", public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [
