@@ -42,6 +42,7 @@ def tiny(spark, tmp_path_factory):
                (5, [inf, 1.0, 1.0], 1), (6, [None, 1.0, 1.0], 1), (7, [0.0, 0.0, 0.0], 1), (8, [], 1), (None, [1.0, 0.5, -0.25], 1), (9, [1.0, 0.5], 1),
                (200, [0.1, 0.2, 0.3], 2), (10, [0.1, 0.2, 0.3], 2), (10, [0.1, 0.2, 0.3], 2), (11, [-0.1, -0.2, -0.3], 2), (12, [0.2, 0.4, 0.6], 2), (300, None, 1)]
     write(spark, folder, "embeddings", vectors, "vec_id long, embedding array<float>, label int")
+    write(spark, folder, "benchmark", [(1, "the same text twice in the table"), (1, None), (None, "no id at all")], "item_id long, text string")
     return str(folder)
 
 
@@ -52,6 +53,7 @@ def empty(spark, tmp_path_factory):
     write(spark, folder, "labels", [], "doc_id long, quality int, toxic int")
     write(spark, folder, "pages", [], "page_id long, url string, html string")
     write(spark, folder, "embeddings", [], "vec_id long, embedding array<float>, label int")
+    write(spark, folder, "benchmark", [], "item_id long, text string")
     return str(folder)
 
 
