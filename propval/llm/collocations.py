@@ -33,8 +33,9 @@ LONGEST = 3  # words of a phrase, and the depth of the tree
 LEAST = 10  # occurrences of a candidate
 TOP = 2000  # phrases reported for each language
 SUBSUMED = 50  # hundredths of a phrase's occurrences that lie in a longer candidate and make it redundant
-BLOCK_WORDS = 1_500_000  # words counted at once in a task
-BUDGET = 400_000  # leaves of a group
+BLOCK_WORDS = 1_000_000  # words counted at once in a task
+BUDGET = 400_000  # leaves of a group, at most
+GROUPS = 512  # groups of equal size that all leaves would make, at least: what is larger is hot and split
 ROWS = 50_000  # rows that a task hands over at once
 CELLS = 4096  # cells of prefixes
 SPREAD = 64  # parts of a language in the first round of the ranking
@@ -142,7 +143,7 @@ def grouped(found: DataFrame, budget: int = BUDGET) -> DataFrame:
     found = found.withColumn("cell", _cell("lang", "w1", of=CELLS))
     cells = {r["cell"]: r["n"] for r in found.groupBy("cell").agg(F.sum("leaves").alias("n")).collect()}  # at most CELLS
     total = sum(cells.values())
-    budget = max(1, min(budget, total // (2 * spark.sparkContext.defaultParallelism)))
+    budget = max(1, min(budget, total // GROUPS))
     plan, group, held = [], 0, 0
     for cell, n in sorted(cells.items()):
         if n > budget:
