@@ -191,9 +191,14 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+def _constant(numbers: list[float]) -> Column:
+    """An array that Spark folds to one literal: a plan with a literal for each number would fill the driver."""
+    return F.split(F.lit(" ".join(map(repr, numbers))), " ").cast("array<double>")
+
+
 def log_ratio(token: Column, ratios: list[float]) -> Column:
     """Sum of the transitions' log-likelihood ratios along a token."""
-    cells = F.lit(ratios)
+    cells = _constant(ratios)
     zero = F.struct(F.lit(START).alias("a"), F.lit(0.0).alias("sum"))
     return F.aggregate(_codes(token), zero, lambda acc, c: F.struct(
         c.alias("a"), (acc["sum"] + F.get(cells, acc["a"] * ALPHABET + c)).alias("sum")), lambda acc: acc["sum"])
@@ -205,7 +210,7 @@ def random_stretches(token: Column, ratios: list[float], threshold: float = THRE
     The sum starts anew where it is not above 0, and a stretch ends where the sum has fallen by ``fall`` from its
     height; it reaches from its start to that height.
     """
-    cells = F.lit(ratios)
+    cells = _constant(ratios)
     none = F.array().cast("array<struct<start:int,stop:int>>")
 
     def closed(acc):
