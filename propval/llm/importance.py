@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
-from pyspark.sql.window import Window
 
-from propval.llm.common import materialize, numbered, slices, table
+from propval.llm.common import materialize, numbered, ranked, slices, table
 from propval.llm.words import words
 
 BUCKETS = 10_000
@@ -202,18 +201,6 @@ def noise(key: Column, seed: int) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0)))).cast("long")
 
 
-def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """``rows`` with ``rank`` from 1 by the given order, which should tell rows apart; no task sees more than a range."""
-    place = F.monotonically_increasing_id()
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
-    placed = materialize(ranges, "ranked").withColumn("_range", F.shiftright("_place", 33))
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return placed.join(F.broadcast(before), "_range").withColumn("rank", rank).drop("_place", "_range", "_before")
-
-
 def resample(docs: DataFrame, keep: list[str], key: str, text: str, target: DataFrame, target_text: str, share: int = SHARE,
              least_words: int = LEAST_WORDS, seed: int = SEED, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
     """Columns ``keep`` of every row with n_words, n_features, weight, score and rank (null: not drawn).

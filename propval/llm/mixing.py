@@ -1,17 +1,20 @@
 """Operator 8: mixing overlapping sources to target weights by min-cost flow.
 
-Documents are aggregated by membership pattern (the set of sources that hold them). A small flow network
+Documents are aggregated by membership pattern (the set of sources that hold them). A flow network
 source-of-words -> pattern -> source -> sink routes words to the sources' quotas; a pattern's r-th copy
 costs r - 1 per word, so repetition is spread convexly. Each pattern then repeats all its documents as often
 as its flow fills, and a seeded order decides which documents give the rest.
 
-The driver only sees one row per pattern (``MAX_PATTERNS`` at most, else an error). Selection is distributed:
+Patterns that share no source do not compete: each connected part of patterns and sources is a network of its own,
+solved in a task of its own. A part of one pattern and one source has one path, whose flow is a plain expression;
+where every document has one source, as in the query, all parts are of that kind and the flow has no choice to make.
+No pattern, source or target reaches the driver, however many there are. Selection is distributed:
 a seeded number in [0, 1) deals a pattern's documents into buckets, bucket sums find the boundary bucket, and
 only that bucket's documents are walked in order.
 
 Defined results: null and empty texts have size 0 and take 0 words; null sources form a source of their own;
 repeated rows are separate documents that share their seeded number (ties go by size); an empty table gives no
-rows; other columns stay untouched beside the result.
+rows; very long texts count whole; other columns stay untouched beside the result.
 """
 
 from __future__ import annotations
@@ -25,17 +28,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from propval.llm.common import materialize, table
+from propval.llm.common import materialize, ranked, table
+from propval.llm.components import components
+from propval.operators.stats import broadcast_if_small
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_PATTERNS = 20_000  # membership patterns the driver's network may hold
 ZONE_ROWS = 128  # documents the boundary bucket aims at
 MAX_BUCKETS = 1 << 16  # buckets of one pattern
 WEIGHT_CYCLE = (3.0, 1.0, 2.0)  # fixed values: the weights of the sources in order, repeating
 
 
 class Network:
-    """Min-cost flow by successive shortest paths with potentials (Dijkstra), on the few nodes of the driver."""
+    """Min-cost flow by successive shortest paths with potentials (Dijkstra), on the nodes of one connected part."""
 
     def __init__(self, n: int):
         self.edges: list[list] = []  # [head, residual capacity, cost]; edge i ^ 1 is the reverse of edge i
@@ -96,20 +100,25 @@ def route(patterns: Sequence[tuple[Sequence[str], int]], quotas: Mapping[str, in
     return [sum(net.flow(e) for e in edges) for edges in supply]
 
 
-def shared_targets(sizes: Mapping[str, int], weights: Mapping[str, float], total: float, most: float) -> dict[str, float]:
-    """``total`` dealt out by weight, no source above ``most`` times its size; the excess is dealt anew."""
-    targets: dict[str, float] = {}
-    open_, rest = list(sizes), float(total)
-    while open_:
-        unit = rest / sum(weights[s] for s in open_)
-        over = [s for s in open_ if unit * weights[s] > most * sizes[s]]
-        if not over:
-            return targets | {s: unit * weights[s] for s in open_}
-        for s in over:
-            targets[s] = most * sizes[s]
-        rest -= sum(targets[s] for s in over)
-        open_ = [s for s in open_ if s not in targets]
-    return targets
+def shared_targets(sources: DataFrame, total: float, most: float) -> DataFrame:
+    """``sources`` (size, weight) with ``target``: ``total`` dealt out by weight, no source above ``most`` times its
+    size, the excess dealt anew until none is above.
+
+    A source's share grows with every deal, so one number, the words of a unit of weight, tells which are full.
+    """
+    full = F.col("size") * F.lit(float(most))
+
+    def dealt(unit: float) -> Column:
+        return F.lit(unit) * F.col("weight")
+
+    unit = 0.0
+    while True:
+        over = dealt(unit) > full
+        held, open_ = sources.agg(F.sum(F.when(over, full).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        following = (total - held) / open_ if open_ else unit
+        if following <= unit:
+            return sources.withColumn("target", F.least(dealt(unit), full))
+        unit = following
 
 
 def _swap(sizes: np.ndarray, n: np.ndarray, chosen: list[int], need: int) -> None:
@@ -155,42 +164,62 @@ def prepare(docs: DataFrame, keep: Sequence[str], members: Column, size: Column,
         F.monotonically_increasing_id().alias("_row")), "mix-documents")
 
 
-def pattern_sizes(prepared: DataFrame) -> list:
-    """Words and documents of each membership pattern, in the order of their sources."""
-    found = prepared.groupBy("_pattern").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; group the sources first")
-    return sorted(found, key=lambda r: list(r["_pattern"]))
-
-
-def mix(prepared: DataFrame, patterns: list, quotas: Mapping[str, int], copies: int) -> DataFrame:
-    """``prepared`` with ``times`` and ``taken``: whole documents, ``copies`` times at most, the quotas filled."""
-    spark = prepared.sparkSession
-    given = route([(r["_pattern"], r["size"]) for r in patterns], quotas, copies)
-    plan = []
-    for p, (r, words) in enumerate(zip(patterns, given)):
-        whole = min(copies, words // r["size"]) if r["size"] else 0
-        plan.append((list(r["_pattern"]), p, whole, words - whole * r["size"], max(1, min(MAX_BUCKETS, r["n"] // ZONE_ROWS))))
-    plan = F.broadcast(spark.createDataFrame(  # MAX_PATTERNS rows at most
-        plan, "_pattern array<string>, _p int, _whole int, _rest long, _buckets int"))
-    dealt = prepared.join(plan, "_pattern", "left").withColumn("_bucket", F.floor(F.col("_u") * F.col("_buckets")))
+def _part_flows(copies: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        quotas = {s: int(q) for s, q in zip(rows["_member"], rows["_quota"])}
+        patterns = rows.groupby("_p", sort=True).agg({"_member": list, "_size": "first"})
+        given = route([(sorted(m), int(n)) for m, n in zip(patterns["_member"], patterns["_size"])], quotas, copies)
+        return pd.DataFrame({"_p": patterns.index, "_words": given})
+
+    return run
+
+
+def routed(patterns: DataFrame, quotas: DataFrame, copies: int) -> DataFrame:
+    """(_p, _words): what each pattern gives. ``patterns`` has _p, _pattern and _size, ``quotas`` _member and _quota, both written."""
+    pairs = patterns.select("_p", "_size", F.size("_pattern").alias("_n"), F.explode("_pattern").alias("_member")).join(quotas, "_member", "left")
+    pairs = materialize(pairs.na.fill(0, ["_quota"]), "mix-pairs")
+    shared = pairs.groupBy("_member").agg(F.max("_n").alias("_most"))
+    marked = materialize(pairs.join(shared, "_member"), "mix-marked")
+    alone = marked.filter("_n = 1 and _most = 1").select("_p", F.least(F.col("_size") * copies, "_quota").alias("_words"))
+    rest = marked.filter("_n > 1 or _most > 1")
+    members = materialize(rest.select("_member").distinct().select("_member", (-1 - F.monotonically_increasing_id()).alias("_m")), "mix-members")
+    links = materialize(rest.join(members, "_member"), "mix-links")
+    parts = components(links, "_p", "_m").select(F.col("node").alias("_p"), F.col("component").alias("_part"))
+    flows = links.join(parts, "_p").groupBy("_part").applyInPandas(_part_flows(copies), "_p long, _words long")
+    return alone.unionByName(flows)
+
+
+def mix(prepared: DataFrame, quotas: DataFrame, copies: int) -> DataFrame:
+    """``prepared`` with ``times`` and ``taken``: whole documents, ``copies`` times at most, the quotas filled.
+
+    ``quotas`` has _member and _quota; sources without a row there get nothing.
+    """
+    patterns = prepared.groupBy("_pattern").agg(F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_docs"))
+    patterns = materialize(patterns.withColumn("_p", F.monotonically_increasing_id()), "mix-patterns")
+    given = materialize(routed(patterns, quotas, copies), "mix-flows")
+    whole = F.when(F.col("_size") > 0, F.least(F.lit(copies), F.floor(F.col("_words") / F.col("_size")))).otherwise(0).cast("long")
+    buckets = F.greatest(F.lit(1), F.least(F.lit(MAX_BUCKETS), F.floor(F.col("_docs") / ZONE_ROWS)))
+    plan = patterns.join(given, "_p").withColumn("_whole", whole).select(
+        "_pattern", "_p", "_whole", (F.col("_words") - F.col("_whole") * F.col("_size")).alias("_rest"), buckets.alias("_buckets"))
+    dealt = prepared.join(broadcast_if_small(materialize(plan, "mix-plan")), "_pattern", "left")
+    dealt = dealt.withColumn("_bucket", F.floor(F.col("_u") * F.col("_buckets")))
     sums = dealt.filter("_rest > 0").groupBy("_p", "_bucket").agg(F.sum("_size").alias("_sum"), F.first("_rest").alias("_all"))
     w = Window.partitionBy("_p").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     need = (F.col("_all") - F.col("_upto") + F.col("_sum")).alias("_need")
     edges = (sums.withColumn("_upto", F.sum("_sum").over(w)).filter("_upto > _all")
              .groupBy("_p").agg(F.min(F.struct("_bucket", need)).alias("_e")).select("_p", F.col("_e._bucket").alias("_edge"), "_e._need"))
-    edges = F.broadcast(materialize(edges, "mix-edges"))  # one row per pattern
+    edges = broadcast_if_small(materialize(edges, "mix-edges"))  # one row per pattern
     dealt = dealt.join(edges, "_p", "left")
     zone = dealt.filter("_bucket = _edge").select("_p", "_u", "_size", "_need", "_row")
     classes = zone.groupBy("_p", "_u", "_size").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
-    chosen = classes.groupBy("_p").applyInPandas(_fill, "_p int, _u double, _size long, _chosen long").filter("_chosen > 0")
+    chosen = classes.groupBy("_p").applyInPandas(_fill, "_p long, _u double, _size long, _chosen long").filter("_chosen > 0")
     nth = F.row_number().over(Window.partitionBy("_p", "_u", "_size").orderBy("_row"))
     extra = (zone.join(chosen, ["_p", "_u", "_size"]).withColumn("_nth", nth).filter("_nth <= _chosen")
              .select("_row", F.lit(1).alias("_extra")))
     # about ZONE_ROWS rows a pattern: Spark broadcasts the written table if its files are small, and joins it otherwise
     dealt = dealt.join(materialize(extra, "mix-extra"), "_row", "left")
     before = (F.col("_rest") > 0) & (F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")))
-    times = F.coalesce("_whole", F.lit(0)) + F.coalesce("_extra", before.cast("int"), F.lit(0))
+    times = (F.coalesce("_whole", F.lit(0)) + F.coalesce("_extra", before.cast("int"), F.lit(0))).cast("int")
     return dealt.select(*prepared.columns, times.alias("times"), (F.col("_size") * times).alias("taken"))
 
 
@@ -204,14 +233,14 @@ def mix_documents(docs: DataFrame, keep: Sequence[str], share: float = 1.5, most
     member = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
     drawn = [F.col(key), F.crc32(F.encode(text, "UTF-8"))]
     prepared = prepare(docs, keep, F.array(member), F.regexp_count(text, F.lit(WORD)), drawn, seed)
-    patterns = pattern_sizes(prepared)
-    order = sorted((r["_pattern"][0] for r in patterns), key=lambda m: (m == "n", m))
-    sizes = {r["_pattern"][0]: r["size"] for r in patterns}
-    weights = {m: WEIGHT_CYCLE[i % len(WEIGHT_CYCLE)] for i, m in enumerate(order)}
-    targets = shared_targets(sizes, weights, share * sum(sizes.values()), most)
-    known = F.broadcast(docs.sparkSession.createDataFrame(  # MAX_PATTERNS rows at most
-        [([m], sizes[m], float(targets[m])) for m in order], "_pattern array<string>, source_size long, target double"))
-    mixed = mix(prepared, patterns, {m: round(t) for m, t in targets.items()}, most)
+    sources = prepared.groupBy(F.get("_pattern", F.lit(0)).alias("_member")).agg(F.sum("_size").alias("size"))
+    sources = ranked(materialize(sources, "mix-sources"), (F.col("_member") == "n").asc(), F.col("_member").asc())
+    cycle = F.array(*[F.lit(w) for w in WEIGHT_CYCLE])
+    sources = materialize(sources.withColumn("weight", F.get(cycle, ((F.col("rank") - 1) % len(WEIGHT_CYCLE)).cast("int"))), "mix-weights")
+    words = sources.agg(F.sum("size")).first()[0] or 0
+    targets = materialize(shared_targets(sources, share * words, most), "mix-targets")
+    mixed = mix(prepared, targets.select("_member", F.rint("target").cast("long").alias("_quota")), most)
+    known = broadcast_if_small(targets.select(F.array("_member").alias("_pattern"), F.col("size").alias("source_size"), "target"))
     return mixed.join(known, "_pattern", "left").select(
         *keep, F.col("_size").alias("size"), "source_size", "target", "taken", "times")
 
