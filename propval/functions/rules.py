@@ -599,6 +599,20 @@ PAY_AR_SHORT = "تم احتساب تأثير التقسيط القصير عند
 PAY_AR_LONG = "السعر يتضمن نظام سداد طويل الأمد قد يرفع القيمة الإجمالية للعقار."
 PAY_AR_OTHER = "تم احتساب تأثير نظام التقسيط عند تحليل السعر."
 
+# ---------------------------------------------------------------------------
+# Sentences of the reason and of the down-payment warning
+# ---------------------------------------------------------------------------
+REASON_ENGLISH = "Similar {prefix}{type}s in {area} typically sell between {low} and {high}. Your price is {interpretation}{note}"
+REASON_STRONG = ("significantly {word} than the market range ({low}–{high}). Your price is ~{dev}% {direction} expected value, "
+                 "placing it {position} of comparable listings.")
+REASON_STRONG_FROM = 25
+REASON_POSITION = "{end}{pct}%"
+REASON_LOWEST, REASON_HIGHEST = "among the lowest ", "among the highest "
+REASON_MILD = "{word} than most comparable listings in the {low}–{high} range."
+REASON_FAIR = "generally in line with the market range of {low}–{high}."
+DOWN_PAYMENT_WARNING = ("⚠️ Alert: The entered price ({ask}) equals {share}% of the expected price. "
+                        "Did you enter the down payment (≈{guess}) instead of the full price?")
+
 # ---------------------------------------------------------------------------
 # monitoring
 # ---------------------------------------------------------------------------

@@ -16,6 +16,8 @@ are left joins on the trimmed (area, type) key.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,6 +238,12 @@ def add_safety(df: DataFrame) -> DataFrame:
 # D10-D12 texts
 # ---------------------------------------------------------------------------
 
+def _filled(template: str, **values: Column) -> Column:
+    """A fixed sentence with its {names} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+
+
 def add_reason(df: DataFrame) -> DataFrame:
     """English reason + Arabic two-line explanation + optional notes."""
     low, high = fmt.price_egp(F.col("lo_f")), fmt.price_egp(F.col("hi_f"))
@@ -246,31 +254,24 @@ def add_reason(df: DataFrame) -> DataFrame:
     below = r < 1.0
     pct = F.when(below, _clamp(_trunc_int((1.0 - r) * 100), 1, 50)).otherwise(_clamp(_trunc_int((r - 1.0) * 100), 1, 50))
     direction = F.when(below, F.lit("below")).otherwise(F.lit("above"))
-    positioning = F.concat(F.when(below, F.lit("among the lowest ")).otherwise(F.lit("among the highest ")),
-                           pct.cast("string"), F.lit("%"))
-    strong = lambda word: F.concat(
-        F.lit(f"significantly {word} than the market range ("), low, F.lit("–"), high,
-        F.lit("). Your price is ~"), fmt.fixed(dev, 0), F.lit("% "), direction,
-        F.lit(" expected value, placing it "), positioning, F.lit(" of comparable listings."))
-    mild = lambda word: F.concat(F.lit(f"{word} than most comparable listings in the "), low, F.lit("–"),
-                                 high, F.lit(" range."))
+    range_ = {"low": low, "high": high}
+    position = _filled(R.REASON_POSITION, end=F.when(below, F.lit(R.REASON_LOWEST)).otherwise(F.lit(R.REASON_HIGHEST)), pct=pct.cast("string"))
+
+    def told(word: str) -> Column:
+        strong = _filled(R.REASON_STRONG, word=F.lit(word), dev=fmt.fixed(dev, 0), direction=direction, position=position, **range_)
+        return F.when(dev >= R.REASON_STRONG_FROM, strong).otherwise(_filled(R.REASON_MILD, word=F.lit(word), **range_))
+
     alert = F.col("alert")
-    interpret = (F.when(alert == "UNDERPRICED", F.when(dev >= 25, strong("lower")).otherwise(mild("lower")))
-                 .when(alert == "OVERPRICED", F.when(dev >= 25, strong("higher")).otherwise(mild("higher")))
-                 .otherwise(F.concat(F.lit("generally in line with the market range of "), low, F.lit("–"), high,
-                                     F.lit("."))))
+    interpret = (F.when(alert == "UNDERPRICED", told("lower")).when(alert == "OVERPRICED", told("higher"))
+                 .otherwise(_filled(R.REASON_FAIR, **range_)))
     area = F.col("area").cast("string")
     area_str = F.when(area.isNotNull() & (area != "") & (area != "Unknown"), area).otherwise(F.lit(R.AREA_FALLBACK_TEXT))
     prefix = F.coalesce(_map(R.ZONE_PREFIX)[F.col("zone")], F.lit(""))
-    english = F.concat(F.lit("Similar "), prefix, F.lower(F.col("type_clean")), F.lit("s in "), area_str,
-                       F.lit(" typically sell between "), low, F.lit(" and "), high, F.lit(". Your price is "),
-                       interpret,
-                       F.when(F.col("calibrated"), F.lit(R.REASON_STANDALONE_NOTE)).otherwise(F.lit("")))
+    english = _filled(R.REASON_ENGLISH, prefix=prefix, type=F.lower(F.col("type_clean")), area=area_str, interpretation=interpret,
+                      note=F.when(F.col("calibrated"), F.lit(R.REASON_STANDALONE_NOTE)).otherwise(F.lit("")), **range_)
 
-    def ar(template):
-        a, b = template.split("{lo}")
-        b1, b2 = b.split("{hi}")
-        return F.concat(F.lit(a), low, F.lit(b1), high, F.lit(b2))
+    def ar(template: str) -> Column:
+        return _filled(template, lo=low, hi=high)
 
     line1 = (F.when(alert == "UNDERPRICED", F.when(r < R.EXTREME_RATIO_LOW, ar(R.AR_UNDER_EXTREME))
                     .otherwise(ar(R.AR_UNDER)))
@@ -292,9 +293,7 @@ def down_payment_warning_col(ask: Column, pred: Column) -> Column:
     """Warn when the ask looks like a down payment (ratio < 0.35)."""
     ratio = F.when(pred > 0, ask / pred).otherwise(F.lit(1.0))
     guess = pred * R.DOWN_PAYMENT_GUESS_SHARE
-    text = F.concat(F.lit("⚠️ Alert: The entered price ("), fmt.price_egp(ask), F.lit(") equals "),
-                    fmt.fixed(ratio * 100, 0), F.lit("% of the expected price. Did you enter the down payment (≈"),
-                    fmt.price_egp(guess), F.lit(") instead of the full price?"))
+    text = _filled(R.DOWN_PAYMENT_WARNING, ask=fmt.price_egp(ask), share=fmt.fixed(ratio * 100, 0), guess=fmt.price_egp(guess))
     return F.when(ratio < R.DOWN_PAYMENT_SUSPECT_RATIO, text)
 
 

@@ -805,8 +805,8 @@ def _ensemble(spark, sf_dir):
     return _CACHE[key]
 
 
-def _type_ensembles(spark, sf_dir):
-    key = ("type_ensembles", sf_dir, id(spark))
+def _type_models(spark, sf_dir):
+    key = ("type_models", sf_dir, id(spark))
     if key not in _CACHE:
         df, _ = _model_table(spark, sf_dir)
         _CACHE[key] = M.train_per_type(df.where(~F.col("is_test")), _chosen(spark, sf_dir))
@@ -848,7 +848,7 @@ def _valuation(spark, sf_dir):
     key = ("valuation", sf_dir, id(spark))
     if key not in _CACHE:
         table, fitted = _feature_fit(spark, sf_dir)
-        ens, by_type = _ensemble(spark, sf_dir)[0], _type_ensembles(spark, sf_dir)
+        ens, by_type = _ensemble(spark, sf_dir)[0], _type_models(spark, sf_dir)
         path = _run_path(spark, "valuation")
         TR.save(TR.Valuation(_encodings(spark, sf_dir), _j1(spark, sf_dir).compound_counts, fitted, ens,
                              TR.test_metrics(table, ens, by_type), by_type), path)
@@ -888,7 +888,7 @@ def q_m7(spark, sf_dir):
 def _scored_test(spark, sf_dir):
     key = ("scored_test", sf_dir, id(spark))
     if key not in _CACHE:
-        _CACHE[key] = TR.score_test(_model_table(spark, sf_dir)[0], _ensemble(spark, sf_dir)[0], _type_ensembles(spark, sf_dir))
+        _CACHE[key] = TR.score_test(_model_table(spark, sf_dir)[0], _ensemble(spark, sf_dir)[0], _type_models(spark, sf_dir))
     return _CACHE[key]
 
 
@@ -1045,6 +1045,34 @@ def q_q2_stream(spark, sf_dir):
     return STREAM.event_window_stats(spark, landing, events.schema, _run_path(spark, "events_job"))
 
 
+@query("q2_late")
+def q_q2_late(spark, sf_dir):
+    """Events that land in three lots, the later ones with late and repeated events: where each event ends up, by type and day.
+
+    Lot 0: half of the events of the first half of the time; lot 1: the second half but for a few of the last hour, and a
+    tenth of lot 0 again; lot 2: all the rest, and lot 1 again.
+    """
+    events = S.attach_scalars(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "events").agg(
+        F.min(_seconds("ts")).alias("_first"), F.max(_seconds("ts")).alias("_last")))
+    early = _seconds("ts") < (F.col("_first") + F.col("_last")) / 2
+    held = (_seconds("ts") >= F.col("_last") - 1800) & (F.col("event_id") % 4 == 3)
+    lot = F.when(early & (F.col("event_id") % 2 == 0), 0).when(~early & ~held, 1).otherwise(2)
+    lots = materialize(events.withColumn("_lot", lot), "event_lots")
+    repeated = [F.col("_lot") == 0, (F.col("_lot") == 1) | ((F.col("_lot") == 0) & (F.col("event_id") % 10 == 0)), F.col("_lot") >= 1]
+    landing, state = _run_path(spark, "lots_landing"), _run_path(spark, "lots_job")
+    schema = lots.drop("_lot", "_first", "_last").schema
+    for part in repeated:
+        lots.where(part).select(*schema.names).write.mode("append").parquet(landing)
+        split = STREAM.split_late(spark, landing, schema, ["event_id"], "ts", state)
+    both = split.accepted.withColumn("outcome", F.lit("accepted")).unionByName(split.late.drop("watermark").withColumn("outcome", F.lit("late")))
+    return both.groupBy("outcome", "event_type", F.col("ts").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_events"))
+
+
+def _seconds(c):
+    return F.col(c).cast("timestamp").cast("double")
+
+
 @query("q2_feedback_stream")
 def q_q2_feedback_stream(spark, sf_dir):
     """Feedback per day, type, alert and confidence, from the log read as a stream."""

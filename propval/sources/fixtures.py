@@ -46,7 +46,7 @@ SELECT k AS listing_id,
             WHEN k % 3 = 0 THEN concat('mivida, ', nat, ', ', reg)
             WHEN k % 3 = 1 THEN concat(nat, ', New Cairo, ', reg)
             ELSE concat('North Coast, ', reg) END AS location,
-       CASE k % 12
+       (CASE k % 12
          WHEN 0 THEN 'Fully finished penthouse with sea view, 3rd floor, elevator and garage!'
          WHEN 1 THEN 'Core & shell duplex, under construction, delivery in 2028, 8 years installment'
          WHEN 2 THEN 'شقة في عمارة الدور الثالث مصعد و جراج'
@@ -57,7 +57,30 @@ SELECT k AS listing_id,
          WHEN 7 THEN 'Semi finished, needs renovation, not registered, 12 years old'
          WHEN 8 THEN 'small flat near mall, quiet, furnished, ac, wifi'
          WHEN 9 THEN 'SODIC resort chalet, ready to move, prime location'
-         WHEN 10 THEN '' ELSE NULL END AS description,
+         WHEN 10 THEN '' ELSE NULL END)
+       || (CASE (k * 7) % 29
+         WHEN 1 THEN ' Balcony with terrace, natural gas.'
+         WHEN 2 THEN ' بلكونة و غاز طبيعي و مخزن'
+         WHEN 3 THEN ' Storage, gym and generator.'
+         WHEN 4 THEN ' Near ring road highway, main street, corner.'
+         WHEN 5 THEN ' على الشارع زاوية محور'
+         WHEN 6 THEN ' Cash only, below market, opportunity!'
+         WHEN 7 THEN ' كاش فقط لقطة عاجل'
+         WHEN 8 THEN ' North facing, street view.'
+         WHEN 9 THEN ' South facing, west breeze'
+         WHEN 10 THEN ' شمالي شرقي'
+         WHEN 11 THEN ' جنوبي غربي اطلالة شارع'
+         WHEN 12 THEN ' Master bedroom and dressing room.'
+         WHEN 13 THEN ' غرفة سائق غرفة ملابس'
+         WHEN 14 THEN ' Driver room, nanny room'
+         WHEN 15 THEN ' مربية ماستر'
+         WHEN 16 THEN ' Close to New Cairo, 5th settlement'
+         WHEN 17 THEN ' Road to Sheikh Zayed and 6th October'
+         WHEN 18 THEN ' Sahel, north coast summer'
+         WHEN 19 THEN ' Bare shell, unfinished'
+         WHEN 20 THEN ' Security cameras, school, hospital and mosque'
+         WHEN 21 THEN ' جيم مولد كاميرات مسجد مدرسة مستشفى'
+         WHEN 22 THEN ' First use, never lived, top floor 9' ELSE '' END) AS description,
        od AS listed_at
 FROM priced
 """

@@ -4,8 +4,9 @@ Q1 stream_valuation: asks arriving as files -> stream-static joins with the
 fitted artefacts -> the same ``decide`` columns as batch -> append sink.
 Q2 event_window_stats: event stream with a watermark and tumbling windows; every
 window that a micro-batch changed is written again, and the report shows each
-window's latest state, so no event waits for a watermark to pass.
+window's latest state, so no event waits for a watermark to pass. Events behind the watermark do not count there.
 Q2 feedback_stats: the feedback log as a stream, summed per window in the same way.
+Q2 split_late: a stream's events without repeats, and those behind the watermark as a table of their own.
 
 The caller names ``state_path``, a folder in shared storage that belongs to the
 job. Checkpoint and sink live below it: a job started again with the same path
@@ -14,11 +15,15 @@ goes on where it stopped. All use an ``availableNow`` trigger for bounded runs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propval.operators import decide as D
+from propval.operators.stats import attach_scalars
+from propval.plans.materialize import materialize
 
 
 def _append(stream_df: DataFrame, state_path: str) -> DataFrame:
@@ -84,3 +89,51 @@ def feedback_stats(spark: SparkSession, log_path: str, schema: T.StructType, sta
                 (F.sum(micro) / F.count(F.lit(1)) / 1e6).alias("mean_ape")))
     flat = agg.select(F.col("w.start").alias("window_start"), "type", "alert", "confidence", "n", "up_share", "mean_ape")
     return _latest(flat, ["window_start", "type", "alert", "confidence"], state_path)
+
+
+@dataclass
+class Split:
+    """What a stream has brought so far: every event, by its key, is in exactly one of the two tables."""
+
+    accepted: DataFrame  # events that came in time, their first arrival
+    late: DataFrame      # events that came behind the watermark, with the watermark that they missed
+
+
+def split_late(spark: SparkSession, landing: str, schema: T.StructType, keys: list[str], time: str, state_path: str,
+               delay: str = "1 hour") -> Split:
+    """Q2: repeated events removed and late ones put aside instead of dropped untold.
+
+    A micro-batch's watermark is the latest event time of the batches before it less ``delay``. An event behind it goes
+    to ``late``, any other to ``accepted``; one that has arrived before, in either table, is a repeat. A repeat has its
+    event's time, so only the days that a batch holds events of are searched. Batches write below their own
+    number: one that is run again after a failure finds the same earlier batches and overwrites its first attempt.
+    """
+    base = state_path.rstrip("/")
+    stored = T.StructType([*schema.fields, T.StructField("watermark", T.TimestampType())])
+    placed = T.StructType([*stored.fields, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
+    marks = T.StructType([T.StructField("latest", T.TimestampType()), T.StructField("batch", T.LongType())])
+
+    def earlier(name: str, kind: T.StructType, number: int) -> DataFrame:
+        # the folder of a table exists from its first batch on
+        return spark.read.schema(kind).option("basePath", f"{base}/{name}").parquet(f"{base}/{name}/batch=*") \
+            .where(F.col("batch") < number) if number else spark.createDataFrame([], kind)
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = F.col(time).cast("timestamp")
+        mark = earlier("marks", marks, number).agg((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("watermark"))
+        rows = materialize(attach_scalars(batch.dropDuplicates(keys), mark).withColumn("day", at.cast("date")), "stream_batch")
+        days = [r["day"] for r in rows.select("day").distinct().collect()]  # the days of one micro-batch
+        for name in ("accepted", "late"):
+            old = earlier(name, placed, number).where(F.col("day").isin(days) | F.col("day").isNull()).select(*keys)
+            rows = rows.join(old, keys, "left_anti")
+        fresh = materialize(rows, "stream_fresh")
+        behind = F.coalesce(at < F.col("watermark"), F.lit(False))
+        for name, part in (("accepted", fresh.where(~behind)), ("late", fresh.where(behind))):
+            part.write.mode("overwrite").partitionBy("day").parquet(f"{base}/{name}/batch={number}")
+        batch.agg(F.max(at).alias("latest")).write.mode("overwrite").parquet(f"{base}/marks/batch={number}")
+
+    q = (spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(write)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    read = {n: spark.read.schema(placed).parquet(f"{base}/{n}") for n in ("accepted", "late")}
+    return Split(read["accepted"].select(*schema.names, "batch"), read["late"].select(*schema.names, "watermark", "batch"))

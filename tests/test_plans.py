@@ -1,5 +1,7 @@
 """Physical plan checks: no Python evaluation in hot paths, pushdown, one shuffle for all encodings."""
 
+import tempfile
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -57,13 +59,30 @@ def test_quantiles_over_a_million_rows_with_a_hot_and_a_null_group(spark):
     assert np.allclose(list(total), np.quantile(want.v, probs), rtol=0, atol=1e-9)
 
 
+def test_no_task_sorts_the_rows_of_a_quantile(spark):
+    """A million log-like values, nearly all distinct: rows leave their tasks as counts of a few cells."""
+    df = spark.range(0, 1_000_000, numPartitions=8).select((F.randn(3) * 0.4 + 9.5).alias("v"), (F.col("id") % 3).alias("k"))
+    df.write.mode("overwrite").parquet(path := tempfile.mkdtemp(dir="/tmp") + "/v")
+    df = spark.read.parquet(path)
+    got = {r["k"]: (r["q01"], r["q50"]) for r in S.quantiles(df, "v", [0.01, 0.5], ["q01", "q50"], by=["k"]).collect()}
+    values = df.toPandas()
+    for k, g in values.groupby("k"):
+        assert np.allclose(got[k], np.quantile(g.v, [0.01, 0.5]), rtol=0, atol=1e-12)
+    cells = df.groupBy(S.value_slice(F.col("v"), S.COARSE_CELLS).alias("c")).count().orderBy(F.col("count").desc()).collect()
+    assert 100 < len(cells) < 2000 and cells[0]["count"] < 0.05 * len(values)  # a refined cell holds few of the rows
+    plan = S.quantiles(df, "v", [0.5], ["q"], by=["k"])._jdf.queryExecution().executedPlan().toString()
+    before_first_exchange = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "HashAggregate" in before_first_exchange and "Sort" not in before_first_exchange
+
+
 def test_value_slices_never_fall(spark):
     rng = np.random.default_rng(0)
     v = np.unique(np.concatenate([rng.normal(size=2000) * 10.0 ** rng.integers(-12, 12, 2000), 2.0 ** np.arange(-60, 60),
                                   np.nextafter(2.0 ** np.arange(-60, 60), 0), [0.0, -0.0, np.inf, -np.inf, 5e-324, 1e308]]))
-    rows = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", S.value_slice(F.col("v")).alias("s")).orderBy("v").collect()
-    s = [r.s for r in rows]
-    assert s == sorted(s)
+    for cells in (S.COARSE_CELLS, S.FINE_CELLS):
+        rows = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", S.value_slice(F.col("v"), cells).alias("s")).orderBy("v").collect()
+        s = [r.s for r in rows]
+        assert s == sorted(s)
 
 
 def test_fitted_tables_are_broadcast_after_size_check(spark):
