@@ -1,17 +1,19 @@
 """Decontamination, importance resampling and phrase mining against brute force, on small tables."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from propval.llm import collocations, decontamination, importance, secret_scan
+from propval.llm import collocations, decontamination, importance, mixing, secret_scan
 from tests.llm.conftest import DOC_SCHEMA, DOCS, by_key, plain, write
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -223,3 +225,45 @@ def test_op4_scores_what_lies_beside_base_spans(spark):
     left = secret_scan.find_secrets(docs, "text", ["doc_id", "text"]).select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("t"))
     kept = {r.doc_id: r.t for r in left.collect()}
     assert kept[2] == "plain words only here" and not re.search(r"[A-Za-z0-9]{8}", kept[1].replace("[secret]", ""))
+
+
+def test_op8_any_number_of_sources(spark):
+    """More sources than a driver's network could hold; every one ends near its target."""
+    docs = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.pmod(F.xxhash64("id"), F.lit(9)) + 1).cast("int")).alias("text"),
+        F.concat(F.lit("site"), F.col("id") % 25_000).alias("source"))
+    rows = mixing.mix_documents(docs, ["source"])
+    by = rows.groupBy("source").agg(F.sum("size").alias("size"), F.first("source_size").alias("told"), F.first("target").alias("target"),
+                                    F.sum("taken").alias("taken"), F.max("size").alias("most"), F.max(F.col("taken") / F.col("size")).alias("times")).collect()
+    assert len(by) == 25_000 and all(r["size"] == r["told"] and r["times"] <= 2 and abs(r["taken"] - r["target"]) <= r["most"] for r in by)
+    total = sum(r["size"] for r in by)
+    assert sum(r["target"] for r in by) == pytest.approx(1.5 * total) and abs(sum(r["taken"] for r in by) - 1.5 * total) < 0.02 * total
+
+
+def test_op8_flows_by_connected_part_equal_one_network(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    patterns = [((f"{g}{a}", f"{g}{b}") if a != b else (f"{g}{a}",), int(rng.integers(5, 60))) for g in "xyz" for a in range(4) for b in range(a, 4)]
+    patterns += [(("alone",), 30), (("unwanted",), 7)]
+    quotas = {f"{g}{i}": int(rng.integers(10, 160)) for g in "xyz" for i in range(4)} | {"alone": 45}
+    spark.createDataFrame([(i, sorted(m), n) for i, (m, n) in enumerate(patterns)], "_p long, _pattern array<string>, _size long").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame(list(quotas.items()), "_member string, _quota long").write.parquet(f"{tmp_path}/q")
+    got = {r["_p"]: r["_words"] for r in mixing.routed(spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/q"), 2).collect()}
+    want = mixing.route([(sorted(m), n) for m, n in patterns], quotas, 2)
+
+    def cost(words):  # the second copy of a pattern's words costs one each
+        return sum(max(0, w - n) for w, (_, n) in zip(words, patterns))
+
+    given = [got[i] for i in range(len(patterns))]
+    assert sum(given) == sum(want) and cost(given) == cost(want) and given[-2:] == [45, 0]
+    assert all(0 <= w <= 2 * n for w, (_, n) in zip(given, patterns))
+
+
+def test_op8_boundary_bucket():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sizes = rng.integers(1, 40, rng.integers(1, 9))
+        need = int(rng.integers(0, sizes.sum() + 1))
+        rows = mixing._fill(pd.DataFrame({"_p": 0, "_u": rng.random(len(sizes)), "_size": sizes, "_n": 1, "_need": need}))
+        took = int((rows["_size"] * rows["_chosen"]).sum())
+        best = min(abs(need - sum(c)) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes.tolist(), k))
+        assert rows["_chosen"].isin([0, 1]).all() and best <= abs(took - need) <= sizes.max() / 2
