@@ -614,7 +614,7 @@ WITH r AS (SELECT min(epoch(ts)) AS a, max(epoch(ts)) AS z FROM events),
 l AS (SELECT e.*, z, CASE WHEN epoch(ts) < (a + z) / 2 AND event_id % 2 = 0 THEN 0
         WHEN epoch(ts) >= (a + z) / 2 AND NOT (epoch(ts) >= z - 1800 AND event_id % 4 = 3) THEN 1 ELSE 2 END AS lot FROM events e, r),
 w AS (SELECT max(epoch(ts)) - 3600 AS mark FROM l WHERE lot < 2)
-SELECT CASE WHEN lot = 2 AND epoch(ts) < mark THEN 'late' ELSE 'accepted' END AS outcome, event_type, CAST(ts AS DATE) AS day,
+SELECT CASE WHEN lot = 2 AND epoch(ts) < mark THEN 'late' ELSE 'accepted' END AS outcome, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
        count(*) AS n, count(*) AS n_events
 FROM l, w GROUP BY ALL""")
 oracle("q2_feedback_stream", with_fb("SELECT date_trunc('day', TIMESTAMP '2024-01-01' + to_minutes(listing_id))::TIMESTAMP AS "

@@ -1065,7 +1065,7 @@ def q_q2_late(spark, sf_dir):
         lots.where(part).select(*schema.names).write.mode("append").parquet(landing)
         split = STREAM.split_late(spark, landing, schema, ["event_id"], "ts", state)
     both = split.accepted.withColumn("outcome", F.lit("accepted")).unionByName(split.late.drop("watermark").withColumn("outcome", F.lit("late")))
-    return both.groupBy("outcome", "event_type", F.col("ts").cast("date").alias("day")).agg(
+    return both.groupBy("outcome", "event_type", F.col("ts").cast("date").cast("string").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_events"))
 
 
