@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -60,6 +62,13 @@ def slices(lengths, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def by_bytes(batch: pa.RecordBatch, at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts (column ``at``) hold at most ``limit`` bytes, so that few are Python objects at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    for a, b in slices(sizes, limit):
+        yield batch.slice(a, b - a)
+
+
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """``rows`` with ``rank`` from 1 by the given order, which should tell rows apart; no task sees more than a range."""
     place = F.monotonically_increasing_id()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propval.llm.common import slices, table
+from propval.llm.common import by_bytes, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)  # fixed values: kinds of pieces
@@ -37,7 +37,7 @@ LONG = 48  # characters of a word up to which it is encoded in a batch and remem
 WORDS = 200_000  # words remembered at once
 PAIRS = 400_000  # borders remembered at once
 FRESH = 20_000  # newly decided borders after which they are merged with the sorted ones
-SLICE = 1 << 20  # characters handled at once
+SLICE = 1 << 19  # bytes of text handled at once
 GROUP = 1 << 14  # words of one length that advance together
 
 
@@ -475,14 +475,14 @@ def encode(docs: DataFrame, keep: list[str], text: str, model: str, check: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
             enc = encoder(content.value)
-            for a, b in slices([len(t or "") for t in texts], SLICE):
-                ids = enc.encode(texts[a:b])
+            for part in by_bytes(batch, len(keep), SLICE):
+                texts = part.column(len(keep)).to_pylist()
+                ids = enc.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                columns = [*batch.slice(a, b - a).columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
+                columns = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
                 if check:
-                    columns.append(pa.array([enc.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts[a:b])]))
+                    columns.append(pa.array([enc.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts)]))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)

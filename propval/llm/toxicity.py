@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from propval.llm.common import materialize, table
+from propval.llm.common import by_bytes, materialize, table
 
 PER_CLASS = 2000  # labelled documents of each class to train on, at most
 SAMPLE_BYTES = 24 << 20  # characters of training text, at most
@@ -42,7 +42,8 @@ GAIN = 100.0  # fixed factor on document means, which are small for long texts
 FOLDS = 4  # parts of the sample left out in turn to find the step that ends the training
 PATIENCE = 15  # steps without a smaller loss on the parts left out that end the training
 UNDECIDED = -4e-6  # logit of a model that learned nothing: just under 0.5, so that it rejects nothing
-WORDS = 400_000  # words remembered at once by a worker
+WORDS = 250_000  # words remembered at once by a worker
+SLICE = 4 << 20  # bytes of text scored at once
 
 
 def word_buckets(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -293,8 +294,9 @@ def score(docs: DataFrame, keep: list[str], text: str, scorer: Scorer) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*sent.value)
         for batch in batches:
-            scores = own.score(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(scores)], names=[*keep, "score"])
+            for part in by_bytes(batch, at, SLICE):
+                scores = own.score(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(scores)], names=[*keep, "score"])
 
     schema = docs.select(*keep).schema.add("score", "double")
     return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(run, schema)
