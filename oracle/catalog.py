@@ -123,7 +123,6 @@ FROM (SELECT {CLEAN_COLUMNS_SQL} FROM clean) c"""))
 # ---------------------------------------------------------------- description features
 from oracle import text_sql as TS  # noqa: E402
 from propval.functions import rules as R  # noqa: E402
-from propval.operators import text as TX  # noqa: E402
 
 oracle("t1", with_clean(f"SELECT listing_id, {TS.kw_select()} FROM s6"), ["desc_len", "nlp_score"])
 oracle("t3", with_clean(f"SELECT listing_id, {TS.semantic_select()} FROM s6"),
@@ -135,10 +134,10 @@ for _name, _cols in {
     "t9": [n for n, _ in R.MICRO_LOCATION_FLAGS],
     "t10": [n for n, _ in R.MOTIVATION_FLAGS] + ["motivation_score"],
     "t11": [n for n, _ in R.EXPOSURE_FLAGS], "t12": [n for n, _ in R.ROOM_CONFIG_FLAGS],
-    "t14": TX.CONTENT_COLUMNS,
+    "t14": [],
 }.items():
-    oracle(_name, with_clean(f"SELECT listing_id, {', '.join(_cols)} FROM ({_CONTENT}) c"),
-           [c for c in _cols if c in TS.CONTENT_DOUBLES])
+    oracle(_name, with_clean(f"SELECT {', '.join(['listing_id', *_cols]) if _cols else '*'} FROM ({_CONTENT}) c"),
+           [c for c in TS.CONTENT_DOUBLES if not _cols or c in _cols])
 _TEXT = "coalesce(text, '')"
 oracle("t13", f"SELECT doc_id, {TS.meta_select(_TEXT)} FROM documents", ["caps_ratio"])
 oracle("t13_conversations", f"SELECT conv_id, turn, {TS.meta_select(_TEXT)} FROM conversations", ["caps_ratio"])

@@ -14,9 +14,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from propval.functions import rules as R
@@ -197,7 +197,11 @@ def fit_impute_clip(df: DataFrame, columns: Sequence[str], lo: float = 0.01, hi:
 
 def apply_impute_clip(df: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """G12 apply: fill with the frozen median, clip to the frozen [p01, p99] (NULL bound = no bound)."""
-    rows = {r["feature"]: r for r in table.collect()}  # one row per feature: bounded by the column count
+    return impute_clip(df, {r["feature"]: r for r in table.collect()}, columns)  # one row per feature: bounded by the column count
+
+
+def impute_clip(df: DataFrame, rows: Mapping[str, Row], columns: Sequence[str]) -> DataFrame:
+    """``apply_impute_clip`` from the fitted rows (median, clip_lo, clip_hi) by feature."""
     out = []
     for c in columns:
         r = rows.get(c)

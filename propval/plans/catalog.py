@@ -914,6 +914,20 @@ def q_v1_models(spark, sf_dir):
     return EV.regression_metrics(df, by=["type_clean"])
 
 
+@query("v2_models")
+def q_v2_models(spark, sf_dir):
+    """V2 over the routed models' predictions of the test rows."""
+    return EV.mape_by_group(_scored_test(spark, sf_dir), true_price="price_egp", pred_price="point_price")
+
+
+@query("v3_models")
+def q_v3_models(spark, sf_dir):
+    """V3 over the routed models' predictions of the test rows: premium cities, in compounds and outside."""
+    about = _prepared(spark, sf_dir).where(F.col("is_test")).select("listing_id", "market_tier", "is_compound")
+    return EV.bias_audit(_scored_test(spark, sf_dir).drop("market_tier", "is_compound").join(about, "listing_id"),
+                         true_price="price_egp", pred_price="point_price")
+
+
 @query("m3")
 def q_m3(spark, sf_dir):
     train = _prepared(spark, sf_dir).where(~F.col("is_test"))
