@@ -41,4 +41,5 @@ def write_listings_csv(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     for k, v in CSV_OPTIONS.items():
         if k in ("header", "escape", "quote", "encoding"):
             writer = writer.option(k, v)
-    writer.option("quoteAll", "true").csv(path)
+    # the writer would strip blanks at the ends of values
+    writer.options(quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
