@@ -762,6 +762,11 @@ from propval.plans import score_job as SCORE  # noqa: E402
 from propval.plans import train_job as TR  # noqa: E402
 
 
+# Rounds at most of a model in the registered queries: on tables of some MB a round is 15 Spark stages of a few
+# milliseconds for any number of rows, so that the library's own limit (ENSEMBLE_ROUNDS) would take most of an hour.
+QUERY_ROUNDS = 400
+
+
 def _feature_fit(spark, sf_dir):
     """M8's table and fitted part, once per session."""
     key = ("feature_fit", sf_dir, id(spark))
@@ -800,7 +805,7 @@ def _ensemble(spark, sf_dir):
     key = ("ensemble", sf_dir, id(spark))
     if key not in _CACHE:
         df, _ = _model_table(spark, sf_dir)
-        ens, oof = M.train_fold_ensemble(df.where(~F.col("is_test")), _chosen(spark, sf_dir))
+        ens, oof = M.train_fold_ensemble(df.where(~F.col("is_test")), _chosen(spark, sf_dir), max_iter=QUERY_ROUNDS)
         _CACHE[key] = ens, TR.checked(oof.select("listing_id", "fold", "log_price", "oof_pred"), ["oof_pred"], "oof_predictions")
     return _CACHE[key]
 
@@ -809,7 +814,7 @@ def _type_models(spark, sf_dir):
     key = ("type_models", sf_dir, id(spark))
     if key not in _CACHE:
         df, _ = _model_table(spark, sf_dir)
-        _CACHE[key] = M.train_per_type(df.where(~F.col("is_test")), _chosen(spark, sf_dir))
+        _CACHE[key] = M.train_per_type(df.where(~F.col("is_test")), _chosen(spark, sf_dir), max_iter=QUERY_ROUNDS)
     return _CACHE[key]
 
 
