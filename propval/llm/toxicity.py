@@ -19,7 +19,7 @@ rows score alike; no rows give no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,9 +79,9 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def folds_of(texts: list[str], labels: np.ndarray, n: int = FOLDS) -> np.ndarray:
-    """The inner fold of each document: within a class, distinct texts in hash order are dealt in turn."""
-    keys, out = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], np.zeros(len(texts), np.int64)
+def folds_of(keys: list[int], labels: np.ndarray, n: int = FOLDS) -> np.ndarray:
+    """The inner fold of each document: within a class, distinct texts in the order of their hashes are dealt in turn."""
+    out = np.zeros(len(keys), np.int64)
     for k in (0, 1):
         of = np.flatnonzero(labels == k)
         out[of] = np.unique(np.array([keys[i] for i in of], np.int64), return_inverse=True)[1] % n
@@ -102,21 +102,21 @@ def evidence(present: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.exp((square - square.max(1, keepdims=True)) / 2)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> tuple[np.ndarray, float]:
-    """One weight per bucket and the bias, for label 1 against 0. Classes weigh alike.
+def train(texts: Iterable[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> tuple[np.ndarray, float]:
+    """One weight per bucket and the bias, for label 1 against 0. Classes weigh alike. ``texts`` are read once, in order.
 
     FOLDS models, each without a part of the documents, and one of all documents train side by side; the step at which
     the parts left out have the least loss ends the training. UNDECIDED if no step beats the bias alone.
     """
     index: dict[str, int] = {}
-    cells, docs = [], []
-    for d, t in enumerate(texts):
+    cells, hashes = [], []
+    for t in texts:
         ws = words_of(t)
-        cells.append(np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int64, len(ws)))
-        docs.append(np.full(len(ws), d))
-    word, doc = np.concatenate(cells), np.concatenate(docs)
-    if not len(word):
+        cells.append(np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int32, len(ws)))
+        hashes.append(zlib.crc32(t.encode("utf-8", "surrogatepass")))
+    if not index:
         return np.zeros(BUCKETS, np.float32), UNDECIDED
+    n_docs, lengths = len(cells), np.array([len(c) for c in cells])
     vocabulary, parts, counts = list(index), [], []
     for i in range(0, len(vocabulary), 1 << 15):
         part, first = word_buckets(vocabulary[i:i + (1 << 15)])
@@ -125,7 +125,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     bucket, per_word = np.concatenate(parts), np.concatenate(counts)
     start = np.cumsum(per_word) - per_word
     y = labels.astype(np.float64)
-    fold = folds_of(texts, labels)
+    fold = folds_of(hashes, labels)
     met = np.zeros((FOLDS, 2, BUCKETS))
     for cell, label, f in zip(cells, labels, fold):
         flags = np.zeros(BUCKETS, bool)
@@ -146,11 +146,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     inverse = 1.0 / per_word
     owner = np.repeat(np.arange(len(index), dtype=np.int32), per_word)
     # documents x words as cells with the share of the word in the document
-    key, n = np.unique(doc * len(index) + word, return_counts=True)  # sorted by document
-    length = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-    doc, word = key // len(index), key % len(index)
-    share = GAIN * n / length[doc]
-    del key, n, cells, docs, parts, vocabulary
+    distinct = [np.unique(c, return_counts=True) for c in cells]
+    word, n = (np.concatenate([d[i] for d in distinct]) for i in (0, 1))
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), [len(d[0]) for d in distinct])
+    share = GAIN * n / np.maximum(lengths, 1)[doc]
+    del n, cells, distinct, parts, vocabulary, bucket
     weight = learns * np.where(y == 1, POSITIVE / np.maximum(n1, 1)[:, None], (1 - POSITIVE) / np.maximum(n0, 1)[:, None])
 
     # sums run over sorted cells: buckets of a word, words of a document, and both ways back
@@ -162,7 +162,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
     def forward(of_bucket: np.ndarray) -> np.ndarray:
         of_word = np.add.reduceat(of_bucket[local], start) * inverse
-        out = np.zeros(len(texts))
+        out = np.zeros(n_docs)
         out[heads[0]] = np.add.reduceat(share * of_word[word], heads[1])
         return out
 
@@ -178,7 +178,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     least, best, waited = -(POSITIVE * np.log(POSITIVE) + (1 - POSITIVE) * np.log(1 - POSITIVE)), None, 0
     share_of = np.where(y == 1, POSITIVE / max(y.sum(), 1), (1 - POSITIVE) / max((1 - y).sum(), 1))
     for step in range(1, epochs + 1):
-        left_out = np.zeros(len(texts))
+        left_out = np.zeros(n_docs)
         for m, (own, memory) in enumerate(zip(params, moments)):
             vectors, soft, bias = own
             logit = forward(soft @ vectors * scale[m]) + bias
@@ -283,7 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
     texts, y = pick_sample(docs, labels, per_class, most)
     if len(set(y.tolist())) < 2:
         return Scorer(np.zeros(BUCKETS, np.float32), UNDECIDED)
-    return Scorer(*train(texts, y))
+    texts.reverse()
+    return Scorer(*train((texts.pop() for _ in range(len(texts))), y))  # a text goes once it is read
 
 
 def score(docs: DataFrame, keep: list[str], text: str, scorer: Scorer) -> DataFrame:
