@@ -18,6 +18,8 @@ rows score alike; no rows give no rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -278,13 +280,23 @@ def pick_sample(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -
     return [r["text"] for r in rows], np.array([r["label"] for r in rows])
 
 
+def _give_back() -> None:
+    """Hand what training freed back to the system: the driver lives on, and the C library would keep it."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = SAMPLE_BYTES) -> Scorer:
     """A scorer from ``docs`` (id, text) and ``labels`` (id, label)."""
     texts, y = pick_sample(docs, labels, per_class, most)
     if len(set(y.tolist())) < 2:
         return Scorer(np.zeros(BUCKETS, np.float32), UNDECIDED)
     texts.reverse()
-    return Scorer(*train((texts.pop() for _ in range(len(texts))), y))  # a text goes once it is read
+    scorer = Scorer(*train((texts.pop() for _ in range(len(texts))), y))  # a text goes once it is read
+    _give_back()
+    return scorer
 
 
 def score(docs: DataFrame, keep: list[str], text: str, scorer: Scorer) -> DataFrame:
