@@ -36,3 +36,36 @@ def test_no_vocabulary_gives_zero_factors(spark):
     v = L.fit_lsa(weights, vocab.count())
     out = L.project(docs.select("id"), weights, "id", v).collect()
     assert v.shape == (0, 25) and len(out) == 2 and all(r[f"lsa_{j}"] == 0.0 for r in out for j in range(25))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_document_is_split_counted_and_weighed_once(spark, tmp_path):
+    spark.createDataFrame([(1, "sea view villa"), (2, "sea view"), (3, "roof")], "id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    vocab = L.fit_vocabulary(docs, "text", min_df=2, max_df=1.0).persist()
+    weights = L.tfidf_weights(docs, vocab, "id", "text")
+    plan = _plan(weights).lower()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("udf(") == 1
+    norm = plan.index("sqrt(aggregate(entries#")
+    assert "array_repeat(" in plan[norm - 20:norm]  # an argument, not part of a lambda that runs for every entry
+    assert {r["id"]: len(r["entries"]) for r in weights.collect()} == {1: 3, 2: 3}
+
+
+def test_factors_need_no_row_per_entry(spark, tmp_path):
+    spark.createDataFrame([(1, "sea view villa"), (2, "sea view"), (None, "sea"), (2, "view"), (3, "roof")], "id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    vocab = L.fit_vocabulary(docs, "text", min_df=2, max_df=1.0).persist()
+    L.tfidf_weights(docs, vocab, "id", "text").write.parquet(f"{tmp_path}/weights")
+    weights = spark.read.parquet(f"{tmp_path}/weights")
+    v = np.arange(vocab.count() * 3, dtype=float).reshape(-1, 3)
+    out = L.project(docs.select("id"), weights, "id", v)
+    assert "Generate" not in _plan(out) and _plan(out).count("Join ") == 1
+    want = {}
+    for r in weights.collect():
+        want[r["id"]] = want.get(r["id"], 0) + sum(e["weight"] * v[e["term_index"]] for e in r["entries"])
+    for r in out.collect():  # rows of one id share their factors; a row without an id, or without a term, has none
+        got = np.array([r["lsa_0"], r["lsa_1"], r["lsa_2"]])
+        assert np.allclose(got, want[r["id"]] if r["id"] in (1, 2) else 0.0)
