@@ -110,3 +110,32 @@ def test_balance_only_spreads_narrow_scans(spark, tmp_path):
     one = balance(spark.read.parquet(narrow), target)
     assert "RoundRobinPartitioning" not in many._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_valued_cells_take_one_pass(spark, tmp_path):
+    """A flag's cells hold one value each: the first pass settles them, so that no open cell is left to refine."""
+    spark.range(0, 1000, numPartitions=2).select(F.lit("flag").alias("k"), (F.col("id") % 10 == 0).cast("double").alias("v")).union(
+        spark.range(0, 1000).select(F.lit("log"), F.log1p("id"))).write.parquet(f"{tmp_path}/v")
+    df = spark.read.parquet(f"{tmp_path}/v")
+    kept, write = [], S.materialize
+    S.materialize = lambda d, name: kept.append(write(d, name)) or kept[-1]
+    try:
+        got = {r["k"]: [r["a"], r["b"], r["c"]] for r in S.quantiles(df, "v", [0.01, 0.5, 0.95], ["a", "b", "c"], by=["k"]).collect()}
+    finally:
+        S.materialize = write
+    fine = kept[1].select("k").distinct().collect()
+    assert [r["k"] for r in fine] == ["log"]
+    assert got["flag"] == [0.0, 0.0, 1.0] and np.allclose(got["log"], np.quantile(np.log1p(np.arange(1000)), [0.01, 0.5, 0.95]), rtol=0, atol=1e-12)
+
+
+def test_medians_are_found_once(spark, tmp_path):
+    spark.range(0, 100).select(F.when(F.col("id") % 4 > 0, F.col("id").cast("double")).alias("x")).write.parquet(f"{tmp_path}/x")
+    df = spark.read.parquet(f"{tmp_path}/x")
+    fitted = EN.fit_impute_clip(df, ["x"])
+    # the medians come from their written table: the rows themselves are read for the last pass of the bounds alone
+    files = [f for f in fitted._jdf.queryExecution().optimizedPlan().collectLeaves().toString().split("Relation") if "id" not in f]
+    assert sum("[x#" in f for f in files) <= 1
+    r = fitted.first()
+    x = np.array([i if i % 4 else np.nan for i in range(100)])
+    filled = np.where(np.isnan(x), np.nanmedian(x), x)
+    assert np.allclose([r["median"], r["clip_lo"], r["clip_hi"]], [np.nanmedian(x), *np.quantile(filled, [0.01, 0.99])])
