@@ -18,6 +18,10 @@ CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "encoding": "UTF-8
                "mode": "PERMISSIVE"}
 
 
+# A file read with line breaks in its fields is one task, whatever its size.
+ROWS_PER_FILE = 100_000
+
+
 def read_listings_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, multi_line: bool = False) -> DataFrame:
     """Read listing CSV files; every column is text so prices keep their raw form.
 
@@ -35,9 +39,9 @@ def read_listings_csv(spark: SparkSession, path: str, schema: T.StructType = RAW
     return df
 
 
-def write_listings_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write listings as header CSV (quoted, UTF-8); one file per partition."""
-    writer = df.write.mode(mode)
+def write_listings_csv(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write listings as header CSV (quoted, UTF-8); a partition gets a file for every ``rows_per_file`` rows."""
+    writer = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     for k, v in CSV_OPTIONS.items():
         if k in ("header", "escape", "quote", "encoding"):
             writer = writer.option(k, v)
