@@ -71,10 +71,13 @@ ORACLE_SQL = None  # the trained models and hashes of the stages are not SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; doc_id, n_pieces and ids of those left. Warns where ids do not decode to their text."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    lost = docs.filter("not round_trip").count()
+    if lost:
+        warnings.warn(f"sentencepiece: the ids of {lost} documents do not decode to their texts", stacklevel=2)
+    return docs.drop("round_trip")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ from pyspark.sql.window import Window
 
 from propval.session import checkpoint_dir
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch sent to a Python worker, about (a longer row is a batch of its own)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark so that any store works."""
@@ -69,6 +73,29 @@ def by_bytes(batch: pa.RecordBatch, at: int, limit: int) -> Iterator[pa.RecordBa
         yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound a session's Arrow batches by bytes: the JVM and the worker hold each several times, and 10,000 texts may be any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Hand what was freed back to the system: the process lives on, and Arrow and the C library would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a worker that serves later stages too: after the last batch it gives back what the task freed."""
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return lean_run
+
+
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """``rows`` with ``rank`` from 1 by the given order, which should tell rows apart; no task sees more than a range."""
     place = F.monotonically_increasing_id()

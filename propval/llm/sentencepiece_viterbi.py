@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propval.llm.common import by_bytes, table
+from propval.llm.common import by_bytes, lean, small_batches, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)  # fixed values: kinds of pieces
@@ -469,6 +469,7 @@ def _content(docs: DataFrame, path: str):
 
 def encode(docs: DataFrame, keep: list[str], text: str, model: str, check: bool = False) -> DataFrame:
     """Columns ``keep`` of every row with ``ids``; with ``check`` also whether decoding gives the text back."""
+    small_batches(docs.sparkSession)
     content = _content(docs, model)
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
     schema = schema.add("round_trip", "boolean") if check else schema
@@ -485,11 +486,12 @@ def encode(docs: DataFrame, keep: list[str], text: str, model: str, check: bool
                     columns.append(pa.array([enc.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts)]))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, keep: list[str], ids: str, model: str) -> DataFrame:
     """Columns ``keep`` of every row with ``text``, decoded from an array of ids (null: empty)."""
+    small_batches(rows.sparkSession)
     content = _content(rows, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,7 +500,7 @@ def decode(rows: DataFrame, keep: list[str], ids: str, model: str) -> DataFrame:
             texts = [enc.decode(np.array(x or [], np.int32)) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return rows.select(*keep, F.col(ids).cast("array<int>").alias("_ids")).mapInArrow(run, rows.select(*keep).schema.add("text", "string"))
+    return rows.select(*keep, F.col(ids).cast("array<int>").alias("_ids")).mapInArrow(lean(run), rows.select(*keep).schema.add("text", "string"))
 
 
 def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propval.llm.common import materialize, table
+from propval.llm.common import lean, materialize, small_batches, table
 from propval.llm.components import components
 
 SHINGLE = 4
@@ -62,6 +62,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Columns ``keep`` of every row with ``fp``, the fingerprint's bits as a signed long."""
+    small_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("fp", "long")
     at = keep.index(text) if text in keep else len(keep)
 
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(fps)], names=[*keep, "fp"])
 
-    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(lean(run), schema)
 
 
 def band_tables(classes: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -225,7 +226,7 @@ def fingerprint_links(classes: DataFrame, count: int, radius: int = RADIUS, bloc
                                  & (F.col("l.part") < F.col("r.part"))).select(F.col("l.fps").alias("l"), F.col("r.fps").alias("r"))
     pairs = pairs.repartition(F.xxhash64("l", "r"))
     own = blocks.select(F.col("fps").alias("l"), F.lit(None).cast("array<long>").alias("r"))
-    run = _compare(radius)
+    run = lean(_compare(radius))
     return own.mapInArrow(run, "a long, b long").unionAll(pairs.mapInArrow(run, "a long, b long"))
 
 

@@ -18,8 +18,6 @@ rows score alike; no rows give no rows.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from propval.llm.common import by_bytes, materialize, table
+from propval.llm.common import by_bytes, give_back, lean, materialize, small_batches, table
 
 PER_CLASS = 2000  # labelled documents of each class to train on, at most
 SAMPLE_BYTES = 24 << 20  # characters of training text, at most
@@ -280,14 +278,6 @@ def pick_sample(docs: DataFrame, labels: DataFrame, per_class: int, most: int) -
     return [r["text"] for r in rows], np.array([r["label"] for r in rows])
 
 
-def _give_back() -> None:
-    """Hand what training freed back to the system: the driver lives on, and the C library would keep it."""
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = SAMPLE_BYTES) -> Scorer:
     """A scorer from ``docs`` (id, text) and ``labels`` (id, label)."""
     texts, y = pick_sample(docs, labels, per_class, most)
@@ -295,12 +285,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
         return Scorer(np.zeros(BUCKETS, np.float32), UNDECIDED)
     texts.reverse()
     scorer = Scorer(*train((texts.pop() for _ in range(len(texts))), y))  # a text goes once it is read
-    _give_back()
+    give_back()
     return scorer
 
 
 def score(docs: DataFrame, keep: list[str], text: str, scorer: Scorer) -> DataFrame:
     """Columns ``keep`` of every row with ``score``."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias))
     at = keep.index(text) if text in keep else len(keep)
 
@@ -312,7 +303,7 @@ def score(docs: DataFrame, keep: list[str], text: str, scorer: Scorer) -> DataFr
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(scores)], names=[*keep, "score"])
 
     schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -270,3 +270,35 @@ def test_mixing_flow_spreads_repetition():
     assert sum(mixing.route([(["a"], 10), (["a", "b"], 10)], {"a": 25, "b": 10}, 2)) == 35
     given = mixing.route([(["a"], 10), (["a"], 30)], {"a": 50}, 3)
     assert sum(given) == 50 and given[0] <= 20 and given[1] <= 60  # no third copy while a second one is free
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Whatever the texts' length: by rows alone, these 60 are one batch of 18 MB; one text is longer than a batch."""
+    import pyarrow as pa
+    import public_tokenizers
+    from propval.llm import sentencepiece_viterbi, toxicity
+    from propval.llm.common import BATCH_BYTES
+
+    def measure(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(60, numPartitions=1).selectExpr("id as doc_id", "repeat('ab ', 100000 * (1 + 17 * int(id = 30))) as text")
+    scorer = toxicity.Scorer(np.zeros(8, np.float32), 0.0)
+    for build in (lambda: simhash.fingerprints(docs, ["doc_id"]), lambda: toxicity.score(docs, ["doc_id"], "text", scorer),
+                  lambda: sentencepiece_viterbi.encode(docs.filter("doc_id < 3"), ["doc_id"], "text", public_tokenizers.path("piece_bpe_32k.model"))):
+        spark.conf.unset(name)
+        out = build()
+        found = docs.mapInArrow(measure, "size long, n long").collect()
+        assert sum(r.n for r in found) == 60
+        assert max(r.size for r in found if r.n > 1) < 2 * BATCH_BYTES + 6_000_000
+        assert len(found) > 3
+        assert out.count() in (3, 60)
+
+
+def test_workers_give_back_what_a_task_freed():
+    from propval.llm import common
+    seen = []
+    whole = list(common.lean(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2, 3])))
+    assert whole == seen == [1, 2, 3]
