@@ -19,7 +19,7 @@ rows score alike; no rows give no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ GAIN = 100.0  # fixed factor on document means, which are small for long texts
 FOLDS = 4  # parts of the sample left out in turn to find the step that ends the training
 PATIENCE = 15  # steps without a smaller loss on the parts left out that end the training
 UNDECIDED = -4e-6  # logit of a model that learned nothing: just under 0.5, so that it rejects nothing
+CELLS = 1 << 18  # values summed at once in training
 WORDS = 250_000  # words remembered at once by a worker
 SLICE = 4 << 20  # bytes of text scored at once
 
@@ -102,6 +103,17 @@ def evidence(present: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.exp((square - square.max(1, keepdims=True)) / 2)
 
 
+def segment_sums(values: Callable[[int, int], np.ndarray], starts: np.ndarray, size: int) -> np.ndarray:
+    """np.add.reduceat over ``size`` values, of which ``values(a, b)`` gives a range: whole segments, about CELLS values at once."""
+    out, at = np.empty(len(starts)), 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + CELLS)))
+        a, b = int(starts[at]), int(starts[end]) if end < len(starts) else size
+        out[at:end] = np.add.reduceat(values(a, b), starts[at:end] - a)
+        at = end
+    return out
+
+
 def train(texts: Iterable[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> tuple[np.ndarray, float]:
     """One weight per bucket and the bias, for label 1 against 0. Classes weigh alike. ``texts`` are read once, in order.
 
@@ -118,11 +130,14 @@ def train(texts: Iterable[str], labels: np.ndarray, epochs: int = EPOCHS, seed:
         return np.zeros(BUCKETS, np.float32), UNDECIDED
     n_docs, lengths = len(cells), np.array([len(c) for c in cells])
     vocabulary, parts, counts = list(index), [], []
-    for i in range(0, len(vocabulary), 1 << 15):
-        part, first = word_buckets(vocabulary[i:i + (1 << 15)])
+    n_words = len(vocabulary)
+    index.clear()
+    for i in range(0, len(vocabulary), 1 << 13):
+        part, first = word_buckets(vocabulary[i:i + (1 << 13)])
         parts.append(part)
         counts.append(np.diff(np.append(first, len(part))))
     bucket, per_word = np.concatenate(parts), np.concatenate(counts)
+    del parts, vocabulary
     start = np.cumsum(per_word) - per_word
     y = labels.astype(np.float64)
     fold = folds_of(hashes, labels)
@@ -140,35 +155,47 @@ def train(texts: Iterable[str], labels: np.ndarray, epochs: int = EPOCHS, seed:
     learns = np.array([[f != m for f in fold] for m in range(FOLDS + 1)], np.float64)
     n0, n1 = learns @ (1 - y), learns @ y
     used = np.flatnonzero(met.sum((0, 1)))
-    local = np.searchsorted(used, bucket).astype(np.int32)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    local = place[bucket]
     met = met[:, :, used]
     scale = evidence(met.sum(0) - np.concatenate([met, np.zeros_like(met[:1])]), n0, n1)
+    del met, bucket
     inverse = 1.0 / per_word
-    owner = np.repeat(np.arange(len(index), dtype=np.int32), per_word)
     # documents x words as cells with the share of the word in the document
-    distinct = [np.unique(c, return_counts=True) for c in cells]
+    distinct = []
+    for i, c in enumerate(cells):
+        distinct.append(np.unique(c, return_counts=True))
+        cells[i] = None
     word, n = (np.concatenate([d[i] for d in distinct]) for i in (0, 1))
     doc = np.repeat(np.arange(n_docs, dtype=np.int32), [len(d[0]) for d in distinct])
     share = GAIN * n / np.maximum(lengths, 1)[doc]
-    del n, cells, distinct, parts, vocabulary, bucket
+    del n, cells, distinct
     weight = learns * np.where(y == 1, POSITIVE / np.maximum(n1, 1)[:, None], (1 - POSITIVE) / np.maximum(n0, 1)[:, None])
 
     # sums run over sorted cells: buckets of a word, words of a document, and both ways back
-    by_bucket, by_word = np.argsort(local, kind="stable"), np.argsort(word, kind="stable")
-    speakers, first_speaker = owner[by_bucket], np.searchsorted(local[by_bucket], np.arange(len(used)))
+    by_bucket = local.astype(np.int64) << 32
+    by_bucket |= np.repeat(np.arange(n_words, dtype=np.int32), per_word)
+    by_bucket.sort()
+    speakers = by_bucket.astype(np.int32)  # the lower half
+    del by_bucket
+    by_word = np.argsort(word, kind="stable")
     readers, read = doc[by_word], share[by_word]
-    first_reader, heads = np.searchsorted(word[by_word], np.arange(len(index))), np.unique(doc, return_index=True)
-    del by_bucket, by_word, owner
+    del by_word
+    # every used bucket has a word and every word a document, so that no segment is empty
+    first_speaker, first_reader = (np.cumsum(n) - n for n in (np.bincount(local), np.bincount(word)))
+    heads = np.unique(doc, return_index=True)
+    give_back()
 
     def forward(of_bucket: np.ndarray) -> np.ndarray:
-        of_word = np.add.reduceat(of_bucket[local], start) * inverse
+        of_word = segment_sums(lambda a, b: of_bucket[local[a:b]], start, len(local)) * inverse
         out = np.zeros(n_docs)
-        out[heads[0]] = np.add.reduceat(share * of_word[word], heads[1])
+        out[heads[0]] = segment_sums(lambda a, b: share[a:b] * of_word[word[a:b]], heads[1], len(word))
         return out
 
     def backward(of_doc: np.ndarray) -> np.ndarray:
-        on_word = np.add.reduceat(read * of_doc[readers], first_reader) * inverse
-        return np.add.reduceat(on_word[speakers], first_speaker)
+        on_word = segment_sums(lambda a, b: read[a:b] * of_doc[readers[a:b]], first_reader, len(word)) * inverse
+        return segment_sums(lambda a, b: on_word[speakers[a:b]], first_speaker, len(local))
 
     # two classes: a bucket acts by one number, its vector times the difference of the softmax's columns
     rng = np.random.default_rng(seed)

@@ -302,3 +302,18 @@ def test_workers_give_back_what_a_task_freed():
     seen = []
     whole = list(common.lean(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2, 3])))
     assert whole == seen == [1, 2, 3]
+
+
+def test_training_sums_in_parts():
+    """A range of segments is summed at a time, with the same digits as all of them at once."""
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=3 * toxicity.CELLS)
+    starts = np.unique(np.concatenate([[0], rng.integers(1, toxicity.CELLS // 2, 500), [2 * toxicity.CELLS + 7]]))
+    asked = []
+
+    def part(a, b):
+        asked.append(b - a)
+        return values[a:b]
+
+    assert (toxicity.segment_sums(part, starts, len(values)) == np.add.reduceat(values, starts)).all()
+    assert sum(asked) == len(values) and len(asked) > 1 and sorted(asked)[-2] <= toxicity.CELLS
