@@ -30,6 +30,7 @@ SCALE = 1024
 SAMPLE = 20_000  # vectors the rotation is fitted on, at most
 BLOCK = 2048  # vectors of a block
 QUERIES = 1024  # queries of a block
+GROUP_BYTES = 32 << 20  # of the query blocks that one pass over the vectors serves, about (one block at least)
 LEAD = 16  # rotated components of the partial sum
 DENSE = 0.05  # share of survivors above which a whole block is multiplied
 
@@ -189,12 +190,19 @@ def top_k(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = K,
     per_block = placed.groupBy("qblock").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "floor"))), lambda x: x["floor"]).alias("floors"),
         F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("least"))
-    # every block of queries goes to every stripe of blocks; a pair is dropped when no product of lengths reaches a floor
-    ask = materialize(asked.join(per_block, "qblock"), "topk-floors").withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rest = blocks.filter(~head).withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    pairs = rest.join(ask, "stripe").filter(F.col("longest") * F.col("qlongest") * (1 + 1e-9) + 1e-6 >= F.col("least"))
+    # a group of query blocks goes to every task, a pass over the other blocks for each: neither side is shuffled or copied.
+    # A pair is dropped when no product of lengths reaches a floor
+    ask = materialize(asked.join(per_block, "qblock"), "topk-floors")
+    numbers = sorted(r["qblock"] for r in ask.select("qblock").collect())  # one number a block of queries
+    size = max(1, GROUP_BYTES // (QUERIES * (8 * width + 24)))
+    found = opening
+    for i in range(0, len(numbers), size):
+        pairs = blocks.filter(~head).join(F.broadcast(ask.filter(F.col("qblock").isin(numbers[i:i + size]))),
+                                          F.col("longest") * F.col("qlongest") * (1 + 1e-9) + 1e-6 >= F.col("least"))
+        # written one after the other, so that one group at a time is in memory
+        found = found.unionAll(materialize(pairs.select(*wide).mapInArrow(run, schema), "topk-found"))
     w = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
-    ranked = opening.unionAll(pairs.select(*wide).mapInArrow(run, schema)).withColumn("rank", F.row_number().over(w))
+    ranked = found.withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

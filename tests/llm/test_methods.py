@@ -137,6 +137,20 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
         assert sorted(got[q]) == [(n + 1, j, -score) for n, (score, j) in enumerate(best)]
 
 
+def test_top_k_sends_no_vectors_between_tasks(spark, monkeypatch):
+    """Groups of one query block each: what is left to shuffle are the found pairs (before: blocks met by a shuffled join)."""
+    from pyspark.sql import functions as F
+    x = np.random.default_rng(5).normal(size=(1200, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    want = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
+    for name, value in (("BLOCK", 64), ("QUERIES", 8), ("GROUP_BYTES", 1)):
+        monkeypatch.setattr(topk, name, value)
+    out = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "qvecs" not in plan
+    assert sorted(out.collect()) == sorted(want) and len(want) == 600
+
+
 # ---- operator 5
 
 def clustered(n, dim, seed):
